@@ -43,77 +43,246 @@ RUN_METRICS = """run_metrics AS (
   FROM lineitem)"""
 
 # --- shared pipeline stages -------------------------------------------------
-CLEAN = """clean AS (
-  SELECT object_id, COALESCE(quarter, -1) AS quarter, source_file, "time", flux, flux_err,
+def obs_variant(name: str, replace: str) -> str:
+    """A derived observation view: obs with some columns replaced."""
+    return f"{name} AS (SELECT * REPLACE ({replace}) FROM obs)"
+
+
+def clean_ctes(src: str = "obs", p: str = "") -> str:
+    """{p}clean (drop + defaults), {p}flag (quality ok), {p}good (filter with global fallback)."""
+    return f"""{p}clean AS (
+  SELECT dataset, object_id, COALESCE(quarter, -1) AS quarter, source_file, "time", flux, flux_err,
          COALESCE(quality, 0.0::DOUBLE) AS quality
-  FROM obs WHERE object_id IS NOT NULL AND "time" IS NOT NULL AND flux IS NOT NULL),
-flag AS (SELECT *, COALESCE(TRY_CAST(trunc(quality) AS BIGINT) = 0, false) AS ok FROM clean),
-good AS (SELECT * FROM flag WHERE ok OR NOT COALESCE((SELECT bool_or(ok) FROM flag), false))"""
+  FROM {src} WHERE object_id IS NOT NULL AND "time" IS NOT NULL AND flux IS NOT NULL),
+{p}flag AS (SELECT *, COALESCE(TRY_CAST(trunc(quality) AS BIGINT) = 0, false) AS ok FROM {p}clean),
+{p}good AS (SELECT * FROM {p}flag WHERE ok OR NOT COALESCE((SELECT bool_or(ok) FROM {p}flag), false))"""
+
 
-FILL_MEDIAN = """filled AS (
-  SELECT object_id, quarter, source_file, "time", flux,
-         COALESCE(flux_err, (SELECT median(flux_err) FROM good)) AS flux_err FROM good)"""
+def fill_cte(policy: str, src: str, name: str) -> str:
+    if policy == "median":
+        stat = f"(SELECT median(flux_err) FROM {src})"
+    else:
+        stat = f"COALESCE((SELECT avg(flux_err) FROM {src}), 0.0::DOUBLE)"
+    return f"""{name} AS (
+  SELECT object_id, quarter, "time", flux, COALESCE(flux_err, {stat}) AS flux_err, source_file FROM {src})"""
 
-FILL_MEAN = """filled AS (
-  SELECT object_id, quarter, source_file, "time", flux,
-         COALESCE(flux_err, COALESCE((SELECT avg(flux_err) FROM good), 0.0::DOUBLE)) AS flux_err FROM good)"""
 
-ZSCORE = """z AS (
+def z_cte(src: str, name: str) -> str:
+    return f"""{name} AS (
   SELECT *, COALESCE((flux - avg(flux) OVER o) / NULLIF(stddev_samp(flux) OVER o, 0), 0.0::DOUBLE) AS flux_norm
-  FROM filled WINDOW o AS (PARTITION BY object_id))"""
+  FROM {src} WINDOW o AS (PARTITION BY object_id))"""
+
+
+def rolling(value: str, part: str, order: str) -> str:
+    frame = f"(PARTITION BY {part} ORDER BY {order} ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING)"
+    return (f"COALESCE(CASE WHEN count({value}) OVER {frame} >= 3 THEN median({value}) OVER {frame} END, "
+            f"{value})")
+
 
-POINT_TREND = """r AS (
-  SELECT *, COALESCE(CASE WHEN count(flux_norm) OVER f >= 3 THEN median(flux_norm) OVER f END, flux_norm) AS rolling_flux
-  FROM z WINDOW f AS (PARTITION BY object_id ORDER BY quarter, "time", flux ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING)),
-res AS (SELECT *, flux_norm - rolling_flux AS residual FROM r),
-pt AS (
-  SELECT *, COALESCE(abs(residual) > 3.0 * NULLIF(stddev_samp(residual) OVER (PARTITION BY object_id), 0), false) AS is_anomaly
-  FROM res)"""
+def outlier(resid: str = "residual") -> str:
+    return (f"COALESCE(abs({resid}) > 3.0 * NULLIF(stddev_samp({resid}) OVER (PARTITION BY object_id), 0), "
+            "false)")
 
-POINT_BINS = f"""pbins AS (
+
+def point_ctes(z: str, p: str = "") -> str:
+    return f"""{p}r AS (
+  SELECT *, {rolling("flux_norm", "object_id", 'quarter, "time", flux')} AS rolling_flux FROM {z}),
+{p}res AS (SELECT *, flux_norm - rolling_flux AS residual FROM {p}r),
+{p}pt AS (SELECT *, {outlier()} AS is_anomaly FROM {p}res),
+{p}pbins AS (
   SELECT object_id, quarter, floor("time" / {BIN_W})::BIGINT AS bin_id,
          avg(flux_norm) AS flux_norm, avg(rolling_flux) AS rolling_flux, avg(flux_err) AS flux_err,
          count(*) AS points_count, sum(is_anomaly::BIGINT)::BIGINT AS anomaly_count,
          count(DISTINCT source_file) AS source_files
-  FROM pt GROUP BY object_id, quarter, floor("time" / {BIN_W})::BIGINT),
-point_out AS (
+  FROM {p}pt GROUP BY object_id, quarter, floor("time" / {BIN_W})::BIGINT),
+{p}point_out AS (
   SELECT object_id, quarter, bin_id * {BIN_W} AS time_bin, flux_norm, rolling_flux, flux_err,
          points_count, anomaly_count, source_files, anomaly_count > 0 AS is_anomaly,
          'obs' AS dataset, 'spark' AS processing_method
-  FROM pbins)"""
+  FROM {p}pbins)"""
+
 
-BIN_BINS = f"""zb AS (SELECT *, COALESCE(abs(flux_norm) > 3.0, false) AS prelim FROM z),
-bb AS (
+def bin_ctes(z: str, p: str = "") -> str:
+    return f"""{p}zb AS (SELECT *, COALESCE(abs(flux_norm) > 3.0, false) AS prelim FROM {z}),
+{p}bb AS (
   SELECT object_id, quarter, floor("time" / {BIN_W})::BIGINT AS bin_id,
          avg(flux_norm) AS flux_norm, avg(flux_err) AS flux_err, count(flux) AS points_count,
          sum(prelim::BIGINT)::BIGINT AS anomaly_count, count(DISTINCT source_file) AS source_files
-  FROM zb GROUP BY object_id, quarter, floor("time" / {BIN_W})::BIGINT),
-br AS (
-  SELECT *, COALESCE(CASE WHEN count(flux_norm) OVER f >= 3 THEN median(flux_norm) OVER f END, flux_norm) AS rolling_flux
-  FROM bb WINDOW f AS (PARTITION BY object_id ORDER BY quarter, bin_id ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING)),
-bres AS (SELECT *, flux_norm - rolling_flux AS residual FROM br),
-bin_out AS (
+  FROM {p}zb GROUP BY object_id, quarter, floor("time" / {BIN_W})::BIGINT),
+{p}br AS (SELECT *, {rolling("flux_norm", "object_id", "quarter, bin_id")} AS rolling_flux FROM {p}bb),
+{p}bres AS (SELECT *, flux_norm - rolling_flux AS residual FROM {p}br),
+{p}bin_out AS (
   SELECT object_id, quarter, bin_id * {BIN_W} AS time_bin, flux_norm, flux_err, points_count,
          anomaly_count, source_files, 'obs' AS dataset, 'spark' AS processing_method, rolling_flux, residual,
-         COALESCE(abs(residual) > 3.0 * NULLIF(stddev_samp(residual) OVER (PARTITION BY object_id), 0), false)
-           OR anomaly_count > 0 AS is_anomaly
-  FROM bres)"""
+         {outlier()} AS residual_outlier, {outlier()} OR anomaly_count > 0 AS is_anomaly
+  FROM {p}bres)"""
+
 
-POINT_PIPE = ",\n".join([OBS, CLEAN, FILL_MEDIAN, ZSCORE, POINT_TREND, POINT_BINS])
-BIN_PIPE = ",\n".join([OBS, CLEAN, FILL_MEAN, ZSCORE, BIN_BINS])
+POINT_PIPE = ",\n".join([OBS, clean_ctes(), fill_cte("median", "good", "filled"), z_cte("filled", "z"),
+                         point_ctes("z")])
+BIN_PIPE = ",\n".join([OBS, clean_ctes(), fill_cte("mean", "good", "filled"), z_cte("filled", "z"),
+                       bin_ctes("z")])
+BOTH_PIPES = ",\n".join([OBS, clean_ctes(), fill_cte("median", "good", "filled"), z_cte("filled", "z"),
+                         point_ctes("z"), fill_cte("mean", "good", "bfilled"), z_cte("bfilled", "bz"),
+                         bin_ctes("bz")])
 
 
 def r6(col: str, alias: str | None = None) -> str:
     return f"round({col}, 6) AS {alias or col}"
 
 
-POINT_SELECT = ("SELECT object_id, quarter, time_bin, " + ", ".join(r6(c) for c in ["flux_norm", "rolling_flux", "flux_err"])
+def rounded(cols: str) -> str:
+    return ", ".join(r6(c.strip()) for c in cols.split(","))
+
+
+POINT_SELECT = ("SELECT object_id, quarter, time_bin, " + rounded("flux_norm, rolling_flux, flux_err")
                 + ", points_count, anomaly_count, source_files, is_anomaly, dataset, processing_method FROM point_out")
-BIN_SELECT = ("SELECT object_id, quarter, time_bin, " + ", ".join(r6(c) for c in ["flux_norm", "flux_err"])
+BIN_SELECT = ("SELECT object_id, quarter, time_bin, " + rounded("flux_norm, flux_err")
               + ", points_count, anomaly_count, source_files, dataset, processing_method, "
-              + ", ".join(r6(c) for c in ["rolling_flux", "residual"]) + ", is_anomaly FROM bin_out")
-
+              + rounded("rolling_flux, residual") + ", is_anomaly FROM bin_out")
 SQL: dict[str, str] = {}
 
 SQL["pipeline_point"] = f"WITH {POINT_PIPE}\n{POINT_SELECT}"
 SQL["pipeline_bin"] = f"WITH {BIN_PIPE}\n{BIN_SELECT}"
+
+# --- batch: scans, cleaning, normalisation, trend ----------------------------------------
+PT_FILLED = ",\n".join([OBS, clean_ctes(), fill_cte("median", "good", "filled")])
+PT_Z = ",\n".join([PT_FILLED, z_cte("filled", "z")])
+PT_TREND = ",\n".join([PT_Z, point_ctes("z")])
+OBS_COLS = 'dataset, source_file, object_id, quarter, "time", flux, flux_err, quality'
+
+SQL["scan_parquet"] = "SELECT event_id, user_id, value FROM events WHERE value > 50.0"
+
+SQL["coerce_numeric"] = f"""WITH {OBS_RAW}
+SELECT object_id, quarter,
+       CASE WHEN isnan(TRY_CAST("time" AS DOUBLE)) THEN NULL ELSE TRY_CAST("time" AS DOUBLE) END AS "time",
+       CASE WHEN isnan(TRY_CAST(flux AS DOUBLE)) THEN NULL ELSE TRY_CAST(flux AS DOUBLE) END AS flux,
+       CASE WHEN isnan(TRY_CAST(flux_err AS DOUBLE)) THEN NULL ELSE TRY_CAST(flux_err AS DOUBLE) END AS flux_err,
+       CASE WHEN isnan(TRY_CAST(quality AS DOUBLE)) THEN NULL ELSE TRY_CAST(quality AS DOUBLE) END AS quality
+FROM obs_raw"""
+
+SQL["default_columns"] = f"""WITH {OBS}
+SELECT object_id, -1 AS quarter, '' AS source_file, "time", flux, NULL::DOUBLE AS flux_err,
+       0.0::DOUBLE AS quality FROM obs"""
+
+SQL["normalize_quarter"] = f"""WITH {OBS}
+SELECT object_id, "time", COALESCE(TRY_CAST(trunc(TRY_CAST(q AS DOUBLE)) AS INT), -1) AS quarter
+FROM (SELECT *, CASE WHEN source_file = 'view' THEN NULL WHEN source_file = 'signup' THEN 'q?'
+                     ELSE quarter::VARCHAR END AS q FROM obs)"""
+
+SQL["drop_invalid"] = f"""WITH {OBS}
+SELECT * FROM obs WHERE object_id IS NOT NULL AND "time" IS NOT NULL AND flux IS NOT NULL"""
+
+SQL["fill_quality"] = f"""WITH {OBS}
+SELECT * REPLACE (COALESCE(quality, 0.0::DOUBLE) AS quality) FROM obs"""
+
+SQL["good_quality"] = f"""WITH {OBS},
+{clean_ctes()}
+SELECT {OBS_COLS} FROM good"""
+
+SQL["good_quality_fallback"] = f"""WITH {OBS},
+{obs_variant("obs4", "4.0::DOUBLE AS quality")},
+{clean_ctes("obs4")}
+SELECT {OBS_COLS} FROM good"""
+
+SQL["fill_err_median"] = f"""WITH {OBS},
+d AS (SELECT * FROM obs WHERE "time" IS NOT NULL AND flux IS NOT NULL)
+SELECT dataset, source_file, object_id, quarter, {rounded('"time", flux')},
+       round(COALESCE(flux_err, COALESCE((SELECT median(flux_err) FROM d), 0.0::DOUBLE)), 6) AS flux_err,
+       round(quality, 6) AS quality
+FROM d"""
+
+SQL["fill_err_median_strict"] = f"""WITH {OBS},
+{clean_ctes()}
+SELECT dataset, source_file, object_id, quarter, {rounded('"time", flux')},
+       round(COALESCE(flux_err, (SELECT median(flux_err) FROM good)), 6) AS flux_err, round(quality, 6) AS quality
+FROM good"""
+
+SQL["fill_err_mean"] = f"""WITH {OBS},
+{clean_ctes()}
+SELECT dataset, source_file, object_id, quarter, {rounded('"time", flux')},
+       round(COALESCE(flux_err, COALESCE((SELECT avg(flux_err) FROM good), 0.0::DOUBLE)), 6) AS flux_err,
+       round(quality, 6) AS quality
+FROM good"""
+
+SQL["global_err_stats"] = f"""WITH {OBS},
+{clean_ctes()}
+SELECT round(avg(flux_err), 6) AS flux_err_mean, count(flux_err) AS flux_err_count,
+       round(median(flux_err), 6) AS flux_err_median FROM good"""
+
+SQL["object_stats"] = f"""WITH {PT_FILLED}
+SELECT object_id, count(flux) AS n_obs, round(avg(flux), 6) AS flux_mean, round(stddev_samp(flux), 6) AS flux_std
+FROM filled GROUP BY object_id"""
+
+SQL["join_stats"] = f"""WITH {PT_FILLED},
+st AS (SELECT object_id, count(flux) AS n_obs, avg(flux) AS flux_mean, stddev_samp(flux) AS flux_std
+       FROM filled GROUP BY object_id)
+SELECT f.object_id, f.quarter, {rounded('f."time", f.flux, f.flux_err').replace('AS f.', 'AS ')}, f.source_file,
+       st.n_obs, {rounded('st.flux_mean, st.flux_std').replace('AS st.', 'AS ')}
+FROM filled f LEFT JOIN st ON f.object_id = st.object_id"""
+
+SQL["zscore"] = f"""WITH {PT_Z}
+SELECT object_id, quarter, "time", flux, round(flux_norm, 6) AS flux_norm FROM z"""
+
+SQL["flag_z"] = f"""WITH {PT_Z}
+SELECT object_id, "time", round(flux_norm, 6) AS flux_norm, abs(flux_norm) > 3.0 AS is_anomaly FROM z"""
+
+SQL["time_bin"] = f"""WITH {OBS},
+{clean_ctes()}
+SELECT object_id, "time", floor("time" / {BIN_W})::BIGINT AS bin_id,
+       floor("time" / {BIN_W})::BIGINT * {BIN_W} AS time_bin FROM clean"""
+
+SQL["rolling_median"] = f"""WITH {PT_Z}
+SELECT object_id, quarter, "time", round(flux_norm, 6) AS flux_norm,
+       round(CASE WHEN count(flux_norm) OVER f >= 3 THEN median(flux_norm) OVER f END, 6) AS rolling_median
+FROM z WINDOW f AS (PARTITION BY object_id ORDER BY quarter, "time", flux
+                    ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING)"""
+
+SQL["rolling_median_filled"] = f"""WITH {PT_TREND}
+SELECT object_id, "time", round(rolling_flux, 6) AS rolling_flux FROM pt"""
+
+SQL["residual"] = f"""WITH {PT_TREND}
+SELECT object_id, "time", round(residual, 6) AS residual FROM pt"""
+
+SQL["residual_outlier"] = f"""WITH {PT_TREND}
+SELECT object_id, "time", round(residual, 6) AS residual, is_anomaly AS residual_outlier FROM pt"""
+
+SQL["rolling_median_blocked"] = f"""WITH {PT_TREND}
+SELECT object_id, "time", round(rolling_flux, 6) AS rolling_flux, round(residual, 6) AS residual,
+       is_anomaly AS residual_outlier FROM pt"""
+
+SQL["bin_anomaly"] = f"""WITH {BIN_PIPE}
+SELECT object_id, quarter, time_bin, anomaly_count > 0 AS raw_flag, is_anomaly FROM bin_out"""
+
+SQL["bin_agg_point"] = f"""WITH {POINT_PIPE}
+SELECT object_id, quarter, time_bin, {rounded("flux_norm, rolling_flux, flux_err")},
+       points_count, anomaly_count, source_files, is_anomaly FROM point_out"""
+
+SQL["bin_agg_bin"] = f"""WITH {BIN_PIPE}
+SELECT object_id, quarter, bin_id * {BIN_W} AS time_bin, {rounded("flux_norm, flux_err")}, points_count,
+       anomaly_count, source_files FROM bb"""
+
+PREP = f"""{OBS},
+p0 AS (SELECT * FROM obs WHERE "time" IS NOT NULL AND flux IS NOT NULL),
+p1 AS (SELECT dataset, source_file, object_id, COALESCE(quarter, -1) AS quarter, "time", flux,
+              COALESCE(flux_err, COALESCE((SELECT median(flux_err) FROM p0), 0.0::DOUBLE)) AS flux_err,
+              COALESCE(quality, 0.0::DOUBLE) AS quality FROM p0),
+p2 AS (SELECT *, COALESCE((flux - avg(flux) OVER o) / NULLIF(stddev_samp(flux) OVER o, 0), 0.0::DOUBLE) AS flux_norm
+       FROM p1 WINDOW o AS (PARTITION BY object_id)),
+prep AS (SELECT *, abs(flux_norm) > 3.0 AS is_anomaly FROM p2)"""
+
+SQL["canonical_order"] = f"""WITH {PREP}
+SELECT object_id, quarter, "time",
+       row_number() OVER (PARTITION BY object_id ORDER BY quarter, "time", flux) AS position FROM prep"""
+
+SQL["prepare_observations"] = f"""WITH {PREP}
+SELECT dataset, source_file, object_id, quarter, "time", flux, round(flux_err, 6) AS flux_err, quality,
+       round(flux_norm, 6) AS flux_norm, is_anomaly FROM prep"""
+
+SQL["run_summary"] = f"""WITH {BOTH_PIPES}
+SELECT 'obs' AS dataset, (SELECT count(*) FROM obs) AS rows_input, (SELECT count(*) FROM good) AS rows_after_cleaning,
+       count(*) AS rows_output, count(DISTINCT object_id) AS objects, count(DISTINCT quarter) AS quarters,
+       COALESCE(sum(is_anomaly::BIGINT), 0)::BIGINT AS anomaly_rows, 'point' AS mode FROM point_out
+UNION ALL
+SELECT 'obs', (SELECT count(*) FROM obs), (SELECT count(*) FROM good), count(*), count(DISTINCT object_id),
+       count(DISTINCT quarter), COALESCE(sum(is_anomaly::BIGINT), 0)::BIGINT, 'bin' FROM bin_out"""

@@ -52,3 +52,215 @@ def q_pipeline_point(spark, sf_dir):
 def q_pipeline_bin(spark, sf_dir):
     out = pipeline.process(obs(spark, sf_dir), DATASET, "bin", QUERY_PARAMS)
     return round_floats(out, skip=("time_bin",))
+
+
+# --- scans, cleaning, projections -----------------------------------------------------------
+from starlit.functions.expr import as_quarter, bin_id as bin_id_expr, bin_time  # noqa: E402
+from starlit.operators import clean, normalize, trend  # noqa: E402
+from starlit.operators.quantile import exact_quantile_value  # noqa: E402
+
+P = QUERY_PARAMS
+
+
+def cleaned(spark, sf_dir):
+    return clean.clean_observations(obs(spark, sf_dir))
+
+
+@register("scan_parquet")
+def q_scan_parquet(spark, sf_dir):
+    ev = adapters.table(spark, sf_dir, "events")
+    return ev.filter(F.col("value") > 50.0).select("event_id", "user_id", "value")
+
+
+@register("coerce_numeric")
+def q_coerce_numeric(spark, sf_dir):
+    raw = adapters.observations_raw(spark, sf_dir)
+    return clean.coerce_numeric(raw).select("object_id", "quarter", "time", "flux", "flux_err", "quality")
+
+
+@register("default_columns")
+def q_default_columns(spark, sf_dir):
+    bare = obs(spark, sf_dir).drop("flux_err", "quality", "quarter", "source_file")
+    return clean.with_defaults(bare).select("object_id", "quarter", "source_file", "time", "flux",
+                                            "flux_err", "quality")
+
+
+@register("normalize_quarter")
+def q_normalize_quarter(spark, sf_dir):
+    # quarter text with gaps: NULL for view events, non-numeric for signups
+    o = obs(spark, sf_dir)
+    q = (F.when(F.col("source_file") == "view", F.lit(None).cast("string"))
+         .when(F.col("source_file") == "signup", F.lit("q?"))
+         .otherwise(F.col("quarter").cast("string")))
+    return o.select("object_id", "time", as_quarter(q).alias("quarter"))
+
+
+@register("drop_invalid")
+def q_drop_invalid(spark, sf_dir):
+    return clean.drop_invalid(obs(spark, sf_dir))
+
+
+@register("fill_quality")
+def q_fill_quality(spark, sf_dir):
+    return clean.fill_quality(obs(spark, sf_dir))
+
+
+@register("good_quality")
+def q_good_quality(spark, sf_dir):
+    return clean.good_quality(cleaned(spark, sf_dir))
+
+
+@register("good_quality_fallback")
+def q_good_quality_fallback(spark, sf_dir):
+    # every flag bad (4) -> nothing passes -> the whole cleaned input is kept
+    bad = obs(spark, sf_dir).withColumn("quality", F.lit(4.0))
+    return clean.good_quality(clean.clean_observations(bad))
+
+
+@register("fill_err_median")
+def q_fill_err_median(spark, sf_dir):
+    df = clean.drop_invalid(clean.coerce_numeric(obs(spark, sf_dir)), ("time", "flux"))
+    return round_floats(clean.fill_flux_err(df, "median_or_zero"))
+
+
+@register("fill_err_median_strict")
+def q_fill_err_median_strict(spark, sf_dir):
+    return round_floats(clean.fill_flux_err(clean.good_quality(cleaned(spark, sf_dir)), "median"))
+
+
+@register("fill_err_mean")
+def q_fill_err_mean(spark, sf_dir):
+    return round_floats(clean.fill_flux_err(clean.good_quality(cleaned(spark, sf_dir)), "mean"))
+
+
+@register("global_err_stats")
+def q_global_err_stats(spark, sf_dir):
+    good = clean.good_quality(cleaned(spark, sf_dir))
+    med = exact_quantile_value(good, "flux_err", 0.5, buckets=16)
+    return round_floats(good.agg(F.avg("flux_err").alias("flux_err_mean"),
+                                 F.count("flux_err").alias("flux_err_count"))
+                        .withColumn("flux_err_median", F.lit(med).cast("double")))
+
+
+def filled_points(spark, sf_dir, mode="point"):
+    return pipeline.cleaned_points(obs(spark, sf_dir), mode).select(
+        "object_id", "quarter", "time", "flux", "flux_err", "source_file")
+
+
+@register("object_stats")
+def q_object_stats(spark, sf_dir):
+    return round_floats(normalize.object_stats(filled_points(spark, sf_dir)))
+
+
+@register("join_stats")
+def q_join_stats(spark, sf_dir):
+    pts = filled_points(spark, sf_dir)
+    return round_floats(normalize.join_stats(pts, normalize.object_stats(pts)))
+
+
+@register("zscore")
+def q_zscore(spark, sf_dir):
+    z = normalize.zscore(filled_points(spark, sf_dir))
+    return round_floats(z.select("object_id", "quarter", "time", "flux", "flux_norm"), skip=("time", "flux"))
+
+
+@register("flag_z")
+def q_flag_z(spark, sf_dir):
+    z = normalize.flag_z(normalize.zscore(filled_points(spark, sf_dir)), P.z_threshold)
+    return round_floats(z.select("object_id", "time", "flux_norm", "is_anomaly"), skip=("time",))
+
+
+@register("time_bin")
+def q_time_bin(spark, sf_dir):
+    c = cleaned(spark, sf_dir)
+    b = c.withColumn("bin_id", bin_id_expr("time", P.bin_width))
+    return b.select("object_id", "time", "bin_id", bin_time("bin_id", P.bin_width).alias("time_bin"))
+
+
+def point_trend(spark, sf_dir, strategy="auto"):
+    pts = filled_points(spark, sf_dir)
+    return trend.add_trend(pts, P, value="flux_norm", order=["quarter", "time", "flux"],
+                           strategy=strategy, with_zscore_of="flux")
+
+
+@register("rolling_median")
+def q_rolling_median(spark, sf_dir):
+    pts = normalize.zscore(filled_points(spark, sf_dir))
+    before, after = trend.frame_bounds(P.window)
+    from pyspark.sql import Window
+    w = Window.partitionBy("object_id").orderBy("quarter", "time", "flux").rowsBetween(-before, after)
+    out = pts.withColumn("rolling_median", F.when(F.count("flux_norm").over(w) >= P.min_periods,
+                                                  F.percentile("flux_norm", 0.5).over(w)))
+    return round_floats(out.select("object_id", "quarter", "time", "flux_norm", "rolling_median"),
+                        skip=("time",))
+
+
+@register("rolling_median_filled")
+def q_rolling_median_filled(spark, sf_dir):
+    return round_floats(point_trend(spark, sf_dir).select("object_id", "time", "rolling_flux"), skip=("time",))
+
+
+@register("residual")
+def q_residual(spark, sf_dir):
+    return round_floats(point_trend(spark, sf_dir).select("object_id", "time", "residual"), skip=("time",))
+
+
+@register("residual_outlier")
+def q_residual_outlier(spark, sf_dir):
+    return round_floats(point_trend(spark, sf_dir).select("object_id", "time", "residual", "residual_outlier"),
+                        skip=("time",))
+
+
+@register("rolling_median_blocked")
+def q_rolling_median_blocked(spark, sf_dir):
+    """Skew-safe strategy (ordinals + halo blocks) with small blocks so every object spans many."""
+    pts = filled_points(spark, sf_dir)
+    small_blocks = Params(bin_width=P.bin_width, block_rows=25)
+    out = trend.add_trend(pts, small_blocks, value="flux_norm", order=["quarter", "time", "flux"],
+                          strategy="blocked", with_zscore_of="flux")
+    return round_floats(out.select("object_id", "time", "rolling_flux", "residual", "residual_outlier"),
+                        skip=("time",))
+
+
+@register("bin_anomaly")
+def q_bin_anomaly(spark, sf_dir):
+    out = pipeline.process(obs(spark, sf_dir), DATASET, "bin", P)
+    return out.select("object_id", "quarter", "time_bin",
+                      (F.col("anomaly_count") > 0).alias("raw_flag"), "is_anomaly")
+
+
+@register("bin_agg_point")
+def q_bin_agg_point(spark, sf_dir):
+    return q_pipeline_point(spark, sf_dir).drop("dataset", "processing_method")
+
+
+@register("bin_agg_bin")
+def q_bin_agg_bin(spark, sf_dir):
+    from starlit.operators.binning import bin_points_bin_mode
+    z = normalize.flag_z(normalize.zscore(filled_points(spark, sf_dir, "bin")), P.z_threshold,
+                         out="is_anomaly_prelim")
+    return round_floats(bin_points_bin_mode(z, P.bin_width).drop("bin_id"), skip=("time_bin",))
+
+
+@register("canonical_order")
+def q_canonical_order(spark, sf_dir):
+    from pyspark.sql import Window
+    prep = pipeline.prepare_observations(obs(spark, sf_dir))
+    w = Window.partitionBy("object_id").orderBy("quarter", "time", "flux")
+    return prep.select("object_id", "quarter", "time", F.row_number().over(w).alias("position"))
+
+
+@register("prepare_observations")
+def q_prepare_observations(spark, sf_dir):
+    prep = pipeline.prepare_observations(obs(spark, sf_dir))
+    return round_floats(prep.select("dataset", "source_file", "object_id", "quarter", "time", "flux",
+                                    "flux_err", "quality", "flux_norm", "is_anomaly"),
+                        skip=("time", "flux", "quality"))
+
+
+@register("run_summary")
+def q_run_summary(spark, sf_dir):
+    o = obs(spark, sf_dir)
+    point = pipeline.run_summary(o, pipeline.process(o, DATASET, "point", P), DATASET, "point")
+    binm = pipeline.run_summary(o, pipeline.process(o, DATASET, "bin", P), DATASET, "bin")
+    return point.withColumn("mode", F.lit("point")).unionByName(binm.withColumn("mode", F.lit("bin")))
