@@ -286,3 +286,92 @@ SELECT 'obs' AS dataset, (SELECT count(*) FROM obs) AS rows_input, (SELECT count
 UNION ALL
 SELECT 'obs', (SELECT count(*) FROM obs), (SELECT count(*) FROM good), count(*), count(DISTINCT object_id),
        count(DISTINCT quarter), COALESCE(sum(is_anomaly::BIGINT), 0)::BIGINT, 'bin' FROM bin_out"""
+
+# --- batch: extracts, sampling, dashboard ---------------------------------------------------
+EX = POINT_PIPE + """,
+ex AS (
+  SELECT dataset, object_id, COALESCE(quarter, -1) AS quarter, time_bin, flux_norm, rolling_flux, flux_err,
+         COALESCE(points_count, 0) AS points_count, COALESCE(anomaly_count, 0) AS anomaly_count,
+         COALESCE(is_anomaly, false) AS is_anomaly, processing_method
+  FROM point_out WHERE time_bin IS NOT NULL AND flux_norm IS NOT NULL),
+pos AS (
+  SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY time_bin, quarter) - 1 AS _r,
+         count(*) OVER (PARTITION BY object_id) AS _n FROM ex)"""
+EX_COLS = ("dataset, object_id, quarter, time_bin, " + rounded("flux_norm, rolling_flux, flux_err")
+           + ", points_count, anomaly_count, is_anomaly, processing_method")
+
+
+def even_keep_sql(r: str, n: str, k: str) -> str:
+    step = f"(({n} - 1)::DOUBLE / greatest({k} - 1, 1)::DOUBLE)"
+    i0 = f"floor({r}::DOUBLE / {step})"
+
+    def hit(i):
+        return f"(({i}) <= {k} - 2 AND floor(({i})::DOUBLE * {step}) = {r})"
+
+    return (f"({n} <= {k} OR ({k} = 1 AND {r} = 0) OR ({k} >= 2 AND ({r} = {n} - 1 OR {hit(i0)} "
+            f"OR {hit(i0 + ' + 1')})))")
+
+
+BY_OBJECT_LIMIT = "greatest(20, floor(2000 / greatest((SELECT count(DISTINCT object_id) FROM ex), 1)))"
+BY_OBJECT_KEEP = f"((SELECT count(*) FROM ex) <= 2000 OR {even_keep_sql('_r', '_n', BY_OBJECT_LIMIT)})"
+
+SQL["extract_project"] = f"WITH {EX}\nSELECT {EX_COLS} FROM ex"
+SQL["dashboard_extract"] = f"WITH {EX}\nSELECT {EX_COLS} FROM pos WHERE {BY_OBJECT_KEEP}"
+SQL["downsample_by_object"] = f"WITH {EX}\nSELECT object_id, quarter, time_bin FROM pos WHERE {BY_OBJECT_KEEP}"
+SQL["even_downsample"] = f"WITH {EX}\nSELECT object_id, quarter, time_bin FROM pos WHERE {even_keep_sql('_r', '_n', '7')}"
+
+SQL["extract_metadata"] = f"""WITH {EX},
+ds AS (SELECT * FROM pos WHERE {BY_OBJECT_KEEP})
+SELECT 'obs' AS dataset, 'spark' AS processing_method, 'dash' AS visualization_method,
+       'interactive_web_dashboard' AS visualization_type, (SELECT count(*) FROM ex) AS rows_before_downsample,
+       count(*) AS rows_saved_for_dashboard, COALESCE(sum(is_anomaly::BIGINT), 0)::BIGINT AS anomaly_rows,
+       min(time_bin) AS min_time, max(time_bin) AS max_time, count(DISTINCT object_id) AS n_objects,
+       array_to_string(list_sort(list_distinct(list(quarter))), ',') AS quarters
+FROM ds"""
+
+SQL["object_series"] = f"""WITH {EX}
+SELECT {EX_COLS} FROM ex WHERE object_id = (SELECT min(object_id) FROM ex)"""
+
+SQL["time_range_subset"] = f"""WITH {EX}
+SELECT object_id, quarter, time_bin FROM ex WHERE time_bin BETWEEN 5.0 AND 20.0"""
+
+SQL["anomaly_points"] = f"""WITH {EX}
+SELECT object_id, time_bin, round(flux_norm, 6) AS flux_norm FROM ex WHERE is_anomaly"""
+
+SQL["time_extent"] = f"""WITH {EX}
+SELECT object_id, round(min(time_bin), 6) AS min_time, round(max(time_bin), 6) AS max_time,
+       round(greatest((max(time_bin) - min(time_bin)) / 1000.0, 0.001), 6) AS step
+FROM ex GROUP BY object_id"""
+
+SQL["object_list"] = f"""WITH {EX}
+SELECT DISTINCT object_id, object_id = (SELECT min(object_id) FROM ex) AS is_default FROM ex"""
+
+SQL["object_preview"] = f"""WITH {EX}
+SELECT array_to_string(list_sort(list(object_id)), ', ') AS object_preview
+FROM (SELECT DISTINCT object_id FROM ex ORDER BY object_id LIMIT 5)"""
+
+SQL["quarters_text"] = f"""WITH {EX}
+SELECT object_id,
+       COALESCE(array_to_string(list_sort(list_distinct(list(quarter) FILTER (WHERE quarter >= 0))), ', '),
+                'unknown') AS quarters
+FROM ex GROUP BY object_id"""
+
+SQL["top_object"] = f"""WITH {POINT_PIPE}
+SELECT object_id, count(*) AS rows FROM point_out GROUP BY object_id ORDER BY rows DESC, object_id LIMIT 1"""
+
+SQL["chart_series"] = f"""WITH {POINT_PIPE},
+top AS (SELECT object_id FROM point_out GROUP BY object_id ORDER BY count(*) DESC, object_id LIMIT 1),
+s AS (SELECT p.*, row_number() OVER (ORDER BY time_bin, quarter) - 1 AS _r, count(*) OVER () AS _n
+      FROM point_out p WHERE object_id IN (SELECT object_id FROM top)),
+k AS (SELECT * FROM s WHERE {even_keep_sql('_r', '_n', '20')})
+SELECT object_id, 'flux' AS series, time_bin AS x, round(flux_norm, 6) AS y FROM k
+UNION ALL SELECT object_id, 'trend', time_bin, round(rolling_flux, 6) FROM k
+UNION ALL SELECT object_id, 'anomaly', time_bin, round(flux_norm, 6) FROM k WHERE is_anomaly"""
+
+SQL["dashboard_summary"] = f"""WITH {EX}
+SELECT object_id, count(*) AS rows_in_range, count(*) AS rows_plotted,
+       COALESCE(array_to_string(list_sort(list_distinct(list(quarter) FILTER (WHERE quarter >= 0))), ', '),
+                'unknown') AS quarters,
+       sum(is_anomaly::BIGINT)::BIGINT AS anomaly_rows_plotted, round(avg(flux_norm), 6) AS mean_flux_norm,
+       round(stddev_samp(flux_norm), 6) AS std_flux_norm, mode(processing_method) AS processing_method
+FROM ex GROUP BY object_id"""

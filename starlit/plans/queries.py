@@ -264,3 +264,109 @@ def q_run_summary(spark, sf_dir):
     point = pipeline.run_summary(o, pipeline.process(o, DATASET, "point", P), DATASET, "point")
     binm = pipeline.run_summary(o, pipeline.process(o, DATASET, "bin", P), DATASET, "bin")
     return point.withColumn("mode", F.lit("point")).unionByName(binm.withColumn("mode", F.lit("bin")))
+
+
+# --- extracts, sampling, dashboard --------------------------------------------------------
+from starlit.operators import extract, sample  # noqa: E402
+
+
+def processed(spark, sf_dir):
+    """The point-mode processed series the extract steps read."""
+    return pipeline.process(obs(spark, sf_dir), DATASET, "point", P)
+
+
+@register("extract_project")
+def q_extract_project(spark, sf_dir):
+    return round_floats(extract.extract_project(processed(spark, sf_dir)), skip=("time_bin",))
+
+
+@register("dashboard_extract")
+def q_dashboard_extract(spark, sf_dir):
+    ex = extract.dashboard_extract(processed(spark, sf_dir), max_points=2000, min_per_object=20)
+    return round_floats(ex, skip=("time_bin",))
+
+
+@register("downsample_by_object")
+def q_downsample_by_object(spark, sf_dir):
+    ds = sample.downsample_by_object(extract.extract_project(processed(spark, sf_dir)), 2000, 20)
+    return ds.select("object_id", "quarter", "time_bin")
+
+
+@register("even_downsample")
+def q_even_downsample(spark, sf_dir):
+    ds = sample.even_downsample(extract.extract_project(processed(spark, sf_dir)), 7)
+    return ds.select("object_id", "quarter", "time_bin")
+
+
+@register("random_downsample")
+def q_random_downsample(spark, sf_dir):
+    ds = sample.random_downsample(extract.extract_project(processed(spark, sf_dir)), 7)
+    return ds.select("object_id", "quarter", "time_bin")
+
+
+@register("extract_metadata")
+def q_extract_metadata(spark, sf_dir):
+    before = extract.extract_project(processed(spark, sf_dir))
+    ex = sample.downsample_by_object(before, 2000, 20)
+    meta = extract.extract_metadata(before, ex, DATASET, "spark")
+    return meta.select("dataset", "processing_method", "visualization_method", "visualization_type",
+                       "rows_before_downsample", "rows_saved_for_dashboard", "anomaly_rows",
+                       "min_time", "max_time", F.size("objects").cast("long").alias("n_objects"),
+                       F.array_join(F.transform("quarters", lambda q: q.cast("string")), ",").alias("quarters"))
+
+
+@register("object_series")
+def q_object_series(spark, sf_dir):
+    ex = extract.extract_project(processed(spark, sf_dir))
+    first = extract.object_list(ex).filter(F.col("is_default")).select("object_id")
+    return round_floats(ex.join(first, "object_id", "left_semi"), skip=("time_bin",))
+
+
+@register("time_range_subset")
+def q_time_range_subset(spark, sf_dir):
+    ex = extract.extract_project(processed(spark, sf_dir))
+    return extract.time_range(ex, 5.0, 20.0).select("object_id", "quarter", "time_bin")
+
+
+@register("anomaly_points")
+def q_anomaly_points(spark, sf_dir):
+    ex = extract.extract_project(processed(spark, sf_dir))
+    return round_floats(ex.filter(F.col("is_anomaly")).select("object_id", "time_bin", "flux_norm"),
+                        skip=("time_bin",))
+
+
+@register("time_extent")
+def q_time_extent(spark, sf_dir):
+    return round_floats(extract.time_extent(extract.extract_project(processed(spark, sf_dir))))
+
+
+@register("object_list")
+def q_object_list(spark, sf_dir):
+    return extract.object_list(extract.extract_project(processed(spark, sf_dir)))
+
+
+@register("object_preview")
+def q_object_preview(spark, sf_dir):
+    return extract.object_preview(extract.extract_project(processed(spark, sf_dir)))
+
+
+@register("quarters_text")
+def q_quarters_text(spark, sf_dir):
+    ex = extract.extract_project(processed(spark, sf_dir))
+    return ex.groupBy("object_id").agg(extract.quarters_text(F.col("quarter")).alias("quarters"))
+
+
+@register("top_object")
+def q_top_object(spark, sf_dir):
+    return extract.top_object(processed(spark, sf_dir))
+
+
+@register("chart_series")
+def q_chart_series(spark, sf_dir):
+    return round_floats(extract.chart_series(processed(spark, sf_dir), 20), skip=("x",))
+
+
+@register("dashboard_summary")
+def q_dashboard_summary(spark, sf_dir):
+    ex = extract.extract_project(processed(spark, sf_dir))
+    return round_floats(extract.dashboard_summary(ex, max_points=5000))
