@@ -85,3 +85,15 @@ def fixed(c, digits: int, missing: str = "no data") -> Column:
 def thousands(c) -> Column:
     """Integer with thousands separators ('12,345')."""
     return F.format_number(col_of(c), 0)
+
+
+def round_scaled(c, digits: int) -> Column:
+    """round(c, digits) as round(c * 10^digits) / 10^digits, half away from zero.
+
+    Spark's own round on doubles rounds the decimal text of the value, so
+    0.2522155 (stored as 0.25221549999...) becomes 0.252216; scaling first keeps
+    such values on the side their binary value lies on, the same rule SQL
+    engines such as DuckDB apply.
+    """
+    scale = F.lit(float(10 ** digits))
+    return F.round(col_of(c) * scale, 0) / scale

@@ -375,3 +375,176 @@ SELECT object_id, count(*) AS rows_in_range, count(*) AS rows_plotted,
        sum(is_anomaly::BIGINT)::BIGINT AS anomaly_rows_plotted, round(avg(flux_norm), 6) AS mean_flux_norm,
        round(stddev_samp(flux_norm), 6) AS std_flux_norm, mode(processing_method) AS processing_method
 FROM ex GROUP BY object_id"""
+
+# --- batch: run logs and analytics -------------------------------------------------------------
+SPLIT = """CASE WHEN {p} IS NULL THEN '' WHEN len(string_split({p}, '+')) = 2
+                THEN lower(trim(string_split({p}, '+')[1], ' \t\n\r'))
+                ELSE lower(trim({p}, ' \t\n\r')) END"""
+SPLIT2 = """CASE WHEN {p} IS NULL THEN '' WHEN len(string_split({p}, '+')) = 2
+                 THEN lower(trim(string_split({p}, '+')[2], ' \t\n\r')) ELSE '' END"""
+CLEAN_LOG = RUN_METRICS + f""",
+withm AS (
+  SELECT lower(dataset) AS dataset, pair, processing_time_sec, visualization_time_sec, total_time_sec,
+         processing_memory_peak_mb, lower(status) AS status,
+         {SPLIT.format(p='pair')} AS processing_method, {SPLIT2.format(p='pair')} AS visualization_method
+  FROM run_metrics),
+cl AS (SELECT * FROM withm WHERE status = 'success' AND total_time_sec IS NOT NULL)"""
+
+BEST_COLS = "dataset, pair, processing_time_sec, visualization_time_sec, total_time_sec, processing_memory_peak_mb"
+BEST_M_COLS = ("dataset, processing_method, visualization_method, pair, processing_time_sec, "
+               "visualization_time_sec, total_time_sec, processing_memory_peak_mb")
+
+SQL["split_pair"] = f"""WITH {RUN_METRICS},
+v AS (SELECT CASE (processing_memory_peak_mb::BIGINT % 4) WHEN 0 THEN pair WHEN 1 THEN pair || ' +x'
+                  WHEN 2 THEN NULL ELSE upper(pair) || ' +' END AS pair FROM run_metrics)
+SELECT pair, {SPLIT.format(p='pair')} AS processing_method, {SPLIT2.format(p='pair')} AS visualization_method FROM v"""
+
+SQL["successful_runs"] = f"""WITH {RUN_METRICS}
+SELECT * FROM run_metrics WHERE lower(status) = 'success' AND total_time_sec IS NOT NULL"""
+
+SQL["clean_run_log"] = f"WITH {CLEAN_LOG}\nSELECT * FROM cl"
+
+SQL["custom_order"] = f"""WITH {CLEAN_LOG}
+SELECT dataset, pair, total_time_sec,
+       CASE dataset WHEN 'small' THEN 0 WHEN 'medium' THEN 1 WHEN 'large' THEN 2 ELSE 99 END AS dataset_order,
+       CASE processing_method WHEN 'pandas' THEN 0 WHEN 'dask' THEN 1 WHEN 'spark' THEN 2 ELSE 99 END AS method_order,
+       CASE visualization_method WHEN 'matplotlib' THEN 0 WHEN 'plotly' THEN 1 WHEN 'dash' THEN 2 ELSE 99 END
+         AS viz_order
+FROM cl"""
+
+SQL["best_pair_by_dataset"] = f"""WITH {CLEAN_LOG}
+SELECT {BEST_COLS} FROM (
+  SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY total_time_sec, pair, processing_time_sec,
+                               visualization_time_sec, processing_memory_peak_mb) AS rn FROM cl)
+WHERE rn = 1"""
+
+SQL["best_pair_by_method"] = f"""WITH {CLEAN_LOG}
+SELECT {BEST_M_COLS} FROM (
+  SELECT *, row_number() OVER (PARTITION BY dataset, processing_method ORDER BY total_time_sec,
+                               visualization_method, pair, processing_time_sec, visualization_time_sec,
+                               processing_memory_peak_mb) AS rn FROM cl)
+WHERE rn = 1"""
+
+PROC_SUMMARY = """SELECT dataset, processing_method, avg(processing_time_sec) AS mean_processing_time_sec,
+       min(processing_time_sec) AS min_processing_time_sec, avg(total_time_sec) AS mean_total_time_sec,
+       min(total_time_sec) AS min_total_time_sec, avg(processing_memory_peak_mb) AS mean_memory_peak_mb
+FROM cl GROUP BY dataset, processing_method"""
+
+SQL["processing_summary"] = f"""WITH {CLEAN_LOG}, ps AS ({PROC_SUMMARY})
+SELECT dataset, processing_method, {rounded("mean_processing_time_sec, min_processing_time_sec, mean_total_time_sec, min_total_time_sec, mean_memory_peak_mb")}
+FROM ps"""
+
+SQL["visualization_summary"] = f"""WITH {CLEAN_LOG}
+SELECT dataset, visualization_method, round(avg(visualization_time_sec), 6) AS mean_visualization_time_sec,
+       round(min(visualization_time_sec), 6) AS min_visualization_time_sec,
+       round(avg(total_time_sec), 6) AS mean_total_time_sec, round(min(total_time_sec), 6) AS min_total_time_sec
+FROM cl GROUP BY dataset, visualization_method"""
+
+RANKING = """ranking AS (
+  SELECT *, row_number() OVER (ORDER BY mean_total_time_sec, pair, processing_method, visualization_method) AS rank
+  FROM (SELECT pair, processing_method, visualization_method, avg(total_time_sec) AS mean_total_time_sec,
+               max(total_time_sec) AS max_total_time_sec, avg(processing_time_sec) AS mean_processing_time_sec,
+               avg(visualization_time_sec) AS mean_visualization_time_sec,
+               avg(processing_memory_peak_mb) AS mean_memory_peak_mb
+        FROM cl GROUP BY pair, processing_method, visualization_method))"""
+
+SQL["pair_ranking"] = f"""WITH {CLEAN_LOG}, {RANKING}
+SELECT pair, processing_method, visualization_method,
+       {rounded("mean_total_time_sec, max_total_time_sec, mean_processing_time_sec, mean_visualization_time_sec, mean_memory_peak_mb")},
+       rank FROM ranking"""
+
+FASTEST = """fastest AS (
+  SELECT * EXCLUDE (rn) FROM (
+    SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY mean_processing_time_sec, processing_method,
+                                 min_processing_time_sec, mean_total_time_sec, min_total_time_sec,
+                                 mean_memory_peak_mb) AS rn FROM ps) WHERE rn = 1)"""
+
+SQL["fastest_method"] = f"""WITH {CLEAN_LOG}, ps AS ({PROC_SUMMARY}), {FASTEST}
+SELECT dataset, processing_method, {rounded("mean_processing_time_sec, min_processing_time_sec, mean_total_time_sec, min_total_time_sec, mean_memory_peak_mb")}
+FROM fastest"""
+
+SQL["avg_total_by_method"] = f"""WITH {CLEAN_LOG}
+SELECT processing_method, round(avg(total_time_sec), 6) AS mean_total_time_sec FROM cl GROUP BY processing_method"""
+SQL["avg_memory_by_method"] = f"""WITH {CLEAN_LOG}
+SELECT processing_method, round(avg(processing_memory_peak_mb), 6) AS mean_memory_peak_mb FROM cl
+GROUP BY processing_method"""
+SQL["avg_viz_by_method"] = f"""WITH {CLEAN_LOG}
+SELECT visualization_method, round(avg(visualization_time_sec), 6) AS mean_visualization_time_sec FROM cl
+GROUP BY visualization_method"""
+
+SQL["chart_labels"] = f"""WITH {CLEAN_LOG}
+SELECT dataset, pair, total_time_sec, dataset || ' | ' || pair AS label FROM cl"""
+
+SQL["report_lines"] = f"""WITH {CLEAN_LOG}, ps AS ({PROC_SUMMARY}), {FASTEST}, {RANKING},
+best AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY total_time_sec, pair,
+                 processing_time_sec, visualization_time_sec, processing_memory_peak_mb) AS rn FROM cl) WHERE rn = 1),
+lines AS (
+  SELECT 'best_pair' AS section, dataset AS subject, pair AS detail, total_time_sec AS seconds,
+         processing_memory_peak_mb AS memory_mb, dataset AS _sort, 0.0 AS _num FROM best
+  UNION ALL
+  SELECT 'overall_best', pair, '', mean_total_time_sec, mean_memory_peak_mb, pair, 0.0 FROM ranking WHERE rank = 1
+  UNION ALL
+  SELECT 'fastest_processing', dataset, processing_method, mean_processing_time_sec, NULL::DOUBLE, dataset, 0.0
+  FROM fastest
+  UNION ALL
+  SELECT 'visualization', visualization_method, '', m, NULL::DOUBLE, visualization_method, m
+  FROM (SELECT visualization_method, avg(visualization_time_sec) AS m FROM cl GROUP BY visualization_method))
+SELECT section, subject, detail, round(seconds, 6) AS seconds, round(memory_mb, 6) AS memory_mb,
+       row_number() OVER (PARTITION BY section ORDER BY _num, _sort) AS ord
+FROM lines"""
+
+SQL["combine_run_logs"] = f"""WITH {RUN_METRICS},
+withm AS (
+  SELECT lower(dataset) AS dataset, pair, processing_time_sec, visualization_time_sec, total_time_sec,
+         processing_memory_peak_mb, lower(status) AS status,
+         {SPLIT.format(p='pair')} AS processing_method, {SPLIT2.format(p='pair')} AS visualization_method
+  FROM run_metrics)
+SELECT * FROM withm WHERE processing_method IN ('m1', 'm2')
+UNION ALL BY NAME
+SELECT * EXCLUDE (processing_memory_peak_mb) FROM withm WHERE processing_method IN ('m3', 'm4')
+UNION ALL BY NAME
+SELECT * EXCLUDE (visualization_time_sec) FROM withm WHERE processing_method NOT IN ('m1', 'm2', 'm3', 'm4')"""
+
+SQL["mode_method"] = f"""WITH {CLEAN_LOG},
+c AS (SELECT dataset, processing_method, count(*) AS n FROM withm WHERE processing_method IS NOT NULL
+      GROUP BY dataset, processing_method)
+SELECT dataset, processing_method FROM (
+  SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY n DESC, processing_method) AS rn FROM c) WHERE rn = 1"""
+
+SQL["assemble_run_log"] = """WITH
+p AS (
+  SELECT l_returnflag AS dataset, 'm' || l_linenumber::VARCHAR AS processing_method,
+         max(l_linenumber) <> 6 AS input_exists, round(sum(l_extendedprice) / 1.0e7, 6) AS processing_time_sec,
+         max(l_quantity) AS processing_memory_peak_mb,
+         CASE WHEN max(l_linenumber) = 7 THEN 'error' ELSE 'success' END AS status,
+         CASE WHEN max(l_linenumber) = 7 THEN 'processing failed' END AS error
+  FROM lineitem GROUP BY ALL),
+v AS (
+  SELECT l_returnflag AS dataset, 'm' || l_linenumber::VARCHAR AS processing_method,
+         (['matplotlib', 'plotly', 'dash'])[(l_suppkey % 3)::INT + 1] AS visualization_method,
+         round(avg(l_discount), 6) AS visualization_time_sec, max(l_tax) AS visualization_memory_peak_mb,
+         CASE WHEN min(l_quantity) <= 1.0 THEN 'error' ELSE 'success' END AS status,
+         CASE WHEN min(l_quantity) <= 1.0 THEN 'visualization failed' END AS error
+  FROM lineitem GROUP BY ALL),
+j AS (
+  SELECT p.dataset, p.processing_method, p.input_exists AND p.status = 'success' AS ok, NOT p.input_exists AS missing,
+         p.processing_time_sec AS pt, p.processing_memory_peak_mb AS pm, p.error AS perr,
+         v.visualization_method AS vm, v.visualization_time_sec, v.visualization_memory_peak_mb,
+         v.status AS vstatus, v.error AS verr
+  FROM p LEFT JOIN v ON p.dataset = v.dataset AND p.processing_method = v.processing_method
+                      AND p.input_exists AND p.status = 'success'),
+k AS (SELECT *, CASE WHEN ok AND vm IS NOT NULL THEN vm ELSE '' END AS viz FROM j)
+SELECT dataset, processing_method, viz AS visualization_method,
+       processing_method || ' +' || CASE WHEN viz <> '' THEN ' ' || viz ELSE '' END AS pair,
+       round(CASE WHEN missing THEN NULL ELSE pt END, 6) AS processing_time_sec,
+       round(CASE WHEN missing THEN NULL ELSE pm END, 6) AS processing_memory_peak_mb,
+       round(visualization_time_sec, 6) AS visualization_time_sec,
+       round(visualization_memory_peak_mb, 6) AS visualization_memory_peak_mb,
+       round(CASE WHEN ok THEN round(pt + visualization_time_sec, 6) WHEN missing THEN NULL ELSE pt END, 6)
+         AS total_time_sec,
+       CASE WHEN ok AND vstatus = 'success' THEN 'success' ELSE 'error' END AS status,
+       CASE WHEN ok THEN verr ELSE perr END AS error
+FROM k"""
+
+SQL["scan_run_metrics"] = f"WITH {RUN_METRICS}\nSELECT * FROM run_metrics"

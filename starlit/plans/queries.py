@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from starlit.functions.expr import round_scaled
 from starlit.plans import pipeline
 from starlit.schema import Params
 from starlit.sources import adapters
@@ -33,7 +34,8 @@ def register(name: str):
 
 
 def round_floats(df: DataFrame, digits: int = 6, skip=()) -> DataFrame:
-    cols = {f.name: F.round(F.col(f.name), digits) for f in df.schema.fields
+    from starlit.functions.expr import round_scaled
+    cols = {f.name: round_scaled(F.col(f.name), digits) for f in df.schema.fields
             if isinstance(f.dataType, (T.DoubleType, T.FloatType)) and f.name not in skip}
     return df.withColumns(cols) if cols else df
 
@@ -370,3 +372,168 @@ def q_chart_series(spark, sf_dir):
 def q_dashboard_summary(spark, sf_dir):
     ex = extract.extract_project(processed(spark, sf_dir))
     return round_floats(extract.dashboard_summary(ex, max_points=5000))
+
+
+# --- run logs and analytics ------------------------------------------------------------------
+from starlit.operators import analysis, runlog  # noqa: E402
+
+
+def metrics(spark, sf_dir):
+    return adapters.run_metrics(spark, sf_dir)
+
+
+def clean_log(spark, sf_dir):
+    return runlog.clean_run_log(metrics(spark, sf_dir))
+
+
+@register("split_pair")
+def q_split_pair(spark, sf_dir):
+    m = metrics(spark, sf_dir)
+    q = (F.col("processing_memory_peak_mb").cast("long") % 4)
+    variant = (F.when(q == 0, F.col("pair"))
+               .when(q == 1, F.concat(F.col("pair"), F.lit(" +x")))
+               .when(q == 2, F.lit(None).cast("string"))
+               .otherwise(F.concat(F.upper(F.col("pair")), F.lit(" +"))))
+    from starlit.functions.expr import split_pair
+    proc, viz = split_pair(variant)
+    return m.select(variant.alias("pair"), proc.alias("processing_method"), viz.alias("visualization_method"))
+
+
+@register("successful_runs")
+def q_successful_runs(spark, sf_dir):
+    return runlog.successful_runs(metrics(spark, sf_dir))
+
+
+@register("clean_run_log")
+def q_clean_run_log(spark, sf_dir):
+    return clean_log(spark, sf_dir)
+
+
+@register("custom_order")
+def q_custom_order(spark, sf_dir):
+    return runlog.with_order(clean_log(spark, sf_dir)).select(
+        "dataset", "pair", "total_time_sec", "dataset_order", "method_order", "viz_order")
+
+
+@register("best_pair_by_dataset")
+def q_best_pair_by_dataset(spark, sf_dir):
+    return analysis.best_pair_by_dataset(clean_log(spark, sf_dir))
+
+
+@register("best_pair_by_method")
+def q_best_pair_by_method(spark, sf_dir):
+    return analysis.best_pair_by_method(clean_log(spark, sf_dir))
+
+
+@register("processing_summary")
+def q_processing_summary(spark, sf_dir):
+    return round_floats(analysis.processing_summary(clean_log(spark, sf_dir)))
+
+
+@register("visualization_summary")
+def q_visualization_summary(spark, sf_dir):
+    return round_floats(analysis.visualization_summary(clean_log(spark, sf_dir)))
+
+
+@register("pair_ranking")
+def q_pair_ranking(spark, sf_dir):
+    return round_floats(analysis.pair_ranking(clean_log(spark, sf_dir)))
+
+
+@register("fastest_method")
+def q_fastest_method(spark, sf_dir):
+    return round_floats(analysis.fastest_method(clean_log(spark, sf_dir)))
+
+
+@register("avg_total_by_method")
+def q_avg_total_by_method(spark, sf_dir):
+    return round_floats(analysis.mean_by(clean_log(spark, sf_dir), "processing_method", "total_time_sec",
+                                         "mean_total_time_sec"))
+
+
+@register("avg_memory_by_method")
+def q_avg_memory_by_method(spark, sf_dir):
+    return round_floats(analysis.mean_by(clean_log(spark, sf_dir), "processing_method",
+                                         "processing_memory_peak_mb", "mean_memory_peak_mb"))
+
+
+@register("avg_viz_by_method")
+def q_avg_viz_by_method(spark, sf_dir):
+    return round_floats(analysis.mean_by(clean_log(spark, sf_dir), "visualization_method",
+                                         "visualization_time_sec", "mean_visualization_time_sec"))
+
+
+@register("chart_labels")
+def q_chart_labels(spark, sf_dir):
+    return analysis.chart_labels(clean_log(spark, sf_dir)).select("dataset", "pair", "total_time_sec", "label")
+
+
+@register("report_lines")
+def q_report_lines(spark, sf_dir):
+    return round_floats(analysis.report_lines(clean_log(spark, sf_dir)))
+
+
+@register("format_metrics")
+def q_format_metrics(spark, sf_dir):
+    return analysis.format_report(analysis.report_lines(clean_log(spark, sf_dir)))
+
+
+@register("mode_method")
+def q_mode_method(spark, sf_dir):
+    from starlit.operators.extract import mode_value
+    return runlog.with_methods(metrics(spark, sf_dir)).groupBy("dataset").agg(
+        mode_value(F.col("processing_method")).alias("processing_method"))
+
+
+def three_logs(spark, sf_dir):
+    m = runlog.with_methods(metrics(spark, sf_dir))
+    first = m.filter(F.col("processing_method").isin("m1", "m2"))
+    second = m.filter(F.col("processing_method").isin("m3", "m4")).drop("processing_memory_peak_mb")
+    third = m.filter(~F.col("processing_method").isin("m1", "m2", "m3", "m4")).drop("visualization_time_sec")
+    return [first, second, third]
+
+
+@register("combine_run_logs")
+def q_combine_run_logs(spark, sf_dir):
+    return runlog.combine_run_logs(three_logs(spark, sf_dir))
+
+
+def processing_runs(spark, sf_dir):
+    li = adapters.table(spark, sf_dir, "lineitem")
+    return li.groupBy(F.col("l_returnflag").alias("dataset"),
+                      F.concat(F.lit("m"), F.col("l_linenumber").cast("string")).alias("processing_method")).agg(
+        (F.max("l_linenumber") != 6).alias("input_exists"),
+        round_scaled(F.sum("l_extendedprice") / F.lit(1.0e7), 6).alias("processing_time_sec"),
+        F.max("l_quantity").alias("processing_memory_peak_mb"),
+        F.when(F.max("l_linenumber") == 7, F.lit("error")).otherwise(F.lit("success")).alias("status"),
+        F.when(F.max("l_linenumber") == 7, F.lit("processing failed")).alias("error"),
+    )
+
+
+def visualization_runs(spark, sf_dir):
+    li = adapters.table(spark, sf_dir, "lineitem")
+    vizs = F.array(F.lit("matplotlib"), F.lit("plotly"), F.lit("dash"))
+    return li.groupBy(F.col("l_returnflag").alias("dataset"),
+                      F.concat(F.lit("m"), F.col("l_linenumber").cast("string")).alias("processing_method"),
+                      F.element_at(vizs, (F.col("l_suppkey") % 3).cast("int") + 1).alias("visualization_method")
+                      ).agg(
+        round_scaled(F.avg("l_discount"), 6).alias("visualization_time_sec"),
+        F.max("l_tax").alias("visualization_memory_peak_mb"),
+        F.when(F.min("l_quantity") <= 1.0, F.lit("error")).otherwise(F.lit("success")).alias("status"),
+        F.when(F.min("l_quantity") <= 1.0, F.lit("visualization failed")).alias("error"),
+    )
+
+
+@register("assemble_run_log")
+def q_assemble_run_log(spark, sf_dir):
+    return round_floats(runlog.assemble_run_log(processing_runs(spark, sf_dir), visualization_runs(spark, sf_dir)))
+
+
+@register("scan_run_metrics")
+def q_scan_run_metrics(spark, sf_dir):
+    import uuid
+    from starlit.session import scratch_path
+    path = scratch_path(spark, f"run_metrics_csv/{uuid.uuid4().hex}")
+    metrics(spark, sf_dir).write.option("header", True).csv(path)
+    df = runlog.read_run_metrics_csv(spark, path)
+    return df.withColumns({c: F.col(c).try_cast("double") for c in runlog.METRIC_NUMBERS})

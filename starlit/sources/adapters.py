@@ -13,6 +13,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from starlit.functions.expr import round_scaled
+
 # Fixed values of the adapters (must match the oracle SQL):
 #   epoch 2024-01-01 00:00:00 (1704067200000000 microseconds), 86400000000 microseconds per day,
 #   10-day quarters numbered from 1, dataset names small / medium / large by user_id % 3,
@@ -88,7 +90,7 @@ def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
                  F.lower(F.col("l_linestatus"))).alias("pair"),
         proc.alias("processing_time_sec"),
         viz.alias("visualization_time_sec"),
-        F.round(proc + viz, 6).alias("total_time_sec"),
+        round_scaled(proc + viz, 6).alias("total_time_sec"),
         F.col("l_quantity").alias("processing_memory_peak_mb"),
         F.when(F.col("l_tax") >= 0.07, F.lit("ERROR")).otherwise(F.lit("Success")).alias("status"),
     )
