@@ -537,3 +537,169 @@ def q_scan_run_metrics(spark, sf_dir):
     metrics(spark, sf_dir).write.option("header", True).csv(path)
     df = runlog.read_run_metrics_csv(spark, path)
     return df.withColumns({c: F.col(c).try_cast("double") for c in runlog.METRIC_NUMBERS})
+
+
+# --- ephemeris ---------------------------------------------------------------------------------------
+from starlit.operators import ephemeris as eph  # noqa: E402
+
+
+def obs_with_ephemeris(spark, sf_dir):
+    return eph.join_ephemeris(cleaned(spark, sf_dir), adapters.ephemeris(spark, sf_dir))
+
+
+@register("join_ephemeris")
+def q_join_ephemeris(spark, sf_dir):
+    return obs_with_ephemeris(spark, sf_dir).select("object_id", "time", "flux", "period", "depth", "duration",
+                                                    "base_flux")
+
+
+@register("phase_fold")
+def q_phase_fold(spark, sf_dir):
+    return round_floats(eph.fold(obs_with_ephemeris(spark, sf_dir)).select("object_id", "time", "phase"),
+                        skip=("time",))
+
+
+@register("transit_flag")
+def q_transit_flag(spark, sf_dir):
+    return eph.fold(obs_with_ephemeris(spark, sf_dir)).select("object_id", "time", "in_transit")
+
+
+@register("model_residual")
+def q_model_residual(spark, sf_dir):
+    out = eph.fold(obs_with_ephemeris(spark, sf_dir))
+    return round_floats(out.select("object_id", "time", "model_flux", "model_residual"), skip=("time",))
+
+
+@register("quarter_from_time")
+def q_quarter_from_time(spark, sf_dir):
+    c = cleaned(spark, sf_dir).withColumn("t", F.col("time") * F.lit(30.0))
+    return c.select("object_id", "t", eph.quarter_from_time("t").alias("quarter"))
+
+
+# --- sources and sinks ------------------------------------------------------------------------------------
+from starlit.sources import fits, tables  # noqa: E402
+
+
+def _encode_group(pdf):
+    """One observation group (dataset, object, quarter) -> one light-curve file, varied by object."""
+    import numpy as np
+    import pandas as pd
+
+    pdf = pdf.sort_values("time", na_position="last")
+    oid = str(pdf["object_id"].iloc[0])
+    quarter = int(pdf["quarter"].iloc[0])
+    u = int(oid)
+    variant = u % 4
+    name = f"kplr{u:09d}-q{quarter}_llc.fits"
+    time = pdf["time"].to_numpy(dtype="float64", na_value=np.nan)
+    flux = pdf["flux"].to_numpy(dtype="float64", na_value=np.nan)
+    err = pdf["flux_err"].to_numpy(dtype="float64", na_value=np.nan)
+    qual = pdf["quality"].to_numpy(dtype="float64", na_value=np.nan)
+    qual_int = np.where(np.isnan(qual), -999, qual).astype("int32")
+    primary, table = {}, {"TNULL4": -999}
+    if variant == 0:
+        cols = {"TIME": time, "PDCSAP_FLUX": flux, "PDCSAP_FLUX_ERR": err, "SAP_QUALITY": qual_int}
+        primary = {"KEPLERID": u, "QUARTER": quarter}
+    elif variant == 1:
+        cols = {"time": time, "pdcsap_flux": flux, "pdcsap_flux_err": err, "sap_quality": qual_int}
+        table.update({"KEPLERID": u, "QUARTER": quarter})
+    elif variant == 2:
+        cols = {"TIME": time, "SAP_FLUX": flux, "SAP_FLUX_ERR": err, "QUALITY": qual_int}
+        primary = {"KEPLERID": u, "QUARTER": 0}
+    else:
+        cols = {"TIME": time, "SAP_FLUX": flux}
+        primary = {"QUARTER": quarter}
+        table = {}
+    forms = {c: ("J" if c.upper().endswith("QUALITY") else "D") for c in cols}
+    content = fits.encode_light_curve(cols, forms, primary, table)
+    if u % 10 == 5 and quarter == 3:
+        content = content[:3000]          # truncated file
+    return pd.DataFrame({"path": [f"derived/{pdf['dataset'].iloc[0]}/{name}"], "content": [content],
+                         "dataset": [pdf["dataset"].iloc[0]]})
+
+
+def light_curve_files(spark, sf_dir):
+    """One encoded light-curve file per (dataset, object, quarter) of the obs adapter."""
+    o = obs(spark, sf_dir)
+    return o.groupBy("dataset", "object_id", "quarter").applyInPandas(
+        _encode_group, "path string, content binary, dataset string")
+
+
+def ingested(spark, sf_dir):
+    return fits.parse_light_curves(light_curve_files(spark, sf_dir))
+
+
+@register("ingest_light_curves")
+def q_ingest_light_curves(spark, sf_dir):
+    return fits.good_rows(ingested(spark, sf_dir))
+
+
+@register("ingest_errors")
+def q_ingest_errors(spark, sf_dir):
+    return fits.error_rows(ingested(spark, sf_dir)).select("dataset", "file")
+
+
+@register("header_fallback")
+def q_header_fallback(spark, sf_dir):
+    return fits.good_rows(ingested(spark, sf_dir)).select("source_file", "object_id", "quarter").distinct()
+
+
+@register("file_inventory")
+def q_file_inventory(spark, sf_dir):
+    files = light_curve_files(spark, sf_dir).drop("content")
+    return fits.file_inventory(spark, files, ["small", "medium", "large", "empty"])
+
+
+@register("resolve_columns")
+def q_resolve_columns(spark, sf_dir):
+    o = obs(spark, sf_dir).select("dataset", "object_id", "quarter", F.col("time").alias("TIME"),
+                                  F.col("flux").alias("sap_flux"), F.col("flux_err").alias("Sap_Flux_Err"),
+                                  F.col("quality").alias("QUALITY"))
+    return tables.to_observations(o)
+
+
+@register("conversion_summary")
+def q_conversion_summary(spark, sf_dir):
+    from starlit.plans.convert import conversion_summary
+    parsed = ingested(spark, sf_dir)
+    files = light_curve_files(spark, sf_dir).drop("content")
+    return conversion_summary(spark, parsed, files, ["small", "medium", "large", "empty"]).drop("size_mb", "output_file")
+
+
+@register("preview_head")
+def q_preview_head(spark, sf_dir):
+    prep = pipeline.prepare_observations(obs(spark, sf_dir))
+    return round_floats(tables.preview_head(prep, 500).select("object_id", "quarter", "time", "flux", "flux_norm"),
+                        skip=("time", "flux"))
+
+
+@register("union_parts")
+def q_union_parts(spark, sf_dir):
+    from starlit.operators.runlog import combine_run_logs
+    o = obs(spark, sf_dir)
+    parts = [o.filter(F.col("dataset") == d) for d in adapters.DATASET_NAMES]
+    return combine_run_logs(parts)
+
+
+@register("sink_parquet")
+def q_sink_parquet(spark, sf_dir):
+    import uuid
+    from starlit.session import scratch_path
+    path = scratch_path(spark, f"prepared/{uuid.uuid4().hex}")
+    prep = pipeline.prepare_observations(obs(spark, sf_dir))
+    tables.write_parquet(prep, path, compression="zstd", partition_by="dataset")
+    return spark.read.parquet(path).select("dataset", "object_id", "quarter", "time", "flux")
+
+
+@register("discover_extracts")
+def q_discover_extracts(spark, sf_dir):
+    import uuid
+    from starlit.operators import extract
+    from starlit.session import scratch_path
+    base = scratch_path(spark, f"dash_data/{uuid.uuid4().hex}")
+    o = obs(spark, sf_dir)
+    for mode in ("point", "bin"):
+        ex = extract.extract_project(pipeline.process(o, DATASET, mode, P, method=f"spark-{mode}"))
+        tables.write_parquet(ex, f"{base}/{DATASET}_{mode}_dash_data.parquet")
+    found = tables.discover_extracts(spark, base)
+    return found.groupBy("dataset_key").agg(F.count(F.lit(1)).alias("rows"))
