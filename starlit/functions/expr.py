@@ -60,19 +60,22 @@ def bin_time(bid, width: float) -> Column:
     return col_of(bid) * F.lit(float(width))
 
 
+# Whitespace removed around pair parts: space, tab, line feed, vertical tab, form feed, carriage return.
+WHITESPACE = " \t\n\x0b\x0c\r"
+
+
 def strip(c) -> Column:
-    """Remove leading/trailing whitespace of any kind (not only spaces)."""
-    return F.regexp_replace(col_of(c), r"^\s+|\s+$", "")
+    """Remove leading/trailing whitespace (not only spaces); character-set trim, no regex."""
+    return F.trim(col_of(c), F.lit(WHITESPACE))
 
 
 def split_pair(pair) -> tuple[Column, Column]:
     """'Pandas + Dash' -> ('pandas', 'dash'); not exactly two parts -> (whole, ''); NULL -> ('', '')."""
     pair = col_of(pair)
-    parts = F.split(pair, r"\+", -1)
-    two = F.size(parts) == 2
-    first = F.when(pair.isNull(), F.lit("")).when(two, F.lower(strip(parts.getItem(0)))) \
+    two = (F.length(pair) - F.length(F.translate(pair, "+", ""))) == 1     # exactly one '+'
+    first = F.when(pair.isNull(), F.lit("")).when(two, F.lower(strip(F.substring_index(pair, "+", 1)))) \
         .otherwise(F.lower(strip(pair)))
-    second = F.when(pair.isNull(), F.lit("")).when(two, F.lower(strip(parts.getItem(1)))) \
+    second = F.when(pair.isNull(), F.lit("")).when(two, F.lower(strip(F.substring_index(pair, "+", -1)))) \
         .otherwise(F.lit(""))
     return first, second
 

@@ -57,23 +57,54 @@ def any_true(df: DataFrame, cond: Column) -> Column:
     return F.coalesce(df.select(F.bool_or(cond)).scalar(), F.lit(False))
 
 
-def good_quality(df: DataFrame) -> DataFrame:
+def good_quality(df: DataFrame, any_ok: bool | None = None) -> DataFrame:
     """Keep quality-0 rows; when no row of the whole input is good, keep every row.
 
-    The global fallback is a scalar subquery (one partial-aggregated pass), not
-    an eager count and not a join.
+    ``any_ok`` comes from a profile pass when the caller has one; otherwise the
+    global fallback is a lazy scalar subquery (one partial-aggregated pass), not
+    a join.
     """
     ok = quality_ok("quality")
-    return df.filter(ok | ~any_true(df, ok))
+    if any_ok is None:
+        return df.filter(ok | ~any_true(df, ok))
+    return df.filter(ok) if any_ok else df
 
 
-def fill_flux_err(df: DataFrame, policy: str) -> DataFrame:
+def profile(df: DataFrame):
+    """One global aggregate pass of the facts the pipeline needs (a dict of scalars).
+
+    rows and good-quality rows, non-missing flux_err count and sum for both; the
+    row total is also an upper bound of the largest object, which lets the trend
+    step skip its hot-object check on inputs that cannot hold one.
+    """
+    ok = quality_ok("quality")
+    err = F.col("flux_err")
+    row = df.agg(
+        F.count(F.lit(1)).alias("n"), F.count(F.when(ok, F.lit(1))).alias("n_ok"),
+        F.count(err).alias("ne"), F.count(F.when(ok, err)).alias("ne_ok"),
+        F.sum(err).alias("se"), F.sum(F.when(ok, err)).alias("se_ok")).first()
+    any_ok = row["n_ok"] > 0
+    pick = (lambda a, b: row[b] if any_ok else row[a])
+    ne, se = pick("ne", "ne_ok"), pick("se", "se_ok")
+    return {"any_ok": any_ok, "rows": pick("n", "n_ok"), "max_object_rows": pick("n", "n_ok"),
+            "err_count": ne, "err_mean": (se / ne) if ne else None}
+
+
+def fill_flux_err(df: DataFrame, policy: str, count: int | None = None, mean: float | None = None) -> DataFrame:
     """Fill missing flux_err with a global statistic of the input.
 
     policy: ``median_or_zero`` (median; all missing -> 0), ``median`` (all missing
-    stays missing), ``mean`` (mean; all missing -> 0).
+    stays missing), ``mean`` (mean; all missing -> 0).  ``count``/``mean`` may be
+    passed from a profile pass to save a job.
     """
-    if policy == "mean":
+    if policy == "mean" and count is not None:
+        stat = F.lit(mean if count else 0.0).cast("double")
+    elif policy in ("median", "median_or_zero") and count is not None:
+        from starlit.operators.quantile import median_column
+        stat = median_column(df, "flux_err", count)
+        if policy == "median_or_zero":
+            stat = F.coalesce(stat, F.lit(0.0))
+    elif policy == "mean":
         stat = F.coalesce(df.select(F.avg("flux_err")).scalar(), F.lit(0.0))
     elif policy in ("median", "median_or_zero"):
         stat = global_median(df, "flux_err")

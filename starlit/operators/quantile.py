@@ -80,3 +80,23 @@ def global_median(df: DataFrame, column: str, direct_limit: int = 2_000_000) ->
         return df.select(F.median(F.col(column))).scalar()
     value = exact_quantile_value(df, column, 0.5)
     return F.lit(value).cast("double")
+
+
+def median_value(df: DataFrame, column: str, count: int, direct_limit: int = 2_000_000):
+    """Exact median as a Python float given the non-missing count (None when empty)."""
+    if not count:
+        return None
+    if count <= direct_limit:
+        return df.select(F.median(F.col(column))).first()[0]
+    return exact_quantile_value(df, column, 0.5)
+
+
+def median_column(df: DataFrame, column: str, count: int, direct_limit: int = 2_000_000) -> Column:
+    """Exact median as a Column given the non-missing count: a lazy scalar subquery with
+    Spark's exact aggregate when the count is within ``direct_limit``, else the
+    histogram refinement result as a literal."""
+    if not count:
+        return F.lit(None).cast("double")
+    if count <= direct_limit:
+        return df.select(F.median(F.col(column))).scalar()
+    return F.lit(exact_quantile_value(df, column, 0.5)).cast("double")

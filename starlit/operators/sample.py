@@ -46,8 +46,9 @@ def downsample_by_object(df: DataFrame, max_points: int, min_per_object: int = 1
                          key: str = "object_id", order=SERIES_ORDER) -> DataFrame:
     """Dashboard reduction: only when the table has more than max_points rows, every object is
     evenly downsampled to max(min_per_object, max_points // n_objects) rows."""
-    total = df.select(F.count(F.lit(1))).scalar()
-    objects = df.select(F.count_distinct(F.col(key).cast("string"))).scalar()
+    facts = df.select(F.struct(F.count(F.lit(1)).alias("n"),
+                               F.count_distinct(F.col(key).cast("string")).alias("k"))).scalar()
+    total, objects = facts["n"], facts["k"]
     limit = F.greatest(F.lit(min_per_object), F.floor(F.lit(max_points) / F.greatest(objects, F.lit(1))))
     p = with_positions(df, key, order)
     keep = (total <= F.lit(max_points)) | even_keep(F.col("_r"), F.col("_n"), limit.cast("long"))

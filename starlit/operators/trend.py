@@ -42,8 +42,9 @@ def _framed_median(value: str, w, params: Params) -> Column:
 
 def trend_window(df: DataFrame, params: Params, value: str, key: str, order: list[str],
                  with_zscore_of: str | None = None) -> DataFrame:
-    """All per-object windows on one partitioning (one exchange)."""
-    per_obj = Window.partitionBy(key)
+    """All per-object windows on one partitioning and one sort order (one exchange, one sort)."""
+    per_obj = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding,
+                                                                  Window.unboundedFollowing)
     if with_zscore_of:
         from starlit.functions.expr import safe_zscore
         df = df.withColumn(value, safe_zscore(F.col(with_zscore_of), F.avg(with_zscore_of).over(per_obj),
@@ -167,11 +168,13 @@ def hot_keys(df: DataFrame, key: str, threshold: int, max_keys: int = 1_000_000)
 
 def add_trend(df: DataFrame, params: Params, value: str = "flux_norm", key: str = "object_id",
               order: list[str] | None = None, strategy: str = "auto",
-              with_zscore_of: str | None = None) -> DataFrame:
+              with_zscore_of: str | None = None, max_rows: int | None = None) -> DataFrame:
     """Adds rolling_flux (missing -> value), residual and residual_outlier.
 
     With ``with_zscore_of`` the value column is first computed as the per-object
-    z-score of that column (same partitioning, no extra exchange).
+    z-score of that column (same partitioning, no extra exchange).  ``max_rows``
+    (largest object, from a profile pass) lets ``auto`` skip the hot-key job when
+    no object can be hot.
     """
     order = order or ["quarter", "time"]
     spark = df.sparkSession
@@ -182,7 +185,8 @@ def add_trend(df: DataFrame, params: Params, value: str = "flux_norm", key: str
         return trend_blocked(df, params, value, key, order, partitions, with_zscore_of)
     if strategy != "auto":
         raise ValueError(f"unknown trend strategy: {strategy}")
-    hot = hot_keys(df, key, params.hot_object_rows)
+    hot = None if (max_rows is not None and max_rows <= params.hot_object_rows) else \
+        hot_keys(df, key, params.hot_object_rows)
     if hot is None:
         return trend_window(df, params, value, key, order, with_zscore_of)
     tagged = df.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")

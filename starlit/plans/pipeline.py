@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from starlit.operators.binning import bin_points_bin_mode, bin_points_point_mode
 from starlit.operators.clean import clean_observations, drop_invalid, fill_flux_err, good_quality, \
-    coerce_numeric, with_defaults, normalize_keys
+    coerce_numeric, with_defaults, normalize_keys, profile
 from starlit.operators.normalize import flag_z, zscore
 from starlit.operators.trend import add_trend
 from starlit.schema import Params
@@ -40,8 +40,18 @@ def prepare_observations(df: DataFrame, z_threshold: float = Params().z_threshol
 
 def cleaned_points(df: DataFrame, mode: str) -> DataFrame:
     """Shared head of both modes: clean, good-quality filter with fallback, flux_err fill."""
-    df = good_quality(clean_observations(df))
-    return fill_flux_err(df, "median" if mode == "point" else "mean")
+    return profiled_points(df, mode)[0]
+
+
+def profiled_points(df: DataFrame, mode: str):
+    """(cleaned points, profile): one profile job decides the quality fallback, gives the
+    flux_err mean and the largest object size; point mode adds one exact-median job."""
+    c = clean_observations(df)
+    prof = profile(c)
+    good = good_quality(c, prof["any_ok"])
+    if mode == "point":
+        return fill_flux_err(good, "median", count=prof["err_count"]), prof
+    return fill_flux_err(good, "mean", count=prof["err_count"], mean=prof["err_mean"]), prof
 
 
 def process(df: DataFrame, dataset: str, mode: str = "point", params: Params = Params(),
@@ -55,10 +65,10 @@ def process(df: DataFrame, dataset: str, mode: str = "point", params: Params = P
 
 def process_point(df: DataFrame, dataset: str, params: Params = Params(), method: str = "spark",
                   strategy: str = "auto") -> DataFrame:
-    pts = cleaned_points(df, "point").select("object_id", "quarter", "time", "flux", "flux_err",
-                                             "source_file")
+    pts, prof = profiled_points(df, "point")
+    pts = pts.select("object_id", "quarter", "time", "flux", "flux_err", "source_file")
     trended = add_trend(pts, params, value="flux_norm", order=["quarter", "time", "flux"],
-                        strategy=strategy, with_zscore_of="flux")
+                        strategy=strategy, with_zscore_of="flux", max_rows=prof["max_object_rows"])
     flagged = trended.withColumn("is_anomaly", F.col("residual_outlier"))
     bins = bin_points_point_mode(flagged, params.bin_width)
     return bins.withColumns({"dataset": F.lit(dataset), "processing_method": F.lit(method)}) \
@@ -67,12 +77,18 @@ def process_point(df: DataFrame, dataset: str, params: Params = Params(), method
 
 def process_bin(df: DataFrame, dataset: str, params: Params = Params(), method: str = "spark",
                 strategy: str = "auto") -> DataFrame:
-    pts = cleaned_points(df, "bin").select("object_id", "quarter", "time", "flux", "flux_err",
-                                           "source_file")
-    z = zscore(pts, "flux", "flux_norm", strategy="join")
+    pts, prof = profiled_points(df, "bin")
+    pts = pts.select("object_id", "quarter", "time", "flux", "flux_err", "source_file")
+    # No object can be hot: a per-object window for the z-score clusters the points by
+    # object once, and the bin aggregate and bin windows reuse that partitioning (one
+    # exchange).  Otherwise aggregate + join (AQE broadcasts or skew-splits it).
+    small = strategy == "window" or (strategy == "auto" and prof["max_object_rows"] <= params.hot_object_rows)
+    z = zscore(pts, "flux", "flux_norm", strategy="window" if small else "join")
     z = flag_z(z, params.z_threshold, out="is_anomaly_prelim")
     bins = bin_points_bin_mode(z, params.bin_width)
-    trended = add_trend(bins, params, value="flux_norm", order=["quarter", "bin_id"], strategy=strategy)
+    # an object has no more bins than rows, so the row profile bounds the bin count too
+    trended = add_trend(bins, params, value="flux_norm", order=["quarter", "bin_id"], strategy=strategy,
+                        max_rows=prof["max_object_rows"])
     out = trended.withColumn("is_anomaly", F.col("residual_outlier") | (F.coalesce(F.col("anomaly_count"), F.lit(0)) > 0))
     return out.withColumns({"dataset": F.lit(dataset), "processing_method": F.lit(method)}) \
         .select(*BIN_COLUMNS)

@@ -15,6 +15,9 @@ ENGINE_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Window stages (framed medians) cost far more CPU per byte than the shuffle size
+    # suggests; do not merge partitions below 256 KB (at scale partitions are far larger).
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "256k",
 }
 
 
