@@ -87,7 +87,8 @@ def profile(df: DataFrame):
     pick = (lambda a, b: row[b] if any_ok else row[a])
     ne, se = pick("ne", "ne_ok"), pick("se", "se_ok")
     return {"any_ok": any_ok, "rows": pick("n", "n_ok"), "max_object_rows": pick("n", "n_ok"),
-            "err_count": ne, "err_mean": (se / ne) if ne else None}
+            "err_count": ne, "err_mean": (se / ne) if ne else None,
+            "all_rows": row["n"], "all_err_count": row["ne"]}
 
 
 def fill_flux_err(df: DataFrame, policy: str, count: int | None = None, mean: float | None = None) -> DataFrame:
@@ -116,11 +117,16 @@ def fill_flux_err(df: DataFrame, policy: str, count: int | None = None, mean: fl
 
 
 def clean_observations(df: DataFrame) -> DataFrame:
-    """Coerce, add defaults, drop rows without object_id/time/flux, fill quality."""
+    """Coerce, add defaults, drop rows without object_id/time/flux, fill quality
+    (one projection and one filter)."""
     require_columns(df.columns, REQUIRED_PIPELINE_COLUMNS)
     df = with_defaults(df)
-    df = normalize_keys(coerce_numeric(df))
-    return fill_quality(drop_invalid(df))
+    types = {f.name: f.dataType for f in df.schema.fields}
+    exprs = {c: as_double(c, types[c]) for c in NUMERIC_COLUMNS}
+    exprs["quality"] = F.coalesce(exprs["quality"], F.lit(0.0))
+    exprs["object_id"] = F.col("object_id").cast("string")
+    exprs["quarter"] = as_quarter("quarter")
+    return drop_invalid(df.withColumns(exprs))
 
 
 def observations_schema_cast(df: DataFrame) -> DataFrame:

@@ -26,15 +26,17 @@ BIN_COLUMNS = ["object_id", "quarter", "time_bin", "flux_norm", "flux_err", "poi
                "residual", "is_anomaly"]
 
 
-def prepare_observations(df: DataFrame, z_threshold: float = Params().z_threshold) -> DataFrame:
+def prepare_observations(df: DataFrame, z_threshold: float = Params().z_threshold,
+                         hot_object_rows: int = Params().hot_object_rows) -> DataFrame:
     """Ingest-time preparation: coerce, drop rows without time/flux, fill flux_err with the
     median (0 when all missing), fill quality, per-object z-score (no quality filter), z flag."""
     df = with_defaults(df)
-    df = normalize_keys(coerce_numeric(df))
-    df = drop_invalid(df, ("time", "flux"))
-    df = fill_flux_err(df, "median_or_zero")
+    df = drop_invalid(normalize_keys(coerce_numeric(df)), ("time", "flux"))
     df = df.withColumn("quality", F.coalesce(F.col("quality"), F.lit(0.0)))
-    df = zscore(df, "flux", "flux_norm", strategy="join")
+    prof = profile(df)
+    df = fill_flux_err(df, "median_or_zero", count=prof["all_err_count"])
+    small = prof["all_rows"] <= hot_object_rows
+    df = zscore(df, "flux", "flux_norm", strategy="window" if small else "join")
     return flag_z(df, z_threshold)
 
 
