@@ -618,3 +618,7 @@ SQL["preview_head"] = f"""WITH {PREP}
 SELECT object_id, quarter, "time", flux, round(flux_norm, 6) AS flux_norm FROM prep
 ORDER BY object_id, quarter, "time" LIMIT 500"""
 SQL["union_parts"] = f"WITH {OBS}\nSELECT * FROM obs"
+
+SQL["dashboard_query"] = f"""WITH {EX}
+SELECT object_id, quarter, time_bin, {rounded("flux_norm, rolling_flux")}, is_anomaly FROM ex
+WHERE object_id = (SELECT min(object_id) FROM ex)"""

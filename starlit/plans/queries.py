@@ -369,6 +369,17 @@ def q_chart_series(spark, sf_dir):
     return round_floats(extract.chart_series(processed(spark, sf_dir), 20), skip=("x",))
 
 
+@register("dashboard_query")
+def q_dashboard_query(spark, sf_dir):
+    """One dashboard refresh for the default object over its whole time range (limit 5,000 points)."""
+    ex = extract.extract_project(processed(spark, sf_dir))
+    first = extract.object_list(ex).filter(F.col("is_default")).select("object_id").first()[0]
+    extent = extract.time_extent(extract.series_for(ex, first)).first()
+    plotted, anomalies, summary = extract.dashboard_query(ex, first, extent["min_time"], extent["max_time"], 5000)
+    return round_floats(plotted.select("object_id", "quarter", "time_bin", "flux_norm", "rolling_flux",
+                                      "is_anomaly"), skip=("time_bin",))
+
+
 @register("dashboard_summary")
 def q_dashboard_summary(spark, sf_dir):
     ex = extract.extract_project(processed(spark, sf_dir))

@@ -133,3 +133,32 @@ def test_exact_quantile_matches_numpy(spark):
     for q in (0.5, 0.1, 0.9):
         got = exact_quantile_value(df, "x", q, buckets=8)
         assert math.isclose(got, float(np.quantile(vals, q)), rel_tol=1e-12, abs_tol=1e-12)
+
+
+def test_missing_input_and_empty_guards(spark, tmp_path):
+    from starlit.plans import jobs
+    with pytest.raises(FileNotFoundError):
+        jobs.read_input(spark, str(tmp_path / "nope.parquet"))
+    empty = spark.createDataFrame([], "object_id string")
+    with pytest.raises(ValueError, match="empty"):
+        jobs.require_rows(empty, "processed output")
+
+
+def test_process_and_extract_jobs(spark, tmp_path):
+    from starlit.plans import jobs
+    from starlit.sources import adapters
+    src = str(tmp_path / "obs.parquet")
+    adapters.observations(spark, "/root/testdata/sf0.001").write.parquet(src)
+    summ = jobs.process_file(spark, src, str(tmp_path / "processed"), "small", "bin")
+    assert summ["rows_input"] == 1000 and summ["rows_output"] > 0
+    meta = jobs.build_dashboard_extract(spark, summ["output_file"], str(tmp_path / "dash"), "small", "spark")
+    assert meta["rows_saved_for_dashboard"] == summ["rows_output"]
+
+
+def test_analyze_job(spark, tmp_path):
+    import os
+    from starlit.plans import jobs
+    paths = jobs.analyze_run_log(spark, os.path.join(os.path.dirname(__file__), "golden", "all_pair_metrics_clean.csv"),
+                                 str(tmp_path / "analysis"))
+    ranking = spark.read.option("header", True).csv(paths["pair_ranking"])
+    assert ranking.count() == 9
