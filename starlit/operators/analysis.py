@@ -14,20 +14,26 @@ BEST_BY_METHOD_COLUMNS = ["dataset", "processing_method", "visualization_method"
                           "processing_memory_peak_mb"]
 
 
-def first_per_group(df: DataFrame, keys: list[str], order: list, columns: list[str]) -> DataFrame:
-    """Whole best row per group: row_number over the sort, every output column as tie-break."""
-    tie = [F.col(c).asc_nulls_last() for c in columns if c not in keys]
-    w = Window.partitionBy(*keys).orderBy(*order, *tie)
-    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).select(*columns)
+def first_per_group(df: DataFrame, keys: list[str], order: list[str], columns: list[str]) -> DataFrame:
+    """Whole best row per group: the row with the smallest (order..., other columns...) key.
+
+    A ``min_by`` aggregate keeps one candidate per group per task (map-side
+    combine), so a group holding most of the rows is never sorted in one task.
+    NULLs sort last, as in an ascending SQL sort.
+    """
+    rank_cols = list(order) + [c for c in columns if c not in keys and c not in order]
+    rank_key = F.struct(*[F.struct(F.col(c).isNull(), F.col(c)) for c in rank_cols])
+    others = [c for c in columns if c not in keys]
+    best = df.groupBy(*keys).agg(F.min_by(F.struct(*others), rank_key).alias("_best"))
+    return best.select(*keys, *[F.col(f"_best.{c}").alias(c) for c in others]).select(*columns)
 
 
 def best_pair_by_dataset(clean: DataFrame) -> DataFrame:
-    return first_per_group(clean, ["dataset"], [F.col("total_time_sec").asc()], BEST_COLUMNS)
+    return first_per_group(clean, ["dataset"], ["total_time_sec"], BEST_COLUMNS)
 
 
 def best_pair_by_method(clean: DataFrame) -> DataFrame:
-    return first_per_group(clean, ["dataset", "processing_method"], [F.col("total_time_sec").asc()],
-                           BEST_BY_METHOD_COLUMNS)
+    return first_per_group(clean, ["dataset", "processing_method"], ["total_time_sec"], BEST_BY_METHOD_COLUMNS)
 
 
 def processing_summary(clean: DataFrame) -> DataFrame:
@@ -69,7 +75,7 @@ def pair_ranking(clean: DataFrame) -> DataFrame:
 def fastest_method(clean: DataFrame) -> DataFrame:
     """Per dataset, the processing method with the smallest mean processing time."""
     summary = processing_summary(clean)
-    return first_per_group(summary, ["dataset"], [F.col("mean_processing_time_sec").asc()], summary.columns)
+    return first_per_group(summary, ["dataset"], ["mean_processing_time_sec"], summary.columns)
 
 
 def mean_by(clean: DataFrame, key: str, value: str, out: str) -> DataFrame:
