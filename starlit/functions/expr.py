@@ -100,3 +100,43 @@ def round_scaled(c, digits: int) -> Column:
     """
     scale = F.lit(float(10 ** digits))
     return F.round(col_of(c) * scale, 0) / scale
+
+
+# --- SQL-text forms -----------------------------------------------------------------------------
+# The same expressions as SQL text: a projection of many columns is then one call into
+# the JVM instead of several per function, which keeps plan construction cheap.
+# Double literals carry the D suffix (a bare 1.0 is a DECIMAL in Spark SQL).
+
+def q(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def sql_nan_to_null(e: str) -> str:
+    return f"nanvl({e}, CAST(NULL AS DOUBLE))"
+
+
+def sql_as_double(name: str, dtype: T.DataType) -> str:
+    if isinstance(dtype, T.DoubleType):
+        return sql_nan_to_null(q(name))
+    return sql_nan_to_null(f"try_cast({q(name)} AS DOUBLE)")
+
+
+def sql_as_quarter(name: str) -> str:
+    return f"coalesce(try_cast(try_cast({q(name)} AS DOUBLE) AS INT), -1)"
+
+
+def sql_round(e: str, digits: int) -> str:
+    scale = f"{float(10 ** digits)!r}D"
+    return f"(round(({e}) * {scale}, 0) / {scale})"
+
+
+def select_sql(df, columns: dict[str, str]):
+    """Project ``{output name: SQL expression}`` in one call."""
+    return df.selectExpr(*[f"{e} AS {q(n)}" for n, e in columns.items()])
+
+
+def with_sql(df, columns: dict[str, str]):
+    """Add or replace columns given as SQL text, keeping the column order."""
+    out = {c: q(c) for c in df.columns}
+    out.update(columns)
+    return select_sql(df, out)

@@ -5,45 +5,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starlit.functions.expr import bin_id, bin_time
+from starlit.functions.expr import q, with_sql
 
 BIN_KEYS = ["object_id", "quarter", "bin_id"]
 
 
 def with_time_bin(df: DataFrame, width: float, time: str = "time", keep_time_bin: bool = False) -> DataFrame:
     """bin_id = floor(time / width) (bigint group key); time_bin = bin_id * width on request."""
-    df = df.withColumn("bin_id", bin_id(time, width))
-    return df.withColumn("time_bin", bin_time("bin_id", width)) if keep_time_bin else df
+    cols = {"bin_id": f"FLOOR({q(time)} / {float(width)!r}D)"}
+    if keep_time_bin:
+        cols["time_bin"] = f"FLOOR({q(time)} / {float(width)!r}D) * {float(width)!r}D"
+    return with_sql(df, cols)
 
 
-def _distinct_sources():
-    # Distinct source files of one bin: a bin holds the points of one object in
-    # one quarter, so the set is bounded by the files covering that bin; a set
-    # aggregate keeps the whole aggregation to one exchange (countDistinct would
-    # expand every row and add a second one).
-    return F.size(F.collect_set("source_file")).cast("long").alias("source_files")
+def _finish(df: DataFrame, width: float, flag: bool) -> DataFrame:
+    cols = {"time_bin": f"bin_id * {float(width)!r}D"}
+    if flag:
+        cols["is_anomaly"] = "anomaly_count > 0"
+    return with_sql(df, cols)
+
+
+# Distinct source files of one bin: a bin holds the points of one object in one
+# quarter, so the set is bounded by the files covering that bin; a set aggregate
+# keeps the whole aggregation to one exchange (countDistinct would expand every
+# row and add a second one).
+DISTINCT_SOURCES = "CAST(size(collect_set(source_file)) AS BIGINT) AS source_files"
 
 
 def bin_points_point_mode(df: DataFrame, width: float) -> DataFrame:
     """Point-level variant: means of flux_norm, rolling_flux, flux_err; row count; anomaly count."""
     b = with_time_bin(df, width)
-    return b.groupBy(*BIN_KEYS).agg(
-        F.avg("flux_norm").alias("flux_norm"),
-        F.avg("rolling_flux").alias("rolling_flux"),
-        F.avg("flux_err").alias("flux_err"),
-        F.count(F.lit(1)).alias("points_count"),
-        F.sum(F.col("is_anomaly").cast("long")).alias("anomaly_count"),
-        _distinct_sources(),
-    ).withColumns({"time_bin": bin_time("bin_id", width), "is_anomaly": F.col("anomaly_count") > 0})
+    agg = b.groupBy(*BIN_KEYS).agg(*[F.expr(e) for e in (
+        "avg(flux_norm) AS flux_norm", "avg(rolling_flux) AS rolling_flux", "avg(flux_err) AS flux_err",
+        "count(1) AS points_count", "sum(CAST(is_anomaly AS BIGINT)) AS anomaly_count", DISTINCT_SOURCES)])
+    return _finish(agg, width, flag=True)
 
 
 def bin_points_bin_mode(df: DataFrame, width: float) -> DataFrame:
     """Bin-level variant: means of flux_norm and flux_err; count(flux); count of |z| flags."""
     b = with_time_bin(df, width)
-    return b.groupBy(*BIN_KEYS).agg(
-        F.avg("flux_norm").alias("flux_norm"),
-        F.avg("flux_err").alias("flux_err"),
-        F.count("flux").alias("points_count"),
-        F.sum(F.col("is_anomaly_prelim").cast("long")).alias("anomaly_count"),
-        _distinct_sources(),
-    ).withColumn("time_bin", bin_time("bin_id", width))
+    agg = b.groupBy(*BIN_KEYS).agg(*[F.expr(e) for e in (
+        "avg(flux_norm) AS flux_norm", "avg(flux_err) AS flux_err", "count(flux) AS points_count",
+        "sum(CAST(is_anomaly_prelim AS BIGINT)) AS anomaly_count", DISTINCT_SOURCES)])
+    return _finish(agg, width, flag=False)

@@ -6,11 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from starlit.functions.expr import as_double, as_quarter, quality_ok
+from starlit.functions.expr import as_double, as_quarter, quality_ok, sql_as_double, sql_as_quarter, with_sql
 from starlit.operators.quantile import global_median
 from starlit.schema import NUMERIC_COLUMNS, REQUIRED_PIPELINE_COLUMNS, require_columns
 
 
+# Good quality: the flag truncated to a whole number is 0.
+QUALITY_OK_SQL = "coalesce(try_cast(quality AS BIGINT) = 0, false)"
+
+
 def coerce_numeric(df: DataFrame, columns=NUMERIC_COLUMNS) -> DataFrame:
     """Numeric coercion of the given columns: bad text and NaN -> NULL, type double."""
     types = {f.name: f.dataType for f in df.schema.fields}
@@ -64,10 +68,10 @@ def good_quality(df: DataFrame, any_ok: bool | None = None) -> DataFrame:
     global fallback is a lazy scalar subquery (one partial-aggregated pass), not
     a join.
     """
-    ok = quality_ok("quality")
     if any_ok is None:
+        ok = quality_ok("quality")
         return df.filter(ok | ~any_true(df, ok))
-    return df.filter(ok) if any_ok else df
+    return df.filter(QUALITY_OK_SQL) if any_ok else df
 
 
 def profile(df: DataFrame):
@@ -77,12 +81,11 @@ def profile(df: DataFrame):
     row total is also an upper bound of the largest object, which lets the trend
     step skip its hot-object check on inputs that cannot hold one.
     """
-    ok = quality_ok("quality")
-    err = F.col("flux_err")
-    row = df.agg(
-        F.count(F.lit(1)).alias("n"), F.count(F.when(ok, F.lit(1))).alias("n_ok"),
-        F.count(err).alias("ne"), F.count(F.when(ok, err)).alias("ne_ok"),
-        F.sum(err).alias("se"), F.sum(F.when(ok, err)).alias("se_ok")).first()
+    ok = QUALITY_OK_SQL
+    row = df.selectExpr(
+        "count(1) AS n", f"count(CASE WHEN {ok} THEN 1 END) AS n_ok",
+        "count(flux_err) AS ne", f"count(CASE WHEN {ok} THEN flux_err END) AS ne_ok",
+        "sum(flux_err) AS se", f"sum(CASE WHEN {ok} THEN flux_err END) AS se_ok").first()
     any_ok = row["n_ok"] > 0
     pick = (lambda a, b: row[b] if any_ok else row[a])
     ne, se = pick("ne", "ne_ok"), pick("se", "se_ok")
@@ -122,11 +125,11 @@ def clean_observations(df: DataFrame) -> DataFrame:
     require_columns(df.columns, REQUIRED_PIPELINE_COLUMNS)
     df = with_defaults(df)
     types = {f.name: f.dataType for f in df.schema.fields}
-    exprs = {c: as_double(c, types[c]) for c in NUMERIC_COLUMNS}
-    exprs["quality"] = F.coalesce(exprs["quality"], F.lit(0.0))
-    exprs["object_id"] = F.col("object_id").cast("string")
-    exprs["quarter"] = as_quarter("quarter")
-    return drop_invalid(df.withColumns(exprs))
+    exprs = {c: sql_as_double(c, types[c]) for c in NUMERIC_COLUMNS}
+    exprs["quality"] = f"coalesce({exprs['quality']}, 0.0D)"
+    exprs["object_id"] = "CAST(object_id AS STRING)"
+    exprs["quarter"] = sql_as_quarter("quarter")
+    return with_sql(df, exprs).filter("object_id IS NOT NULL AND time IS NOT NULL AND flux IS NOT NULL")
 
 
 def observations_schema_cast(df: DataFrame) -> DataFrame:

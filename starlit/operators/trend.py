@@ -43,18 +43,25 @@ def _framed_median(value: str, w, params: Params) -> Column:
 def trend_window(df: DataFrame, params: Params, value: str, key: str, order: list[str],
                  with_zscore_of: str | None = None) -> DataFrame:
     """All per-object windows on one partitioning and one sort order (one exchange, one sort)."""
-    per_obj = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding,
-                                                                  Window.unboundedFollowing)
-    if with_zscore_of:
-        from starlit.functions.expr import safe_zscore
-        df = df.withColumn(value, safe_zscore(F.col(with_zscore_of), F.avg(with_zscore_of).over(per_obj),
-                                              F.stddev_samp(with_zscore_of).over(per_obj)))
+    from starlit.functions.expr import q, with_sql
+
     before, after = frame_bounds(params.window)
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(-before, after)
-    df = df.withColumn("rolling_flux", _framed_median(value, w, params))
-    df = df.withColumn("residual", F.col(value) - F.col("rolling_flux"))
-    return df.withColumn("residual_outlier",
-                         _outlier(F.col("residual"), F.stddev_samp("residual").over(per_obj), params.z_threshold))
+    head = f"PARTITION BY {q(key)} ORDER BY {', '.join(q(c) for c in order)}"
+    whole = f"({head} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+    frame = f"({head} ROWS BETWEEN {before} PRECEDING AND {after} FOLLOWING)"
+    v = q(value)
+    if with_zscore_of:
+        x = q(with_zscore_of)
+        df = with_sql(df, {value: f"coalesce(try_divide({x} - avg({x}) OVER {whole}, "
+                                  f"nullif(stddev_samp({x}) OVER {whole}, 0.0D)), 0.0D)"})
+    df = with_sql(df, {"rolling_flux": f"coalesce(CASE WHEN count({v}) OVER {frame} >= {int(params.min_periods)} "
+                                       f"THEN percentile({v}, 0.5D) OVER {frame} END, {v})"})
+    resid = f"({v} - rolling_flux)"
+    z = f"{float(params.z_threshold)!r}D"
+    return with_sql(df, {
+        "residual": resid,
+        "residual_outlier": f"coalesce(abs({resid}) > {z} * nullif(stddev_samp({resid}) OVER {whole}, 0.0D), false)",
+    })
 
 
 def _local_positions(key: str):

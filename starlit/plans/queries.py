@@ -34,10 +34,10 @@ def register(name: str):
 
 
 def round_floats(df: DataFrame, digits: int = 6, skip=()) -> DataFrame:
-    from starlit.functions.expr import round_scaled
-    cols = {f.name: round_scaled(F.col(f.name), digits) for f in df.schema.fields
+    from starlit.functions.expr import q, sql_round, with_sql
+    cols = {f.name: sql_round(q(f.name), digits) for f in df.schema.fields
             if isinstance(f.dataType, (T.DoubleType, T.FloatType)) and f.name not in skip}
-    return df.withColumns(cols) if cols else df
+    return with_sql(df, cols) if cols else df
 
 
 def obs(spark, sf_dir):

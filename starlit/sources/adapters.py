@@ -47,21 +47,24 @@ def days_since_epoch(ts_col: str = "ts"):
     return F.expr(f"timestampdiff(MICROSECOND, {EPOCH_NTZ}, {ts_col})") / F.lit(MICROS_PER_DAY)
 
 
+DAYS_SQL = f"(timestampdiff(MICROSECOND, {EPOCH_NTZ}, ts) / {MICROS_PER_DAY!r}D)"
+
+
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``obs``: events as light-curve observations with nulls injected by event_id."""
     ev = table(spark, sf_dir, "events")
-    t = days_since_epoch("ts")
-    names = F.array(*[F.lit(n) for n in DATASET_NAMES])
-    return ev.select(
-        F.element_at(names, (F.col("user_id") % 3).cast("int") + 1).alias("dataset"),
-        F.col("event_type").alias("source_file"),
-        F.col("user_id").cast("string").alias("object_id"),
-        (F.floor(t / 10) + 1).cast("int").alias("quarter"),
-        F.when(F.col("event_id") % 101 != 0, t).alias("time"),
-        F.when(F.col("event_id") % 97 != 0, F.col("value")).alias("flux"),
-        F.when(F.col("event_type") != "click", F.col("value") * F.lit(0.01)).alias("flux_err"),
-        F.when(F.col("event_id") % 89 == 0, F.lit(None).cast("double"))
-         .when(F.col("event_type") == "error", F.lit(1.0)).otherwise(F.lit(0.0)).alias("quality"),
+    t = DAYS_SQL
+    names = ", ".join(f"'{n}'" for n in DATASET_NAMES)
+    return ev.selectExpr(
+        f"element_at(array({names}), CAST(user_id % 3 AS INT) + 1) AS dataset",
+        "event_type AS source_file",
+        "CAST(user_id AS STRING) AS object_id",
+        f"CAST(FLOOR({t} / 10) + 1 AS INT) AS quarter",
+        f"CASE WHEN event_id % 101 != 0 THEN {t} END AS time",
+        "CASE WHEN event_id % 97 != 0 THEN value END AS flux",
+        "CASE WHEN event_type != 'click' THEN value * 0.01D END AS flux_err",
+        "CASE WHEN event_id % 89 = 0 THEN CAST(NULL AS DOUBLE) WHEN event_type = 'error' THEN 1.0D "
+        "ELSE 0.0D END AS quality",
     )
 
 
