@@ -17,7 +17,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-HEADLINE = ["pipeline_point", "pipeline_bin", "dashboard_extract", "chart_series", "pair_ranking",
+HEADLINE = ["process_point", "process_bin", "dashboard_extract", "chart_series", "pair_ranking",
             "report_lines", "prepare_observations"]
 
 

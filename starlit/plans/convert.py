@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starlit.plans.pipeline import prepare_observations
+from starlit.plans.lightcurve import prepare_observations
 from starlit.sources import fits, tables
 
 

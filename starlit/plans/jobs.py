@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from starlit.operators import analysis, extract, runlog
-from starlit.plans import pipeline
+from starlit.plans import lightcurve
 from starlit.schema import DASH_MAX_POINTS, DASH_MIN_PER_OBJECT, REQUIRED_PIPELINE_COLUMNS, Params, require_columns
 from starlit.sources import tables
 
@@ -40,11 +40,11 @@ def process_file(spark: SparkSession, input_path: str, output_dir: str, dataset:
     """Read observations, run the pipeline, write ``<dataset>_<method>_processed`` and return the summary."""
     raw = read_input(spark, input_path)
     require_columns(raw.columns, REQUIRED_PIPELINE_COLUMNS)
-    out = pipeline.process(raw, dataset, mode, params, method)
+    out = lightcurve.process(raw, dataset, mode, params, method)
     path = os.path.join(output_dir, f"{dataset}_{method}_processed.parquet")
     tables.write_parquet(out, path)
     written = require_rows(spark.read.parquet(path), "processed output")
-    summary = pipeline.run_summary(raw, written, dataset, mode).first().asDict()
+    summary = lightcurve.run_summary(raw, written, dataset, mode).first().asDict()
     return {**summary, "input_file": input_path, "output_file": path}
 
 

@@ -142,8 +142,8 @@ BIN_SELECT = ("SELECT object_id, quarter, time_bin, " + rounded("flux_norm, flux
               + rounded("rolling_flux, residual") + ", is_anomaly FROM bin_out")
 SQL: dict[str, str] = {}
 
-SQL["pipeline_point"] = f"WITH {POINT_PIPE}\n{POINT_SELECT}"
-SQL["pipeline_bin"] = f"WITH {BIN_PIPE}\n{BIN_SELECT}"
+SQL["process_point"] = f"WITH {POINT_PIPE}\n{POINT_SELECT}"
+SQL["process_bin"] = f"WITH {BIN_PIPE}\n{BIN_SELECT}"
 
 # --- batch: scans, cleaning, normalisation, trend ----------------------------------------
 PT_FILLED = ",\n".join([OBS, clean_ctes(), fill_cte("median", "good", "filled")])

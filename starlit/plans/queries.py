@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from starlit.functions.expr import round_scaled
-from starlit.plans import pipeline
+from starlit.plans import lightcurve
 from starlit.schema import Params
 from starlit.sources import adapters
 
@@ -44,15 +44,15 @@ def obs(spark, sf_dir):
     return adapters.observations(spark, sf_dir)
 
 
-@register("pipeline_point")
-def q_pipeline_point(spark, sf_dir):
-    out = pipeline.process(obs(spark, sf_dir), DATASET, "point", QUERY_PARAMS)
+@register("process_point")
+def q_process_point(spark, sf_dir):
+    out = lightcurve.process(obs(spark, sf_dir), DATASET, "point", QUERY_PARAMS)
     return round_floats(out, skip=("time_bin",))
 
 
-@register("pipeline_bin")
-def q_pipeline_bin(spark, sf_dir):
-    out = pipeline.process(obs(spark, sf_dir), DATASET, "bin", QUERY_PARAMS)
+@register("process_bin")
+def q_process_bin(spark, sf_dir):
+    out = lightcurve.process(obs(spark, sf_dir), DATASET, "bin", QUERY_PARAMS)
     return round_floats(out, skip=("time_bin",))
 
 
@@ -145,7 +145,7 @@ def q_global_err_stats(spark, sf_dir):
 
 
 def filled_points(spark, sf_dir, mode="point"):
-    return pipeline.cleaned_points(obs(spark, sf_dir), mode).select(
+    return lightcurve.cleaned_points(obs(spark, sf_dir), mode).select(
         "object_id", "quarter", "time", "flux", "flux_err", "source_file")
 
 
@@ -226,14 +226,14 @@ def q_rolling_median_blocked(spark, sf_dir):
 
 @register("bin_anomaly")
 def q_bin_anomaly(spark, sf_dir):
-    out = pipeline.process(obs(spark, sf_dir), DATASET, "bin", P)
+    out = lightcurve.process(obs(spark, sf_dir), DATASET, "bin", P)
     return out.select("object_id", "quarter", "time_bin",
                       (F.col("anomaly_count") > 0).alias("raw_flag"), "is_anomaly")
 
 
 @register("bin_agg_point")
 def q_bin_agg_point(spark, sf_dir):
-    return q_pipeline_point(spark, sf_dir).drop("dataset", "processing_method")
+    return q_process_point(spark, sf_dir).drop("dataset", "processing_method")
 
 
 @register("bin_agg_bin")
@@ -247,14 +247,14 @@ def q_bin_agg_bin(spark, sf_dir):
 @register("canonical_order")
 def q_canonical_order(spark, sf_dir):
     from pyspark.sql import Window
-    prep = pipeline.prepare_observations(obs(spark, sf_dir))
+    prep = lightcurve.prepare_observations(obs(spark, sf_dir))
     w = Window.partitionBy("object_id").orderBy("quarter", "time", "flux")
     return prep.select("object_id", "quarter", "time", F.row_number().over(w).alias("position"))
 
 
 @register("prepare_observations")
 def q_prepare_observations(spark, sf_dir):
-    prep = pipeline.prepare_observations(obs(spark, sf_dir))
+    prep = lightcurve.prepare_observations(obs(spark, sf_dir))
     return round_floats(prep.select("dataset", "source_file", "object_id", "quarter", "time", "flux",
                                     "flux_err", "quality", "flux_norm", "is_anomaly"),
                         skip=("time", "flux", "quality"))
@@ -263,8 +263,8 @@ def q_prepare_observations(spark, sf_dir):
 @register("run_summary")
 def q_run_summary(spark, sf_dir):
     o = obs(spark, sf_dir)
-    point = pipeline.run_summary(o, pipeline.process(o, DATASET, "point", P), DATASET, "point")
-    binm = pipeline.run_summary(o, pipeline.process(o, DATASET, "bin", P), DATASET, "bin")
+    point = lightcurve.run_summary(o, lightcurve.process(o, DATASET, "point", P), DATASET, "point")
+    binm = lightcurve.run_summary(o, lightcurve.process(o, DATASET, "bin", P), DATASET, "bin")
     return point.withColumn("mode", F.lit("point")).unionByName(binm.withColumn("mode", F.lit("bin")))
 
 
@@ -275,7 +275,7 @@ from starlit.operators import extract, sample  # noqa: E402
 def processed(spark, sf_dir):
     """The point-mode processed series the extract steps read, materialised once in the
     shared checkpoint folder (the extract steps read it several times)."""
-    return pipeline.process(obs(spark, sf_dir), DATASET, "point", P).checkpoint(eager=True)
+    return lightcurve.process(obs(spark, sf_dir), DATASET, "point", P).checkpoint(eager=True)
 
 
 @register("extract_project")
@@ -680,7 +680,7 @@ def q_conversion_summary(spark, sf_dir):
 
 @register("preview_head")
 def q_preview_head(spark, sf_dir):
-    prep = pipeline.prepare_observations(obs(spark, sf_dir))
+    prep = lightcurve.prepare_observations(obs(spark, sf_dir))
     return round_floats(tables.preview_head(prep, 500).select("object_id", "quarter", "time", "flux", "flux_norm"),
                         skip=("time", "flux"))
 
@@ -698,7 +698,7 @@ def q_sink_parquet(spark, sf_dir):
     import uuid
     from starlit.session import scratch_path
     path = scratch_path(spark, f"prepared/{uuid.uuid4().hex}")
-    prep = pipeline.prepare_observations(obs(spark, sf_dir))
+    prep = lightcurve.prepare_observations(obs(spark, sf_dir))
     tables.write_parquet(prep, path, compression="zstd", partition_by="dataset")
     return spark.read.parquet(path).select("dataset", "object_id", "quarter", "time", "flux")
 
@@ -711,7 +711,7 @@ def q_discover_extracts(spark, sf_dir):
     base = scratch_path(spark, f"dash_data/{uuid.uuid4().hex}")
     o = obs(spark, sf_dir)
     for mode in ("point", "bin"):
-        ex = extract.extract_project(pipeline.process(o, DATASET, mode, P, method=f"spark-{mode}"))
+        ex = extract.extract_project(lightcurve.process(o, DATASET, mode, P, method=f"spark-{mode}"))
         tables.write_parquet(ex, f"{base}/{DATASET}_{mode}_dash_data.parquet")
     found = tables.discover_extracts(spark, base)
     return found.groupBy("dataset_key").agg(F.count(F.lit(1)).alias("rows"))

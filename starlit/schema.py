@@ -26,7 +26,7 @@ NUMERIC_COLUMNS = ["time", "flux", "flux_err", "quality"]
 
 @dataclass(frozen=True)
 class Params:
-    """Knobs of the clean -> normalise -> bin -> trend -> flag pipeline."""
+    """Knobs of the clean -> normalise -> bin -> trend -> flag lightcurve."""
 
     bin_width: float = DEFAULT_BIN_WIDTH
     z_threshold: float = DEFAULT_Z_THRESHOLD

@@ -1,6 +1,6 @@
-"""Physical plan shape: exchanges, pushdown, no Python in the pipeline."""
+"""Physical plan shape: exchanges, pushdown, no Python in the lightcurve."""
 
-from starlit.plans import pipeline
+from starlit.plans import lightcurve
 from starlit.plans.queries import QUERIES
 from starlit.schema import Params
 from starlit.sources import adapters
@@ -21,14 +21,14 @@ def main_plan(df):
 
 
 def test_point_pipeline_one_exchange(spark):
-    df = pipeline.process(adapters.observations(spark, SF_SMALL), "obs", "point", Params(bin_width=0.5))
+    df = lightcurve.process(adapters.observations(spark, SF_SMALL), "obs", "point", Params(bin_width=0.5))
     text = main_plan(df)
     assert text.count("Exchange hashpartitioning") == 1
     assert not any(p in plan_text(df) for p in PYTHON_NODES)
 
 
 def test_bin_pipeline_one_exchange(spark):
-    df = pipeline.process(adapters.observations(spark, SF_SMALL), "obs", "bin", Params(bin_width=0.5))
+    df = lightcurve.process(adapters.observations(spark, SF_SMALL), "obs", "bin", Params(bin_width=0.5))
     assert main_plan(df).count("Exchange hashpartitioning") == 1
     assert not any(p in plan_text(df) for p in PYTHON_NODES)
 
@@ -40,7 +40,7 @@ def test_scan_pushdown_and_pruning(spark):
 
 
 def test_pipeline_reads_only_needed_columns(spark):
-    df = pipeline.process(adapters.observations(spark, SF_SMALL), "obs", "point", Params(bin_width=0.5))
+    df = lightcurve.process(adapters.observations(spark, SF_SMALL), "obs", "point", Params(bin_width=0.5))
     for line in plan_text(df).splitlines():
         if "ReadSchema" in line:
             assert "props" not in line

@@ -2,7 +2,7 @@
 
 import pytest
 
-from starlit.plans import pipeline
+from starlit.plans import lightcurve
 from starlit.schema import Params
 from starlit.sources import adapters
 
@@ -23,11 +23,11 @@ def obs(spark):
 @pytest.mark.parametrize("mode", ["point", "bin"])
 def test_blocked_and_auto_equal_window(spark, obs, mode):
     base = Params(bin_width=0.5)
-    plain = rows(pipeline.process(obs, "obs", mode, base, strategy="window"))
+    plain = rows(lightcurve.process(obs, "obs", mode, base, strategy="window"))
     # tiny blocks: every object spans several blocks and partitions
-    blocked = rows(pipeline.process(obs, "obs", mode, Params(bin_width=0.5, block_rows=25), strategy="blocked"))
+    blocked = rows(lightcurve.process(obs, "obs", mode, Params(bin_width=0.5, block_rows=25), strategy="blocked"))
     # low threshold: some objects are routed as hot, the rest as plain windows
-    auto = rows(pipeline.process(obs, "obs", mode, Params(bin_width=0.5, hot_object_rows=55, block_rows=25),
+    auto = rows(lightcurve.process(obs, "obs", mode, Params(bin_width=0.5, hot_object_rows=55, block_rows=25),
                                  strategy="auto"))
     assert blocked == plain
     assert auto == plain

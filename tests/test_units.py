@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from starlit.operators import clean, sample
-from starlit.plans import pipeline
+from starlit.plans import lightcurve
 from starlit.schema import Params
 
 COLS = "dataset string, source_file string, object_id string, quarter int, time double, flux double, flux_err double, quality double"
@@ -21,7 +21,7 @@ def rows(df, *cols):
 
 
 def test_single_row_object(spark):
-    out = pipeline.process_point(obs(spark, [("d", "f", "a", 1, 1.0, 10.0, 0.1, 0.0)]), "d").collect()
+    out = lightcurve.process_point(obs(spark, [("d", "f", "a", 1, 1.0, 10.0, 0.1, 0.0)]), "d").collect()
     assert len(out) == 1
     r = out[0]
     assert r.flux_norm == 0.0 and r.rolling_flux == 0.0 and r.is_anomaly is False
@@ -29,15 +29,15 @@ def test_single_row_object(spark):
 
 def test_constant_flux_no_anomaly(spark):
     data = [("d", "f", "a", 1, float(i), 5.0, 0.1, 0.0) for i in range(5)]
-    out = pipeline.process_point(obs(spark, data), "d").collect()
+    out = lightcurve.process_point(obs(spark, data), "d").collect()
     assert all(r.flux_norm == 0.0 and not r.is_anomaly for r in out)
-    outb = pipeline.process_bin(obs(spark, data), "d").collect()
+    outb = lightcurve.process_bin(obs(spark, data), "d").collect()
     assert all(r.residual == 0.0 and not r.is_anomaly for r in outb)
 
 
 def test_two_points_keep_value(spark):
     data = [("d", "f", "a", 1, 0.0, 1.0, 0.1, 0.0), ("d", "f", "a", 1, 1.0, 3.0, 0.1, 0.0)]
-    out = sorted(pipeline.process_point(obs(spark, data), "d").collect(), key=lambda r: r.time_bin)
+    out = sorted(lightcurve.process_point(obs(spark, data), "d").collect(), key=lambda r: r.time_bin)
     assert [r.rolling_flux for r in out] == [r.flux_norm for r in out]
 
 
@@ -65,16 +65,16 @@ def test_nan_and_null(spark):
 
 def test_flux_err_all_missing(spark):
     data = [("d", "f", "a", 1, float(i), float(i % 3), None, 0.0) for i in range(6)]
-    prep = pipeline.prepare_observations(obs(spark, data))
+    prep = lightcurve.prepare_observations(obs(spark, data))
     assert {r.flux_err for r in prep.collect()} == {0.0}
-    assert {r.flux_err for r in pipeline.process_point(obs(spark, data), "d").collect()} == {None}
-    assert {r.flux_err for r in pipeline.process_bin(obs(spark, data), "d").collect()} == {0.0}
+    assert {r.flux_err for r in lightcurve.process_point(obs(spark, data), "d").collect()} == {None}
+    assert {r.flux_err for r in lightcurve.process_bin(obs(spark, data), "d").collect()} == {0.0}
 
 
 def test_null_quarter_single_group(spark):
     data = [("d", "f", "a", None, 0.01, 1.0, 0.1, 0.0), ("d", "f", "a", -1, 0.02, 2.0, 0.1, 0.0),
             ("d", "f", "b", None, 0.01, 1.0, 0.1, 0.0)]
-    out = pipeline.process_point(obs(spark, data), "d").collect()
+    out = lightcurve.process_point(obs(spark, data), "d").collect()
     assert sorted((r.object_id, r.quarter, r.points_count) for r in out) == [("a", -1, 2), ("b", -1, 1)]
 
 
@@ -87,9 +87,9 @@ def test_bin_multiples(spark):
 
 def test_window_across_quarters(spark):
     data = [("d", "f", "a", 1 if i < 15 else 2, float(i), float((i * 7) % 11), 0.1, 0.0) for i in range(30)]
-    two = pipeline.process_point(obs(spark, data), "d", Params(bin_width=0.5)).orderBy("time_bin").collect()
+    two = lightcurve.process_point(obs(spark, data), "d", Params(bin_width=0.5)).orderBy("time_bin").collect()
     one_q = [(d, s, o, 1, t, f, e, q) for (d, s, o, _, t, f, e, q) in data]
-    one = pipeline.process_point(obs(spark, one_q), "d", Params(bin_width=0.5)).orderBy("time_bin").collect()
+    one = lightcurve.process_point(obs(spark, one_q), "d", Params(bin_width=0.5)).orderBy("time_bin").collect()
     assert [r.rolling_flux for r in two] == [r.rolling_flux for r in one]
 
 
@@ -121,7 +121,7 @@ def test_split_pair(spark):
 def test_missing_required_column(spark):
     df = spark.createDataFrame([("a", 1.0, 2.0, 0.0)], "object_id string, time double, flux double, quality double")
     with pytest.raises(ValueError, match="flux_err"):
-        pipeline.process_point(df, "d")
+        lightcurve.process_point(df, "d")
 
 
 def test_exact_quantile_matches_numpy(spark):
