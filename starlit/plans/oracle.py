@@ -622,3 +622,13 @@ SQL["union_parts"] = f"WITH {OBS}\nSELECT * FROM obs"
 SQL["dashboard_query"] = f"""WITH {EX}
 SELECT object_id, quarter, time_bin, {rounded("flux_norm, rolling_flux")}, is_anomaly FROM ex
 WHERE object_id = (SELECT min(object_id) FROM ex)"""
+
+# --- one object holding a third of all rows ------------------------------------------------------------
+SKEW_OBS = OBS.replace("obs AS (", "obs0 AS (", 1) + """,
+obs AS (SELECT * REPLACE (CASE WHEN object_id::INT % 3 = 0 THEN '0' ELSE object_id END AS object_id) FROM obs0)"""
+SKEW_POINT = ",\n".join([SKEW_OBS, clean_ctes(), fill_cte("median", "good", "filled"), z_cte("filled", "z"),
+                         point_ctes("z")])
+SKEW_BIN = ",\n".join([SKEW_OBS, clean_ctes(), fill_cte("mean", "good", "filled"), z_cte("filled", "z"),
+                       bin_ctes("z")])
+SQL["process_point_skewed"] = f"WITH {SKEW_POINT}\n{POINT_SELECT}"
+SQL["process_bin_skewed"] = f"WITH {SKEW_BIN}\n{BIN_SELECT}"

@@ -715,3 +715,28 @@ def q_discover_extracts(spark, sf_dir):
         tables.write_parquet(ex, f"{base}/{DATASET}_{mode}_dash_data.parquet")
     found = tables.discover_extracts(spark, base)
     return found.groupBy("dataset_key").agg(F.count(F.lit(1)).alias("rows"))
+
+
+# --- one object holding a third of all rows ------------------------------------------------------------
+SKEW_PARAMS = Params(bin_width=0.5, hot_object_rows=1000, block_rows=500)
+
+
+def skewed_obs(spark, sf_dir):
+    """obs with every object whose id is divisible by 3 merged into object '0' (a third of all rows)."""
+    from starlit.functions.expr import with_sql
+    return with_sql(obs(spark, sf_dir),
+                    {"object_id": "CASE WHEN CAST(object_id AS INT) % 3 = 0 THEN '0' ELSE object_id END"})
+
+
+@register("process_point_skewed")
+def q_process_point_skewed(spark, sf_dir):
+    """Point mode with one hot object: it takes the blocked (ordinal + halo) trend path."""
+    out = lightcurve.process(skewed_obs(spark, sf_dir), DATASET, "point", SKEW_PARAMS)
+    return round_floats(out, skip=("time_bin",))
+
+
+@register("process_bin_skewed")
+def q_process_bin_skewed(spark, sf_dir):
+    """Bin mode with one hot object: z-score by aggregate + join (AQE), bins and bin trend after."""
+    out = lightcurve.process(skewed_obs(spark, sf_dir), DATASET, "bin", SKEW_PARAMS)
+    return round_floats(out, skip=("time_bin",))
