@@ -85,16 +85,20 @@ def profile(df: DataFrame):
     row = df.selectExpr(
         "count(1) AS n", f"count(CASE WHEN {ok} THEN 1 END) AS n_ok",
         "count(flux_err) AS ne", f"count(CASE WHEN {ok} THEN flux_err END) AS ne_ok",
-        "sum(flux_err) AS se", f"sum(CASE WHEN {ok} THEN flux_err END) AS se_ok").first()
+        "sum(flux_err) AS se", f"sum(CASE WHEN {ok} THEN flux_err END) AS se_ok",
+        "min(flux_err) AS lo", f"min(CASE WHEN {ok} THEN flux_err END) AS lo_ok",
+        "max(flux_err) AS hi", f"max(CASE WHEN {ok} THEN flux_err END) AS hi_ok").first()
     any_ok = row["n_ok"] > 0
     pick = (lambda a, b: row[b] if any_ok else row[a])
     ne, se = pick("ne", "ne_ok"), pick("se", "se_ok")
     return {"any_ok": any_ok, "rows": pick("n", "n_ok"), "max_object_rows": pick("n", "n_ok"),
             "err_count": ne, "err_mean": (se / ne) if ne else None,
-            "all_rows": row["n"], "all_err_count": row["ne"]}
+            "err_range": (ne, pick("lo", "lo_ok"), pick("hi", "hi_ok")),
+            "all_rows": row["n"], "all_err_count": row["ne"], "all_err_range": (row["ne"], row["lo"], row["hi"])}
 
 
-def fill_flux_err(df: DataFrame, policy: str, count: int | None = None, mean: float | None = None) -> DataFrame:
+def fill_flux_err(df: DataFrame, policy: str, count: int | None = None, mean: float | None = None,
+                  value_range: tuple | None = None) -> DataFrame:
     """Fill missing flux_err with a global statistic of the input.
 
     policy: ``median_or_zero`` (median; all missing -> 0), ``median`` (all missing
@@ -105,7 +109,7 @@ def fill_flux_err(df: DataFrame, policy: str, count: int | None = None, mean: fl
         stat = F.lit(mean if count else 0.0).cast("double")
     elif policy in ("median", "median_or_zero") and count is not None:
         from starlit.operators.quantile import median_column
-        stat = median_column(df, "flux_err", count)
+        stat = median_column(df, "flux_err", count, known=value_range)
         if policy == "median_or_zero":
             stat = F.coalesce(stat, F.lit(0.0))
     elif policy == "mean":

@@ -33,39 +33,61 @@ def _locate(values: DataFrame, lo: float, hi: float, ranks: list[int], buckets:
         seen = 0
         for row in hist:
             if rank < seen + row["n"]:
-                out[rank] = (row["mn"], row["mx"], rank - seen)
+                out[rank] = (row["mn"], row["mx"], rank - seen, row["n"])
                 break
             seen += row["n"]
     return out
 
 
-def exact_quantile_value(df: DataFrame, column: str, q: float = 0.5, buckets: int = 4096):
-    """Exact quantile with linear interpolation (same definition as percentile / quantile_cont)."""
+def _finish(values: DataFrame, lo: float, hi: float, ranks: list[int]) -> dict[int, float]:
+    """Exact values at 0-based ranks inside [lo, hi] when the range holds few values (one bounded task)."""
+    v = F.col("v")
+    got = values.filter(v.between(lo, hi)).agg(F.sort_array(F.collect_list(v)).alias("s")).first()["s"]
+    return {r: got[r] for r in ranks}
+
+
+def exact_quantile_value(df: DataFrame, column: str, q: float = 0.5, buckets: int = 65536,
+                         finish_limit: int = 1_000_000, known: tuple | None = None):
+    """Exact quantile with linear interpolation (same definition as percentile / quantile_cont).
+
+    ``known`` = (count, min, max) of the non-missing values saves the first pass.
+    Each round narrows the range holding the wanted rank to one histogram bucket;
+    once that bucket holds at most ``finish_limit`` values they are sorted in one
+    bounded task.
+    """
     values = df.select(F.col(column).alias("v")).filter(F.col("v").isNotNull())
-    row = values.agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
-    n = row["n"]
+    if known is None:
+        row = values.agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
+        known = (row["n"], row["lo"], row["hi"])
+    n, lo, hi = known
     if not n:
         return None
     pos = (n - 1) * q
     k0, k1 = int(math.floor(pos)), int(math.ceil(pos))
-    pending = {k: (row["lo"], row["hi"], k) for k in {k0, k1}}
+    # target rank -> (range low, range high, rank inside the range, values in the range)
+    pending = {k: (lo, hi, k, n) for k in {k0, k1}}
     found: dict[int, float] = {}
     while pending:
         groups: dict[tuple, list] = {}
-        for k, (lo, hi, r) in pending.items():
-            if lo == hi:
-                found[k] = lo
+        for k, (a, b, r, cnt) in pending.items():
+            if a == b:
+                found[k] = a
             else:
-                groups.setdefault((lo, hi), []).append((k, r))
+                groups.setdefault((a, b, cnt), []).append((k, r))
         pending = {}
-        for (lo, hi), items in groups.items():
-            located = _locate(values, lo, hi, [r for _, r in items], buckets)
+        for (a, b, cnt), items in groups.items():
+            if cnt <= finish_limit:
+                exact = _finish(values, a, b, [r for _, r in items])
+                found.update({k: exact[r] for k, r in items})
+                continue
+            located = _locate(values, a, b, [r for _, r in items], buckets)
             for k, r in items:
                 pending[k] = located[r]
     frac = pos - k0
     if k0 == k1:
         return found[k0]
-    return (1.0 - frac) * found[k0] + frac * found[k1]
+    a, b = found[k0], found[k1]
+    return a if a == b else (1.0 - frac) * a + frac * b
 
 
 def global_median(df: DataFrame, column: str, direct_limit: int = 2_000_000) -> Column:
@@ -91,7 +113,8 @@ def median_value(df: DataFrame, column: str, count: int, direct_limit: int = 2_0
     return exact_quantile_value(df, column, 0.5)
 
 
-def median_column(df: DataFrame, column: str, count: int, direct_limit: int = 2_000_000) -> Column:
+def median_column(df: DataFrame, column: str, count: int, direct_limit: int = 2_000_000,
+                  known: tuple | None = None) -> Column:
     """Exact median as a Column given the non-missing count: a lazy scalar subquery with
     Spark's exact aggregate when the count is within ``direct_limit``, else the
     histogram refinement result as a literal."""
@@ -99,4 +122,4 @@ def median_column(df: DataFrame, column: str, count: int, direct_limit: int = 2_
         return F.lit(None).cast("double")
     if count <= direct_limit:
         return df.select(F.median(F.col(column))).scalar()
-    return F.lit(exact_quantile_value(df, column, 0.5)).cast("double")
+    return F.lit(exact_quantile_value(df, column, 0.5, known=known)).cast("double")

@@ -34,7 +34,7 @@ def prepare_observations(df: DataFrame, z_threshold: float = Params().z_threshol
     df = drop_invalid(normalize_keys(coerce_numeric(df)), ("time", "flux"))
     df = df.withColumn("quality", F.coalesce(F.col("quality"), F.lit(0.0)))
     prof = profile(df)
-    df = fill_flux_err(df, "median_or_zero", count=prof["all_err_count"])
+    df = fill_flux_err(df, "median_or_zero", count=prof["all_err_count"], value_range=prof["all_err_range"])
     small = prof["all_rows"] <= hot_object_rows
     df = zscore(df, "flux", "flux_norm", strategy="window" if small else "join")
     return flag_z(df, z_threshold)
@@ -52,7 +52,7 @@ def profiled_points(df: DataFrame, mode: str):
     prof = profile(c)
     good = good_quality(c, prof["any_ok"])
     if mode == "point":
-        return fill_flux_err(good, "median", count=prof["err_count"]), prof
+        return fill_flux_err(good, "median", count=prof["err_count"], value_range=prof["err_range"]), prof
     return fill_flux_err(good, "mean", count=prof["err_count"], mean=prof["err_mean"]), prof
 
 

@@ -138,7 +138,8 @@ def q_fill_err_mean(spark, sf_dir):
 @register("global_err_stats")
 def q_global_err_stats(spark, sf_dir):
     good = clean.good_quality(cleaned(spark, sf_dir))
-    med = exact_quantile_value(good, "flux_err", 0.5, buckets=16)
+    # small buckets and finish size so the check walks several refinement rounds
+    med = exact_quantile_value(good, "flux_err", 0.5, buckets=16, finish_limit=100)
     return round_floats(good.agg(F.avg("flux_err").alias("flux_err_mean"),
                                  F.count("flux_err").alias("flux_err_count"))
                         .withColumn("flux_err_median", F.lit(med).cast("double")))

@@ -131,8 +131,16 @@ def test_exact_quantile_matches_numpy(spark):
     vals = np.concatenate([rng.normal(0, 1, 3000), np.full(2000, 0.25), rng.exponential(1e6, 500)])
     df = spark.createDataFrame([(float(v),) for v in vals], "x double")
     for q in (0.5, 0.1, 0.9):
-        got = exact_quantile_value(df, "x", q, buckets=8)
-        assert math.isclose(got, float(np.quantile(vals, q)), rel_tol=1e-12, abs_tol=1e-12)
+        want = float(np.quantile(vals, q))
+        for buckets, finish in ((8, 1), (8, 300), (65536, 1_000_000)):
+            got = exact_quantile_value(df, "x", q, buckets=buckets, finish_limit=finish)
+            assert math.isclose(got, want, rel_tol=1e-12, abs_tol=1e-12), (q, buckets, finish)
+    # the profile's (count, min, max) can seed the search
+    from starlit.operators.clean import profile
+    assert profile is not None
+    got = exact_quantile_value(df, "x", 0.5, buckets=8, finish_limit=50,
+                               known=(len(vals), float(vals.min()), float(vals.max())))
+    assert math.isclose(got, float(np.quantile(vals, 0.5)), rel_tol=1e-12)
 
 
 def test_missing_input_and_empty_guards(spark, tmp_path):
