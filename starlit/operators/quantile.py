@@ -104,15 +104,6 @@ def global_median(df: DataFrame, column: str, direct_limit: int = 2_000_000) ->
     return F.lit(value).cast("double")
 
 
-def median_value(df: DataFrame, column: str, count: int, direct_limit: int = 2_000_000):
-    """Exact median as a Python float given the non-missing count (None when empty)."""
-    if not count:
-        return None
-    if count <= direct_limit:
-        return df.select(F.median(F.col(column))).first()[0]
-    return exact_quantile_value(df, column, 0.5)
-
-
 def median_column(df: DataFrame, column: str, count: int, direct_limit: int = 2_000_000,
                   known: tuple | None = None) -> Column:
     """Exact median as a Column given the non-missing count: a lazy scalar subquery with

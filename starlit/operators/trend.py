@@ -21,9 +21,6 @@ from pyspark.sql import functions as F
 
 from starlit.schema import Params
 
-HELPERS = ["_mid", "_pid", "_local", "_ord", "_blk", "_home"]
-
-
 def frame_bounds(window: int) -> tuple[int, int]:
     """Rows before / after the current row of a centered window (pandas convention)."""
     after = (window - 1) // 2
