@@ -104,6 +104,9 @@ def ordinals(df: DataFrame, key: str, order: list[str], partitions: int) -> Data
     """
     from pyspark.sql import types as T
 
+    from starlit.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
     sort_key = [key, *order, "_mid"]
     ranged = (df.withColumn("_mid", F.monotonically_increasing_id())
               .repartitionByRange(partitions, *sort_key).sortWithinPartitions(*sort_key))

@@ -276,6 +276,8 @@ from starlit.operators import extract, sample  # noqa: E402
 def processed(spark, sf_dir):
     """The point-mode processed series the extract steps read, materialised once in the
     shared checkpoint folder (the extract steps read it several times)."""
+    from starlit.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
     return lightcurve.process(obs(spark, sf_dir), DATASET, "point", P).checkpoint(eager=True)
 
 

@@ -41,12 +41,14 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
 
 
 def apply_engine_conf(spark: SparkSession) -> None:
-    """Turn on the runtime settings the plans assume (safe on any session)."""
+    """Turn on the runtime settings the plans assume (safe on any session) and make sure
+    checkpoints have a folder (the session's spark.checkpoint.dir when set)."""
     for key, value in ENGINE_CONF.items():
         try:
             spark.conf.set(key, value)
         except Exception:  # noqa: BLE001 - static conf on a shared session
             pass
+    ensure_checkpoint_dir(spark)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
