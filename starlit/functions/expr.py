@@ -82,7 +82,9 @@ def split_pair(pair) -> tuple[Column, Column]:
 
 def fixed(c, digits: int, missing: str = "no data") -> Column:
     """Fixed-point text ('%.6f' / '%.3f') with a marker for missing values."""
-    return F.coalesce(F.format_string(f"%.{digits}f", col_of(c)), F.lit(missing))
+    c = col_of(c)
+    # format_string renders NULL as the text 'null', so test for it first
+    return F.when(c.isNull(), F.lit(missing)).otherwise(F.format_string(f"%.{digits}f", c))
 
 
 def thousands(c) -> Column:

@@ -148,3 +148,23 @@ def dashboard_query(df: DataFrame, object_id, start=None, end=None, max_points:
         subset = time_range(subset, start, end)
     plotted = random_downsample(subset, max_points)
     return plotted, plotted.filter(F.col("is_anomaly")), dashboard_summary(subset, max_points=max_points)
+
+
+def dashboard_summary_table(summary: DataFrame, dataset_key: str, visualization: str = "dash") -> DataFrame:
+    """The dashboard's (metric, value) text table for each object of a ``dashboard_summary`` result:
+    counts with thousands separators, mean and std with six decimals."""
+    from starlit.functions.expr import fixed, thousands
+
+    texts = summary.select(
+        "object_id",
+        F.lit(dataset_key).alias("Dataset"), F.col("object_id").alias("Object ID"),
+        thousands("rows_in_range").alias("Rows in selected range"),
+        thousands("rows_plotted").alias("Rows plotted"),
+        F.col("quarters").alias("Quarters"),
+        thousands("anomaly_rows_plotted").alias("Anomaly rows plotted"),
+        fixed("mean_flux_norm", 6, "nan").alias("Mean normalized flux"),
+        fixed("std_flux_norm", 6, "nan").alias("Std normalized flux"),
+        F.col("processing_method").alias("Processing method"),
+        F.lit(visualization).alias("Visualization method"))
+    metrics = [c for c in texts.columns if c != "object_id"]
+    return texts.unpivot("object_id", metrics, "metric", "value")

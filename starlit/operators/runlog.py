@@ -27,6 +27,16 @@ def read_run_metrics_csv(spark, path: str) -> DataFrame:
     return df
 
 
+def read_run_log_if_exists(spark, path: str) -> DataFrame | None:
+    """A run log to combine, or None when the file is missing, unreadable or empty."""
+    try:
+        df = spark.read.option("header", True).csv(path)
+        df = df.toDF(*[c.lstrip("﻿") for c in df.columns])
+        return None if df.isEmpty() else df
+    except Exception:  # noqa: BLE001 - a missing or broken log is skipped
+        return None
+
+
 def with_methods(df: DataFrame) -> DataFrame:
     """Numeric coercion, methods split from the pair text (overwriting any given), lower-case
     dataset and status."""

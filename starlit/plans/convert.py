@@ -44,18 +44,36 @@ def conversion_summary(spark: SparkSession, parsed: DataFrame, files: DataFrame
         F.lit("").alias("output_file"), F.lit(0.0).alias("size_mb"), status.alias("status"))
 
 
+def written_sizes(spark: SparkSession, data_path: str) -> DataFrame:
+    """Per dataset partition: output folder and size in MB of the written Parquet files
+    (file lengths from the listing; no file content is read)."""
+    files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet")
+             .option("recursiveFileLookup", "true").load(data_path).select("path", "length"))
+    ds = F.regexp_extract("path", r"dataset=([^/]+)/", 1)
+    return files.groupBy(ds.alias("dataset")).agg(
+        F.round(F.sum("length") / F.lit(1024.0 * 1024.0), 3).alias("size_mb")) \
+        .withColumn("output_file", F.concat(F.lit(data_path.rstrip("/") + "/dataset="), F.col("dataset")))
+
+
 def convert(spark: SparkSession, raw_dirs: dict[str, str], out_dir: str, compression: str = "snappy",
             preview_rows: int = 5000) -> DataFrame:
     """Ingest every dataset folder, write prepared Parquet (partitioned by dataset), a sorted preview CSV
-    and the conversion errors; return the summary."""
+    and - when at least one file was read - the conversion errors; return the summary."""
     parsed = fits.read_light_curves(spark, raw_dirs)
     files = fits.list_files(spark, raw_dirs, with_content=False)
     datasets = list(raw_dirs)
-    prepared = prepare_by_dataset(fits.good_rows(parsed), datasets)
+    good = fits.good_rows(parsed)
+    if good.isEmpty():
+        return conversion_summary(spark, parsed, files, datasets)
+    prepared = prepare_by_dataset(good, datasets)
     data_path = os.path.join(out_dir, "observations")
     tables.write_parquet(prepared, data_path, compression, partition_by="dataset")
     written = spark.read.parquet(data_path)
     tables.write_csv(tables.preview_head(written, preview_rows), os.path.join(out_dir, "preview"))
-    errors = fits.error_rows(parsed)
-    tables.write_csv(errors, os.path.join(out_dir, "conversion_errors"))
-    return conversion_summary(spark, parsed, files, datasets, written)
+    tables.write_csv(fits.error_rows(parsed), os.path.join(out_dir, "conversion_errors"))
+    summary = conversion_summary(spark, parsed, files, datasets, written).drop("size_mb", "output_file")
+    sizes = written_sizes(spark, data_path)
+    return summary.join(sizes, "dataset", "left").select(
+        "dataset", "fits_files", "rows", "objects", "quarters", "anomaly_rows",
+        F.coalesce("output_file", F.lit("")).alias("output_file"),
+        F.coalesce("size_mb", F.lit(0.0)).alias("size_mb"), "status")

@@ -383,6 +383,12 @@ def q_dashboard_query(spark, sf_dir):
                                       "is_anomaly"), skip=("time_bin",))
 
 
+@register("dashboard_summary_table")
+def q_dashboard_summary_table(spark, sf_dir):
+    ex = extract.extract_project(processed(spark, sf_dir))
+    return extract.dashboard_summary_table(extract.dashboard_summary(ex, max_points=5000), DATASET)
+
+
 @register("dashboard_summary")
 def q_dashboard_summary(spark, sf_dir):
     ex = extract.extract_project(processed(spark, sf_dir))

@@ -72,5 +72,17 @@ def test_convert_writes_outputs(spark, tmp_path):
     out = str(tmp_path / "out")
     summ = convert(spark, {"small": d}, out).collect()
     assert summ[0].status == "success_with_errors"
+    assert summ[0].size_mb > 0 and summ[0].output_file.endswith("dataset=small")
+    assert spark.read.option("header", True).csv(os.path.join(out, "conversion_errors")).count() == 1
     assert spark.read.parquet(os.path.join(out, "observations")).count() == 12
     assert spark.read.option("header", True).csv(os.path.join(out, "preview")).count() == 12
+
+
+def test_all_failed_writes_nothing(spark, tmp_path):
+    d = tmp_path / "bad"
+    d.mkdir()
+    write(d / "kplr000000001-x.fits", b"garbage")
+    out = str(tmp_path / "out")
+    summ = convert(spark, {"small": str(d)}, out).collect()
+    assert summ[0].status == "failed" and summ[0].rows == 0
+    assert not os.path.exists(os.path.join(out, "conversion_errors"))

@@ -170,3 +170,26 @@ def test_analyze_job(spark, tmp_path):
                                  str(tmp_path / "analysis"))
     ranking = spark.read.option("header", True).csv(paths["pair_ranking"])
     assert ranking.count() == 9
+
+
+def test_combine_skips_missing_logs(spark, tmp_path):
+    from starlit.operators import runlog
+    good = tmp_path / "a.csv"
+    good.write_text("\ufeffdataset,pair,status\nsmall,pandas + dash,success\n", encoding="utf-8")
+    (tmp_path / "empty.csv").write_text("", encoding="utf-8")
+    logs = [runlog.read_run_log_if_exists(spark, str(p)) for p in (good, tmp_path / "empty.csv", tmp_path / "none.csv")]
+    assert logs[1] is None and logs[2] is None
+    out = runlog.combine_run_logs(logs)
+    assert out.columns == ["dataset", "pair", "status"] and out.count() == 1
+
+
+def test_dashboard_summary_table(spark):
+    from starlit.operators import extract
+    summary = spark.createDataFrame([("7", 12345, 5000, "1, 2", 3, 0.1234565, None, "spark")],
+                                    "object_id string, rows_in_range long, rows_plotted long, quarters string, "
+                                    "anomaly_rows_plotted long, mean_flux_norm double, std_flux_norm double, "
+                                    "processing_method string")
+    rows = {r.metric: r.value for r in extract.dashboard_summary_table(summary, "small_spark").collect()}
+    assert rows["Rows in selected range"] == "12,345" and rows["Rows plotted"] == "5,000"
+    assert rows["Mean normalized flux"] == "0.123457" and rows["Std normalized flux"] == "nan"
+    assert len(rows) == 10
