@@ -74,27 +74,35 @@ def good_quality(df: DataFrame, any_ok: bool | None = None) -> DataFrame:
     return df.filter(QUALITY_OK_SQL) if any_ok else df
 
 
-def profile(df: DataFrame):
-    """One global aggregate pass of the facts the pipeline needs (a dict of scalars).
-
-    rows and good-quality rows, non-missing flux_err count and sum for both; the
-    row total is also an upper bound of the largest object, which lets the trend
-    step skip its hot-object check on inputs that cannot hold one.
+def profile(df: DataFrame, key: str = "object_id"):
+    """One pass of the global facts the pipeline needs (a dict of scalars).
+
+    Per-object partial aggregates (one row per object, map-side combined) are
+    folded into: rows and good-quality rows (total and largest object), and the
+    non-missing flux_err count, sum, min and max, each for all rows and for good
+    rows.  The largest object decides whether the trend needs the hot-object path,
+    without a separate pass.
     """
     ok = QUALITY_OK_SQL
-    row = df.selectExpr(
+    per = df.groupBy(key).agg(*[F.expr(e) for e in (
         "count(1) AS n", f"count(CASE WHEN {ok} THEN 1 END) AS n_ok",
         "count(flux_err) AS ne", f"count(CASE WHEN {ok} THEN flux_err END) AS ne_ok",
         "sum(flux_err) AS se", f"sum(CASE WHEN {ok} THEN flux_err END) AS se_ok",
         "min(flux_err) AS lo", f"min(CASE WHEN {ok} THEN flux_err END) AS lo_ok",
-        "max(flux_err) AS hi", f"max(CASE WHEN {ok} THEN flux_err END) AS hi_ok").first()
+        "max(flux_err) AS hi", f"max(CASE WHEN {ok} THEN flux_err END) AS hi_ok")])
+    row = per.selectExpr(
+        "coalesce(sum(n), 0) AS n", "coalesce(sum(n_ok), 0) AS n_ok", "coalesce(max(n), 0) AS max_n",
+        "coalesce(max(n_ok), 0) AS max_n_ok", "coalesce(sum(ne), 0) AS ne", "coalesce(sum(ne_ok), 0) AS ne_ok",
+        "sum(se) AS se", "sum(se_ok) AS se_ok", "min(lo) AS lo", "min(lo_ok) AS lo_ok",
+        "max(hi) AS hi", "max(hi_ok) AS hi_ok").first()
     any_ok = row["n_ok"] > 0
     pick = (lambda a, b: row[b] if any_ok else row[a])
     ne, se = pick("ne", "ne_ok"), pick("se", "se_ok")
-    return {"any_ok": any_ok, "rows": pick("n", "n_ok"), "max_object_rows": pick("n", "n_ok"),
+    return {"any_ok": any_ok, "rows": pick("n", "n_ok"), "max_object_rows": pick("max_n", "max_n_ok"),
             "err_count": ne, "err_mean": (se / ne) if ne else None,
             "err_range": (ne, pick("lo", "lo_ok"), pick("hi", "hi_ok")),
-            "all_rows": row["n"], "all_err_count": row["ne"], "all_err_range": (row["ne"], row["lo"], row["hi"])}
+            "all_rows": row["n"], "all_max_object_rows": row["max_n"], "all_err_count": row["ne"],
+            "all_err_range": (row["ne"], row["lo"], row["hi"])}
 
 
 def fill_flux_err(df: DataFrame, policy: str, count: int | None = None, mean: float | None = None,

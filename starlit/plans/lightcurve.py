@@ -35,7 +35,7 @@ def prepare_observations(df: DataFrame, z_threshold: float = Params().z_threshol
     df = df.withColumn("quality", F.coalesce(F.col("quality"), F.lit(0.0)))
     prof = profile(df)
     df = fill_flux_err(df, "median_or_zero", count=prof["all_err_count"], value_range=prof["all_err_range"])
-    small = prof["all_rows"] <= hot_object_rows
+    small = prof["all_max_object_rows"] <= hot_object_rows
     df = zscore(df, "flux", "flux_norm", strategy="window" if small else "join")
     return flag_z(df, z_threshold)
 
@@ -70,7 +70,8 @@ def process_point(df: DataFrame, dataset: str, params: Params = Params(), method
     pts, prof = profiled_points(df, "point")
     pts = pts.select("object_id", "quarter", "time", "flux", "flux_err", "source_file")
     trended = add_trend(pts, params, value="flux_norm", order=["quarter", "time", "flux"],
-                        strategy=strategy, with_zscore_of="flux", max_rows=prof["max_object_rows"])
+                        strategy=strategy, with_zscore_of="flux", max_rows=prof["max_object_rows"],
+                        total_rows=prof["rows"])
     flagged = trended.withColumn("is_anomaly", F.col("residual_outlier"))
     bins = bin_points_point_mode(flagged, params.bin_width)
     return bins.withColumns({"dataset": F.lit(dataset), "processing_method": F.lit(method)}) \
@@ -90,7 +91,7 @@ def process_bin(df: DataFrame, dataset: str, params: Params = Params(), method:
     bins = bin_points_bin_mode(z, params.bin_width)
     # an object has no more bins than rows, so the row profile bounds the bin count too
     trended = add_trend(bins, params, value="flux_norm", order=["quarter", "bin_id"], strategy=strategy,
-                        max_rows=prof["max_object_rows"])
+                        max_rows=prof["max_object_rows"], total_rows=prof["rows"])
     out = trended.withColumn("is_anomaly", F.col("residual_outlier") | (F.coalesce(F.col("anomaly_count"), F.lit(0)) > 0))
     return out.withColumns({"dataset": F.lit(dataset), "processing_method": F.lit(method)}) \
         .select(*BIN_COLUMNS)

@@ -632,3 +632,6 @@ SKEW_BIN = ",\n".join([SKEW_OBS, clean_ctes(), fill_cte("mean", "good", "filled"
                        bin_ctes("z")])
 SQL["process_point_skewed"] = f"WITH {SKEW_POINT}\n{POINT_SELECT}"
 SQL["process_bin_skewed"] = f"WITH {SKEW_BIN}\n{BIN_SELECT}"
+
+SQL["process_point_vectorized"] = SQL["process_point"]
+SQL["process_bin_vectorized"] = SQL["process_bin"]

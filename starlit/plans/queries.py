@@ -749,3 +749,19 @@ def q_process_bin_skewed(spark, sf_dir):
     """Bin mode with one hot object: z-score by aggregate + join (AQE), bins and bin trend after."""
     out = lightcurve.process(skewed_obs(spark, sf_dir), DATASET, "bin", SKEW_PARAMS)
     return round_floats(out, skip=("time_bin",))
+
+
+# --- the large-input trend path (vectorised per-partition pass), forced on the test tables ---------
+VECTOR_PARAMS = Params(bin_width=0.5, vectorize_rows=0)
+
+
+@register("process_point_vectorized")
+def q_process_point_vectorized(spark, sf_dir):
+    out = lightcurve.process(obs(spark, sf_dir), DATASET, "point", VECTOR_PARAMS)
+    return round_floats(out, skip=("time_bin",))
+
+
+@register("process_bin_vectorized")
+def q_process_bin_vectorized(spark, sf_dir):
+    out = lightcurve.process(obs(spark, sf_dir), DATASET, "bin", VECTOR_PARAMS)
+    return round_floats(out, skip=("time_bin",))

@@ -37,6 +37,10 @@ class Params:
     hot_object_rows: int = 2_000_000
     # Rows per block of the blocked window.
     block_rows: int = 200_000
+    # From this many rows on, ``auto`` computes the per-object trend in one vectorised
+    # pass per partition (NumPy over Arrow batches) instead of the window operator,
+    # whose framed median rebuilds an aggregation buffer for every row.
+    vectorize_rows: int = 1_000_000
 
     @property
     def half_window(self) -> int:

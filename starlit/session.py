@@ -37,9 +37,39 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``starlit`` importable in Python workers (executors): zip the package once per
+    application into the shared checkpoint folder and register it with addPyFile."""
+    import zipfile
+
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    base = ensure_checkpoint_dir(spark)
+    folder = base[len("file:"):] if base.startswith("file:") else base
+    if "://" in folder:                       # remote shared storage: stage next to the driver's copy
+        folder = tempfile.mkdtemp(prefix="starlit-py-")
+    folder = os.path.join(folder, "starlit-pyfiles", app)
+    os.makedirs(folder, exist_ok=True)
+    target = os.path.join(folder, "starlit.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg):
+            for name in files:
+                if name.endswith(".py"):
+                    full = os.path.join(root, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    spark.sparkContext.addPyFile(target)
+    _SHIPPED.add(app)
+
+
 def apply_engine_conf(spark: SparkSession) -> None:
     """Turn on the runtime settings the plans assume (safe on any session) and make sure
     checkpoints have a folder (the session's spark.checkpoint.dir when set)."""
@@ -49,6 +79,7 @@ def apply_engine_conf(spark: SparkSession) -> None:
         except Exception:  # noqa: BLE001 - static conf on a shared session
             pass
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
