@@ -117,11 +117,12 @@ def _object_trend(keys, x, v, before: int, after: int, min_periods: int, z: floa
     return v, rolling, resid, flag
 
 
-def _trend_batches(key: str, value: str, zsrc: str | None, params: Params, out_names: list[str]):
+def _trend_batches(key, value: str, zsrc: str | None, params: Params, out_names: list[str]):
     """mapInArrow body: rows arrive sorted by (key, order); an object cut by a batch boundary is
     carried into the next batch so each object is processed whole.  String columns stay Arrow
     arrays; only the numeric columns are viewed as NumPy."""
     before, after = frame_bounds(params.window)
+    keys = [key] if isinstance(key, str) else list(key)
 
     def compute(rb):
         import numpy as np
@@ -129,11 +130,12 @@ def _trend_batches(key: str, value: str, zsrc: str | None, params: Params, out_n
         import pyarrow.compute as pc
 
         n = rb.num_rows
-        k = rb.column(key)
         starts = np.zeros(n, dtype=bool)
         starts[0] = True
         if n > 1:
-            starts[1:] = np.asarray(pc.fill_null(pc.not_equal(k.slice(1), k.slice(0, n - 1)), True))
+            for name in keys:
+                k = rb.column(name)
+                starts[1:] |= np.asarray(pc.fill_null(pc.not_equal(k.slice(1), k.slice(0, n - 1)), True))
         num = (lambda c: rb.column(c).to_numpy(zero_copy_only=False).astype("float64"))
         x = num(zsrc) if zsrc else None
         v = None if zsrc else num(value)
@@ -155,14 +157,12 @@ def _trend_batches(key: str, value: str, zsrc: str | None, params: Params, out_n
             n = rb.num_rows
             if n == 0:
                 continue
-            k = rb.column(key).to_pylist()[-1]
-            last = n - 1
-            # walk back over the (sorted) last object; it may continue in the next batch
-            col = rb.column(key)
+            cols = [rb.column(name) for name in keys]
+            tail = tuple(c[n - 1].as_py() for c in cols)
             lo, hi = 0, n - 1
-            while lo < hi:                      # first index of the last key (binary search)
+            while lo < hi:                      # first row of the last group (rows are sorted)
                 mid = (lo + hi) // 2
-                if col[mid].as_py() == k:
+                if tuple(c[mid].as_py() for c in cols) == tail:
                     hi = mid
                 else:
                     lo = mid + 1
@@ -176,20 +176,24 @@ def _trend_batches(key: str, value: str, zsrc: str | None, params: Params, out_n
     return run
 
 
-def trend_vectorized(df: DataFrame, params: Params, value: str, key: str, order: list[str],
-                     with_zscore_of: str | None = None) -> DataFrame:
+def trend_vectorized(df: DataFrame, params: Params, value: str, key, order: list[str],
+                     with_zscore_of: str | None = None, clustered: bool = False) -> DataFrame:
     """Same answer as ``trend_window``: Spark clusters the rows by object (one exchange) and sorts
     them; one vectorised pass per partition computes the per-object numerics (the framed
     median costs O(window log window) per row in NumPy instead of a fresh aggregation
-    buffer per row in the window operator)."""
+    buffer per row in the window operator).  ``clustered``: the rows are already hash-partitioned
+    by the key (only the sort is added).  ``key`` may be a list: each distinct combination is a
+    series."""
     from pyspark.sql import types as T
 
-    fields = [f for f in df.schema.fields if f.name != value]
+    keys = [key] if isinstance(key, str) else list(key)
+    fields = [f for f in df.schema.fields if f.name not in (value, "rolling_flux", "residual", "residual_outlier")]
     schema = T.StructType(fields + [
         T.StructField(value, T.DoubleType()), T.StructField("rolling_flux", T.DoubleType()),
         T.StructField("residual", T.DoubleType()), T.StructField("residual_outlier", T.BooleanType())])
-    clustered = df.repartition(key).sortWithinPartitions(key, *order)
-    return clustered.mapInArrow(_trend_batches(key, value, with_zscore_of, params, schema.names), schema)
+    ready = df if clustered else df.repartition(*keys)
+    ready = ready.sortWithinPartitions(*keys, *order)
+    return ready.mapInArrow(_trend_batches(keys, value, with_zscore_of, params, schema.names), schema)
 
 
 def _local_positions(key: str):
@@ -256,7 +260,7 @@ def ordinals(df: DataFrame, key: str, order: list[str], partitions: int) -> Data
 
 
 def blocked_rolling(df: DataFrame, params: Params, value: str, key: str, order: list[str],
-                    partitions: int) -> DataFrame:
+                    partitions: int, vectorized: bool = False) -> DataFrame:
     """Rolling median over bounded (key, block) window partitions with halo rows."""
     before, after = frame_bounds(params.window)
     size = max(params.block_rows, 2 * (before + after) + 1)
@@ -270,18 +274,21 @@ def blocked_rolling(df: DataFrame, params: Params, value: str, key: str, order:
     )
     copies = o.withColumn("_t", F.explode(F.filter(targets, lambda t: t.isNotNull()))) \
         .withColumns({"_blk": F.col("_t._blk"), "_home": F.col("_t._home")}).drop("_t")
-    w = Window.partitionBy(key, "_blk").orderBy("_ord").rowsBetween(-before, after)
-    rolled = copies.withColumn("rolling_flux", _framed_median(value, w, params))
+    if vectorized:
+        rolled = trend_vectorized(copies, params, value, [key, "_blk"], ["_ord"]).drop("residual", "residual_outlier")
+    else:
+        w = Window.partitionBy(key, "_blk").orderBy("_ord").rowsBetween(-before, after)
+        rolled = copies.withColumn("rolling_flux", _framed_median(value, w, params))
     return rolled.filter(F.col("_home")).drop("_blk", "_home", "_ord", "_mid")
 
 
 def trend_blocked(df: DataFrame, params: Params, value: str, key: str, order: list[str],
-                  partitions: int, with_zscore_of: str | None = None) -> DataFrame:
+                  partitions: int, with_zscore_of: str | None = None, vectorized: bool = False) -> DataFrame:
     from starlit.operators.normalize import zscore
 
     if with_zscore_of:
         df = zscore(df, with_zscore_of, value, key, strategy="join")
-    rolled = blocked_rolling(df, params, value, key, order, partitions)
+    rolled = blocked_rolling(df, params, value, key, order, partitions, vectorized)
     rolled = rolled.withColumn("residual", F.col(value) - F.col("rolling_flux"))
     rstd = rolled.groupBy(key).agg(F.stddev_samp("residual").alias("_rstd"))
     return rolled.join(rstd, key, "left") \
@@ -307,7 +314,7 @@ def hot_keys(df: DataFrame, key: str, threshold: int, max_keys: int = 1_000_000)
 def add_trend(df: DataFrame, params: Params, value: str = "flux_norm", key: str = "object_id",
               order: list[str] | None = None, strategy: str = "auto",
               with_zscore_of: str | None = None, max_rows: int | None = None,
-              total_rows: int | None = None) -> DataFrame:
+              total_rows: int | None = None, clustered: bool = False) -> DataFrame:
     """Adds rolling_flux (missing -> value), residual and residual_outlier.
 
     With ``with_zscore_of`` the value column is first computed as the per-object
@@ -321,18 +328,21 @@ def add_trend(df: DataFrame, params: Params, value: str = "flux_norm", key: str
     if strategy == "window":
         return trend_window(df, params, value, key, order, with_zscore_of)
     if strategy == "vectorized":
-        return trend_vectorized(df, params, value, key, order, with_zscore_of)
+        return trend_vectorized(df, params, value, key, order, with_zscore_of, clustered)
     if strategy == "blocked":
         return trend_blocked(df, params, value, key, order, partitions, with_zscore_of)
     if strategy != "auto":
         raise ValueError(f"unknown trend strategy: {strategy}")
-    plain = trend_vectorized if (total_rows or 0) >= params.vectorize_rows else trend_window
+    large = (total_rows or 0) >= params.vectorize_rows
     hot = None if (max_rows is not None and max_rows <= params.hot_object_rows) else \
         hot_keys(df, key, params.hot_object_rows)
     if hot is None:
-        return plain(df, params, value, key, order, with_zscore_of)
+        if large:
+            return trend_vectorized(df, params, value, key, order, with_zscore_of, clustered)
+        return trend_window(df, params, value, key, order, with_zscore_of)
+    plain = trend_vectorized if large else trend_window
     tagged = df.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
     normal = plain(tagged.filter(F.col("_hot").isNull()).drop("_hot"), params, value, key, order, with_zscore_of)
     heavy = trend_blocked(tagged.filter(F.col("_hot")).drop("_hot"), params, value, key, order,
-                          partitions, with_zscore_of)
+                          partitions, with_zscore_of, vectorized=large)
     return normal.unionByName(heavy)

@@ -90,8 +90,9 @@ def process_bin(df: DataFrame, dataset: str, params: Params = Params(), method:
     z = flag_z(z, params.z_threshold, out="is_anomaly_prelim")
     bins = bin_points_bin_mode(z, params.bin_width)
     # an object has no more bins than rows, so the row profile bounds the bin count too
+    # bins of a window-normalised input are still hash-partitioned by object_id
     trended = add_trend(bins, params, value="flux_norm", order=["quarter", "bin_id"], strategy=strategy,
-                        max_rows=prof["max_object_rows"], total_rows=prof["rows"])
+                        max_rows=prof["max_object_rows"], total_rows=prof["rows"], clustered=small)
     out = trended.withColumn("is_anomaly", F.col("residual_outlier") | (F.coalesce(F.col("anomaly_count"), F.lit(0)) > 0))
     return out.withColumns({"dataset": F.lit(dataset), "processing_method": F.lit(method)}) \
         .select(*BIN_COLUMNS)

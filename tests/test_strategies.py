@@ -31,10 +31,14 @@ def test_blocked_and_auto_equal_window(spark, obs, mode):
                                  strategy="auto"))
     vectorized = rows(lightcurve.process(obs, "obs", mode, base, strategy="vectorized"))
     auto_large = rows(lightcurve.process(obs, "obs", mode, Params(bin_width=0.5, vectorize_rows=0), strategy="auto"))
+    # hot objects on the large-input path: blocks computed by the vectorised pass
+    hot_large = rows(lightcurve.process(obs, "obs", mode, Params(bin_width=0.5, hot_object_rows=55, block_rows=25,
+                                                                 vectorize_rows=0), strategy="auto"))
     assert blocked == plain
     assert auto == plain
     assert vectorized == plain
     assert auto_large == plain
+    assert hot_large == plain
 
 
 def test_ordinals_are_dense(spark):
