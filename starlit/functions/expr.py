@@ -142,3 +142,20 @@ def with_sql(df, columns: dict[str, str]):
     out = {c: q(c) for c in df.columns}
     out.update(columns)
     return select_sql(df, out)
+
+
+# The same whitespace set as SQL text for trim(BOTH ... FROM ...).
+WHITESPACE_SQL = "' \\t\\n\\u000B\\u000C\\r'"
+
+
+def with_split_pair(df, pair: str, first: str, second: str):
+    """Add the two parts of a 'processing + visualisation' pair text (rules as ``split_pair``);
+    the split is computed once in its own projection."""
+    tmp = "_pair_parts"
+    parts = with_sql(df, {tmp: f"split({q(pair)}, '[+]', -1)"})
+    t = lambda e: f"lower(trim(BOTH {WHITESPACE_SQL} FROM {e}))"
+    return with_sql(parts, {
+        first: f"CASE WHEN {q(pair)} IS NULL THEN '' WHEN size({tmp}) = 2 THEN {t(tmp + '[0]')} "
+               f"ELSE {t(q(pair))} END",
+        second: f"CASE WHEN {q(pair)} IS NULL THEN '' WHEN size({tmp}) = 2 THEN {t(tmp + '[1]')} ELSE '' END",
+    }).drop(tmp)

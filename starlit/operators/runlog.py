@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starlit.functions.expr import as_double, round_scaled, split_pair
+from starlit.functions.expr import round_scaled, sql_as_double, with_split_pair, with_sql
 from starlit.schema import RUN_METRICS_REQUIRED, require_columns
 
 METRIC_NUMBERS = ["processing_time_sec", "visualization_time_sec", "total_time_sec",
@@ -41,14 +41,13 @@ def with_methods(df: DataFrame) -> DataFrame:
     """Numeric coercion, methods split from the pair text (overwriting any given), lower-case
     dataset and status."""
     require_columns(df.columns, RUN_METRICS_REQUIRED, "metrics")
-    proc, viz = split_pair(F.col("pair"))
-    return df.withColumns({
-        **{c: as_double(c) for c in METRIC_NUMBERS},
-        "processing_method": proc,
-        "visualization_method": viz,
-        "dataset": F.lower(F.col("dataset").cast("string")),
-        "status": F.lower(F.col("status").cast("string")),
+    types = {f.name: f.dataType for f in df.schema.fields}
+    df = with_sql(df, {
+        **{c: sql_as_double(c, types[c]) for c in METRIC_NUMBERS},
+        "dataset": "lower(CAST(dataset AS STRING))",
+        "status": "lower(CAST(status AS STRING))",
     })
+    return with_split_pair(df, "pair", "processing_method", "visualization_method")
 
 
 def successful_runs(df: DataFrame) -> DataFrame:

@@ -193,3 +193,11 @@ def test_dashboard_summary_table(spark):
     assert rows["Rows in selected range"] == "12,345" and rows["Rows plotted"] == "5,000"
     assert rows["Mean normalized flux"] == "0.123457" and rows["Std normalized flux"] == "nan"
     assert len(rows) == 10
+
+
+def test_with_split_pair_matches_column_form(spark):
+    from starlit.functions.expr import with_split_pair
+    df = spark.createDataFrame([("Pandas + Dash",), ("pandas +",), ("a+b+c",), (None,), (" Spark\t+ plotly\n",)],
+                               "pair string")
+    got = [(r.p, r.v) for r in with_split_pair(df, "pair", "p", "v").collect()]
+    assert got == [("pandas", "dash"), ("pandas", ""), ("a+b+c", ""), ("", ""), ("spark", "plotly")]
