@@ -273,9 +273,11 @@ def blocked_rolling(df: DataFrame, params: Params, value: str, key: str, order:
         F.when(r >= size - before, F.struct((blk + 1).alias("_blk"), F.lit(False).alias("_home"))),
     )
     copies = o.withColumn("_t", F.explode(F.filter(targets, lambda t: t.isNotNull()))) \
-        .withColumns({"_blk": F.col("_t._blk"), "_home": F.col("_t._home")}).drop("_t")
+        .withColumns({"_blk": F.col("_t._blk"), "_home": F.col("_t._home")}).drop("_t") \
+        .repartition(partitions, key, "_blk")
     if vectorized:
-        rolled = trend_vectorized(copies, params, value, [key, "_blk"], ["_ord"]).drop("residual", "residual_outlier")
+        rolled = trend_vectorized(copies, params, value, [key, "_blk"], ["_ord"], clustered=True) \
+            .drop("residual", "residual_outlier")
     else:
         w = Window.partitionBy(key, "_blk").orderBy("_ord").rowsBetween(-before, after)
         rolled = copies.withColumn("rolling_flux", _framed_median(value, w, params))
@@ -297,18 +299,18 @@ def trend_blocked(df: DataFrame, params: Params, value: str, key: str, order: li
 
 
 def hot_keys(df: DataFrame, key: str, threshold: int, max_keys: int = 1_000_000):
-    """Keys with more than ``threshold`` rows, or None when there are none.
+    """(keys with more than ``threshold`` rows, their total rows), or (None, 0) when there are none.
 
     The list is at most rows / threshold long; its length is checked before it is
     used as a broadcast side.
     """
-    hot = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > threshold).select(key)
-    n = hot.count()
-    if n == 0:
-        return None
-    if n > max_keys:
-        raise ValueError(f"{n} keys exceed {threshold} rows; raise hot_object_rows")
-    return hot
+    counted = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > threshold)
+    facts = counted.agg(F.count(F.lit(1)).alias("k"), F.sum("_n").alias("rows")).first()
+    if not facts["k"]:
+        return None, 0
+    if facts["k"] > max_keys:
+        raise ValueError(f"{facts['k']} keys exceed {threshold} rows; raise hot_object_rows")
+    return counted.select(key), int(facts["rows"])
 
 
 def add_trend(df: DataFrame, params: Params, value: str = "flux_norm", key: str = "object_id",
@@ -334,7 +336,7 @@ def add_trend(df: DataFrame, params: Params, value: str = "flux_norm", key: str
     if strategy != "auto":
         raise ValueError(f"unknown trend strategy: {strategy}")
     large = (total_rows or 0) >= params.vectorize_rows
-    hot = None if (max_rows is not None and max_rows <= params.hot_object_rows) else \
+    hot, hot_rows = (None, 0) if (max_rows is not None and max_rows <= params.hot_object_rows) else \
         hot_keys(df, key, params.hot_object_rows)
     if hot is None:
         if large:
@@ -343,6 +345,8 @@ def add_trend(df: DataFrame, params: Params, value: str = "flux_norm", key: str
     plain = trend_vectorized if large else trend_window
     tagged = df.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
     normal = plain(tagged.filter(F.col("_hot").isNull()).drop("_hot"), params, value, key, order, with_zscore_of)
+    # size the hot path by its rows, not by the session default
+    hot_parts = max(partitions, -(-hot_rows // max(1, params.range_rows)))
     heavy = trend_blocked(tagged.filter(F.col("_hot")).drop("_hot"), params, value, key, order,
-                          partitions, with_zscore_of, vectorized=large)
+                          hot_parts, with_zscore_of, vectorized=large)
     return normal.unionByName(heavy)

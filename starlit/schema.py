@@ -41,6 +41,8 @@ class Params:
     # pass per partition (NumPy over Arrow batches) instead of the window operator,
     # whose framed median rebuilds an aggregation buffer for every row.
     vectorize_rows: int = 1_000_000
+    # Target rows per partition of the hot-object path (range partitions and block partitions).
+    range_rows: int = 5_000_000
 
     @property
     def half_window(self) -> int:
