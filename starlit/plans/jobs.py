@@ -39,11 +39,14 @@ def process_file(spark: SparkSession, input_path: str, output_dir: str, dataset:
     """Read observations, run the pipeline, write ``<dataset>_<method>_processed`` and return the summary."""
     raw = read_input(spark, input_path)
     require_columns(raw.columns, REQUIRED_PIPELINE_COLUMNS)
-    out = lightcurve.process(raw, dataset, mode, params, method)
+    # the input row count is observed by the first job that scans the input (the profile pass)
+    counted, seen = lightcurve.observed_counts(raw, "rows_input")
+    facts: dict = {}
+    out = lightcurve.process(counted, dataset, mode, params, method, profile_out=facts)
     path = os.path.join(output_dir, f"{dataset}_{method}_processed.parquet")
     tables.write_parquet(out, path)
     written = require_rows(spark.read.parquet(path), "processed output")
-    summary = lightcurve.run_summary(raw, written, dataset, mode).first().asDict()
+    summary = lightcurve.output_summary(written, dataset, seen.get["rows"], facts["rows"])
     return {**summary, "input_file": input_path, "output_file": path}
 
 

@@ -57,17 +57,20 @@ def profiled_points(df: DataFrame, mode: str):
 
 
 def process(df: DataFrame, dataset: str, mode: str = "point", params: Params = Params(),
-            method: str = "spark", strategy: str = "auto") -> DataFrame:
+            method: str = "spark", strategy: str = "auto", profile_out: dict | None = None) -> DataFrame:
+    """Run one mode; ``profile_out`` (a dict) receives the profile facts (e.g. rows after cleaning)."""
     if mode == "point":
-        return process_point(df, dataset, params, method, strategy)
+        return process_point(df, dataset, params, method, strategy, profile_out)
     if mode == "bin":
-        return process_bin(df, dataset, params, method, strategy)
+        return process_bin(df, dataset, params, method, strategy, profile_out)
     raise ValueError(f"unknown mode: {mode}")
 
 
 def process_point(df: DataFrame, dataset: str, params: Params = Params(), method: str = "spark",
-                  strategy: str = "auto") -> DataFrame:
+                  strategy: str = "auto", profile_out: dict | None = None) -> DataFrame:
     pts, prof = profiled_points(df, "point")
+    if profile_out is not None:
+        profile_out.update(prof)
     pts = pts.select("object_id", "quarter", "time", "flux", "flux_err", "source_file")
     trended = add_trend(pts, params, value="flux_norm", order=["quarter", "time", "flux"],
                         strategy=strategy, with_zscore_of="flux", max_rows=prof["max_object_rows"],
@@ -79,8 +82,10 @@ def process_point(df: DataFrame, dataset: str, params: Params = Params(), method
 
 
 def process_bin(df: DataFrame, dataset: str, params: Params = Params(), method: str = "spark",
-                strategy: str = "auto") -> DataFrame:
+                strategy: str = "auto", profile_out: dict | None = None) -> DataFrame:
     pts, prof = profiled_points(df, "bin")
+    if profile_out is not None:
+        profile_out.update(prof)
     pts = pts.select("object_id", "quarter", "time", "flux", "flux_err", "source_file")
     # No object can be hot: a per-object window for the z-score clusters the points by
     # object once, and the bin aggregate and bin windows reuse that partitioning (one
@@ -118,6 +123,16 @@ def run_summary(raw: DataFrame, processed: DataFrame, dataset: str, mode: str =
 
 
 def observed_counts(df: DataFrame, name: str = "rows"):
-    """Attach a row counter that is filled by the sink's own job (no extra action)."""
+    """Attach a row counter filled by the first job that reads ``df`` (no extra pass)."""
     obs = Observation(name)
     return df.observe(obs, F.count(F.lit(1)).alias("rows")), obs
+
+
+def output_summary(processed: DataFrame, dataset: str, rows_input: int, rows_after_cleaning: int) -> dict:
+    """Summary of a written output: one small aggregate over the output plus known counts."""
+    agg = processed.agg(
+        F.count(F.lit(1)).alias("rows_output"), F.count_distinct("object_id").alias("objects"),
+        F.count_distinct("quarter").alias("quarters"),
+        F.coalesce(F.sum(F.col("is_anomaly").cast("long")), F.lit(0)).alias("anomaly_rows")).first()
+    return {"dataset": dataset, "rows_input": int(rows_input), "rows_after_cleaning": int(rows_after_cleaning),
+            **agg.asDict()}
