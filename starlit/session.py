@@ -46,7 +46,10 @@ _SHIPPED: set[str] = set()
 
 def ship_package(spark: SparkSession) -> None:
     """Make ``starlit`` importable in Python workers (executors): zip the package once per
-    application into the shared checkpoint folder and register it with addPyFile."""
+    application into the shared checkpoint folder and register it with addPyFile.
+
+    When the checkpoint folder is remote storage (hdfs://, s3a://, ...) nothing is written: on a
+    cluster the package ships with the job (``spark-submit --py-files starlit.zip``)."""
     import zipfile
 
     app = spark.sparkContext.applicationId
@@ -55,8 +58,9 @@ def ship_package(spark: SparkSession) -> None:
     pkg = os.path.dirname(os.path.abspath(__file__))
     base = ensure_checkpoint_dir(spark)
     folder = base[len("file:"):] if base.startswith("file:") else base
-    if "://" in folder:                       # remote shared storage: stage next to the driver's copy
-        folder = tempfile.mkdtemp(prefix="starlit-py-")
+    if "://" in folder:
+        _SHIPPED.add(app)
+        return
     folder = os.path.join(folder, "starlit-pyfiles", app)
     os.makedirs(folder, exist_ok=True)
     target = os.path.join(folder, "starlit.zip")
