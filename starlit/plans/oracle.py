@@ -616,7 +616,7 @@ SELECT ds.dataset, ds.fits_files::BIGINT AS fits_files, COALESCE(rows, 0)::BIGIN
 FROM ds LEFT JOIN st ON ds.dataset = st.dataset LEFT JOIN er ON ds.dataset = er.dataset"""
 SQL["preview_head"] = f"""WITH {PREP}
 SELECT object_id, quarter, "time", flux, round(flux_norm, 6) AS flux_norm FROM prep
-ORDER BY object_id, quarter, "time" LIMIT 500"""
+ORDER BY object_id, quarter, "time" LIMIT 5000"""
 SQL["union_parts"] = f"WITH {OBS}\nSELECT * FROM obs"
 
 SQL["dashboard_query"] = f"""WITH {EX}

@@ -690,7 +690,7 @@ def q_conversion_summary(spark, sf_dir):
 @register("preview_head")
 def q_preview_head(spark, sf_dir):
     prep = lightcurve.prepare_observations(obs(spark, sf_dir))
-    return round_floats(tables.preview_head(prep, 500).select("object_id", "quarter", "time", "flux", "flux_norm"),
+    return round_floats(tables.preview_head(prep, 5000).select("object_id", "quarter", "time", "flux", "flux_norm"),
                         skip=("time", "flux"))
 
 
