@@ -150,28 +150,35 @@ def _trend_batches(key, value: str, zsrc: str | None, params: Params, out_names:
     def run(batches):
         import pyarrow as pa
 
-        carry = None
+        pending: list = []          # batches of a group that may continue in the next batch
+
+        def row_key(rb, i):
+            return tuple(rb.column(name)[i].as_py() for name in keys)
+
         for rb in batches:
-            if carry is not None and carry.num_rows:
-                rb = pa.Table.from_batches([carry, rb]).combine_chunks().to_batches()[0]
             n = rb.num_rows
             if n == 0:
                 continue
-            cols = [rb.column(name) for name in keys]
-            tail = tuple(c[n - 1].as_py() for c in cols)
+            tail = row_key(rb, n - 1)
+            if pending and row_key(rb, 0) == tail and row_key(pending[-1], pending[-1].num_rows - 1) == tail:
+                pending.append(rb)  # the whole batch continues the pending group: no copy yet
+                continue
+            rb = pa.Table.from_batches(pending + [rb]).combine_chunks().to_batches()[0] if pending else rb
+            n = rb.num_rows
             lo, hi = 0, n - 1
-            while lo < hi:                      # first row of the last group (rows are sorted)
+            while lo < hi:          # first row of the last group (rows are sorted)
                 mid = (lo + hi) // 2
-                if tuple(c[mid].as_py() for c in cols) == tail:
+                if row_key(rb, mid) == tail:
                     hi = mid
                 else:
                     lo = mid + 1
-            last = lo
-            done, carry = rb.slice(0, last), rb.slice(last)
-            if done.num_rows:
-                yield compute(done)
-        if carry is not None and carry.num_rows:
-            yield compute(carry)
+            pending = [rb.slice(lo)]
+            if lo:
+                yield compute(rb.slice(0, lo))
+        if pending:
+            rest = pa.Table.from_batches(pending).combine_chunks().to_batches()[0]
+            if rest.num_rows:
+                yield compute(rest)
 
     return run
 

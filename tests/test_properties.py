@@ -89,3 +89,22 @@ def test_random_downsample_contract(spark):
     assert sorted(map(tuple, a)) == sorted(map(tuple, b))      # independent of partitioning
     small = sample.random_downsample(df, 1000).count()
     assert small == 3000                                       # n <= k keeps everything
+
+
+def test_vectorized_trend_small_batches(spark):
+    """Objects spread over many Arrow batches are carried over whole."""
+    rng = np.random.default_rng(3)
+    pdf = random_series(rng, objects=8)
+    want = pandas_trend(pdf.copy(), Params())
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = trend.add_trend(spark.createDataFrame(pdf), Params(), value="flux_norm",
+                              order=["quarter", "time", "flux"], strategy="vectorized",
+                              with_zscore_of="flux").toPandas()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    m = want.merge(got, on=["object_id", "time"], suffixes=("", "_s"))
+    assert len(m) == len(want)
+    for c in ("flux_norm", "rolling_flux", "residual"):
+        assert np.allclose(m[c], m[f"{c}_s"], rtol=1e-9, atol=1e-12), c
+    assert (m["residual_outlier"] == m["residual_outlier_s"]).all()
