@@ -1,17 +1,21 @@
 """Centered rolling-median trend, residuals and residual outliers.
 
-Two physical strategies give the same answer:
+Three physical strategies give the same answer:
 
 * ``window`` - one window partition per object (one exchange on object_id;
-  z-score, rolling median and residual std all reuse it).
+  z-score, rolling median and residual std all reuse it); all in the JVM.
+* ``vectorized`` - Spark clusters the rows by object and sorts them; one
+  ``mapInArrow`` pass per partition computes the per-object numerics with NumPy
+  (the framed median of the window operator rebuilds a buffer for every row).
 * ``blocked`` - for hot objects: exact row ordinals within the object
   (range partitioning over the full sort key + per-partition offsets), then
   fixed-size blocks of ``block_rows`` rows with the ``window // 2`` neighbouring
-  rows of each adjacent block copied in as halo, so every window partition is
-  bounded no matter how many rows one object has.
+  rows of each adjacent block copied in as halo, so every partition is bounded
+  no matter how many rows one object has.
 
 ``auto`` routes objects with more than ``hot_object_rows`` rows to ``blocked``
-and the rest to ``window``; the hot list is size-checked before it is broadcast.
+(the hot list is size-checked before it is broadcast) and the rest to
+``vectorized`` for inputs of ``vectorize_rows`` rows or more, else ``window``.
 """
 
 from __future__ import annotations
