@@ -47,9 +47,13 @@ def main() -> None:
 
     value = round(sum(timings.values()), 4)
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
+    import pyarrow.parquet as pq
+    events = pq.ParquetFile(os.path.join(sf_dir, "events.parquet")).metadata.num_rows
+    rates = {q: round(events / timings[q]) for q in ("process_point", "process_bin", "prepare_observations")
+             if q in timings and timings[q] > 0}
     print(json.dumps({"metric": "headline_queries_median_sum", "value": value, "unit": "sec",
                       "queries": timings, "sf": sf, "session_start_sec": round(session_sec, 3),
-                      "runs": runs, "cpus": cpus}))
+                      "runs": runs, "cpus": cpus, "input_rows": events, "rows_per_sec": rates}))
     spark.stop()
 
 
