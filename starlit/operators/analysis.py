@@ -69,7 +69,7 @@ def pair_ranking(clean: DataFrame) -> DataFrame:
         F.avg("processing_memory_peak_mb").alias("mean_memory_peak_mb"),
     )
     return agg.withColumn("rank", F.row_number().over(
-        Window.orderBy("mean_total_time_sec", "pair", "processing_method", "visualization_method")))
+        Window.orderBy("mean_total_time_sec", "pair", "processing_method", "visualization_method")).cast("long"))
 
 
 def fastest_method(clean: DataFrame) -> DataFrame:
@@ -106,7 +106,7 @@ def report_lines(clean: DataFrame) -> DataFrame:
         F.col("visualization_method").alias("_sort"), F.col("m").alias("_num"))
     lines = best.unionByName(overall).unionByName(fastest).unionByName(viz)
     w = Window.partitionBy("section").orderBy("_num", "_sort")
-    return lines.withColumn("ord", F.row_number().over(w)).drop("_sort", "_num")
+    return lines.withColumn("ord", F.row_number().over(w).cast("long")).drop("_sort", "_num")
 
 
 def format_report(lines: DataFrame) -> DataFrame:

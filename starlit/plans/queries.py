@@ -250,7 +250,7 @@ def q_canonical_order(spark, sf_dir):
     from pyspark.sql import Window
     prep = lightcurve.prepare_observations(obs(spark, sf_dir))
     w = Window.partitionBy("object_id").orderBy("quarter", "time", "flux")
-    return prep.select("object_id", "quarter", "time", F.row_number().over(w).alias("position"))
+    return prep.select("object_id", "quarter", "time", F.row_number().over(w).cast("long").alias("position"))
 
 
 @register("prepare_observations")
