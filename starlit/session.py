@@ -82,8 +82,11 @@ def apply_engine_conf(spark: SparkSession) -> None:
             spark.conf.set(key, value)
         except Exception:  # noqa: BLE001 - static conf on a shared session
             pass
-    ensure_checkpoint_dir(spark)
-    ship_package(spark)
+    try:
+        ensure_checkpoint_dir(spark)
+        ship_package(spark)
+    except Exception:  # noqa: BLE001 - sessions without a SparkContext handle (remote clients)
+        pass
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
