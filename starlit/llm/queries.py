@@ -5,10 +5,16 @@ from __future__ import annotations
 import importlib
 
 _MODULES = {
+    "op1_exact_dedup": "exact_dedup",
+    "op3_mix_sources": "mixing",
+    "op5_url_filter": "url_filter",
     "op7_hilbert_shards": "hilbert",
 }
 
 QUERIES = {name: getattr(importlib.import_module(f"starlit.llm.{module}"), name)
            for name, module in _MODULES.items()}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_exact_dedup": importlib.import_module("starlit.llm.exact_dedup").OP1_SQL,
+    "op5_url_filter": importlib.import_module("starlit.llm.url_filter").OP5_SQL,
+}
