@@ -34,6 +34,8 @@ STATE_CONF = {
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    # no space reserved ahead: each partition's store would hold 4 MB of disk, however small its state
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 FINGERPRINT = "locator string, doc_id bigint, n_points bigint, digest string"
 
