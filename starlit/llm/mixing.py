@@ -35,7 +35,8 @@ BLOCK_WORDS = 256
 SHARD_SLOTS = 4096
 ROUNDS = 20
 SEED = 20_240_607
-PAGE = 4096  # slots generated per row of the slot pages
+PAGE = 1024  # slots generated per row of the slot pages
+PAGES_PER_TASK = 32
 
 
 def permuted(x: str, n: str, seed: str) -> str:
@@ -89,7 +90,8 @@ def draw_slots(plan: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int
     front of the block). Slots are generated by pages, so a hot source spreads over all tasks."""
     L = block_words
     pages = plan.filter("slots > 0").select("*", F.explode(F.expr(f"sequence(0L, (slots - 1) div {PAGE})")).alias("page"))
-    slots = (pages.repartition(F.col("sid"), F.col("page"))
+    total = plan.agg(F.sum("slots")).first()[0] or 0
+    slots = (pages.repartition(max(1, -(-total // (PAGES_PER_TASK * PAGE))), "sid", "page")
              .select("*", F.explode(F.expr(f"sequence(page * {PAGE}, least(page * {PAGE} + {PAGE - 1}, slots - 1))")).alias("k"))
              .withColumn("pass", F.expr("least(k div greatest(n_blocks, 1L), passes)"))
              .withColumn("i", F.expr("k - pass * n_blocks"))
@@ -135,7 +137,8 @@ def doc_blocks(packed: DataFrame, slots: DataFrame, block_words: int = BLOCK_WOR
         F.max(F.expr("if(pass = passes, words, 0)")).alias("part"))
     pieces = packed.filter("size > 0").select(
         "*", F.explode(F.expr(f"sequence(start div {L}, (start + size - 1) div {L})")).alias("block"))
-    return (pieces.join(taken, ["sid", "block"])
+    # generated rows have no size estimate that could be trusted: never broadcast
+    return (pieces.join(taken.hint("merge"), ["sid", "block"])
             .withColumn("at", F.expr(f"block * {L} - start"))
             .withColumn("lo", F.expr("greatest(at, 0L)")).withColumn("hi", F.expr(f"least(at + {L}, size)"))
             .withColumn("part_hi", F.expr("least(at + part, size)")))
