@@ -6,7 +6,9 @@ import importlib
 
 _MODULES = {
     "op1_exact_dedup": "exact_dedup",
+    "op2_decontaminate": "decontaminate",
     "op3_mix_sources": "mixing",
+    "op4_token_files": "token_files",
     "op5_url_filter": "url_filter",
     "op7_hilbert_shards": "hilbert",
 }
@@ -16,5 +18,6 @@ QUERIES = {name: getattr(importlib.import_module(f"starlit.llm.{module}"), name)
 
 SQL: dict[str, str] = {
     "op1_exact_dedup": importlib.import_module("starlit.llm.exact_dedup").OP1_SQL,
+    "op2_decontaminate": importlib.import_module("starlit.llm.decontaminate").OP2_SQL,
     "op5_url_filter": importlib.import_module("starlit.llm.url_filter").OP5_SQL,
 }
