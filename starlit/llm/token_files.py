@@ -20,6 +20,7 @@ other columns are ignored.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -29,12 +30,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from starlit.llm.common import add_missing, scratch_dir, table
+from starlit.llm.common import add_missing, scratch_dir, stash, table
 
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-CACHE_WORDS = 500_000
-BATCH_ROWS = 500
+CACHE_WORDS = 150_000
+CACHE_PIECES = 300_000
+BATCH_ROWS = 200
 STRIPE_BYTES = 64 << 20
 
 _PLAIN = re.compile(r"[\x21-\x7E\xC0-\xD6\xD8-\xF6\xF8-\xFF]+")
@@ -42,6 +44,14 @@ _PLAIN = re.compile(r"[\x21-\x7E\xC0-\xD6\xD8-\xF6\xF8-\xFF]+")
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xDF-\xF6\xF8-\xFF]+|[0-9]|[^a-z\xDF-\xF6\xF8-\xFF0-9]+")
 
 
+_STOPS = (b",", b".", b";", b":", b"!", b"?")
+
+
+def _packed(ids: list[int]) -> bytes:
+    """Little-endian 32-bit integers."""
+    return struct.pack(f"<{len(ids)}i", *ids)
+
+
 def _byte_letters() -> dict[int, str]:
     """Byte-level alphabet: printable Latin-1 bytes stand for themselves, the others for letters from U+0100 on."""
     printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -54,14 +64,14 @@ class WordEncoder:
 
     _made: dict[str, WordEncoder] = {}
 
-    def __init__(self, path: str, cache_words: int = CACHE_WORDS):
+    def __init__(self, path: str, cache_words: int = CACHE_WORDS, cache_pieces: int = CACHE_PIECES):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
-        self.cache_words = cache_words
+        self.cache_words, self.cache_pieces = cache_words, cache_pieces
         self.words: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.pieces: dict[bytes, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
@@ -69,25 +79,29 @@ class WordEncoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def _piece(self, piece: str) -> bytes:
+    def _piece(self, piece: bytes) -> bytes:
         ids = self.pieces.get(piece)
         if ids is None:
-            mapped = piece.encode().decode("latin-1").translate(self.letters)
-            ids = np.array([t.id for t in self.model.tokenize(mapped)], dtype="<i4").tobytes()
-            self.pieces[piece] = ids
+            if len(self.pieces) >= self.cache_pieces:
+                self.pieces.clear()
+            mapped = piece.decode("latin-1").translate(self.letters)
+            ids = self.pieces[piece] = _packed([t.id for t in self.model.tokenize(mapped)])
         return ids
 
     def _word(self, word: bytes) -> bytes:
+        if word.isalpha():  # of bytes: A-Z and a-z only
+            return self._piece(word.lower())
+        if word[-1:] in _STOPS and word[:-1].isalpha():
+            return self._piece(word[:-1].lower()) + self._piece(word[-1:])
         text = word.decode()
         if _PLAIN.fullmatch(text) and "<|" not in text:
-            return b"".join(map(self._piece, _PIECES.findall(text.lower())))
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<i4").tobytes()
+            return b"".join([self._piece(p.encode()) for p in _PIECES.findall(text.lower())])
+        return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def encode(self, text: bytes) -> bytes:
         """Little-endian 32-bit ids of a UTF-8 text."""
         if len(self.words) > self.cache_words:
             self.words.clear()
-            self.pieces.clear()
         words = text.split()  # of bytes: exactly the six ASCII white-space characters
         known = self.words
         for w in set(words).difference(known):
@@ -127,13 +141,17 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """The files' rows with ``start``: ids of all documents before the row's own."""
-    rows = spark.read.schema("doc_id bigint, part int, pos bigint, offset bigint, ids array<int>").orc(path)
-    # one row per part; parts number as many as the write had tasks
-    lengths = rows.groupBy("part").agg(F.max(F.col("offset") + F.size("ids")).alias("n"))
+    """The rows of the files: doc_id, part, pos, offset (ids before the row in its part) and ids."""
+    return spark.read.schema("doc_id bigint, part int, pos bigint, offset bigint, ids array<int>").orc(path)
+
+
+def with_starts(rows: DataFrame) -> DataFrame:
+    """Adds ``start``, the ids of all documents before a row's own, to rows with part, offset and n_tokens."""
+    lengths = rows.groupBy("part").agg(F.max(F.col("offset") + F.col("n_tokens")).alias("n"))
     ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = lengths.select("part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("base"))
-    return rows.join(bases, "part").withColumn("start", F.col("base") + F.col("offset")).drop("base")
+    # one number for each task of the write: a bound that holds at any size
+    return rows.join(F.broadcast(bases), "part").withColumn("start", F.col("base") + F.col("offset")).drop("base")
 
 
 def lookup_documents(spark: SparkSession, path: str, ids: list[int]) -> DataFrame:
@@ -148,14 +166,15 @@ def _checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data = memoryview(np.ascontiguousarray(lists.values.to_numpy(zero_copy_only=False), dtype="<u4")).cast("B")
         crc = [zlib.crc32(data[4 * a:4 * b]) for a, b in zip(ends[:-1], ends[1:])]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("start"), pa.array(np.diff(ends).astype(np.int64)), pa.array(crc, pa.int64())],
-            names=["doc_id", "start", "n_tokens", "ids_crc32"])
+            [batch.column("doc_id"), batch.column("part"), batch.column("offset"), pa.array(np.diff(ends).astype(np.int64)),
+             pa.array(crc, pa.int64())], names=["doc_id", "part", "offset", "n_tokens", "ids_crc32"])
 
 
 def token_digest(spark: SparkSession, path: str) -> DataFrame:
     """One row per document of the files: doc_id, start, n_tokens and ids_crc32 (of little-endian unsigned ids)."""
-    return read_token_files(spark, path).select("doc_id", "start", "ids").mapInArrow(
-        _checksums, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    sums = stash(read_token_files(spark, path).select("doc_id", "part", "offset", "ids").mapInArrow(
+        _checksums, "doc_id bigint, part int, offset bigint, n_tokens bigint, ids_crc32 bigint"), "token-sums")
+    return with_starts(sums).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def encode_documents(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
