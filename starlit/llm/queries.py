@@ -1,23 +1,28 @@
-"""Registered queries of the training-data operators, and their SQL twins where SQL can state them."""
+"""Registered queries of the training-data operators, and their SQL twins where SQL can state them.
 
-from __future__ import annotations
+Rows that SQL cannot state (pseudorandom mixing, tokenizers, trained scores, curve positions, 75 % similarity of
+whole shingle sets at this size) are tested against brute-force versions in ``tests/llm``.
+"""
 
-import importlib
+from __future__ import annotations
 
-_MODULES = {
-    "op1_exact_dedup": "exact_dedup",
-    "op2_decontaminate": "decontaminate",
-    "op3_mix_sources": "mixing",
-    "op4_token_files": "token_files",
-    "op5_url_filter": "url_filter",
-    "op7_hilbert_shards": "hilbert",
-}
+from starlit.llm.decontaminate import OP2_SQL, op2_decontaminate
+from starlit.llm.exact_dedup import OP1_SQL, op1_exact_dedup
+from starlit.llm.hilbert import op7_hilbert_shards
+from starlit.llm.mixing import op3_mix_sources
+from starlit.llm.near_dedup import op9_near_dedup
+from starlit.llm.ngram_lm import op10_lm_score
+from starlit.llm.quality import op6_quality
+from starlit.llm.token_files import op4_token_files
+from starlit.llm.toxicity import op8_toxicity
+from starlit.llm.url_filter import OP5_SQL, op5_url_filter
 
-QUERIES = {name: getattr(importlib.import_module(f"starlit.llm.{module}"), name)
-           for name, module in _MODULES.items()}
+QUERIES = {f.__name__: f for f in (
+    op1_exact_dedup, op2_decontaminate, op3_mix_sources, op4_token_files, op5_url_filter, op6_quality,
+    op7_hilbert_shards, op8_toxicity, op9_near_dedup, op10_lm_score)}
 
 SQL: dict[str, str] = {
-    "op1_exact_dedup": importlib.import_module("starlit.llm.exact_dedup").OP1_SQL,
-    "op2_decontaminate": importlib.import_module("starlit.llm.decontaminate").OP2_SQL,
-    "op5_url_filter": importlib.import_module("starlit.llm.url_filter").OP5_SQL,
+    "op1_exact_dedup": OP1_SQL,
+    "op2_decontaminate": OP2_SQL,
+    "op5_url_filter": OP5_SQL,
 }
