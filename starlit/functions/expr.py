@@ -45,9 +45,13 @@ def quality_ok(q) -> Column:
 
 
 def safe_zscore(x, mean, std) -> Column:
-    """(x - mean) / std, 0.0 where std is NULL (single row) or 0."""
-    return F.coalesce(F.try_divide(col_of(x) - col_of(mean), F.nullif(col_of(std), F.lit(0.0))),
-                      F.lit(0.0))
+    """(x - mean) / std, 0.0 where std is NULL (single row), NaN (an infinite value) or 0."""
+    return F.coalesce(F.try_divide(col_of(x) - col_of(mean), usable_std(std)), F.lit(0.0))
+
+
+def usable_std(std) -> Column:
+    """A standard deviation to divide by or compare with: NULL where it is NaN or 0."""
+    return F.nullif(nan_to_null(std), F.lit(0.0))
 
 
 def bin_id(time, width: float) -> Column:

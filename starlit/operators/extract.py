@@ -85,6 +85,13 @@ def time_extent(df: DataFrame, key: str = "object_id") -> DataFrame:
         .withColumn("step", F.greatest((F.col("max_time") - F.col("min_time")) / 1000.0, F.lit(0.001)))
 
 
+def series_extent(df: DataFrame) -> DataFrame:
+    """One row for a whole series: min/max time_bin and slider step; (0, 1, 0.01) for an empty one."""
+    lo, hi = F.min("time_bin"), F.max("time_bin")
+    return df.agg(F.coalesce(lo, F.lit(0.0)).alias("min_time"), F.coalesce(hi, F.lit(1.0)).alias("max_time"),
+                  F.coalesce(F.greatest((hi - lo) / 1000.0, F.lit(0.001)), F.lit(0.01)).alias("step"))
+
+
 def quarters_text(quarters_col) -> F.Column:
     """Aggregate: distinct non-negative quarters, sorted, joined with ', ' ('unknown' if none)."""
     qs = F.array_sort(F.collect_set(F.when(quarters_col >= 0, quarters_col)))
@@ -113,14 +120,9 @@ def chart_series(processed: DataFrame, max_points: int) -> DataFrame:
     top = top_object(processed).select("object_id")
     subset = processed.join(top, "object_id", "left_semi")
     sampled = even_downsample(subset, max_points, order=SERIES_ORDER)
-    base = sampled.select("object_id", "time_bin", "quarter", "flux_norm", "rolling_flux", "is_anomaly")
-    flux = base.select("object_id", F.lit("flux").alias("series"), F.col("time_bin").alias("x"),
-                       F.col("flux_norm").alias("y"))
-    trend = base.select("object_id", F.lit("trend").alias("series"), F.col("time_bin").alias("x"),
-                        F.col("rolling_flux").alias("y"))
-    anomaly = base.filter(F.col("is_anomaly")).select("object_id", F.lit("anomaly").alias("series"),
-                                                      F.col("time_bin").alias("x"), F.col("flux_norm").alias("y"))
-    return flux.unionByName(trend).unionByName(anomaly)
+    point = lambda series, y: F.struct(F.lit(series).alias("series"), F.col("time_bin").alias("x"), F.col(y).alias("y"))
+    points = F.array(point("flux", "flux_norm"), point("trend", "rolling_flux"), F.when(F.col("is_anomaly"), point("anomaly", "flux_norm")))
+    return sampled.select("object_id", F.explode(F.filter(points, lambda p: p.isNotNull())).alias("p")).select("object_id", "p.*")
 
 
 def dashboard_summary(df: DataFrame, start=None, end=None, max_points: int = 5000,

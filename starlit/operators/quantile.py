@@ -5,10 +5,9 @@ one buffer; for a global (ungrouped) median that is one task holding the whole
 column.  Here the exact value is found by histogram refinement: every round is
 a grouped count over at most ``buckets`` value ranges (partial aggregation on
 the executors), the driver reads at most ``buckets`` (count, min, max) rows and
-narrows the range that holds the wanted rank.  Rounds stop when the range holds
-a single distinct value, so the answer is exact.  Small inputs (at most
-``direct_limit`` values, checked by a count) use Spark's exact aggregate
-directly as a lazy scalar subquery.
+narrows the range that holds the wanted rank.  Infinite values are ranked apart, so the
+ranges are finite and every round narrows them.  Once a range holds at most
+``finish_limit`` values, one bounded task picks the wanted ones.  Inputs of every size take this route.
 """
 
 from __future__ import annotations
@@ -40,10 +39,12 @@ def _locate(values: DataFrame, lo: float, hi: float, ranks: list[int], buckets:
 
 
 def _finish(values: DataFrame, lo: float, hi: float, ranks: list[int]) -> dict[int, float]:
-    """Exact values at 0-based ranks inside [lo, hi] when the range holds few values (one bounded task)."""
+    """Exact values at 0-based ranks inside [lo, hi] when the range holds few values: sorted and picked in
+    one bounded task, so only the wanted values reach the driver."""
     v = F.col("v")
-    got = values.filter(v.between(lo, hi)).agg(F.sort_array(F.collect_list(v)).alias("s")).first()["s"]
-    return {r: got[r] for r in ranks}
+    got = values.filter(v.between(lo, hi)).agg(F.sort_array(F.collect_list(v)).alias("s")).select(
+        *[F.get("s", F.lit(r)).alias(f"r{r}") for r in ranks]).first()
+    return {r: got[f"r{r}"] for r in ranks}
 
 
 def exact_quantile_value(df: DataFrame, column: str, q: float = 0.5, buckets: int = 65536,
@@ -55,7 +56,7 @@ def exact_quantile_value(df: DataFrame, column: str, q: float = 0.5, buckets: in
     once that bucket holds at most ``finish_limit`` values they are sorted in one
     bounded task.
     """
-    values = df.select(F.col(column).alias("v")).filter(F.col("v").isNotNull())
+    values = df.select(F.col(column).cast("double").alias("v")).filter("v is not null and not isnan(v)")
     if known is None:
         row = values.agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
         known = (row["n"], row["lo"], row["hi"])
@@ -64,9 +65,17 @@ def exact_quantile_value(df: DataFrame, column: str, q: float = 0.5, buckets: in
         return None
     pos = (n - 1) * q
     k0, k1 = int(math.floor(pos)), int(math.ceil(pos))
+    below = above = 0
+    if math.isinf(lo) or math.isinf(hi):
+        low, high = F.col("v") == float("-inf"), F.col("v") == float("inf")
+        row = values.agg(F.count_if(low).alias("below"), F.count_if(high).alias("above"),
+                         F.min(F.when(~low & ~high, F.col("v"))).alias("lo"),
+                         F.max(F.when(~low & ~high, F.col("v"))).alias("hi")).first()
+        below, above, lo, hi = row["below"], row["above"], row["lo"], row["hi"]
+    found: dict[int, float] = {k: float("-inf") if k < below else float("inf") for k in {k0, k1}
+                               if k < below or k >= n - above}
     # target rank -> (range low, range high, rank inside the range, values in the range)
-    pending = {k: (lo, hi, k, n) for k in {k0, k1}}
-    found: dict[int, float] = {}
+    pending = {k: (lo, hi, k - below, n - below - above) for k in {k0, k1} - set(found)}
     while pending:
         groups: dict[tuple, list] = {}
         for k, (a, b, r, cnt) in pending.items():
@@ -82,6 +91,8 @@ def exact_quantile_value(df: DataFrame, column: str, q: float = 0.5, buckets: in
                 continue
             located = _locate(values, a, b, [r for _, r in items], buckets)
             for k, r in items:
+                if located.get(r, (a, b, 0, cnt))[:2] == (a, b):
+                    raise RuntimeError(f"no progress towards rank {k} of {column} between {a} and {b}")
                 pending[k] = located[r]
     frac = pos - k0
     if k0 == k1:
@@ -90,27 +101,11 @@ def exact_quantile_value(df: DataFrame, column: str, q: float = 0.5, buckets: in
     return a if a == b else (1.0 - frac) * a + frac * b
 
 
-def global_median(df: DataFrame, column: str, direct_limit: int = 2_000_000) -> Column:
-    """Exact median of a column as a Column usable in expressions over ``df``.
-
-    A count decides the route: at most ``direct_limit`` values -> a lazy scalar
-    subquery with Spark's exact median (one task, bounded input); more -> the
-    histogram refinement above, whose result is a literal.
-    """
-    n = df.select(F.count(F.col(column)).alias("n")).first()["n"]
-    if n <= direct_limit:
-        return df.select(F.median(F.col(column))).scalar()
-    value = exact_quantile_value(df, column, 0.5)
-    return F.lit(value).cast("double")
+def global_median(df: DataFrame, column: str) -> Column:
+    """Exact median of a column as a literal for expressions over ``df`` (NULL when there is no value)."""
+    return F.lit(exact_quantile_value(df, column, 0.5)).cast("double")
 
 
-def median_column(df: DataFrame, column: str, count: int, direct_limit: int = 2_000_000,
-                  known: tuple | None = None) -> Column:
-    """Exact median as a Column given the non-missing count: a lazy scalar subquery with
-    Spark's exact aggregate when the count is within ``direct_limit``, else the
-    histogram refinement result as a literal."""
-    if not count:
-        return F.lit(None).cast("double")
-    if count <= direct_limit:
-        return df.select(F.median(F.col(column))).scalar()
-    return F.lit(exact_quantile_value(df, column, 0.5, known=known)).cast("double")
+def median_column(df: DataFrame, column: str, count: int, known: tuple | None = None) -> Column:
+    """``global_median`` given the non-missing count and, if known, (count, min, max)."""
+    return F.lit(exact_quantile_value(df, column, 0.5, known=known) if count else None).cast("double")

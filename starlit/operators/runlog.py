@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import logging
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from starlit.functions.expr import round_scaled, sql_as_double, with_split_pair, with_sql
-from starlit.schema import RUN_METRICS_REQUIRED, require_columns
+from starlit.functions.expr import as_double, round_scaled, sql_as_double, with_split_pair, with_sql
+from starlit.schema import RUN_METRICS, RUN_METRICS_REQUIRED, require_columns
+from starlit.sources.storage import path_exists
+
+log = logging.getLogger(__name__)
 
 METRIC_NUMBERS = ["processing_time_sec", "visualization_time_sec", "total_time_sec",
                   "processing_memory_peak_mb"]
@@ -27,13 +33,21 @@ def read_run_metrics_csv(spark, path: str) -> DataFrame:
     return df
 
 
-def read_run_log_if_exists(spark, path: str) -> DataFrame | None:
-    """A run log to combine, or None when the file is missing, unreadable or empty."""
+def read_run_log_if_exists(spark, path: str, skipped: list | None = None) -> DataFrame | None:
+    """A run log to combine, or None when the file is missing, empty or not a table; the reason is logged and
+    (path, reason) appended to ``skipped``. Storage and job errors are not taken for a missing log."""
     try:
+        if not path_exists(spark, path):
+            raise ValueError("no such file")
         df = spark.read.option("header", True).csv(path)
-        df = df.toDF(*[c.lstrip("﻿") for c in df.columns])
-        return None if df.isEmpty() else df
-    except Exception:  # noqa: BLE001 - a missing or broken log is skipped
+        df = df.toDF(*[c.lstrip("\ufeff") for c in df.columns])
+        if df.isEmpty():
+            raise ValueError("no rows")
+        return df
+    except (AnalysisException, ValueError) as exc:
+        log.warning("run log %s skipped: %s", path, exc)
+        if skipped is not None:
+            skipped.append((path, str(exc)))
         return None
 
 
@@ -78,10 +92,24 @@ def clean_run_log(df: DataFrame, sort: bool = False) -> DataFrame:
     return out
 
 
-def combine_run_logs(logs: list[DataFrame]) -> DataFrame:
-    """Union of run logs by column name; columns missing from a log are NULL; empty inputs skipped."""
+def combine_run_logs(logs: list[DataFrame | None]) -> DataFrame | None:
+    """Union of run logs by column name; columns missing from a log are NULL; empty inputs skipped (None when
+    nothing is left). Where logs disagree on a column's type, metrics become numbers (bad text is NULL) and
+    everything else text."""
     logs = [d for d in logs if d is not None]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), logs)
+    if not logs:
+        return None
+    types: dict[str, set] = {}
+    for d in logs:
+        for f in d.schema.fields:
+            types.setdefault(f.name, set()).add(f.dataType)
+    numbers = {f.name for f in RUN_METRICS.fields if isinstance(f.dataType, T.NumericType)}
+
+    def agreed(d: DataFrame) -> DataFrame:
+        return d.withColumns({
+            f.name: as_double(f.name, f.dataType) if f.name in numbers else F.col(f.name).cast("string")
+            for f in d.schema.fields if len(types[f.name]) > 1})
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), map(agreed, logs))
 
 
 def assemble_run_log(processing: DataFrame, visualization: DataFrame) -> DataFrame:

@@ -1,20 +1,20 @@
 """Centered rolling-median trend, residuals and residual outliers.
 
-Three physical strategies give the same answer:
+z-scores, residual standard deviations and flags are Spark aggregates in every strategy, so the strategies
+differ only in how the framed median is computed:
 
 * ``window`` - one window partition per object (one exchange on object_id;
   z-score, rolling median and residual std all reuse it); all in the JVM.
-* ``vectorized`` - Spark clusters the rows by object and sorts them; one
-  ``mapInArrow`` pass per partition computes the per-object numerics with NumPy
-  (the framed median of the window operator rebuilds a buffer for every row).
+* ``vectorized`` - rows are repartitioned by object (an explicit exchange, whatever the input's partitioning)
+  and sorted; one ``mapInArrow`` pass per partition computes the framed medians with NumPy (the window
+  operator rebuilds a buffer for every row).
 * ``blocked`` - for hot objects: exact row ordinals within the object
   (range partitioning over the full sort key + per-partition offsets), then
   fixed-size blocks of ``block_rows`` rows with the ``window // 2`` neighbouring
   rows of each adjacent block copied in as halo, so every partition is bounded
   no matter how many rows one object has.
 
-``auto`` routes objects with more than ``hot_object_rows`` rows to ``blocked``
-(the hot list is size-checked before it is broadcast) and the rest to
+``auto`` routes objects with more than ``hot_object_rows`` rows to ``blocked`` and the rest to
 ``vectorized`` for inputs of ``vectorize_rows`` rows or more, else ``window``.
 """
 
@@ -23,8 +23,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from starlit.functions.expr import usable_std
 from starlit.schema import Params
 
+
 def frame_bounds(window: int) -> tuple[int, int]:
     """Rows before / after the current row of a centered window (pandas convention)."""
     after = (window - 1) // 2
@@ -32,7 +34,7 @@ def frame_bounds(window: int) -> tuple[int, int]:
 
 
 def _outlier(residual: Column, std: Column, z: float) -> Column:
-    return F.coalesce(F.abs(residual) > F.lit(float(z)) * F.nullif(std, F.lit(0.0)), F.lit(False))
+    return F.coalesce(F.abs(residual) > F.lit(float(z)) * usable_std(std), F.lit(False))
 
 
 def _framed_median(value: str, w, params: Params) -> Column:
@@ -54,27 +56,24 @@ def trend_window(df: DataFrame, params: Params, value: str, key: str, order: lis
     if with_zscore_of:
         x = q(with_zscore_of)
         df = with_sql(df, {value: f"coalesce(try_divide({x} - avg({x}) OVER {whole}, "
-                                  f"nullif(stddev_samp({x}) OVER {whole}, 0.0D)), 0.0D)"})
+                                  f"nullif(nanvl(stddev_samp({x}) OVER {whole}, CAST(NULL AS DOUBLE)), 0.0D)), 0.0D)"})
     df = with_sql(df, {"rolling_flux": f"coalesce(CASE WHEN count({v}) OVER {frame} >= {int(params.min_periods)} "
                                        f"THEN percentile({v}, 0.5D) OVER {frame} END, {v})"})
     resid = f"({v} - rolling_flux)"
     z = f"{float(params.z_threshold)!r}D"
     return with_sql(df, {
         "residual": resid,
-        "residual_outlier": f"coalesce(abs({resid}) > {z} * nullif(stddev_samp({resid}) OVER {whole}, 0.0D), false)",
+        "residual_outlier": f"coalesce(abs({resid}) > {z} * nullif(nanvl(stddev_samp({resid}) OVER {whole}, "
+                            "CAST(NULL AS DOUBLE)), 0.0D), false)",
     })
 
 
-def _object_trend(keys, x, v, before: int, after: int, min_periods: int, z: float):
-    """Per-object numerics on rows sorted by (key, order) that hold whole objects (NumPy, vectorised).
+def framed_medians(keys, v, before: int, after: int, min_periods: int):
+    """Centered rolling medians on rows sorted by (key, order) that hold whole objects (NumPy, vectorised).
 
-    ``keys``: boolean array, True where a new object starts (index 0 included);
-    ``x``: values to z-score (or None when ``v`` is given); ``v``: the series values.
-    Returns (value, rolling, residual, outlier): the z-score (sample std; NULL or 0 -> 0),
-    the centered rolling median over at most before + 1 + after rows of the object
-    (the value itself when fewer than min_periods values), the residual and the
-    residual outlier flag.  The median of an even count is 0.5 * a + 0.5 * b, as in
-    Spark's percentile.
+    ``keys``: boolean array, True where a new object starts (index 0 included); ``v``: the series, NaN where
+    missing.  The median over at most before + 1 + after rows of the object, the value itself where fewer than
+    min_periods values are there; of an even count it is 0.5 * a + 0.5 * b, as in Spark's percentile.
     """
     import numpy as np
 
@@ -82,46 +81,26 @@ def _object_trend(keys, x, v, before: int, after: int, min_periods: int, z: floa
     n = len(keys)
     ends = np.r_[starts[1:], n]
     obj = np.repeat(np.arange(len(starts)), ends - starts)
-
-    def per_object_std(a):
-        ok = ~np.isnan(a)
-        cnt = np.add.reduceat(ok.astype(np.int64), starts)
-        mean = np.add.reduceat(np.where(ok, a, 0.0), starts) / np.maximum(cnt, 1)
-        dev = np.where(ok, a - mean[obj], 0.0)
-        var = np.add.reduceat(dev * dev, starts) / np.maximum(cnt - 1, 1)
-        return mean, np.where(cnt > 1, np.sqrt(var), np.nan)
-
-    if x is not None:
-        mean, std = per_object_std(x)
-        s_row = std[obj]
-        good = ~np.isnan(s_row) & (s_row != 0)
-        v = np.where(good, (x - mean[obj]) / np.where(good, s_row, 1.0), 0.0)
     rolling = np.empty(n)
-    lo_all, hi_all = starts[obj], ends[obj]
+    first, last = starts[obj], ends[obj]
     offsets = np.arange(-before, after + 1)
     step = max(1, 2_000_000 // len(offsets))             # bound the n x window matrix
     for a0 in range(0, n, step):
         a1 = min(n, a0 + step)
         idx = np.arange(a0, a1)[:, None] + offsets[None, :]
-        inside = (idx >= lo_all[a0:a1, None]) & (idx < hi_all[a0:a1, None])
-        vals = v[np.clip(idx, 0, n - 1)]
-        vals = np.where(inside & ~np.isnan(vals), vals, np.inf)
-        cnt = (vals != np.inf).sum(axis=1)
-        vals.sort(axis=1)
-        lo_v = np.take_along_axis(vals, np.maximum((cnt - 1) // 2, 0)[:, None], axis=1)[:, 0]
-        hi_v = np.take_along_axis(vals, np.maximum(cnt // 2, 0)[:, None], axis=1)[:, 0]
-        med = np.where(lo_v == hi_v, lo_v, 0.5 * lo_v + 0.5 * hi_v)
-        rolling[a0:a1] = np.where((cnt >= min_periods) & (cnt > 0), med, v[a0:a1])
-    resid = v - rolling
-    _, rstd = per_object_std(resid)
-    r_row = rstd[obj]
-    with np.errstate(invalid="ignore"):
-        flag = np.abs(resid) > z * r_row
-    flag = np.where(np.isnan(r_row) | (r_row == 0), False, flag)
-    return v, rolling, resid, flag
-
-
-def _trend_batches(key, value: str, zsrc: str | None, params: Params, out_names: list[str]):
+        inside = (idx >= first[a0:a1, None]) & (idx < last[a0:a1, None])
+        frame = np.where(inside, v[np.clip(idx, 0, n - 1)], np.nan)
+        held = (~np.isnan(frame)).sum(axis=1)
+        frame.sort(axis=1)                               # NaN, the missing, sorts behind infinity
+        low = np.take_along_axis(frame, np.maximum((held - 1) // 2, 0)[:, None], axis=1)[:, 0]
+        high = np.take_along_axis(frame, (held // 2).clip(0, len(offsets) - 1)[:, None], axis=1)[:, 0]
+        with np.errstate(invalid="ignore"):
+            median = np.where(low == high, low, 0.5 * low + 0.5 * high)
+        rolling[a0:a1] = np.where((held >= min_periods) & (held > 0), median, v[a0:a1])
+    return rolling
+
+
+def _median_batches(key, value: str, params: Params, out_names: list[str]):
     """mapInArrow body: rows arrive sorted by (key, order); an object cut by a batch boundary is
     carried into the next batch so each object is processed whole.  String columns stay Arrow
     arrays; only the numeric columns are viewed as NumPy."""
@@ -140,15 +119,10 @@ def _trend_batches(key, value: str, zsrc: str | None, params: Params, out_names:
             for name in keys:
                 k = rb.column(name)
                 starts[1:] |= np.asarray(pc.fill_null(pc.not_equal(k.slice(1), k.slice(0, n - 1)), True))
-        num = (lambda c: rb.column(c).to_numpy(zero_copy_only=False).astype("float64"))
-        x = num(zsrc) if zsrc else None
-        v = None if zsrc else num(value)
-        val, rolling, resid, flag = _object_trend(starts, x, v, before, after, params.min_periods, params.z_threshold)
-        cols = {name: rb.column(name) for name in rb.schema.names if name != value}
-        cols[value] = pa.array(val, type=pa.float64())
-        cols["rolling_flux"] = pa.array(rolling, type=pa.float64())
-        cols["residual"] = pa.array(resid, type=pa.float64())
-        cols["residual_outlier"] = pa.array(flag, type=pa.bool_())
+        v = rb.column(value).to_numpy(zero_copy_only=False).astype("float64")
+        rolling = framed_medians(starts, v, before, after, params.min_periods)
+        cols = {name: rb.column(name) for name in rb.schema.names}
+        cols["rolling_flux"] = pa.array(rolling, type=pa.float64(), mask=np.isnan(rolling))
         return pa.RecordBatch.from_arrays([cols[c] for c in out_names], names=out_names)
 
     def run(batches):
@@ -187,24 +161,42 @@ def _trend_batches(key, value: str, zsrc: str | None, params: Params, out_names:
     return run
 
 
-def trend_vectorized(df: DataFrame, params: Params, value: str, key, order: list[str],
-                     with_zscore_of: str | None = None, clustered: bool = False) -> DataFrame:
-    """Same answer as ``trend_window``: Spark clusters the rows by object (one exchange) and sorts
-    them; one vectorised pass per partition computes the per-object numerics (the framed
-    median costs O(window log window) per row in NumPy instead of a fresh aggregation
-    buffer per row in the window operator).  ``clustered``: the rows are already hash-partitioned
-    by the key (only the sort is added).  ``key`` may be a list: each distinct combination is a
-    series."""
+def vectorized_rolling(df: DataFrame, params: Params, value: str, key, order: list[str],
+                       partitions: int | None = None) -> DataFrame:
+    """Adds rolling_flux.  The rows are repartitioned by the key here, always: mapInArrow requires no
+    distribution of its own, so none of an earlier operator is relied on.  ``key`` may be a list: each
+    distinct combination is a series."""
     from pyspark.sql import types as T
 
     keys = [key] if isinstance(key, str) else list(key)
-    fields = [f for f in df.schema.fields if f.name not in (value, "rolling_flux", "residual", "residual_outlier")]
-    schema = T.StructType(fields + [
-        T.StructField(value, T.DoubleType()), T.StructField("rolling_flux", T.DoubleType()),
-        T.StructField("residual", T.DoubleType()), T.StructField("residual_outlier", T.BooleanType())])
-    ready = df if clustered else df.repartition(*keys)
+    schema = T.StructType([f for f in df.schema.fields if f.name != "rolling_flux"]
+                          + [T.StructField("rolling_flux", T.DoubleType())])
+    ready = df.repartition(partitions, *keys) if partitions else df.repartition(*keys)
     ready = ready.sortWithinPartitions(*keys, *order)
-    return ready.mapInArrow(_trend_batches(keys, value, with_zscore_of, params, schema.names), schema)
+    return ready.mapInArrow(_median_batches(keys, value, params, schema.names), schema)
+
+
+def with_residuals(rolled: DataFrame, params: Params, value: str, key: str) -> DataFrame:
+    """residual and residual_outlier from rolling_flux: one aggregate per object, joined back."""
+    rolled = rolled.withColumn("residual", F.col(value) - F.col("rolling_flux"))
+    rstd = rolled.groupBy(key).agg(F.stddev_samp("residual").alias("_rstd"))
+    return rolled.join(rstd, key, "left") \
+        .withColumn("residual_outlier", _outlier(F.col("residual"), F.col("_rstd"), params.z_threshold)) \
+        .drop("_rstd")
+
+
+def trend_vectorized(df: DataFrame, params: Params, value: str, key: str, order: list[str],
+                     with_zscore_of: str | None = None) -> DataFrame:
+    """Same answer as ``trend_window``: only the framed median is computed in Arrow batches.  The rolled rows are
+    written once to the shared checkpoint folder, because the residual aggregate and the join both read them."""
+    from starlit.operators.normalize import zscore
+    from starlit.session import ensure_checkpoint_dir
+
+    if with_zscore_of:
+        df = zscore(df, with_zscore_of, value, key, strategy="join")
+    ensure_checkpoint_dir(df.sparkSession)
+    rolled = vectorized_rolling(df, params, value, key, order).checkpoint(eager=True)
+    return with_residuals(rolled, params, value, key)
 
 
 def _local_positions(key: str):
@@ -284,14 +276,12 @@ def blocked_rolling(df: DataFrame, params: Params, value: str, key: str, order:
         F.when(r >= size - before, F.struct((blk + 1).alias("_blk"), F.lit(False).alias("_home"))),
     )
     copies = o.withColumn("_t", F.explode(F.filter(targets, lambda t: t.isNotNull()))) \
-        .withColumns({"_blk": F.col("_t._blk"), "_home": F.col("_t._home")}).drop("_t") \
-        .repartition(partitions, key, "_blk")
+        .withColumns({"_blk": F.col("_t._blk"), "_home": F.col("_t._home")}).drop("_t")
     if vectorized:
-        rolled = trend_vectorized(copies, params, value, [key, "_blk"], ["_ord"], clustered=True) \
-            .drop("residual", "residual_outlier")
+        rolled = vectorized_rolling(copies, params, value, [key, "_blk"], ["_ord"], partitions)
     else:
         w = Window.partitionBy(key, "_blk").orderBy("_ord").rowsBetween(-before, after)
-        rolled = copies.withColumn("rolling_flux", _framed_median(value, w, params))
+        rolled = copies.repartition(partitions, key, "_blk").withColumn("rolling_flux", _framed_median(value, w, params))
     return rolled.filter(F.col("_home")).drop("_blk", "_home", "_ord", "_mid")
 
 
@@ -301,33 +291,22 @@ def trend_blocked(df: DataFrame, params: Params, value: str, key: str, order: li
 
     if with_zscore_of:
         df = zscore(df, with_zscore_of, value, key, strategy="join")
-    rolled = blocked_rolling(df, params, value, key, order, partitions, vectorized)
-    rolled = rolled.withColumn("residual", F.col(value) - F.col("rolling_flux"))
-    rstd = rolled.groupBy(key).agg(F.stddev_samp("residual").alias("_rstd"))
-    return rolled.join(rstd, key, "left") \
-        .withColumn("residual_outlier", _outlier(F.col("residual"), F.col("_rstd"), params.z_threshold)) \
-        .drop("_rstd")
-
+    # the residual aggregate and the join both read the rolled rows: the median pass runs once
+    rolled = blocked_rolling(df, params, value, key, order, partitions, vectorized).checkpoint(eager=True)
+    return with_residuals(rolled, params, value, key)
 
-def hot_keys(df: DataFrame, key: str, threshold: int, max_keys: int = 1_000_000):
-    """(keys with more than ``threshold`` rows, their total rows), or (None, 0) when there are none.
 
-    The list is at most rows / threshold long; its length is checked before it is
-    used as a broadcast side.
-    """
-    counted = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > threshold)
-    facts = counted.agg(F.count(F.lit(1)).alias("k"), F.sum("_n").alias("rows")).first()
-    if not facts["k"]:
-        return None, 0
-    if facts["k"] > max_keys:
-        raise ValueError(f"{facts['k']} keys exceed {threshold} rows; raise hot_object_rows")
-    return counted.select(key), int(facts["rows"])
+def hot_keys(df: DataFrame, key: str, threshold: int):
+    """(keys with more than ``threshold`` rows, their total rows), or (None, 0) when there are none."""
+    hot = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > threshold)
+    rows = hot.agg(F.sum("_n").alias("rows")).first()["rows"]
+    return (None, 0) if rows is None else (hot.select(key), int(rows))
 
 
 def add_trend(df: DataFrame, params: Params, value: str = "flux_norm", key: str = "object_id",
               order: list[str] | None = None, strategy: str = "auto",
               with_zscore_of: str | None = None, max_rows: int | None = None,
-              total_rows: int | None = None, clustered: bool = False) -> DataFrame:
+              total_rows: int | None = None) -> DataFrame:
     """Adds rolling_flux (missing -> value), residual and residual_outlier.
 
     With ``with_zscore_of`` the value column is first computed as the per-object
@@ -341,7 +320,7 @@ def add_trend(df: DataFrame, params: Params, value: str = "flux_norm", key: str
     if strategy == "window":
         return trend_window(df, params, value, key, order, with_zscore_of)
     if strategy == "vectorized":
-        return trend_vectorized(df, params, value, key, order, with_zscore_of, clustered)
+        return trend_vectorized(df, params, value, key, order, with_zscore_of)
     if strategy == "blocked":
         return trend_blocked(df, params, value, key, order, partitions, with_zscore_of)
     if strategy != "auto":
@@ -351,10 +330,11 @@ def add_trend(df: DataFrame, params: Params, value: str = "flux_norm", key: str
         hot_keys(df, key, params.hot_object_rows)
     if hot is None:
         if large:
-            return trend_vectorized(df, params, value, key, order, with_zscore_of, clustered)
+            return trend_vectorized(df, params, value, key, order, with_zscore_of)
         return trend_window(df, params, value, key, order, with_zscore_of)
     plain = trend_vectorized if large else trend_window
-    tagged = df.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
+    # a plain join: AQE broadcasts the hot list when it is small and splits hot keys when it is not
+    tagged = df.join(hot.withColumn("_hot", F.lit(True)), key, "left")
     normal = plain(tagged.filter(F.col("_hot").isNull()).drop("_hot"), params, value, key, order, with_zscore_of)
     # size the hot path by its rows, not by the session default
     hot_parts = max(partitions, -(-hot_rows // max(1, params.range_rows)))

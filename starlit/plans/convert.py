@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starlit.plans.lightcurve import prepare_observations
+from starlit.session import scratch_path
 from starlit.sources import fits, tables
 
 
@@ -28,7 +30,7 @@ def conversion_summary(spark: SparkSession, parsed: DataFrame, files: DataFrame
     errs = parsed.groupBy("dataset").agg(F.count(F.col("error")).alias("errors"),
                                          F.count(F.when(F.col("error").isNull(), F.col("source_file"))).alias("_ok"))
     if prepared is None:
-        prepared = prepare_observations(fits.good_rows(parsed))
+        prepared = prepare_by_dataset(fits.good_rows(parsed), datasets)
     stats = prepared.groupBy("dataset").agg(
         F.count(F.lit(1)).alias("rows"), F.count_distinct("object_id").alias("objects"),
         F.count_distinct("quarter").alias("quarters"), F.sum(F.col("is_anomaly").cast("long")).alias("anomaly_rows"))
@@ -57,20 +59,28 @@ def written_sizes(spark: SparkSession, data_path: str) -> DataFrame:
 
 def convert(spark: SparkSession, raw_dirs: dict[str, str], out_dir: str, compression: str = "snappy",
             preview_rows: int = 5000) -> DataFrame:
-    """Ingest every dataset folder, write prepared Parquet (partitioned by dataset), a sorted preview CSV
-    and - when at least one file was read - the conversion errors; return the summary."""
-    parsed = fits.read_light_curves(spark, raw_dirs)
-    files = fits.list_files(spark, raw_dirs, with_content=False)
+    """Ingest every dataset folder, write prepared Parquet (partitioned by dataset) and, per dataset, a sorted
+    preview CSV and its conversion errors if there are any; return the summary.
+
+    Files are decoded once, into a table on shared storage partitioned by dataset; everything after reads that."""
     datasets = list(raw_dirs)
-    good = fits.good_rows(parsed)
-    if good.isEmpty():
+    files = fits.list_files(spark, raw_dirs, with_content=False)
+    staged = scratch_path(spark, f"decoded/{uuid.uuid4().hex}")
+    fits.read_light_curves(spark, raw_dirs).write.partitionBy("dataset").parquet(staged)
+    parsed = spark.read.schema(fits.INGEST_SCHEMA).parquet(staged)
+    good, bad = fits.good_rows(parsed), fits.error_rows(parsed)
+    read = {r["dataset"] for r in good.select("dataset").distinct().collect()}  # at most one row per folder given
+    if not read:
         return conversion_summary(spark, parsed, files, datasets)
-    prepared = prepare_by_dataset(good, datasets)
+    prepared = prepare_by_dataset(good, [d for d in datasets if d in read])
     data_path = os.path.join(out_dir, "observations")
     tables.write_parquet(prepared, data_path, compression, partition_by="dataset")
     written = spark.read.parquet(data_path)
-    tables.write_csv(tables.preview_head(written, preview_rows), os.path.join(out_dir, "preview"))
-    tables.write_csv(fits.error_rows(parsed), os.path.join(out_dir, "conversion_errors"))
+    for d in sorted(read):
+        preview = tables.preview_head(written.filter(F.col("dataset") == d), preview_rows).drop("dataset")
+        tables.write_csv(preview, os.path.join(out_dir, "preview", f"dataset={d}"))
+    for d in sorted(r["dataset"] for r in bad.select("dataset").distinct().collect()):
+        tables.write_csv(bad.filter(F.col("dataset") == d).drop("dataset"), os.path.join(out_dir, "conversion_errors", f"dataset={d}"))
     summary = conversion_summary(spark, parsed, files, datasets, written).drop("size_mb", "output_file")
     sizes = written_sizes(spark, data_path)
     return summary.join(sizes, "dataset", "left").select(

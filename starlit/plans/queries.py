@@ -606,6 +606,8 @@ def _encode_group(pdf):
     import numpy as np
     import pandas as pd
 
+    from starlit.plans.light_curve_writer import encode_light_curve
+
     pdf = pdf.sort_values("time", na_position="last")
     oid = str(pdf["object_id"].iloc[0])
     quarter = int(pdf["quarter"].iloc[0])
@@ -632,7 +634,7 @@ def _encode_group(pdf):
         primary = {"QUARTER": quarter}
         table = {}
     forms = {c: ("J" if c.upper().endswith("QUALITY") else "D") for c in cols}
-    content = fits.encode_light_curve(cols, forms, primary, table)
+    content = encode_light_curve(cols, forms, primary, table)
     if u % 10 == 5 and quarter == 3:
         content = content[:3000]          # truncated file
     return pd.DataFrame({"path": [f"derived/{pdf['dataset'].iloc[0]}/{name}"], "content": [content],

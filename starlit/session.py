@@ -21,18 +21,21 @@ ENGINE_CONF = {
 }
 
 
-def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: str = "starlit",
-                  extra: dict | None = None) -> SparkSession:
+def build_session(master: str | None = None, shuffle_partitions: int | None = None, app: str = "starlit",
+                  driver_memory: str | None = None, extra: dict | None = None) -> SparkSession:
+    """A session with the settings the engine needs. Master, shuffle partitions and driver memory are left to
+    the submitter (spark-submit, spark-defaults) unless given here."""
     builder = (
-        SparkSession.builder.master(master).appName(app)
+        SparkSession.builder.appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", "8g")
     )
-    for key, value in {**ENGINE_CONF, **(extra or {})}.items():
+    if master:
+        builder = builder.master(master)
+    given = {"spark.sql.shuffle.partitions": shuffle_partitions, "spark.driver.memory": driver_memory}
+    for key, value in {**ENGINE_CONF, **{k: str(v) for k, v in given.items() if v is not None}, **(extra or {})}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -82,11 +85,10 @@ def apply_engine_conf(spark: SparkSession) -> None:
             spark.conf.set(key, value)
         except Exception:  # noqa: BLE001 - static conf on a shared session
             pass
-    try:
-        ensure_checkpoint_dir(spark)
-        ship_package(spark)
-    except Exception:  # noqa: BLE001 - sessions without a SparkContext handle (remote clients)
-        pass
+    if getattr(spark, "_jsc", None) is None:  # a remote client: the server's own settings hold
+        return
+    ensure_checkpoint_dir(spark)
+    ship_package(spark)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -96,6 +98,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(current)
         return current
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir is not set: on a cluster, name a folder that the driver and all executors share")
     path = tempfile.mkdtemp(prefix="starlit-ckpt-")
     spark.sparkContext.setCheckpointDir(path)
     return path

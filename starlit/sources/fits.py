@@ -18,15 +18,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from starlit.sources.columns import OBSERVED, resolve_observed
+from starlit.sources.storage import path_exists
+
 BLOCK = 2880
 CARD = 80
 
-# Fixed values of the light-curve file layout: column preferences in order,
-# header keys for the object id and quarter, file-name prefix of the object id.
-TIME_COLUMNS = ["TIME"]
-FLUX_COLUMNS = ["PDCSAP_FLUX", "SAP_FLUX"]
-FLUX_ERR_COLUMNS = ["PDCSAP_FLUX_ERR", "SAP_FLUX_ERR"]
-QUALITY_COLUMNS = ["SAP_QUALITY", "QUALITY"]
+# Fixed values of the light-curve file layout: header keys of the object id and quarter, and the
+# prefix that file names put before the object id.
 OBJECT_KEY = "KEPLERID"
 QUARTER_KEY = "QUARTER"
 NAME_PREFIX = "kplr"
@@ -43,6 +42,16 @@ INGEST_SCHEMA = T.StructType([
     T.StructField("error", T.StringType()),
 ])
 
+# What the decoder returns per row: values, and the header texts that ids and quarters are derived from.
+_HEADER_FIELDS = {"object_1": (0, OBJECT_KEY), "object_2": (1, OBJECT_KEY),
+                  "quarter_1": (0, QUARTER_KEY), "quarter_2": (1, QUARTER_KEY)}
+DECODED_SCHEMA = T.StructType(
+    [INGEST_SCHEMA["dataset"], INGEST_SCHEMA["source_file"]]
+    + [T.StructField(c, T.StringType()) for c in _HEADER_FIELDS]
+    + [T.StructField(c, T.DoubleType()) for c in OBSERVED] + [INGEST_SCHEMA["error"]])
+
+# Bytes of column types that no observation column uses: complex numbers and array descriptors.
+_UNUSED_FORMS = {"C": 8, "M": 16, "P": 8, "Q": 16}
 _FORMS = {"L": ("i1", 1), "B": ("u1", 1), "I": (">i2", 2), "J": (">i4", 4), "K": (">i8", 8),
           "E": (">f4", 4), "D": (">f8", 8)}
 
@@ -130,9 +139,12 @@ def read_table(buf: bytes) -> tuple[dict, dict, dict]:
             dt, width = _FORMS[code]
             layout.append((f"c{k}", dt if repeat == 1 else (dt, (repeat,)), offset))
             offset += width * repeat
+        elif code == "X" or code in _UNUSED_FORMS:
+            offset += (repeat + 7) // 8 if code == "X" else repeat * _UNUSED_FORMS[code]
+            continue
         else:
             raise ValueError(f"unsupported TFORM{k}: {form}")
-        names.append(name)
+        names.append((k, name))
     if offset != row_bytes:
         raise ValueError(f"row size {offset} does not match NAXIS1 {row_bytes}")
     if data_at + row_bytes * rows > len(buf):
@@ -141,7 +153,7 @@ def read_table(buf: bytes) -> tuple[dict, dict, dict]:
                       "offsets": [x[2] for x in layout], "itemsize": row_bytes})
     rec = np.frombuffer(buf, dtype=dtype, count=rows, offset=data_at)
     columns = {}
-    for k, ((field, fmt, _), name) in enumerate(zip(layout, names), start=1):
+    for (field, _, _), (k, name) in zip(layout, names):
         raw = rec[field]
         if raw.dtype.kind == "S" or raw.ndim != 1:
             continue
@@ -156,85 +168,57 @@ def read_table(buf: bytes) -> tuple[dict, dict, dict]:
     return primary, table, columns
 
 
-def first_present(names, candidates: list[str]):
-    """First candidate present among the names, compared without case."""
-    upper = {n.upper() for n in names}
-    for c in candidates:
-        if c.upper() in upper:
-            return c.upper()
-    return None
-
-
-def _header_value(*headers_and_key):
-    *headers, key = headers_and_key
-    for h in headers:
-        v = h.get(key)
-        if v:            # falsy values (0, '', missing) fall through to the next source
-            return v
-    return None
-
-
-def object_id_from_name(file_name: str) -> str:
-    stem = os.path.splitext(file_name)[0]
-    return stem.split("-")[0].replace(NAME_PREFIX, "")
-
-
-def quarter_value(value, keep_zero: bool = False) -> int:
-    if value is None or (value == 0 and not keep_zero):
-        return -1
-    text = str(value)
-    return int(text) if text.lstrip("-").isdigit() else -1
-
-
-def parse_file(content: bytes, file_name: str, dataset: str, keep_zero_quarter: bool = False) -> pd.DataFrame:
-    """Decode one light-curve file into observation rows (raises on unusable files)."""
-    primary, table, cols = read_table(content)
-    time_col = first_present(cols, TIME_COLUMNS)
-    flux_col = first_present(cols, FLUX_COLUMNS)
-    if time_col is None or flux_col is None:
-        raise ValueError(f"File {file_name}: required columns TIME and FLUX are not found. "
-                         f"Available columns: {list(cols)}")
-    err_col = first_present(cols, FLUX_ERR_COLUMNS)
-    q_col = first_present(cols, QUALITY_COLUMNS)
-    n = len(cols[time_col])
-    oid = _header_value(primary, table, OBJECT_KEY) or object_id_from_name(file_name)
-    if keep_zero_quarter:
-        q = primary.get(QUARTER_KEY)
-        q = table.get(QUARTER_KEY) if q is None else q
-        quarter = quarter_value(q, keep_zero=True)
-    else:
-        quarter = quarter_value(_header_value(primary, table, QUARTER_KEY))
-    return pd.DataFrame({
-        "dataset": dataset,
-        "source_file": file_name,
-        "object_id": str(oid),
-        "quarter": np.int32(quarter),
-        "time": cols[time_col],
-        "flux": cols[flux_col],
-        "flux_err": cols[err_col] if err_col else np.full(n, np.nan),
-        "quality": cols[q_col] if q_col else np.zeros(n),
-        "error": None,
-    })
-
-
-def _parse_batches(keep_zero_quarter: bool):
-    def run(batches):
-        for pdf in batches:
-            for path, content, dataset in zip(pdf["path"], pdf["content"], pdf["dataset"]):
-                name = os.path.basename(str(path))
-                try:
-                    out = parse_file(bytes(content), name, dataset, keep_zero_quarter)
-                except Exception as exc:  # noqa: BLE001 - one bad file is one error row
-                    out = pd.DataFrame({"dataset": [dataset], "source_file": [name], "error": [str(exc) or type(exc).__name__]})
-                    for c in ["object_id", "quarter", "time", "flux", "flux_err", "quality"]:
-                        out[c] = None
-                yield out[INGEST_SCHEMA.names]
-    return run
+def decode_file(content: bytes, name: str) -> dict:
+    """Observation values of one light-curve file, with its header texts; raises on unusable files."""
+    primary, table, columns = read_table(content)
+    found = resolve_observed(columns, f"file {name}")
+    rows = len(columns[found["time"]])
+    values = {target: columns[source] if source else np.full(rows, np.nan if OBSERVED[target].absent is None else OBSERVED[target].absent)
+              for target, source in found.items()}
+    headers = {field: (primary, table)[which].get(key) for field, (which, key) in _HEADER_FIELDS.items()}
+    return values | {field: None if v is None else str(v) for field, v in headers.items()}
+
+
+def _decode_batches(batches):
+    for files in batches:
+        for path, content, dataset in zip(files["path"], files["content"], files["dataset"]):
+            name = os.path.basename(str(path))
+            try:
+                found, rows = decode_file(bytes(content), name), None
+            except Exception as exc:  # noqa: BLE001 - one bad file is one error row
+                found, rows = {"error": str(exc) or type(exc).__name__}, 1
+            found |= {"dataset": dataset, "source_file": name}
+            rows = len(found["time"]) if rows is None else rows
+            yield pd.DataFrame({f.name: np.full(rows, found.get(f.name), dtype=object) if isinstance(f.dataType, T.StringType)
+                                else found.get(f.name, np.full(rows, np.nan)) for f in DECODED_SCHEMA.fields})
+
+
+def _given(text) -> F.Column:
+    """A header text, or NULL where the header says nothing: absent, empty, zero or false."""
+    return F.when(~F.trim(text).isin("", "0", "0.0", "False"), text)
+
+
+def header_object_id() -> F.Column:
+    """Object id: primary header, table header, else the file name up to its first '-', without the prefix."""
+    stem = F.regexp_replace("source_file", r"\.[^.]*$", "")
+    from_name = F.replace(F.substring_index(stem, "-", 1), F.lit(NAME_PREFIX), F.lit(""))
+    return F.coalesce(_given(F.col("object_1")), _given(F.col("object_2")), from_name)
+
+
+def header_quarter(keep_zero: bool) -> F.Column:
+    """Quarter as a whole number: primary header, else table header; -1 when there is none. A header zero
+    counts as none unless ``keep_zero``."""
+    first, second = (F.col(c) if keep_zero else _given(F.col(c)) for c in ("quarter_1", "quarter_2"))
+    text = F.coalesce(first, second)
+    return F.coalesce(F.when(text.rlike(r"^-?[0-9]+$"), text.try_cast("int")), F.lit(-1))
 
 
 def parse_light_curves(files: DataFrame, keep_zero_quarter: bool = False) -> DataFrame:
     """(path, content, dataset) rows -> observation rows plus an ``error`` column."""
-    return files.select("path", "content", "dataset").mapInPandas(_parse_batches(keep_zero_quarter), INGEST_SCHEMA)
+    decoded = files.select("path", "content", "dataset").mapInPandas(_decode_batches, DECODED_SCHEMA)
+    fine = F.col("error").isNull()
+    return decoded.withColumns({"object_id": F.when(fine, header_object_id()),
+                                "quarter": F.when(fine, header_quarter(keep_zero_quarter))}).select(*INGEST_SCHEMA.names)
 
 
 FITS_GLOB = "*.{fits,FITS}"
@@ -244,7 +228,7 @@ def list_files(spark: SparkSession, datasets: dict[str, str], with_content: bool
     """Light-curve files of every dataset directory (each file once), tagged with the dataset."""
     parts = []
     for name, directory in datasets.items():
-        if not os.path.isdir(directory):
+        if not path_exists(spark, directory):
             continue
         df = spark.read.format("binaryFile").option("pathGlobFilter", FITS_GLOB).load(directory)
         cols = ["path", "length"] + (["content"] if with_content else [])
@@ -281,43 +265,3 @@ def file_inventory(spark: SparkSession, files: DataFrame | None, datasets: list[
         counts = files.groupBy("dataset").agg(F.count(F.lit(1)).alias("fits_files"))
     out = names.join(counts, "dataset", "left").withColumn("fits_files", F.coalesce("fits_files", F.lit(0)).cast("long"))
     return out.withColumn("status", F.when(F.col("fits_files") == 0, F.lit("no_files")).otherwise(F.lit("listed")))
-
-
-# --- writer (exports and derived test inputs) --------------------------------------------------
-def _card(key: str, value) -> str:
-    if isinstance(value, bool):
-        v = "T" if value else "F"
-        text = f"{key:<8}= {v:>20}"
-    elif isinstance(value, (int, np.integer)):
-        text = f"{key:<8}= {int(value):>20}"
-    elif isinstance(value, float):
-        text = f"{key:<8}= {repr(value):>20}"
-    else:
-        s = "'" + str(value).replace("'", "''").ljust(8) + "'"
-        text = f"{key:<8}= {s:<20}"
-    return text.ljust(CARD)[:CARD]
-
-
-def _header_bytes(cards: list[tuple[str, object]]) -> bytes:
-    text = "".join(_card(k, v) for k, v in cards) + "END".ljust(CARD)
-    raw = text.encode("ascii")
-    return raw + b" " * (_padded(len(raw)) - len(raw))
-
-
-def encode_light_curve(columns: dict[str, np.ndarray], forms: dict[str, str],
-                       primary: dict | None = None, table: dict | None = None) -> bytes:
-    """FITS bytes: primary header (no data) + one binary table of the given columns."""
-    names = list(columns)
-    n = len(next(iter(columns.values()))) if names else 0
-    dtype = np.dtype([(c, _FORMS[forms[c]][0]) for c in names])
-    rec = np.zeros(n, dtype=dtype)
-    for c in names:
-        rec[c] = columns[c]
-    head = [("SIMPLE", True), ("BITPIX", 8), ("NAXIS", 0), ("EXTEND", True)] + list((primary or {}).items())
-    tcards = [("XTENSION", "BINTABLE"), ("BITPIX", 8), ("NAXIS", 2), ("NAXIS1", dtype.itemsize),
-              ("NAXIS2", n), ("PCOUNT", 0), ("GCOUNT", 1), ("TFIELDS", len(names))]
-    for k, c in enumerate(names, start=1):
-        tcards += [(f"TTYPE{k}", c), (f"TFORM{k}", forms[c])]
-    tcards += list((table or {}).items())
-    data = rec.tobytes()
-    return _header_bytes(head) + _header_bytes(tcards) + data + b"\0" * (_padded(len(data)) - len(data))

@@ -2,44 +2,31 @@
 
 from __future__ import annotations
 
+import logging
 import os
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starlit.sources.fits import FLUX_COLUMNS, FLUX_ERR_COLUMNS, QUALITY_COLUMNS, TIME_COLUMNS
+from starlit.functions.expr import as_double
+from starlit.sources.columns import OBSERVED, resolve_observed
+from starlit.sources.storage import list_paths
 
-
-def resolve_column(columns, candidates: list[str]) -> str | None:
-    """Actual name of the first candidate present (compared without case), else None."""
-    by_upper = {}
-    for c in columns:
-        by_upper.setdefault(c.upper(), c)
-    for cand in candidates:
-        if cand.upper() in by_upper:
-            return by_upper[cand.upper()]
-    return None
+log = logging.getLogger(__name__)
 
 
 def to_observations(df: DataFrame) -> DataFrame:
     """Map a light-curve table with instrument column names (any case) onto the observation columns.
 
-    TIME and a flux column are required; flux_err falls back to NULL and quality to 0.
+    TIME and a flux column are required; flux_err falls back to NULL and quality to 0. Bad text and NaN are NULL.
     """
-    t = resolve_column(df.columns, TIME_COLUMNS)
-    f = resolve_column(df.columns, FLUX_COLUMNS)
-    if t is None or f is None:
-        raise ValueError(f"required columns TIME and FLUX are not found. Available columns: {df.columns}")
-    e = resolve_column(df.columns, FLUX_ERR_COLUMNS)
-    q = resolve_column(df.columns, QUALITY_COLUMNS)
+    found = resolve_observed(df.columns, "table")
+    types = {f.name: f.dataType for f in df.schema.fields}
     keep = [c for c in ("dataset", "source_file", "object_id", "quarter") if c in df.columns]
-    return df.select(
-        *keep,
-        F.col(t).cast("double").alias("time"),
-        F.col(f).cast("double").alias("flux"),
-        (F.col(e).cast("double") if e else F.lit(None).cast("double")).alias("flux_err"),
-        (F.col(q).cast("double") if q else F.lit(0.0)).alias("quality"),
-    )
+    return df.select(*keep, *[
+        (as_double(column, types[column]) if column else F.lit(OBSERVED[name].absent).cast("double")).alias(name)
+        for name, column in found.items()])
 
 
 def write_parquet(df: DataFrame, path: str, compression: str = "snappy", partition_by=None,
@@ -66,11 +53,24 @@ def preview_head(df: DataFrame, n: int = 5000, order=("object_id", "quarter", "t
     return df.orderBy(*order).limit(n)
 
 
-def discover_extracts(spark: SparkSession, directory: str, suffix: str = "_dash_data.parquet") -> DataFrame:
-    """All ``<key>_dash_data.parquet`` extracts of a folder in one read; key taken from the file name."""
-    if not os.path.isdir(directory):
+def discover_extracts(spark: SparkSession, directory: str, suffix: str = "_dash_data.parquet",
+                      skipped: list | None = None) -> DataFrame | None:
+    """All ``<key>_dash_data.parquet`` extracts of a folder in one read; key taken from the file name.
+
+    Extracts whose footers can't be read are left out and reported: (path, error) is appended to ``skipped``
+    and logged. An extract that turns out broken later fails the job. None when there is no readable extract."""
+    readable = []
+    for path in list_paths(spark, os.path.join(directory, f"*{suffix}")):
+        try:
+            spark.read.parquet(path)  # reads a footer, no data
+            readable.append(path)
+        except PySparkException as exc:
+            log.warning("extract %s skipped: %s", path, exc)
+            if skipped is not None:
+                skipped.append((path, str(exc)))
+    if not readable:
         return None
-    df = spark.read.option("ignoreCorruptFiles", "true").parquet(os.path.join(directory, f"*{suffix}"))
+    df = spark.read.option("mergeSchema", "true").parquet(*readable)
     name = F.col("_metadata.file_path")
     key = F.regexp_extract(name, r"([^/]+)" + suffix.replace(".", r"\.") + r"(/[^/]*)?$", 1)
     return df.withColumn("dataset_key", key).withColumn("object_id", F.col("object_id").cast("string"))

@@ -5,8 +5,9 @@ New files appearing in the dataset folders are listed by the streaming
 written per micro-batch: observation rows to ``<out>/observations`` and bad
 files to ``<out>/errors``, each under an ``epoch=<id>`` folder written in
 overwrite mode, so a micro-batch replayed after a failure replaces its own
-output instead of duplicating it.  Progress lives in a checkpoint folder under
-the session's ``spark.checkpoint.dir`` unless one is given.
+output instead of duplicating it.  Progress lives beside the output it belongs to
+(``<out>/_progress``) unless a folder is given, so streams to different outputs
+never share it.
 """
 
 from __future__ import annotations
@@ -17,7 +18,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from starlit.session import scratch_path
 from starlit.sources import fits
 
 
@@ -43,7 +43,7 @@ def stream_light_curves(spark: SparkSession, datasets: dict[str, str], out_dir:
                         max_files_per_trigger: int = 1000, keep_zero_quarter: bool = False) -> StreamingQuery:
     """Start the incremental ingest; with ``available_now`` it processes what is there and stops."""
     parsed = fits.parse_light_curves(_file_stream(spark, datasets, max_files_per_trigger), keep_zero_quarter)
-    checkpoint = checkpoint or scratch_path(spark, "streams/light_curves")
+    checkpoint = checkpoint or os.path.join(out_dir, "_progress")
 
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
         batch.persist()

@@ -5,6 +5,7 @@ import os
 import numpy as np
 
 from starlit.plans.convert import conversion_summary, convert
+from starlit.plans.light_curve_writer import encode_light_curve
 from starlit.sources import fits
 
 
@@ -18,13 +19,13 @@ def make_dir(tmp_path):
     d.mkdir()
     t = np.arange(5, dtype="float64")
     f = np.array([1.0, 2.0, np.nan, 4.0, 5.0])
-    good = fits.encode_light_curve({"TIME": t, "PDCSAP_FLUX": f, "PDCSAP_FLUX_ERR": f / 10,
+    good = encode_light_curve({"TIME": t, "PDCSAP_FLUX": f, "PDCSAP_FLUX_ERR": f / 10,
                                     "SAP_QUALITY": np.array([0, 0, 1, 0, 0])},
                                    {"TIME": "D", "PDCSAP_FLUX": "D", "PDCSAP_FLUX_ERR": "D", "SAP_QUALITY": "J"},
                                    {"KEPLERID": 123, "QUARTER": 4})
-    lower = fits.encode_light_curve({"time": t, "pdcsap_flux": f}, {"time": "D", "pdcsap_flux": "E"},
+    lower = encode_light_curve({"time": t, "pdcsap_flux": f}, {"time": "D", "pdcsap_flux": "E"},
                                     {"QUARTER": 0})
-    sap = fits.encode_light_curve({"TIME": t, "SAP_FLUX": f * 2, "QUALITY": np.zeros(5, "int16")},
+    sap = encode_light_curve({"TIME": t, "SAP_FLUX": f * 2, "QUALITY": np.zeros(5, "int16")},
                                   {"TIME": "D", "SAP_FLUX": "D", "QUALITY": "I"}, {"KEPLERID": 7, "QUARTER": 2})
     write(d / "kplr000000123-q4_llc.fits", good)
     write(d / "kplr000000456-q0_llc.fits", lower)

@@ -2,13 +2,13 @@
 
 import numpy as np
 
-from starlit.sources import fits
+from starlit.plans.light_curve_writer import encode_light_curve
 from starlit.streaming import stream_light_curves
 
 
 def lc(oid, n):
     t = np.arange(n, dtype="float64")
-    return fits.encode_light_curve({"TIME": t, "PDCSAP_FLUX": t + 1.0}, {"TIME": "D", "PDCSAP_FLUX": "D"},
+    return encode_light_curve({"TIME": t, "PDCSAP_FLUX": t + 1.0}, {"TIME": "D", "PDCSAP_FLUX": "D"},
                                    {"KEPLERID": oid, "QUARTER": 1})
 
 
