@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SERIES_ORDER = ["time_bin", "quarter"]
 
@@ -56,12 +57,19 @@ def downsample_by_object(df: DataFrame, max_points: int, min_per_object: int = 1
 
 
 def random_downsample(df: DataFrame, k: int, seed: int = 42, key: str = "object_id",
-                      ident=("quarter", "time_bin")) -> DataFrame:
+                      ident=("quarter", "time_bin"), salts: int = 64) -> DataFrame:
     """Exactly min(n, k) rows per key, chosen by a seeded hash of the row identity.
 
     Deterministic and independent of partitioning (a hash rank, not a sampler
-    state); it cannot reproduce NumPy's generator, only its contract.
+    state); it cannot reproduce NumPy's generator, only its contract. Identity columns enter the hash as
+    integers, fractional ones in millionths. The best k of each of ``salts`` shares of a key are found first,
+    so the final ranking of a hot key sees at most ``salts * k`` rows.
     """
-    h = F.xxhash64(F.lit(seed), F.col(key), *[F.col(c) for c in ident])
-    w = Window.partitionBy(key).orderBy(h, *ident)
-    return df.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= k).drop("_rk")
+    types = {f.name: f.dataType for f in df.schema.fields}
+    whole = lambda c: F.round(F.col(c) * 1e6).cast("long") if isinstance(types[c], T.FractionalType) else F.col(c)
+    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"), *[whole(c).cast("string") for c in ident]))
+    ranked = df.withColumn("_h", h).withColumn("_salt", F.pmod(F.xxhash64("_h"), F.lit(salts)))
+    share = Window.partitionBy(key, "_salt").orderBy("_h", *ident)
+    best = ranked.withColumn("_rk", F.row_number().over(share)).filter(F.col("_rk") <= k)
+    w = Window.partitionBy(key).orderBy("_h", *ident)
+    return best.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= k).drop("_rk", "_h", "_salt")

@@ -39,8 +39,19 @@ def _outlier(residual: Column, std: Column, z: float) -> Column:
 
 def _framed_median(value: str, w, params: Params) -> Column:
     """Median of the frame where it holds at least min_periods values, else the value itself."""
-    med = F.when(F.count(value).over(w) >= params.min_periods, F.percentile(value, 0.5).over(w))
-    return F.coalesce(med, F.col(value))
+    return F.coalesce(_median_of(value, w, params), F.col(value))
+
+
+def _median_of(value: str, w, params: Params) -> Column:
+    return F.when(F.count(value).over(w) >= params.min_periods, F.percentile(value, 0.5).over(w))
+
+
+def rolling_median(df: DataFrame, params: Params, value: str, key: str, order: list[str],
+                   out: str = "rolling_median") -> DataFrame:
+    """The centered rolling median itself, NULL where the frame holds fewer than min_periods values."""
+    before, after = frame_bounds(params.window)
+    w = Window.partitionBy(key).orderBy(*order).rowsBetween(-before, after)
+    return df.withColumn(out, _median_of(value, w, params))
 
 
 def trend_window(df: DataFrame, params: Params, value: str, key: str, order: list[str],

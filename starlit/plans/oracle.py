@@ -635,3 +635,30 @@ SQL["process_bin_skewed"] = f"WITH {SKEW_BIN}\n{BIN_SELECT}"
 
 SQL["process_point_vectorized"] = SQL["process_point"]
 SQL["process_bin_vectorized"] = SQL["process_bin"]
+
+# --- constant series and infinite values --------------------------------------------------------------------
+FLAT_OBS = OBS.replace("obs AS (", "obs0 AS (", 1) + """,
+obs AS (SELECT * REPLACE (CASE WHEN flux IS NULL THEN flux WHEN object_id::INT % 5 = 0 THEN 1234.7::DOUBLE
+                               WHEN object_id::INT % 7 = 3 AND quarter = 2 THEN 'Infinity'::DOUBLE ELSE flux END AS flux) FROM obs0)"""
+# a series with an infinite value has no usable standard deviation: all of its z-scores are 0
+FLAT_Z = """z AS (
+  SELECT *, CASE WHEN bool_or(isinf(flux)) OVER o THEN 0.0::DOUBLE ELSE COALESCE(
+           (flux - avg(CASE WHEN NOT isinf(flux) THEN flux END) OVER o)
+           / NULLIF(stddev_samp(CASE WHEN NOT isinf(flux) THEN flux END) OVER o, 0), 0.0::DOUBLE) END AS flux_norm
+  FROM filled WINDOW o AS (PARTITION BY object_id))"""
+_FLAT = {"point": ",\n".join([FLAT_OBS, clean_ctes(), fill_cte("median", "good", "filled"), FLAT_Z, point_ctes("z")]) + "\n" + POINT_SELECT,
+         "bin": ",\n".join([FLAT_OBS, clean_ctes(), fill_cte("mean", "good", "filled"), FLAT_Z, bin_ctes("z")]) + "\n" + BIN_SELECT}
+for _mode, _sql in _FLAT.items():
+    for _strategy in ("window", "vectorized", "blocked"):
+        SQL[f"process_{_mode}_flat_{_strategy}"] = "WITH " + _sql
+
+# --- written and read back; seeded sample ---------------------------------------------------------------------
+SQL["sink_parquet"] = f"""WITH {PREP}
+SELECT dataset, object_id, quarter, "time", flux FROM prep"""
+SQL["discover_extracts"] = f"""WITH {BOTH_PIPES}
+SELECT 'obs_point' AS dataset_key, count(*) AS rows FROM point_out
+UNION ALL SELECT 'obs_bin', count(*) FROM bin_out"""
+SQL["random_downsample"] = f"""WITH {EX},
+hashed AS (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY md5(concat_ws(':', '42', object_id, quarter::VARCHAR,
+             round(time_bin * 1e6)::BIGINT::VARCHAR)), quarter, time_bin) AS rk FROM ex)
+SELECT object_id, quarter, time_bin FROM hashed WHERE rk <= 7"""

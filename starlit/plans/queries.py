@@ -189,11 +189,7 @@ def point_trend(spark, sf_dir, strategy="auto"):
 @register("rolling_median")
 def q_rolling_median(spark, sf_dir):
     pts = normalize.zscore(filled_points(spark, sf_dir))
-    before, after = trend.frame_bounds(P.window)
-    from pyspark.sql import Window
-    w = Window.partitionBy("object_id").orderBy("quarter", "time", "flux").rowsBetween(-before, after)
-    out = pts.withColumn("rolling_median", F.when(F.count("flux_norm").over(w) >= P.min_periods,
-                                                  F.percentile("flux_norm", 0.5).over(w)))
+    out = trend.rolling_median(pts, P, "flux_norm", "object_id", ["quarter", "time", "flux"])
     return round_floats(out.select("object_id", "quarter", "time", "flux_norm", "rolling_median"),
                         skip=("time",))
 
@@ -767,3 +763,26 @@ def q_process_point_vectorized(spark, sf_dir):
 def q_process_bin_vectorized(spark, sf_dir):
     out = lightcurve.process(obs(spark, sf_dir), DATASET, "bin", VECTOR_PARAMS)
     return round_floats(out, skip=("time_bin",))
+
+
+# --- constant series and infinite values: every strategy must give the same answer ----------------
+def flat_obs(spark, sf_dir):
+    """obs with constant flux in every object whose id is divisible by 5 and infinite flux in quarter 2 of
+    those whose id leaves 3 modulo 7."""
+    from starlit.functions.expr import with_sql
+    return with_sql(obs(spark, sf_dir), {
+        "flux": "CASE WHEN flux IS NULL THEN flux WHEN CAST(object_id AS INT) % 5 = 0 THEN 1234.7D "
+                "WHEN CAST(object_id AS INT) % 7 = 3 AND quarter = 2 THEN double('Infinity') ELSE flux END"})
+
+
+def _flat(mode, strategy):
+    def run(spark, sf_dir):
+        out = lightcurve.process(flat_obs(spark, sf_dir), DATASET, mode, Params(bin_width=0.5, block_rows=60), strategy=strategy)
+        return round_floats(out, skip=("time_bin",))
+    run.__doc__ = f"{mode} mode with constant and infinite series, trend strategy {strategy}."
+    return run
+
+
+for _mode in ("point", "bin"):
+    for _strategy in ("window", "vectorized", "blocked"):
+        register(f"process_{_mode}_flat_{_strategy}")(_flat(_mode, _strategy))
