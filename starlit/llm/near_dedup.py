@@ -12,7 +12,7 @@ A key may hold very many documents. Its members are first compared with two cent
 the member that meets most others; confirmed links are joined into components. Pairs that could still connect
 different components inside a key are then compared block by block: only members outside the key's largest
 component are set against the rest, in blocks of bounded size, and only pairs whose signatures are near enough
-leave a task. No pair of a key is dropped, none inside a component is repeated, and components come out as if
+leave a task, each from the first key it shares. No pair of a key is dropped, none inside a component is repeated, and components come out as if
 all pairs had been compared. Links are confirmed on the whole sets of both texts, which only documents in
 candidate pairs are read again for.
 
@@ -40,8 +40,11 @@ SHINGLE_WORDS = 5
 SIMILARITY = 75  # percent
 CHUNKS, CHUNK_SLOTS, CHUNK_ERRORS = 12, 5, 1
 SLOTS = CHUNKS * CHUNK_SLOTS
-# Signature distance beyond which a pair of similarity 0.75 is out of the question (5 standard deviations).
-FAR = 32
+# Further slots of 8 bits only sharpen the estimate of a pair's similarity. At similarity 0.75 a quarter of all
+# slots differ; FAR is 4 standard deviations more (FAR_INDEX, over the index slots alone, 5), and pairs beyond it
+# are ruled out without reading texts.
+MORE_SLOTS = 452
+FAR, FAR_INDEX = 167, 32
 BLOCK = 512
 BROADCAST_IDS = 1_000_000
 BATCH_ROWS = 200
@@ -53,8 +56,8 @@ _rng = np.random.default_rng(20_240_607)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
 _BASE = 0x9E3779B97F4A7C15
 _STEP = _rng.integers(1, 1 << 63, SHINGLE_WORDS, dtype=np.uint64) * _U(2) + _U(1)
-_XOR = _rng.integers(0, 1 << 63, SLOTS, dtype=np.uint64)
-_MUL = _rng.integers(1, 1 << 63, SLOTS, dtype=np.uint64) * _U(2) + _U(1)
+_XOR = _rng.integers(0, 1 << 63, SLOTS + MORE_SLOTS, dtype=np.uint64)
+_MUL = _rng.integers(1, 1 << 63, SLOTS + MORE_SLOTS, dtype=np.uint64) * _U(2) + _U(1)
 _KEY = _rng.integers(1, 1 << 63, CHUNKS * CHUNK_SLOTS, dtype=np.uint64) * _U(2) + _U(1)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -132,8 +135,9 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """(sets, SLOTS) 16-bit MinHash slots; of no meaning for empty sets."""
-    sig = np.zeros((len(sets), SLOTS), dtype=np.uint16)
+    """(sets, SLOTS + MORE_SLOTS) MinHash slots, the first SLOTS of 16 bits, the others of 8; of no meaning
+    for empty sets."""
+    sig = np.zeros((len(sets), SLOTS + MORE_SLOTS), dtype=np.uint16)
     full = [k for k, s in enumerate(sets) if len(s)]
     at = 0
     while at < len(full):  # bounded runs of hashes
@@ -144,16 +148,37 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
             at += 1
         flat = np.concatenate([sets[k] for k in run])
         starts = np.concatenate([[0], np.cumsum([len(sets[k]) for k in run])[:-1]])
-        for j in range(SLOTS):
-            v = (flat ^ _XOR[j]) * _MUL[j]
-            low = np.minimum.reduceat(v ^ (v >> _U(32)), starts)
-            sig[run, j] = (_mix(low) & _U(0xFFFF)).astype(np.uint16)
+        for j in range(SLOTS + MORE_SLOTS):
+            low = np.minimum.reduceat((flat ^ _XOR[j]) * _MUL[j], starts)
+            sig[run, j] = (_mix(low) & _U(0xFFFF if j < SLOTS else 0xFF)).astype(np.uint16)
     return sig
 
 
+def _stored(sig: np.ndarray) -> list[bytes]:
+    return [row[:SLOTS].tobytes() + row[SLOTS:].astype(np.uint8).tobytes() for row in sig]
+
+
+def _loaded(column) -> np.ndarray:
+    raw = np.frombuffer(b"".join(x.as_py() for x in column), dtype=np.uint8).reshape(-1, 2 * SLOTS + MORE_SLOTS)
+    sig = np.empty((len(raw), SLOTS + MORE_SLOTS), dtype=np.uint16)
+    sig[:, :SLOTS] = np.ascontiguousarray(raw[:, :2 * SLOTS]).view(np.uint16)
+    sig[:, SLOTS:] = raw[:, 2 * SLOTS:]
+    return sig
+
+
+def first_shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Number of the first index key that each row of ``a`` shares with that of ``b`` (-1: none)."""
+    same = (a[:, :SLOTS] == b[:, :SLOTS]).reshape(-1, CHUNKS, CHUNK_SLOTS)
+    close = same.sum(2) >= CHUNK_SLOTS - CHUNK_ERRORS
+    chunk = close.argmax(1)
+    rows = np.arange(len(a))
+    out = (~same[rows, chunk]).argmax(1)  # the slot that differs, or the first one
+    return np.where(close.any(1), chunk * CHUNK_SLOTS + out, -1)
+
+
 def index_keys(sig: np.ndarray) -> np.ndarray:
     """(signatures, CHUNKS * CHUNK_SLOTS) keys: every chunk with each of its slots left out in turn."""
-    wide = sig.astype(np.uint64).reshape(len(sig), CHUNKS, CHUNK_SLOTS)
+    wide = sig[:, :SLOTS].astype(np.uint64).reshape(len(sig), CHUNKS, CHUNK_SLOTS)
     keys = np.empty((len(sig), CHUNKS * CHUNK_SLOTS), dtype=np.uint64)
     for c in range(CHUNKS):
         for out in range(CHUNK_SLOTS):
@@ -177,18 +202,18 @@ def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([
             batch.column("doc_id"), batch.column("text_key"), pa.array([len(s) for s in sets], pa.int64()),
             pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
-            pa.array([row.tobytes() for row in sig], pa.binary())], names=["doc_id", "text_key", "n", "class", "sig"])
+            pa.array(_stored(sig), pa.binary())], names=["doc_id", "text_key", "n", "class", "sig"])
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k in range(0, batch.num_rows, 2000):
             part = batch.slice(k, 2000)
-            sig = np.frombuffer(b"".join(x.as_py() for x in part.column("sig")), dtype=np.uint16).reshape(-1, SLOTS)
-            keys = index_keys(sig)
+            keys = index_keys(_loaded(part.column("sig")))
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.repeat(part.column("node").to_numpy(), keys.shape[1])),
-                pa.array(keys.reshape(-1).view(np.int64))], names=["node", "key"])
+                pa.array(keys.reshape(-1).view(np.int64)),
+                pa.array(np.tile(np.arange(keys.shape[1], dtype=np.int16), len(keys)))], names=["node", "key", "j"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,36 +239,42 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _distance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
-            x, y = (np.frombuffer(b"".join(v.as_py() for v in batch.column(c)), dtype=np.uint16).reshape(-1, SLOTS) for c in ("ga", "gb"))
-            mask = pa.array((x != y).sum(1) <= FAR)
+            mask = pa.array((_loaded(batch.column("ga")) != _loaded(batch.column("gb"))).sum(1) <= FAR)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
 
 
 def _across(group: pa.Table) -> pa.Table:
-    """Pairs of one block: a minor member and any other member, of different components, with near signatures."""
+    """Pairs of one block: a minor member and any other member, of different components, with near signatures.
+    A pair that shares several keys comes out of the first one alone."""
     minor = np.array(group.column("minor").to_pylist(), dtype=bool)
     node, comp, n = (group.column(c).to_numpy() for c in ("node", "comp", "n"))
-    sig = np.frombuffer(b"".join(v.as_py() for v in group.column("sig")), dtype=np.uint16).reshape(-1, SLOTS)
+    sig, key = _loaded(group.column("sig")), group.column("j")[0].as_py()
     rest = np.flatnonzero(~minor)
     out_a, out_b = [], []
     for i in np.flatnonzero(minor):
-        near = (sig[rest] != sig[i]).sum(1) <= FAR
         size = (np.minimum(n[rest], n[i]) * 100 >= SIMILARITY * np.maximum(n[rest], n[i]))
-        hit = rest[near & size & (comp[rest] != comp[i])]
+        hit = rest[size & (comp[rest] != comp[i])]
+        hit = hit[(sig[hit, :SLOTS] != sig[i, :SLOTS]).sum(1) <= FAR_INDEX]
+        hit = hit[(sig[hit] != sig[i]).sum(1) <= FAR]
+        if len(hit):
+            hit = hit[first_shared(sig[hit], np.broadcast_to(sig[i], (len(hit), sig.shape[1]))) == key]
         out_a.append(np.minimum(node[hit], node[i]))
         out_b.append(np.maximum(node[hit], node[i]))
     join = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, dtype=np.int64), pa.int64())
     return pa.table({"a": join(out_a), "b": join(out_b)})
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of class numbers whose whole shingle sets reach the similarity. ``pairs`` may repeat."""
-    size = classes.select("node", "n", "sig")
-    near = (pairs.distinct()
-            .join(size.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sig").alias("ga")), "a")
-            .join(size.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("gb")), "b")
-            .filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * SIMILARITY)
-            .select("a", "b", "ga", "gb").mapInArrow(_distance, "a bigint, b bigint"))
+def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, sifted: bool = False) -> DataFrame:
+    """The pairs (a, b) of class numbers whose whole shingle sets reach the similarity. ``pairs`` may repeat,
+    unless they are ``sifted``: distinct, and near by size and signature."""
+    near = pairs
+    if not sifted:
+        size = classes.select("node", "n", "sig")
+        near = (pairs.distinct()
+                .join(size.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sig").alias("ga")), "a")
+                .join(size.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("gb")), "b")
+                .filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * SIMILARITY)
+                .select("a", "b", "ga", "gb").mapInArrow(_distance, "a bigint, b bigint"))
     near = stash(near, "near-pairs")
     wanted = stash(near.select(F.col("a").alias("node")).union(near.select("b")).distinct(), "near-wanted")
     wanted = wanted.join(classes.select("node", "some_id", "some_text"), "node")
@@ -288,7 +319,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         F.coalesce(F.min_by("text_key", "doc_id"), F.min("text_key")).alias("some_text"))
         .withColumn("node", F.coalesce("some_id", F.lit(NO_ID) + F.pmod(F.xxhash64("class"), F.lit(1 << 60)))), "near-classes")
 
-    keyed = classes.select("node", "sig").mapInArrow(_keys, "node bigint, key bigint")
+    keyed = classes.select("node", "sig").mapInArrow(_keys, "node bigint, key bigint, j smallint")
     shared = keyed.groupBy("key").agg(F.count("*").alias("members"), F.min("node").alias("least")).filter("members > 1")
     # what mapInArrow makes has no size estimate that could be trusted: never broadcast
     members = stash(keyed.join(shared.hint("merge"), "key"), "near-members")
@@ -302,11 +333,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     comps = components(links)
 
     # what may still connect different components inside a key
-    placed = members.select("key", "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    split = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
-    open_ = stash(placed.join(split, "key"), "near-open")
+    open_ = _open_members(members, comps)
     if not open_.isEmpty():
-        links = links.union(confirmed(_open_pairs(open_, classes), classes, docs))
+        links = links.union(confirmed(_open_pairs(open_, classes), classes, docs, sifted=True))
         comps = components(links)
 
     named = classes.select("class", "node").join(comps, "node", "left").select(
@@ -317,6 +346,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _open_members(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """(key, j, node, comp) of the keys whose members are in different components."""
+    placed = members.select("key", "j", "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    split = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
+    return stash(placed.join(split, "key"), "near-open")
+
+
 def _open_pairs(open_: DataFrame, classes: DataFrame) -> DataFrame:
     """Near pairs (a, b) of different components inside the open keys, found block by block."""
     sizes = open_.groupBy("key", "comp").agg(F.count("*").alias("c"))
@@ -328,9 +364,9 @@ def _open_pairs(open_: DataFrame, classes: DataFrame) -> DataFrame:
     column = F.pmod(F.xxhash64("node", F.lit(1)), F.col("columns").cast("long")).cast("int")
     m = (open_.join(shape, "key").join(classes.select("node", "n", "sig"), "node")
          .withColumn("r", row).withColumn("c", column))
-    rest = m.select("key", "node", "comp", "n", "sig", F.lit(False).alias("minor"), F.col("r"),
+    rest = m.select("key", "j", "node", "comp", "n", "sig", F.lit(False).alias("minor"), F.col("r"),
                     F.explode(F.expr("sequence(0, columns - 1)")).alias("c"))
-    minor = m.filter("comp <> major").select("key", "node", "comp", "n", "sig", F.lit(True).alias("minor"),
+    minor = m.filter("comp <> major").select("key", "j", "node", "comp", "n", "sig", F.lit(True).alias("minor"),
                                              F.explode(F.expr("sequence(0, rows - 1)")).alias("r"), F.col("c"))
     return rest.unionByName(minor).groupBy("key", "r", "c").applyInArrow(_across, "a bigint, b bigint")
 

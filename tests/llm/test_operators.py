@@ -376,14 +376,24 @@ def test_open_pairs_cover_all_components(spark):
     """Members of one key in many components: every pair across components must come out of the blocks."""
     from starlit.llm import near_dedup as nd
     n = 1300
-    sig = bytes(2 * nd.SLOTS)
+    sig = bytes(2 * nd.SLOTS + nd.MORE_SLOTS)
     nodes = spark.createDataFrame([(k, 10, bytearray(sig)) for k in range(n)], "node long, n long, sig binary")
-    open_ = nodes.select(F.lit(1).cast("long").alias("key"), "node", F.when(F.col("node") % 13 == 0, 0).otherwise(F.col("node") % 5 + 1).cast("long").alias("comp"))
+    open_ = nodes.select(F.lit(1).cast("long").alias("key"), F.lit(0).cast("short").alias("j"), "node", F.when(F.col("node") % 13 == 0, 0).otherwise(F.col("node") % 5 + 1).cast("long").alias("comp"))
     got = {tuple(r) for r in nd._open_pairs(open_, nodes).distinct().collect()}
     comp = {r["node"]: r["comp"] for r in open_.collect()}
     assert got == {(a, b) for a in range(n) for b in range(a + 1, n) if comp[a] != comp[b]}
 
 
+def test_first_shared_key():
+    from starlit.llm import near_dedup as nd
+    rng = np.random.default_rng(2)
+    a = rng.integers(0, 3, (300, nd.SLOTS + nd.MORE_SLOTS)).astype(np.uint16)
+    b = np.where(rng.random(a.shape) < 0.25, 9, a).astype(np.uint16)
+    shared = nd.index_keys(a) == nd.index_keys(b)
+    assert (nd.first_shared(a, b) == np.where(shared.any(1), shared.argmax(1), -1)).all()
+    assert (nd._loaded([type("V", (), {"as_py": lambda self, x=x: x})() for x in nd._stored(a & 255)]) == (a & 255)).all()
+
+
 def test_components(spark):
     from starlit.llm.near_dedup import components as spark_components
     rng = np.random.default_rng(5)
