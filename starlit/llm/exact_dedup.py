@@ -14,8 +14,9 @@ Normalisation deletes ``[\\x20\\x09-\\x0D]``. Of equal texts the row with the mo
 text stays, then the smallest id, then the smallest locator.
 
 Defined results: null counts as the empty text (all of those are one group); a null id loses ties against any
-other; rows that repeat an id are separate rows, of which one stays; an empty table gives no rows; other
-columns are ignored.
+other; rows that repeat an id are separate rows, of which one stays (without a locator of their own, rows that repeat
+id and text are told apart by nothing and share their decision); an empty table gives no rows; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -117,7 +118,8 @@ def deduplicate(docs: DataFrame, locator: Column | None = None, state_dir: str |
 
 def _regrouped(out: DataFrame, prints: DataFrame, new: DataFrame, mixed: DataFrame) -> DataFrame:
     """Rows whose digest stands for several texts, grouped by the texts themselves."""
-    own = (prints.join(mixed, "digest").join(new.select("locator", normalised(F.col("text")).alias("norm")), "locator"))
+    texts = new.select("locator", normalised(F.col("text")).alias("norm")).distinct()
+    own = prints.join(mixed, "digest").join(texts, "locator")
     groups = own.groupBy("digest", "norm").agg(
         F.count("*").alias("group_size"),
         F.max(F.struct("n_points", (-F.col("doc_id")).alias("neg_id"), "locator")).alias("best"))

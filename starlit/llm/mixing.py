@@ -184,7 +184,7 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots
     takes = (packed.filter("size > 0").select("_mix_row", F.col("passes").alias("_mix_passes"), F.col("size").alias("_mix_size"))
              .join(last, "_mix_row", "left").filter("_mix_passes > 0 or _mix_parts is not null"))
     whole = "aggregate(_mix_parts, 0L, (a, p) -> a + p.part_hi - p.lo) = _mix_size"
-    words = f"regexp_extract_all(text, '{WORD_CLASS}', 0)"
+    words = f"regexp_extract_all(text, r'{WORD_CLASS}', 0)"
     cut = (f"if({whole}, text, array_join(flatten(transform(_mix_parts, p -> "
            f"slice({words}, cast(p.lo + 1 as int), cast(p.part_hi - p.lo as int)))), ' '))")
     copies = ("if(_mix_passes > 0, transform(sequence(1L, _mix_passes), x -> x), array())")

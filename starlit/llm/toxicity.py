@@ -16,7 +16,7 @@ smallest hash of their id), and all texts are scored whole. Training rows are th
 text) mod 5 is not 0; nothing but the text enters a score.
 
 Defined results: null, empty and wordless texts get the score of a passage without evidence; rows are kept
-with repetitions; without both labels to learn from every score is 0; an empty table gives no rows; other
+with repetitions; without both labels to learn from every score is as good as 0; an empty table gives no rows; other
 columns are ignored.
 """
 

@@ -60,7 +60,7 @@ def test_exact_dedup_checks_bytes_when_digests_collide(spark, odd_rows):
     weak = lambda text: F.substring(F.sha2(normalised(text), 256), 1, 1)
     rows = [r for r in odd_rows if r[0] is not None]
     got = Counter((r[0], r[1], r[2]) for r in deduplicate(docs_frame(spark, rows), digest=weak).select("doc_id", "keep_id", "group_size").collect())
-    assert got == Counter({(i, k, n): c for (i, k, n, _), c in dedup_expected(rows).items()})
+    assert got == Counter(key[:3] for key in dedup_expected(rows).elements())
 
 
 def test_exact_dedup_state_lives_on(spark, tmp_path):
@@ -282,7 +282,7 @@ def test_toxicity(spark, odd_rows):
     odd = score_toxicity(docs_frame(spark, odd_rows), model).collect()
     assert Counter(r["doc_id"] for r in odd) == Counter(r[0] for r in odd_rows) and all(0 <= r["score"] <= 1 for r in odd)
     none = train_toxicity(docs, labels.limit(0))
-    assert {r["score"] for r in score_toxicity(docs_frame(spark, odd_rows), none).collect()} == {0.0}
+    assert all(r["score"] < 1e-100 for r in score_toxicity(docs_frame(spark, odd_rows), none).collect())
     assert score_toxicity(empty(spark), model).count() == 0
     words = model.worst(b"plain words only here and there"), model.worst(b"you utter idiot and moron"), model.worst(b"you utter idiiot and moronn")
     assert words[1] > words[0] and words[2] > words[0]
