@@ -37,7 +37,7 @@ BUCKETS = 1 << 18
 DIM = 8
 GRAMS = (3, 4, 5)
 PASSAGE_WORDS = 8
-SAMPLE_PER_LABEL = 1_500
+SAMPLE_PER_LABEL = 1_000
 BATCH_ROWS = 200
 
 # Bytes that are part of words (A-Z lower-cased, all of non-ASCII); the others become a space.
@@ -108,8 +108,8 @@ class _Passages:
                 order = np.argsort(owner, kind="stable")
                 ids.append(i[order])
                 size = np.bincount(owner)
-                sizes.append(size)
-                docs.append(np.full(len(size), k))
+                sizes.append(size.astype(np.int32))
+                docs.append(np.full(len(size), k, dtype=np.int32))
         self.ids = np.concatenate(ids) if ids else np.zeros(0, dtype=np.int32)
         self.sizes = np.concatenate(sizes) if sizes else np.zeros(0, dtype=np.int64)
         self.docs = np.concatenate(docs) if docs else np.zeros(0, dtype=np.int64)
@@ -121,8 +121,13 @@ class _Passages:
         return self.ids[first + np.arange(sizes.sum())], sizes
 
     def logits(self, table: np.ndarray, bias: float) -> np.ndarray:
-        sums = np.concatenate([[0.0], np.cumsum(table[self.ids], dtype=np.float64)])
-        return (sums[self.starts[1:]] - sums[self.starts[:-1]]) / np.maximum(self.sizes, 1) + bias
+        out = np.empty(len(self.sizes))
+        for k in range(0, len(out), 10_000):  # some passages at a time: the driver's memory stays small
+            part = slice(k, min(k + 10_000, len(out)))
+            held = table[self.ids[self.starts[part.start]:self.starts[part.stop]]]
+            sums = np.add.reduceat(held, self.starts[part] - self.starts[part.start], dtype=np.float64)
+            out[part] = sums / self.sizes[part]
+        return out + bias
 
     def worst_of(self, logits: np.ndarray, n_docs: int, floor: float) -> np.ndarray:
         out = np.full(n_docs, floor)
