@@ -89,7 +89,7 @@ def series_extent(df: DataFrame) -> DataFrame:
     """One row for a whole series: min/max time_bin and slider step; (0, 1, 0.01) for an empty one."""
     lo, hi = F.min("time_bin"), F.max("time_bin")
     return df.agg(F.coalesce(lo, F.lit(0.0)).alias("min_time"), F.coalesce(hi, F.lit(1.0)).alias("max_time"),
-                  F.coalesce(F.greatest((hi - lo) / 1000.0, F.lit(0.001)), F.lit(0.01)).alias("step"))
+                  F.when(hi.isNotNull(), F.greatest((hi - lo) / 1000.0, F.lit(0.001))).otherwise(0.01).alias("step"))
 
 
 def quarters_text(quarters_col) -> F.Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import logging
 import os
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,7 +65,9 @@ def discover_extracts(spark: SparkSession, directory: str, suffix: str = "_dash_
         try:
             spark.read.parquet(path)  # reads a footer, no data
             readable.append(path)
-        except PySparkException as exc:
+        except (PySparkException, Py4JJavaError) as exc:
+            if "FOOTER" not in str(exc) and "UNABLE_TO_INFER_SCHEMA" not in str(exc):
+                raise  # storage trouble, not a file that is no table
             log.warning("extract %s skipped: %s", path, exc)
             if skipped is not None:
                 skipped.append((path, str(exc)))
