@@ -34,8 +34,8 @@ from starlit.llm.common import add_missing, scratch_dir, stash, table
 
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-CACHE_WORDS = 150_000
-CACHE_PIECES = 300_000
+CACHE_WORDS = 250_000
+CACHE_PIECES = 400_000
 BATCH_ROWS = 200
 STRIPE_BYTES = 64 << 20
 
@@ -59,6 +59,18 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
 
 
+class _Words(dict):
+    """Ids by word, made on first use."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self[word] = self.make(word)
+        return ids
+
+
 class WordEncoder:
     """Ids of texts by words; one per Python worker and tokenizer file."""
 
@@ -70,7 +82,7 @@ class WordEncoder:
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
         self.cache_words, self.cache_pieces = cache_words, cache_pieces
-        self.words: dict[bytes, bytes] = {}
+        self.words = _Words(self._word)
         self.pieces: dict[bytes, bytes] = {}
 
     @classmethod
@@ -102,11 +114,8 @@ class WordEncoder:
         """Little-endian 32-bit ids of a UTF-8 text."""
         if len(self.words) > self.cache_words:
             self.words.clear()
-        words = text.split()  # of bytes: exactly the six ASCII white-space characters
-        known = self.words
-        for w in set(words).difference(known):
-            known[w] = self._word(w)
-        return b"".join([known[w] for w in words])
+        # bytes split at exactly the six ASCII white-space characters
+        return b"".join(map(self.words.__getitem__, text.split()))
 
 
 def _encoded(path: str, end_id: int):
