@@ -8,10 +8,11 @@ of the quantised count of the pair (rounded down) over that of the token before
 mixture stays a probability but for the filter's few false positives.
 
 Counts are summed inside tasks before the shuffle, where a pair is one 64-bit value. The filter is built in
-parts, one per ``PART_TOKENS`` training tokens, each by one task over the hashes that fall to it, and broadcast.
-Its size is bounded before it is built: tokens and pairs enter only from the smallest count on for which
-``BITS`` bits for every possible insertion stay below ``MAX_BITS`` (count 1, so all of them, up to some 200
-million training tokens). Everything is counted at any size; what stays out is the model's unseen mass.
+parts, one per ``PART_TOKENS`` training tokens, each by one task over the hashes that fall to it and sized by its
+insertions; every token and pair enters, at every input size. The parts are a written table. Up to ``MAX_BITS`` of
+them are broadcast whole. Beyond that the texts are dealt into chunks of some ``CHUNK_TEXT`` bytes, the distinct
+hashes of every chunk go to the task that holds their part, and the levels found there come back to the chunk.
+Both ways score by the same levels.
 
 ``base_score`` uses exact counts: those of the most frequent words (at most ``MAX_WORDS``) are broadcast, the
 rest of each document's words is joined with the table of all counts.
@@ -44,6 +45,7 @@ FLUSH_TOKENS = 3_000_000
 MAX_WORDS = 2_000_000
 UNIGRAM_SHARE = 0.6
 BATCH_ROWS = 200
+CHUNK_TEXT = 4 << 20
 
 _U = np.uint64
 END = _U(0x0123456789ABCDEF)
@@ -134,7 +136,7 @@ class FrequencyFilter:
         return _mix(hashes + salt) % sizes
 
     @classmethod
-    def build_part(cls, hashes: np.ndarray, counts: np.ndarray, least: int) -> bytes:
+    def build_part(cls, hashes: np.ndarray, counts: np.ndarray, least: int = 1) -> bytes:
         hashes, counts = hashes[counts >= least], counts[counts >= least]
         deep = np.where(hashes & _U(1) == 1, levels(counts, PAIR), levels(counts, SINGLE))
         size = max(8, -(-int(deep.sum()) * BITS // 8))
@@ -162,7 +164,17 @@ class FrequencyFilter:
         return out
 
 
-def _fill(parts: int, least: int):
+class FoundLevels:
+    """Levels of a chunk's distinct hashes, already probed; ``hashes`` sorted."""
+
+    def __init__(self, hashes: np.ndarray, found: np.ndarray):
+        self.hashes, self.found = hashes, found
+
+    def levels(self, hashes: np.ndarray) -> np.ndarray:
+        return self.found[np.searchsorted(self.hashes, hashes)].astype(np.int64)
+
+
+def _fill(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b.column("packed").to_numpy() for b in batches if b.num_rows]
         if not held:
@@ -176,14 +188,14 @@ def _fill(parts: int, least: int):
         for k in np.unique(part):
             mine = part == k
             yield pa.RecordBatch.from_arrays(
-                [pa.array([int(k)], pa.int32()), pa.array([FrequencyFilter.build_part(hashes[mine], counts[mine], least)], pa.binary())],
+                [pa.array([int(k)], pa.int32()), pa.array([FrequencyFilter.build_part(hashes[mine], counts[mine])], pa.binary())],
                 names=["part", "bits"])
     return run
 
 
 def least_count(tokens: int, max_bits: int = MAX_BITS) -> int:
-    """Smallest count from which tokens and pairs enter, so that the filter cannot outgrow ``max_bits``: at most
-    tokens / c of either have count c or more, and levels per count fall as counts rise."""
+    """Smallest count from which on tokens and pairs fit in ``max_bits`` at most: at most tokens / c of either have
+    count c or more, and levels per count fall as counts rise. An estimate only: the model leaves no count out."""
     least = 1
     # 1.3: the levels of single tokens over all counts from `least` on, at most, beside those of `least` itself
     while tokens * BITS * (int(levels(np.array([least]), PAIR)[0]) + 1.3 * (least > 1) * int(levels(np.array([least]), SINGLE)[0])) > max_bits * least:
@@ -195,7 +207,7 @@ class Scorer:
     """Scores texts given the counts of frequent words. Holds what a worker needs beside them.
     n, v: training tokens, all and distinct; n_soft: sum of the quantised counts in the filter."""
 
-    def __init__(self, n: int, v: int, n_soft: float, n_docs: int, grams: FrequencyFilter):
+    def __init__(self, n: int, v: int, n_soft: float, n_docs: int, grams: FrequencyFilter | FoundLevels | None):
         self.n, self.v, self.n_soft, self.n_docs, self.grams = n, v, n_soft, n_docs, grams
 
     def score(self, texts: list[bytes], count_of: Callable[[np.ndarray], np.ndarray], complete: bool):
@@ -247,23 +259,88 @@ _SCORED = ("doc_id bigint, held_out boolean, row bigint, n_tokens bigint, n_know
            "rare array<bigint>, times array<bigint>")
 
 
+def _scored_batch(scorer: Scorer, count_of: Callable, complete: bool, texts: list[bytes], doc_id, held_out, rows) -> pa.RecordBatch:
+    columns, rare = scorer.score(texts, count_of, complete)
+    rare = rare[np.argsort(rare[:, 0], kind="stable")]
+    ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(rare[:, 0], minlength=len(texts)))]).astype(np.int32))
+    lists = [pa.ListArray.from_arrays(ends, pa.array(rare[:, k].copy())) for k in (1, 2)]
+    return pa.RecordBatch.from_arrays([doc_id, held_out, rows, *map(pa.array, columns), *lists],
+                                      names=[x.split()[0] for x in _SCORED.split(", ")])
+
+
 def _score_all(shared, complete: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer, words, counts = shared.value
         count_of, row = _lookup(words, counts), TaskContext.get().partitionId() << 40
         for batch in batches:
             if batch.num_rows:
-                columns, rare = scorer.score(_texts(batch.column("text")), count_of, complete)
-                rare = rare[np.argsort(rare[:, 0], kind="stable")]
-                ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(rare[:, 0], minlength=batch.num_rows))]).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(ends, pa.array(rare[:, k].copy())) for k in (1, 2)]
                 rows = pa.array(np.arange(row, row + batch.num_rows))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), rows, *map(pa.array, columns), *lists],
-                                                 names=[x.split()[0] for x in _SCORED.split(", ")])
+                yield _scored_batch(scorer, count_of, complete, _texts(batch.column("text")), batch.column("doc_id"), batch.column("held_out"), rows)
                 row += batch.num_rows
     return run
 
 
+def _by_part(texts: list[bytes], parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes of the texts' tokens and pairs and their parts, ordered by part and hash."""
+    hashes = np.unique(np.concatenate([np.concatenate([singles(tokens), pairs_of(before, tokens)])
+                                       for _, tokens, _, before in token_runs(texts)]))
+    part = (hashes % _U(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    return hashes[order], part[order]
+
+
+def _ask(parts: int):
+    def run(chunk: pa.Table) -> pa.Table:
+        hashes, part = _by_part(_texts(chunk.column("text").combine_chunks()), parts)
+        asked, first = np.unique(part, return_index=True)
+        return pa.table({"chunk": pa.array([chunk.column("chunk")[0].as_py()] * len(asked), pa.int64()), "part": pa.array(asked, pa.int32()),
+                         "data": pa.array([h.tobytes() for h in np.split(hashes, first[1:])], pa.binary())})
+    return run
+
+
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each part its bits (chunk -1) first, then what the chunks ask of it."""
+    held, grams = None, None
+    for batch in batches:
+        out: list[tuple[int, int, bytes]] = []
+        for chunk, part, data in zip(*(batch.column(c).to_pylist() for c in ("chunk", "part", "data"))):
+            if chunk < 0:
+                held, grams = part, FrequencyFilter(1, {0: data})
+                continue
+            hashes = np.frombuffer(data, dtype=np.uint64)
+            found = grams.levels(hashes) if part == held else np.zeros(len(hashes), dtype=np.int64)
+            out.append((chunk, part, np.minimum(found, 255).astype(np.uint8).tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.binary()))],
+                                         names=["chunk", "part", "data"])
+
+
+def _score_chunk(shared, parts: int, complete: bool):
+    def run(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+        scorer, words, counts = shared.value
+        chunk, texts = chunk.combine_chunks(), _texts(chunk.column("text").combine_chunks())
+        hashes, _ = _by_part(texts, parts)
+        found = np.frombuffer(b"".join(answers.sort_by("part").column("data").to_pylist()), dtype=np.uint8)
+        if len(found) != len(hashes):
+            raise ValueError(f"{len(found)} levels for {len(hashes)} hashes")
+        order = np.argsort(hashes)
+        own = Scorer(scorer.n, scorer.v, scorer.n_soft, scorer.n_docs, FoundLevels(hashes[order], found[order]))
+        columns = (chunk.column(c).combine_chunks() for c in ("doc_id", "held_out", "row"))
+        return pa.Table.from_batches([_scored_batch(own, _lookup(words, counts), complete, texts, *columns)])
+    return run
+
+
+def _score_routed(docs: DataFrame, built: DataFrame, parts: int, shared, complete: bool) -> DataFrame:
+    """Scores by parts of the filter that are not broadcast."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    row = docs.withColumn("row", F.monotonically_increasing_id())
+    chunks = stash(row.withColumn("chunk", F.pmod(F.xxhash64("row"), F.lit(size // CHUNK_TEXT + 1))), "lm-chunks")
+    asked = chunks.select("chunk", "text").groupBy("chunk").applyInArrow(_ask(parts), "chunk bigint, part int, data binary")
+    filled = built.select(F.lit(-1).cast("bigint").alias("chunk"), "part", F.col("bits").alias("data"))
+    answers = filled.union(asked).repartition(parts, "part").sortWithinPartitions("part", "chunk").mapInArrow(
+        _answer, "chunk bigint, part int, data binary")
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score_chunk(shared, parts, complete), _SCORED)
+
+
 def _packed_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         yield pa.RecordBatch.from_arrays([
@@ -283,17 +360,19 @@ def score_documents(docs: DataFrame, max_words: int = MAX_WORDS, max_bits: int =
     end = F.lit(int(END.view(np.int64)))
     facts = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"),
                       F.coalesce(F.sum(F.when(F.col("word") == end, F.col("c"))), F.lit(0)).alias("docs")).first()
-    n, v, least = facts["n"], facts["v"], least_count(facts["n"], max_bits)
+    n, v = facts["n"], facts["v"]
     quantised = F.pow(F.lit(2.0), (F.floor(F.log2("c") * SINGLE + 1e-9) + 0.5) / SINGLE)
-    n_soft = words.filter(F.col("c") >= least).agg(F.coalesce(F.sum(quantised), F.lit(0.0))).first()[0]
+    n_soft = words.agg(F.coalesce(F.sum(quantised), F.lit(0.0))).first()[0]
 
     parts = max(1, -(-n // PART_TOKENS))
     # the part's number as numpy computes it: 56-bit hashes are never negative
-    built = (train.mapInArrow(_count_grams, "packed bigint")
-             .repartition(parts, F.expr(f"shiftrightunsigned(packed, 8) % {parts}"))
-             .mapInArrow(_fill(parts, least), "part int, bits binary").collect())
-    scorer = Scorer(n, v, n_soft, facts["docs"], FrequencyFilter(parts, {r["part"]: bytes(r["bits"]) for r in built}))
-    del built
+    built = stash(train.mapInArrow(_count_grams, "packed bigint")
+                  .repartition(parts, F.expr(f"shiftrightunsigned(packed, 8) % {parts}"))
+                  .mapInArrow(_fill(parts), "part int, bits binary"), "lm-filter")
+    bits = 8 * built.agg(F.coalesce(F.sum(F.octet_length("bits")), F.lit(0))).first()[0]
+    grams = FrequencyFilter(parts, {r["part"]: bytes(r["bits"]) for r in built.toLocalIterator()}) if bits <= max_bits else None
+    scorer = Scorer(n, v, n_soft, facts["docs"], grams)
+    del grams
 
     # most frequent words, whole powers of two of the count at a time, 16 bytes each
     by_power = sorted(words.groupBy(F.floor(F.log2("c")).alias("power")).agg(F.count("*").alias("words")).collect(), reverse=True)
@@ -309,7 +388,7 @@ def score_documents(docs: DataFrame, max_words: int = MAX_WORDS, max_bits: int =
     order = np.argsort(near_words)
     complete = held_words == v
     shared = spark.sparkContext.broadcast((scorer, near_words[order], near_counts[order]))
-    scored = docs.mapInArrow(_score_all(shared, complete), _SCORED)
+    scored = docs.mapInArrow(_score_all(shared, complete), _SCORED) if bits <= max_bits else _score_routed(docs, built, parts, shared, complete)
     columns = ("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("bigint").alias("train_tokens"), "base_score", "score")
     if complete:
         return scored.select(*columns)

@@ -436,6 +436,22 @@ def test_filter_counts():
     assert least_count(10 ** 6) == 1 and least_count(10 ** 12) * MAX_BITS >= 10 ** 12 * BITS
 
 
+def test_filter_holds_every_gram_at_any_size(spark, odd_rows):
+    """A filter too large to broadcast is probed part by part, with the same scores; rare n-grams stay in it."""
+    from starlit.llm import ngram_lm as lm
+    rows = [tuple(r) for r in small(spark).select("doc_id", "text", "lang", "source").collect()] + odd_rows
+    frame = docs_frame(spark, rows)
+    key = lambda r: (str(r["doc_id"]), r["n_tokens"], r["n_known"], round(r["base_score"], 5), round(r["score"], 5))
+    whole, chunk = Counter(map(key, lm.score_documents(frame).collect())), lm.CHUNK_TEXT
+    try:
+        lm.CHUNK_TEXT = 100_000  # several chunks
+        for max_words in (lm.MAX_WORDS, 50):
+            assert Counter(map(key, lm.score_documents(frame, max_words=max_words, max_bits=1 << 12).collect())) == whole
+    finally:
+        lm.CHUNK_TEXT = chunk
+    assert lm.score_documents(empty(spark), max_bits=-1).count() == 0
+
+
 # registered queries
 
 @pytest.mark.parametrize("name", ["op1_exact_dedup", "op2_decontaminate", "op5_url_filter"])
