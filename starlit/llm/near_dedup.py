@@ -18,10 +18,11 @@ candidate pairs are read again for.
 
 Words: ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; fewer than five words are one shingle.
 
-Defined results: null, empty and blank texts have no shingles, no links and stay; rows that repeat an id count
-as one document and get the same component (``keep_one`` keeps one of them); a null id never is the smallest;
-a group of null ids only has a null component and stays; an empty table gives no rows; other columns are
-ignored by ``near_duplicates`` and kept by ``keep_one``.
+Defined results: null, empty and blank texts have no shingles, no links and stay, repeated ids or not; rows that
+repeat an id and have words count as one document inside one component (``keep_one`` keeps one of them, but decides
+by row, so a text of that id in another component is not lost); a null id never is the smallest, and a row of null id
+goes only if its own text is a near copy of a document with an id; a group of null ids only has a null component and
+stays; an empty table gives no rows; other columns are ignored by ``near_duplicates`` and kept by ``keep_one``.
 """
 
 from __future__ import annotations
@@ -308,6 +309,11 @@ def components(links: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id and kept."""
+    return _placed(docs).drop("text_key")
+
+
+def _placed(docs: DataFrame) -> DataFrame:
+    """``near_duplicates`` with the hash of each row's text."""
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     docs = add_missing(docs, doc_id="bigint", text="string").select(
@@ -342,7 +348,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "class", F.coalesce("comp", "node").alias("comp"))
     out = prints.join(named, "class", "left")
     component = F.when(F.col("comp").isNull(), F.col("doc_id")).when(F.col("comp") < NO_ID, F.col("comp"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn(
+    return out.select("doc_id", "text_key", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
@@ -371,15 +377,27 @@ def _open_pairs(open_: DataFrame, classes: DataFrame) -> DataFrame:
     return rest.unionByName(minor).groupBy("key", "r", "c").applyInArrow(_across, "a bigint, b bigint")
 
 
+def _named(rows: DataFrame) -> DataFrame:
+    """Distinct (id, text) of rows, broadcast up to BROADCAST_IDS of them; beyond that they meet documents in a shuffle."""
+    rows = rows.select(F.col("doc_id").alias("_near_id"), F.col("text_key").alias("_near_text")).distinct()
+    return F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents without near duplicates: of each component the smallest id stays; the input's columns."""
-    found = stash(near_duplicates(docs), "near-result")
-    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("_near_id")).distinct()
-    if gone.count() <= BROADCAST_IDS:  # else ids and documents meet in a shuffle
-        gone = F.broadcast(gone)
-    kept = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_near_id")), "left_anti")
-    facts = found.filter("kept and n_shingles > 0 and doc_id is not null").agg(F.count("doc_id"), F.count_distinct("doc_id")).first()
-    return kept if facts[0] == facts[1] else kept.dropDuplicates(["doc_id"])
+    found = stash(_placed(docs), "near-result")
+    have = add_missing(docs, doc_id="bigint", text="string")
+    own = have.withColumns({"_own_id": F.col("doc_id").cast("bigint"), "_own_text": F.xxhash64("text")})
+    same = F.col("_own_id").eqNullSafe(F.col("_near_id")) & (F.col("_own_text") == F.col("_near_text"))
+    kept = own.join(_named(found.filter(~F.col("kept"))), same, "left_anti")
+    # rows with words that repeat the id of their component: one of them stays
+    worded = found.filter("kept and n_shingles > 0 and doc_id is not null")
+    facts = worded.agg(F.count("doc_id"), F.count_distinct("doc_id")).first()
+    if facts[0] != facts[1]:
+        twice = worded.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").select("doc_id")
+        again = _named(worded.join(twice, "doc_id"))
+        kept = kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["_own_id"]))
+    return kept.select(*docs.columns)
 
 
 def op9_near_dedup(spark, sf_dir: str) -> DataFrame:

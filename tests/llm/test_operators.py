@@ -372,6 +372,21 @@ def test_near_duplicates_chains_and_odd_rows(spark, odd_rows):
     assert near_duplicates(empty(spark)).count() == 0 and keep_one(empty(spark)).count() == 0
 
 
+def test_keep_one_decides_by_row(spark):
+    """Null and repeated ids: a row goes for its own text only."""
+    from starlit.llm.near_dedup import keep_one
+    base = " ".join(f"w{k}" for k in range(60))
+    near, own = base.replace("w30", "other"), " ".join(f"v{k}" for k in range(60))
+    rows = [(1, base), (None, near), (None, "one of its own"), (None, "another of its own"), (None, "another of its own"), (None, None),
+            (2, base), (2, own), (3, "twice the same"), (3, "twice the same"), (3, " "), (3, None), (4, None), (4, "")]
+    want = Counter(rows) - Counter([(None, near), (2, base), (3, "twice the same")])
+    got = keep_one(docs_frame(spark, [(i, t, "en", "a") for i, t in rows]))
+    assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == want
+    once = [r for k, r in enumerate(rows) if k != 8]  # no kept id repeats
+    got = keep_one(docs_frame(spark, [(i, t, "en", "a") for i, t in once]))
+    assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == want
+
+
 def test_open_pairs_cover_all_components(spark):
     """Members of one key in many components: every pair across components must come out of the blocks."""
     from starlit.llm import near_dedup as nd
