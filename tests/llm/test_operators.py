@@ -409,6 +409,14 @@ def test_first_shared_key():
     assert (nd._loaded([type("V", (), {"as_py": lambda self, x=x: x})() for x in nd._stored(a & 255)]) == (a & 255)).all()
 
 
+def test_sift_loses_less_than_the_index():
+    """Pairs at the similarity itself: what the sift rules out is far below the 6e-6 that share no key."""
+    from starlit.llm import near_dedup as nd
+    slots = nd.SLOTS + nd.MORE_SLOTS
+    tail = lambda n, most: sum(math.comb(n, k) * 0.25 ** k * 0.75 ** (n - k) for k in range(most + 1, n + 1))
+    assert tail(slots, nd.FAR) < 1e-8 and tail(nd.SLOTS, nd.FAR_INDEX) < 1e-6
+
+
 def test_components(spark):
     from starlit.llm.near_dedup import components as spark_components
     rng = np.random.default_rng(5)
