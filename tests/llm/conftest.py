@@ -14,18 +14,6 @@ def spark():
     yield s
 
 
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, shard int, key string, score double"
-
-
-def docs_frame(spark, rows):
-    """Rows (doc_id, text, lang, source) with further columns whose names clash with the operators' own."""
-    return spark.createDataFrame([(i, t, la, so, None if t is None else len(t), 99, "k", 0.5) for i, t, la, so in rows], DOCS)
-
-
-def lower(text):
-    return (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
-
-
 @pytest.fixture(scope="session")
 def odd_rows():
     """Nulls in every column, empty and blank texts, ties, repeated rows and ids, copies, a very long text."""
@@ -40,18 +28,3 @@ def odd_rows():
         (12, "dup row", "en", "a"), (12, "dup row", "en", "a"), (13, "same id, other", "en", "b"), (13, "texts here", "en", "b"),
         (None, "null id text that is its own", None, "a"), (14, base.upper(), "en", "d"), (15, "a", "en", "d"),
     ]
-
-
-def components(ids, links):
-    """Smallest member by union of linked keys."""
-    parent = {i: i for i in ids}
-
-    def top(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-    for a, b in links:
-        a, b = top(a), top(b)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-    return {i: top(i) for i in ids}

@@ -3,18 +3,15 @@
 import hashlib
 import math
 import re
-import sys
 import zlib
 from collections import Counter, defaultdict
-from pathlib import Path
 
 import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-sys.path.insert(0, str(Path(__file__).parent))
-from conftest import DOCS, components, docs_frame, lower  # noqa: E402
+from llm_cases import DOCS, components, docs_frame, lower
 
 SF = "/root/testdata/sf0.001"
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
