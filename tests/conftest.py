@@ -12,7 +12,3 @@ def spark():
     s = build_session(master="local[*]", shuffle_partitions=8, app="starlit-tests")
     yield s
     s.stop()
-
-
-SF_SMOKE = "/root/testdata/sf0.001"
-SF_SMALL = "/root/testdata/sf0.01"

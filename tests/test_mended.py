@@ -17,7 +17,7 @@ from starlit.schema import Params
 from starlit.session import build_session
 from starlit.sources import adapters, fits, tables
 
-from conftest import SF_SMOKE
+from core_data import SF_SMOKE
 from test_strategies import rows
 
 

@@ -5,7 +5,7 @@ from starlit.plans.queries import QUERIES
 from starlit.schema import Params
 from starlit.sources import adapters
 
-from conftest import SF_SMALL
+from core_data import SF_SMALL
 
 PYTHON_NODES = ("ArrowEvalPython", "BatchEvalPython", "MapInPandas", "FlatMapGroupsInPandas", "PythonUDF")
 

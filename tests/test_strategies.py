@@ -6,7 +6,7 @@ from starlit.plans import lightcurve
 from starlit.schema import Params
 from starlit.sources import adapters
 
-from conftest import SF_SMALL
+from core_data import SF_SMALL
 
 
 def rows(df):
