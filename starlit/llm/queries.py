@@ -9,6 +9,7 @@ from __future__ import annotations
 from starlit.llm.decontaminate import OP2_SQL, op2_decontaminate
 from starlit.llm.exact_dedup import OP1_SQL, op1_exact_dedup
 from starlit.llm.hilbert import op7_hilbert_shards
+from starlit.llm.merkle import OP13_SQL, op13_merkle_manifest
 from starlit.llm.mixing import op3_mix_sources
 from starlit.llm.near_dedup import op9_near_dedup
 from starlit.llm.ngram_lm import op10_lm_score
@@ -19,10 +20,11 @@ from starlit.llm.url_filter import OP5_SQL, op5_url_filter
 
 QUERIES = {f.__name__: f for f in (
     op1_exact_dedup, op2_decontaminate, op3_mix_sources, op4_token_files, op5_url_filter, op6_quality,
-    op7_hilbert_shards, op8_toxicity, op9_near_dedup, op10_lm_score)}
+    op7_hilbert_shards, op8_toxicity, op9_near_dedup, op10_lm_score, op13_merkle_manifest)}
 
 SQL: dict[str, str] = {
     "op1_exact_dedup": OP1_SQL,
     "op2_decontaminate": OP2_SQL,
     "op5_url_filter": OP5_SQL,
+    "op13_merkle_manifest": OP13_SQL,
 }
