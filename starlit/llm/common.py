@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +40,24 @@ def stash(df: DataFrame, name: str, fmt: str = "parquet") -> DataFrame:
     return spark.read.format(fmt).schema(df.schema).load(path)
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int, size: int) -> Iterator[None]:
+    """Arrow batches of at most so many rows and about so many bytes for what runs inside; the session's own settings
+    come back after it. Only for plans that run inside, not for lazy ones that are returned."""
+    want = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": str(size)}
+    before = {k: spark.conf.get(k, None) for k in want}
+    try:
+        for k, v in want.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. Pure-ASCII texts take the fast built-in; others map the 26 letters."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(

@@ -14,17 +14,19 @@ from starlit.llm.mixing import op3_mix_sources
 from starlit.llm.near_dedup import op9_near_dedup
 from starlit.llm.ngram_lm import op10_lm_score
 from starlit.llm.quality import op6_quality
+from starlit.llm.resample import OP12_SQL, op12_importance_resample
 from starlit.llm.token_files import op4_token_files
 from starlit.llm.toxicity import op8_toxicity
 from starlit.llm.url_filter import OP5_SQL, op5_url_filter
 
 QUERIES = {f.__name__: f for f in (
     op1_exact_dedup, op2_decontaminate, op3_mix_sources, op4_token_files, op5_url_filter, op6_quality,
-    op7_hilbert_shards, op8_toxicity, op9_near_dedup, op10_lm_score, op13_merkle_manifest)}
+    op7_hilbert_shards, op8_toxicity, op9_near_dedup, op10_lm_score, op12_importance_resample, op13_merkle_manifest)}
 
 SQL: dict[str, str] = {
     "op1_exact_dedup": OP1_SQL,
     "op2_decontaminate": OP2_SQL,
     "op5_url_filter": OP5_SQL,
+    "op12_importance_resample": OP12_SQL,
     "op13_merkle_manifest": OP13_SQL,
 }
