@@ -211,7 +211,8 @@ def build_manifest(docs: DataFrame, found_text: Column | None = None, block_leve
     """The manifest of ``docs``; ``found_text``: a row's text as a later check finds it (as it is, by default)."""
     docs = add_missing(docs, **FIELDS).select(*[F.col(c).cast(t).alias(c) for c, t in FIELDS.items()])
     found = leaf() if found_text is None else F.when(found_text.eqNullSafe(F.col("text")), leaf()).otherwise(leaf(text=found_text))
-    leaves = docs.select("doc_id", "source", leaf().alias("digest"), found.alias("found"))
+    # written first: the range bounds are sampled from digests, and texts are read and hashed once
+    leaves = stash(docs.select("doc_id", "source", leaf().alias("digest"), found.alias("found")), "merkle-leaves")
     placed = place(leaves, ["source"], [F.col("doc_id").asc_nulls_first(), "digest", "found"])
     leaves = placed.positions().withColumn("tree", field(F.col("source")))
     forest = grow(leaves, block_levels)

@@ -13,6 +13,7 @@ from starlit.llm.merkle import OP13_SQL, op13_merkle_manifest
 from starlit.llm.mixing import op3_mix_sources
 from starlit.llm.near_dedup import op9_near_dedup
 from starlit.llm.ngram_lm import op10_lm_score
+from starlit.llm.private_data import op11_private_data
 from starlit.llm.quality import op6_quality
 from starlit.llm.resample import OP12_SQL, op12_importance_resample
 from starlit.llm.token_files import op4_token_files
@@ -21,7 +22,7 @@ from starlit.llm.url_filter import OP5_SQL, op5_url_filter
 
 QUERIES = {f.__name__: f for f in (
     op1_exact_dedup, op2_decontaminate, op3_mix_sources, op4_token_files, op5_url_filter, op6_quality,
-    op7_hilbert_shards, op8_toxicity, op9_near_dedup, op10_lm_score, op12_importance_resample, op13_merkle_manifest)}
+    op7_hilbert_shards, op8_toxicity, op9_near_dedup, op10_lm_score, op11_private_data, op12_importance_resample, op13_merkle_manifest)}
 
 SQL: dict[str, str] = {
     "op1_exact_dedup": OP1_SQL,
