@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from starlit.functions.expr import as_double, as_quarter
-from starlit.operators.sample import SERIES_ORDER, downsample_by_object, even_downsample, random_downsample
+from starlit.operators.sample import HOT_ROWS, SERIES_ORDER, downsample_by_object, even_downsample, random_downsample
 from starlit.schema import DASH_MAX_POINTS, DASH_MIN_PER_OBJECT, EXTRACT_COLUMNS, require_columns
 
 
@@ -30,9 +30,9 @@ def extract_project(processed: DataFrame) -> DataFrame:
 
 
 def dashboard_extract(processed: DataFrame, max_points: int = DASH_MAX_POINTS,
-                      min_per_object: int = DASH_MIN_PER_OBJECT) -> DataFrame:
+                      min_per_object: int = DASH_MIN_PER_OBJECT, strategy: str = "auto", hot_rows: int = HOT_ROWS) -> DataFrame:
     """Extract for the dashboard: projection + per-object reduction."""
-    return downsample_by_object(extract_project(processed), max_points, min_per_object)
+    return downsample_by_object(extract_project(processed), max_points, min_per_object, strategy=strategy, hot_rows=hot_rows)
 
 
 def extract_metadata(before: DataFrame, extract: DataFrame, dataset: str, method: str,
@@ -115,16 +115,41 @@ def time_range(df: DataFrame, start, end) -> DataFrame:
     return df.filter(F.col("time_bin").between(start, end))
 
 
-def chart_series(processed: DataFrame, max_points: int) -> DataFrame:
+def chart_points(processed: DataFrame, max_points: int, strategy: str = "auto", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The rows a chart of the most observed object plots, at most max_points, evenly spaced in its series. Its id and
+    size come from one count per object; the id reaches the scan as a literal."""
+    top = top_object(processed).first()
+    if top is None:
+        return processed.limit(0)
+    subset = processed.filter(F.col("object_id").cast("string").eqNullSafe(F.lit(top["object_id"])))
+    if top["rows"] <= max_points:
+        return subset
+    return even_downsample(subset, max_points, order=SERIES_ORDER, strategy=strategy, hot_rows=hot_rows, most=top["rows"])
+
+
+def chart_series(processed: DataFrame, max_points: int, strategy: str = "auto", hot_rows: int = HOT_ROWS) -> DataFrame:
     """Long table for a chart of the most observed object: series flux / trend / anomaly."""
-    top = top_object(processed).select("object_id")
-    subset = processed.join(top, "object_id", "left_semi")
-    sampled = even_downsample(subset, max_points, order=SERIES_ORDER)
+    sampled = chart_points(processed, max_points, strategy, hot_rows)
     point = lambda series, y: F.struct(F.lit(series).alias("series"), F.col("time_bin").alias("x"), F.col(y).alias("y"))
     points = F.array(point("flux", "flux_norm"), point("trend", "rolling_flux"), F.when(F.col("is_anomaly"), point("anomaly", "flux_norm")))
     return sampled.select("object_id", F.explode(F.filter(points, lambda p: p.isNotNull())).alias("p")).select("object_id", "p.*")
 
 
+def chart_metadata(points: DataFrame, dataset: str, processing_method: str, visualization_method: str,
+                   visualization_type: str, output_file: str = "", metadata_file: str | None = None,
+                   rows_before_downsample: int | None = None) -> DataFrame:
+    """One row about a visualisation of plotted ``points``: what a run log says of it (see ``assemble_run_log``).
+    ``object_id``: the first five ids, comma-joined."""
+    firsts = points.select(F.col("object_id").cast("string").alias("object_id")).distinct().orderBy("object_id").limit(5)
+    ids = firsts.agg(F.array_join(F.array_sort(F.collect_list("object_id")), ", ")).scalar()
+    return points.agg(F.count(F.lit(1)).alias("points_plotted"), F.count_if("is_anomaly").alias("anomaly_points_plotted")).select(
+        F.lit(dataset).alias("dataset"), F.lit(processing_method).alias("processing_method"),
+        F.lit(visualization_method).alias("visualization_method"), F.lit(visualization_type).alias("visualization_type"),
+        ids.alias("object_id"), "points_plotted", "anomaly_points_plotted",
+        F.lit(rows_before_downsample).cast("long").alias("rows_before_downsample"),
+        F.lit(output_file).alias("visualization_file"), F.lit(metadata_file).cast("string").alias("visualization_metadata_file"))
+
+
 def dashboard_summary(df: DataFrame, start=None, end=None, max_points: int = 5000,
                       method_col: str = "processing_method") -> DataFrame:
     """Per object: rows in the time range, rows plotted after the random limit, quarters,

@@ -61,3 +61,27 @@ def place(df: DataFrame, keys: list[str], order: list[Column | str], partitions:
         F.coalesce(F.sum("_rows").over(key.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
         F.sum("_rows").over(key).alias("_total"))
     return Placed(rows, written(spans, "spans"), keys)
+
+
+def in_order(df: DataFrame, order: list[str], partitions: int | None = None) -> DataFrame:
+    """``df`` in one total order over its partitions, for sinks: every file is sorted and files follow one another."""
+    by = [F.col(c) for c in order]
+    ranged = df.repartitionByRange(partitions, *by) if partitions else df.repartitionByRange(*by)
+    return ranged.sortWithinPartitions(*by)
+
+
+def positions(df: DataFrame, key: str, order: list[Column | str], position: str = "position", total: str = "total",
+              strategy: str = "auto", hot_rows: int = 2_000_000, most: int | None = None) -> DataFrame:
+    """The rows with their 0-based position in their key's series and its number of rows. ``window`` sorts a key in
+    one task, ``ranked`` goes by range partitions; ``auto`` takes the window while no key has more than ``hot_rows``
+    rows (``most``: rows of the largest key, if known). Both number rows alike, but for ties in ``order``."""
+    if strategy == "auto":
+        if most is None:
+            most = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+        strategy = "window" if most <= hot_rows else "ranked"
+    if strategy == "ranked":
+        return place(df, [key], order).positions(position, total)
+    if strategy != "window":
+        raise ValueError(f"unknown strategy: {strategy}")
+    own = Window.partitionBy(key)
+    return df.withColumns({position: (F.row_number().over(own.orderBy(*order)) - 1).cast("long"), total: F.count(F.lit(1)).over(own)})

@@ -1,7 +1,7 @@
 """Downsampling of per-object series for charts and dashboards.
 
-All three are row predicates over window positions (no join, no collect):
-the even downsample keeps exactly the rows NumPy's ``linspace`` would index.
+The even downsample keeps exactly the rows NumPy's ``linspace`` would index, a predicate over positions in the
+series; long series get their positions from range partitions instead of one sorted window.
 """
 
 from __future__ import annotations
@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from starlit.operators.positions import positions
+from starlit.schema import Params
+
+HOT_ROWS = Params().hot_object_rows
 SERIES_ORDER = ["time_bin", "quarter"]
 
 
@@ -31,29 +35,27 @@ def even_keep(r: Column, n: Column, k) -> Column:
     return (n <= k) | ((k == 1) & (r == 0)) | ((k >= 2) & ((r == n - 1) | hit(i0) | hit(i0 + 1)))
 
 
-def with_positions(df: DataFrame, key: str = "object_id", order=SERIES_ORDER) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(*order)
-    return df.withColumns({"_r": F.row_number().over(w) - 1,
-                           "_n": F.count(F.lit(1)).over(Window.partitionBy(key))})
-
-
-def even_downsample(df: DataFrame, k, key: str = "object_id", order=SERIES_ORDER) -> DataFrame:
-    """Evenly spaced downsample of every key's series to at most k rows."""
-    p = with_positions(df, key, order)
+def even_downsample(df: DataFrame, k, key: str = "object_id", order=SERIES_ORDER, strategy: str = "auto",
+                    hot_rows: int = HOT_ROWS, most: int | None = None) -> DataFrame:
+    """Evenly spaced downsample of every key's series to at most k rows. A series with more than ``hot_rows`` rows is
+    numbered over range partitions, never sorted in one task (see ``positions``)."""
+    p = positions(df, key, list(order), "_r", "_n", strategy, hot_rows, most)
     return p.filter(even_keep(F.col("_r"), F.col("_n"), k)).drop("_r", "_n")
 
 
-def downsample_by_object(df: DataFrame, max_points: int, min_per_object: int = 1000,
-                         key: str = "object_id", order=SERIES_ORDER) -> DataFrame:
+def downsample_by_object(df: DataFrame, max_points: int, min_per_object: int = 1000, key: str = "object_id",
+                         order=SERIES_ORDER, strategy: str = "auto", hot_rows: int = HOT_ROWS) -> DataFrame:
     """Dashboard reduction: only when the table has more than max_points rows, every object is
-    evenly downsampled to max(min_per_object, max_points // n_objects) rows."""
-    facts = df.select(F.struct(F.count(F.lit(1)).alias("n"),
-                               F.count_distinct(F.col(key).cast("string")).alias("k"))).scalar()
-    total, objects = facts["n"], facts["k"]
-    limit = F.greatest(F.lit(min_per_object), F.floor(F.lit(max_points) / F.greatest(objects, F.lit(1))))
-    p = with_positions(df, key, order)
-    keep = (total <= F.lit(max_points)) | even_keep(F.col("_r"), F.col("_n"), limit.cast("long"))
-    return p.filter(keep).drop("_r", "_n")
+    evenly downsampled to max(min_per_object, max_points // n_objects) rows. One count per object decides all of
+    it: a table within the limit is returned as it is."""
+    per = df.groupBy(F.col(key).cast("string").alias(key)).agg(F.count(F.lit(1)).alias("n"))
+    facts = per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.max("n"), F.lit(0)).alias("most"), F.count("*").alias("k")).first()
+    if facts["n"] <= max_points:
+        return df
+    limit = max(min_per_object, max_points // max(facts["k"], 1))
+    if facts["most"] <= limit:
+        return df
+    return even_downsample(df, limit, key, order, strategy, hot_rows, facts["most"])
 
 
 def random_downsample(df: DataFrame, k: int, seed: int = 42, key: str = "object_id",

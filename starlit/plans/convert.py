@@ -8,20 +8,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starlit.plans.lightcurve import prepare_observations
+from starlit.operators.positions import in_order
+from starlit.plans.lightcurve import prepare_by_dataset
 from starlit.session import scratch_path
 from starlit.sources import fits, tables
 
 
-def prepare_by_dataset(rows: DataFrame, datasets: list[str]) -> DataFrame:
-    """prepare_observations per dataset (the flux_err fill statistic is per dataset)."""
-    parts = [prepare_observations(rows.filter(F.col("dataset") == d)) for d in datasets]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
 def conversion_summary(spark: SparkSession, parsed: DataFrame, files: DataFrame | None,
                        datasets: list[str], prepared: DataFrame | None = None) -> DataFrame:
     """Per dataset: files, rows, objects, quarters, anomaly rows and status
@@ -30,7 +22,7 @@ def conversion_summary(spark: SparkSession, parsed: DataFrame, files: DataFrame
     errs = parsed.groupBy("dataset").agg(F.count(F.col("error")).alias("errors"),
                                          F.count(F.when(F.col("error").isNull(), F.col("source_file"))).alias("_ok"))
     if prepared is None:
-        prepared = prepare_by_dataset(fits.good_rows(parsed), datasets)
+        prepared = prepare_by_dataset(fits.good_rows(parsed))
     stats = prepared.groupBy("dataset").agg(
         F.count(F.lit(1)).alias("rows"), F.count_distinct("object_id").alias("objects"),
         F.count_distinct("quarter").alias("quarters"), F.sum(F.col("is_anomaly").cast("long")).alias("anomaly_rows"))
@@ -59,28 +51,27 @@ def written_sizes(spark: SparkSession, data_path: str) -> DataFrame:
 
 def convert(spark: SparkSession, raw_dirs: dict[str, str], out_dir: str, compression: str = "snappy",
             preview_rows: int = 5000) -> DataFrame:
-    """Ingest every dataset folder, write prepared Parquet (partitioned by dataset) and, per dataset, a sorted
-    preview CSV and its conversion errors if there are any; return the summary.
+    """Ingest every dataset folder, write prepared Parquet (partitioned by dataset, in canonical order) and, per
+    dataset, a sorted preview CSV and its conversion errors if there are any; return the summary.
 
-    Files are decoded once, into a table on shared storage partitioned by dataset; everything after reads that."""
+    Files are decoded once, into a table on shared storage partitioned by dataset; everything after reads that. All
+    datasets go through the same jobs, so the number of jobs doesn't follow theirs."""
     datasets = list(raw_dirs)
     files = fits.list_files(spark, raw_dirs, with_content=False)
     staged = scratch_path(spark, f"decoded/{uuid.uuid4().hex}")
     fits.read_light_curves(spark, raw_dirs).write.partitionBy("dataset").parquet(staged)
     parsed = spark.read.schema(fits.INGEST_SCHEMA).parquet(staged)
     good, bad = fits.good_rows(parsed), fits.error_rows(parsed)
-    read = {r["dataset"] for r in good.select("dataset").distinct().collect()}  # at most one row per folder given
-    if not read:
+    if good.isEmpty():
         return conversion_summary(spark, parsed, files, datasets)
-    prepared = prepare_by_dataset(good, [d for d in datasets if d in read])
     data_path = os.path.join(out_dir, "observations")
+    prepared = in_order(prepare_by_dataset(good), ["dataset", *tables.CANONICAL_ORDER])
     tables.write_parquet(prepared, data_path, compression, partition_by="dataset")
     written = spark.read.parquet(data_path)
-    for d in sorted(read):
-        preview = tables.preview_head(written.filter(F.col("dataset") == d), preview_rows).drop("dataset")
-        tables.write_csv(preview, os.path.join(out_dir, "preview", f"dataset={d}"))
-    for d in sorted(r["dataset"] for r in bad.select("dataset").distinct().collect()):
-        tables.write_csv(bad.filter(F.col("dataset") == d).drop("dataset"), os.path.join(out_dir, "conversion_errors", f"dataset={d}"))
+    previews = tables.preview_by(written, "dataset", preview_rows)
+    tables.write_csv(previews, os.path.join(out_dir, "preview"), partition_by="dataset")
+    if not bad.isEmpty():
+        tables.write_csv(bad, os.path.join(out_dir, "conversion_errors"), partition_by="dataset")
     summary = conversion_summary(spark, parsed, files, datasets, written).drop("size_mb", "output_file")
     sizes = written_sizes(spark, data_path)
     return summary.join(sizes, "dataset", "left").select(

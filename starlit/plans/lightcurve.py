@@ -15,6 +15,7 @@ from starlit.operators.binning import bin_points_bin_mode, bin_points_point_mode
 from starlit.operators.clean import clean_observations, drop_invalid, fill_flux_err, good_quality, \
     coerce_numeric, with_defaults, normalize_keys, profile
 from starlit.operators.normalize import flag_z, zscore
+from starlit.operators.quantile import finite_facts, grouped_quantile
 from starlit.operators.trend import add_trend
 from starlit.schema import Params
 
@@ -40,6 +41,25 @@ def prepare_observations(df: DataFrame, z_threshold: float = Params().z_threshol
     return flag_z(df, z_threshold)
 
 
+def prepare_by_dataset(df: DataFrame, z_threshold: float = Params().z_threshold,
+                       hot_object_rows: int = Params().hot_object_rows) -> DataFrame:
+    """``prepare_observations`` of every dataset in ``df`` by itself, all of them in the same jobs: one profile (per
+    dataset and object, then per dataset) and one refinement of the medians, however many datasets there are."""
+    df = drop_invalid(normalize_keys(coerce_numeric(with_defaults(df))), ("time", "flux"))
+    df = df.withColumn("quality", F.coalesce(F.col("quality"), F.lit(0.0)))
+    facts = finite_facts("flux_err")
+    per = df.groupBy("dataset", "object_id").agg(F.count(F.lit(1)).alias("rows"), *[a.alias(c) for c, a in facts.items()])
+    found = per.groupBy("dataset").agg(F.max("rows").alias("most"), F.sum("n").alias("n"), F.sum("below").alias("below"),
+                                       F.sum("above").alias("above"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect()
+    medians = grouped_quantile(df, "dataset", "flux_err", known={r["dataset"]: tuple(r[c] for c in facts) for r in found})
+    fill = df.sparkSession.createDataFrame([(d, 0.0 if m is None else m) for d, m in medians.items()], "d string, fill double")
+    df = df.join(F.broadcast(fill), F.col("dataset").eqNullSafe(F.col("d")), "left").withColumn(  # one row per dataset
+        "flux_err", F.coalesce("flux_err", "fill")).drop("d", "fill")
+    small = max((r["most"] for r in found), default=0) <= hot_object_rows
+    keyed = df.withColumn("_series", F.struct("dataset", "object_id"))
+    return flag_z(zscore(keyed, "flux", "flux_norm", key="_series", strategy="window" if small else "join").drop("_series"), z_threshold)
+
+
 def cleaned_points(df: DataFrame, mode: str) -> DataFrame:
     """Shared head of both modes: clean, good-quality filter with fallback, flux_err fill."""
     return profiled_points(df, mode)[0]

@@ -275,6 +275,22 @@ SQL["canonical_order"] = f"""WITH {PREP}
 SELECT object_id, quarter, "time",
        row_number() OVER (PARTITION BY object_id ORDER BY quarter, "time", flux) AS position FROM prep"""
 
+SQL["canonical_order_ranked"] = SQL["canonical_order"]
+
+SQL["fill_err_median_grouped"] = f"""WITH {OBS},
+{clean_ctes()}
+SELECT quarter, count(flux_err) AS values, round(median(flux_err), 6) AS median_flux_err FROM good GROUP BY quarter"""
+
+SQL["prepare_by_dataset"] = f"""WITH {OBS},
+p0 AS (SELECT * FROM obs WHERE "time" IS NOT NULL AND flux IS NOT NULL),
+md AS (SELECT dataset, median(flux_err) AS m FROM p0 GROUP BY dataset),
+p1 AS (SELECT p0.* REPLACE (COALESCE(quarter, -1) AS quarter, COALESCE(flux_err, m, 0.0::DOUBLE) AS flux_err,
+              COALESCE(quality, 0.0::DOUBLE) AS quality) FROM p0 JOIN md USING (dataset)),
+p2 AS (SELECT *, COALESCE((flux - avg(flux) OVER o) / NULLIF(stddev_samp(flux) OVER o, 0), 0.0::DOUBLE) AS flux_norm
+       FROM p1 WINDOW o AS (PARTITION BY dataset, object_id))
+SELECT dataset, source_file, object_id, quarter, "time", flux, round(flux_err, 6) AS flux_err, quality,
+       round(flux_norm, 6) AS flux_norm, abs(flux_norm) > 3.0 AS is_anomaly FROM p2"""
+
 SQL["prepare_observations"] = f"""WITH {PREP}
 SELECT dataset, source_file, object_id, quarter, "time", flux, round(flux_err, 6) AS flux_err, quality,
        round(flux_norm, 6) AS flux_norm, is_anomaly FROM prep"""
@@ -302,26 +318,25 @@ EX_COLS = ("dataset, object_id, quarter, time_bin, " + rounded("flux_norm, rolli
 
 
 def even_keep_sql(r: str, n: str, k: str) -> str:
-    step = f"(({n} - 1)::DOUBLE / greatest({k} - 1, 1)::DOUBLE)"
-    i0 = f"floor({r}::DOUBLE / {step})"
-
-    def hit(i):
-        return f"(({i}) <= {k} - 2 AND floor(({i})::DOUBLE * {step}) = {r})"
-
-    return (f"({n} <= {k} OR ({k} = 1 AND {r} = 0) OR ({k} >= 2 AND ({r} = {n} - 1 OR {hit(i0)} "
-            f"OR {hit(i0 + ' + 1')})))")
+    """Position among the generated ones: of i = 0 .. k - 2 the whole part of i * (n - 1) / (k - 1), and the last."""
+    at = (f"list_append(list_transform(range(0, {k}::BIGINT - 1), lambda i: floor(i::DOUBLE * (({n} - 1)::DOUBLE / greatest({k} - 1, 1)::DOUBLE))::BIGINT), "
+          f"CASE WHEN {k} = 1 THEN 0 ELSE {n} - 1 END)")
+    return f"({n} <= {k} OR list_contains({at}, {r}))"
 
 
 BY_OBJECT_LIMIT = "greatest(20, floor(2000 / greatest((SELECT count(DISTINCT object_id) FROM ex), 1)))"
-BY_OBJECT_KEEP = f"((SELECT count(*) FROM ex) <= 2000 OR {even_keep_sql('_r', '_n', BY_OBJECT_LIMIT)})"
+POS_LIMIT = f"(SELECT *, {BY_OBJECT_LIMIT} AS _k FROM pos)"
+BY_OBJECT_KEEP = f"((SELECT count(*) FROM ex) <= 2000 OR {even_keep_sql('_r', '_n', '_k')})"
 
 SQL["extract_project"] = f"WITH {EX}\nSELECT {EX_COLS} FROM ex"
-SQL["dashboard_extract"] = f"WITH {EX}\nSELECT {EX_COLS} FROM pos WHERE {BY_OBJECT_KEEP}"
-SQL["downsample_by_object"] = f"WITH {EX}\nSELECT object_id, quarter, time_bin FROM pos WHERE {BY_OBJECT_KEEP}"
+SQL["dashboard_extract"] = f"WITH {EX}\nSELECT {EX_COLS} FROM {POS_LIMIT} WHERE {BY_OBJECT_KEEP}"
+SQL["downsample_by_object"] = f"WITH {EX}\nSELECT object_id, quarter, time_bin FROM {POS_LIMIT} WHERE {BY_OBJECT_KEEP}"
 SQL["even_downsample"] = f"WITH {EX}\nSELECT object_id, quarter, time_bin FROM pos WHERE {even_keep_sql('_r', '_n', '7')}"
 
+SQL["even_downsample_ranked"] = SQL["even_downsample"]
+
 SQL["extract_metadata"] = f"""WITH {EX},
-ds AS (SELECT * FROM pos WHERE {BY_OBJECT_KEEP})
+ds AS (SELECT * FROM {POS_LIMIT} WHERE {BY_OBJECT_KEEP})
 SELECT 'obs' AS dataset, 'spark' AS processing_method, 'dash' AS visualization_method,
        'interactive_web_dashboard' AS visualization_type, (SELECT count(*) FROM ex) AS rows_before_downsample,
        count(*) AS rows_saved_for_dashboard, COALESCE(sum(is_anomaly::BIGINT), 0)::BIGINT AS anomaly_rows,
@@ -368,6 +383,8 @@ SELECT object_id, 'flux' AS series, time_bin AS x, round(flux_norm, 6) AS y FROM
 UNION ALL SELECT object_id, 'trend', time_bin, round(rolling_flux, 6) FROM k
 UNION ALL SELECT object_id, 'anomaly', time_bin, round(flux_norm, 6) FROM k WHERE is_anomaly"""
 
+SQL["chart_series_ranked"] = SQL["chart_series"]
+
 SQL["dashboard_summary"] = f"""WITH {EX}
 SELECT object_id, count(*) AS rows_in_range, count(*) AS rows_plotted,
        COALESCE(array_to_string(list_sort(list_distinct(list(quarter) FILTER (WHERE quarter >= 0))), ', '),

@@ -59,6 +59,7 @@ def q_process_bin(spark, sf_dir):
 # --- scans, cleaning, projections -----------------------------------------------------------
 from starlit.functions.expr import as_quarter, bin_id as bin_id_expr, bin_time  # noqa: E402
 from starlit.operators import clean, normalize, trend  # noqa: E402
+from starlit.operators.positions import positions  # noqa: E402
 from starlit.operators.quantile import exact_quantile_value  # noqa: E402
 
 P = QUERY_PARAMS
@@ -241,12 +242,21 @@ def q_bin_agg_bin(spark, sf_dir):
     return round_floats(bin_points_bin_mode(z, P.bin_width).drop("bin_id"), skip=("time_bin",))
 
 
+def _canonical(spark, sf_dir, strategy):
+    prep = lightcurve.prepare_observations(obs(spark, sf_dir)).select("object_id", "quarter", "time", "flux")
+    placed = positions(prep, "object_id", ["quarter", "time", "flux"], strategy=strategy)
+    return placed.select("object_id", "quarter", "time", (F.col("position") + 1).alias("position"))
+
+
 @register("canonical_order")
 def q_canonical_order(spark, sf_dir):
-    from pyspark.sql import Window
-    prep = lightcurve.prepare_observations(obs(spark, sf_dir))
-    w = Window.partitionBy("object_id").orderBy("quarter", "time", "flux")
-    return prep.select("object_id", "quarter", "time", F.row_number().over(w).cast("long").alias("position"))
+    return _canonical(spark, sf_dir, "auto")
+
+
+@register("canonical_order_ranked")
+def q_canonical_order_ranked(spark, sf_dir):
+    """The same positions from range partitions, no window over a whole object."""
+    return _canonical(spark, sf_dir, "ranked")
 
 
 @register("prepare_observations")
@@ -257,6 +267,26 @@ def q_prepare_observations(spark, sf_dir):
                         skip=("time", "flux", "quality"))
 
 
+@register("prepare_by_dataset")
+def q_prepare_by_dataset(spark, sf_dir):
+    """Every dataset prepared by itself (own flux_err median, own object statistics), all in the same jobs."""
+    prep = lightcurve.prepare_by_dataset(obs(spark, sf_dir))
+    return round_floats(prep.select("dataset", "source_file", "object_id", "quarter", "time", "flux",
+                                    "flux_err", "quality", "flux_norm", "is_anomaly"),
+                        skip=("time", "flux", "quality"))
+
+
+@register("fill_err_median_grouped")
+def q_fill_err_median_grouped(spark, sf_dir):
+    """Exact flux_err median of every object at once, by joint refinement with small ranges."""
+    from starlit.operators.quantile import grouped_quantile
+    good = clean.good_quality(cleaned(spark, sf_dir))
+    medians = grouped_quantile(good, "quarter", "flux_err", buckets=64, finish_limit=50)
+    table = spark.createDataFrame(sorted(medians.items()), "quarter int, median_flux_err double")
+    counts = good.groupBy("quarter").agg(F.count("flux_err").alias("values"))
+    return round_floats(counts.join(F.broadcast(table), "quarter"))
+
+
 @register("run_summary")
 def q_run_summary(spark, sf_dir):
     o = obs(spark, sf_dir)
@@ -300,6 +330,13 @@ def q_even_downsample(spark, sf_dir):
     return ds.select("object_id", "quarter", "time_bin")
 
 
+@register("even_downsample_ranked")
+def q_even_downsample_ranked(spark, sf_dir):
+    """Even downsample by positions over range partitions."""
+    ds = sample.even_downsample(extract.extract_project(processed(spark, sf_dir)), 7, strategy="ranked")
+    return ds.select("object_id", "quarter", "time_bin")
+
+
 @register("random_downsample")
 def q_random_downsample(spark, sf_dir):
     ds = sample.random_downsample(extract.extract_project(processed(spark, sf_dir)), 7)
@@ -368,6 +405,11 @@ def q_chart_series(spark, sf_dir):
     return round_floats(extract.chart_series(processed(spark, sf_dir), 20), skip=("x",))
 
 
+@register("chart_series_ranked")
+def q_chart_series_ranked(spark, sf_dir):
+    return round_floats(extract.chart_series(processed(spark, sf_dir), 20, strategy="ranked"), skip=("x",))
+
+
 @register("dashboard_query")
 def q_dashboard_query(spark, sf_dir):
     """One dashboard refresh for the default object over its whole time range (limit 5,000 points)."""

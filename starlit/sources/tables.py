@@ -7,7 +7,7 @@ import os
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from starlit.functions.expr import as_double
@@ -16,6 +16,8 @@ from starlit.sources.storage import list_paths
 
 log = logging.getLogger(__name__)
 
+CANONICAL_ORDER = ("object_id", "quarter", "time")
+
 
 def to_observations(df: DataFrame) -> DataFrame:
     """Map a light-curve table with instrument column names (any case) onto the observation columns.
@@ -40,20 +42,32 @@ def write_parquet(df: DataFrame, path: str, compression: str = "snappy", partiti
     w.parquet(path)
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """CSV with a header row (no byte-order mark is written)."""
-    df.write.mode(mode).option("header", True).csv(path)
+def write_csv(df: DataFrame, path: str, mode: str = "overwrite", partition_by: str | None = None, mark: bool = True) -> None:
+    """CSV with a header row; with ``mark`` every file starts with the UTF-8 byte-order mark (spreadsheet programs
+    read the text as UTF-8 then, and Spark's reader drops it)."""
+    if mark:
+        first = next(c for c in df.columns if c != partition_by)
+        df = df.withColumnRenamed(first, f"\ufeff{first}")
+    w = df.write.mode(mode).option("header", True).option("encoding", "UTF-8")
+    (w.partitionBy(partition_by) if partition_by else w).csv(path)
 
 
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).json(path)
 
 
-def preview_head(df: DataFrame, n: int = 5000, order=("object_id", "quarter", "time")) -> DataFrame:
+def preview_head(df: DataFrame, n: int = 5000, order=CANONICAL_ORDER) -> DataFrame:
     """First n rows in canonical order (a top-n: each task keeps at most n rows)."""
     return df.orderBy(*order).limit(n)
 
 
+def preview_by(df: DataFrame, key: str, n: int = 5000, order=CANONICAL_ORDER) -> DataFrame:
+    """``preview_head`` of every key in one job: tasks keep n rows of a key before the shuffle (a group limit), so
+    no task sees a whole key."""
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    return df.withColumn("_rank", rank).filter(F.col("_rank") <= n).orderBy(key, "_rank").drop("_rank")
+
+
 def discover_extracts(spark: SparkSession, directory: str, suffix: str = "_dash_data.parquet",
                       skipped: list | None = None) -> DataFrame | None:
     """All ``<key>_dash_data.parquet`` extracts of a folder in one read; key taken from the file name.
