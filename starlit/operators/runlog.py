@@ -86,10 +86,12 @@ def with_order(df: DataFrame) -> DataFrame:
 def clean_run_log(df: DataFrame, sort: bool = False) -> DataFrame:
     """The analysable run log: successful rows with a total time, methods split out."""
     out = successful_runs(with_methods(df))
-    if sort:
-        out = with_order(out).orderBy("dataset_order", "method_order", "viz_order").drop(
-            "dataset_order", "method_order", "viz_order")
-    return out
+    return in_display_order(out) if sort else out
+
+
+def in_display_order(df: DataFrame) -> DataFrame:
+    order = ["dataset_order", "method_order", "viz_order"]
+    return with_order(df).orderBy(*order).drop(*order)
 
 
 def combine_run_logs(logs: list[DataFrame | None]) -> DataFrame | None:
@@ -112,20 +114,37 @@ def combine_run_logs(logs: list[DataFrame | None]) -> DataFrame | None:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), map(agreed, logs))
 
 
-def assemble_run_log(processing: DataFrame, visualization: DataFrame) -> DataFrame:
-    """Processing records x their visualisation records.
+# What the processing summary and the chart metadata add to a run record.
+PROCESSED_FACTS = ["input_file", "output_file", "rows_input", "rows_after_cleaning", "rows_output", "objects", "quarters", "anomaly_rows"]
+CHART_FACTS = ["visualization_file", "visualization_metadata_file", "visualization_type", "points_plotted",
+               "anomaly_points_plotted", "rows_before_downsample"]
+
+
+def _with_facts(df: DataFrame, facts: list[str]) -> DataFrame:
+    """``df`` with the given run-log columns it lacks, as typed nulls."""
+    types = {f.name: f.dataType for f in RUN_METRICS.fields}
+    return df.withColumns({c: F.lit(None).cast(types[c]) for c in facts if c not in df.columns})
+
+
+def assemble_run_log(processing: DataFrame, visualization: DataFrame, charts: DataFrame | None = None) -> DataFrame:
+    """Processing records x their visualisation records x what was plotted: all columns of ``RUN_METRICS``, in order.
 
-    processing: dataset, processing_method, input_exists, processing_time_sec,
-                processing_memory_peak_mb, status, error
+    processing: dataset, processing_method, input_exists, processing_time_sec, processing_memory_peak_mb, status,
+                error, and any of PROCESSED_FACTS (as ``plans.jobs.process_file`` returns them)
     visualization: dataset, processing_method, visualization_method,
                    visualization_time_sec, visualization_memory_peak_mb, status, error
+    charts: dataset, processing_method, visualization_method and any of CHART_FACTS (``extract.chart_metadata``)
     A successful processing run yields one row per visualisation with
-    total = round(processing + visualisation, 6) and the visualisation's status;
+    total = round(processing + visualisation, 6), the visualisation's status and the facts of both;
     a failed one yields a single row with total = processing time; a missing input
-    yields a row with the error text only.
+    yields a row with the error text only. A visualisation without chart metadata has no chart facts. Facts of runs
+    that failed are left out.
     """
-    p = processing.alias("p")
-    v = visualization.alias("v")
+    keys = ["dataset", "processing_method", "visualization_method"]
+    if charts is not None:
+        visualization = visualization.join(_with_facts(charts, CHART_FACTS).select(*keys, *CHART_FACTS), keys, "left")
+    p = _with_facts(processing, PROCESSED_FACTS).alias("p")
+    v = _with_facts(visualization, CHART_FACTS).alias("v")
     ok = F.col("p.input_exists") & (F.col("p.status") == "success")
     joined = p.join(v, (F.col("p.dataset") == F.col("v.dataset"))
                     & (F.col("p.processing_method") == F.col("v.processing_method")) & ok, "left")
@@ -133,20 +152,21 @@ def assemble_run_log(processing: DataFrame, visualization: DataFrame) -> DataFra
     viz_name = F.when(ok & F.col("v.visualization_method").isNotNull(), F.col("v.visualization_method")) \
         .otherwise(F.lit(""))
     proc_time = F.when(missing, F.lit(None).cast("double")).otherwise(F.col("p.processing_time_sec"))
-    return joined.select(
-        F.col("p.dataset").alias("dataset"),
-        F.col("p.processing_method").alias("processing_method"),
-        viz_name.alias("visualization_method"),
-        F.concat(F.col("p.processing_method"), F.lit(" +"),
-                 F.when(viz_name != "", F.concat(F.lit(" "), viz_name)).otherwise(F.lit(""))).alias("pair"),
-        proc_time.alias("processing_time_sec"),
-        F.when(missing, F.lit(None).cast("double")).otherwise(F.col("p.processing_memory_peak_mb"))
-        .alias("processing_memory_peak_mb"),
-        F.col("v.visualization_time_sec").alias("visualization_time_sec"),
-        F.col("v.visualization_memory_peak_mb").alias("visualization_memory_peak_mb"),
-        F.when(ok, round_scaled(F.col("p.processing_time_sec") + F.col("v.visualization_time_sec"), 6))
-        .otherwise(proc_time).alias("total_time_sec"),
-        F.when(ok & (F.col("v.status") == "success"), F.lit("success")).otherwise(F.lit("error"))
-        .alias("status"),
-        F.when(ok, F.col("v.error")).otherwise(F.col("p.error")).alias("error"),
-    )
+    drawn = ok & (F.col("v.status") == "success")
+    columns = {
+        "dataset": F.col("p.dataset"),
+        "processing_method": F.col("p.processing_method"),
+        "visualization_method": viz_name,
+        "pair": F.concat(F.col("p.processing_method"), F.lit(" +"),
+                         F.when(viz_name != "", F.concat(F.lit(" "), viz_name)).otherwise(F.lit(""))),
+        "processing_time_sec": proc_time,
+        "processing_memory_peak_mb": F.when(missing, F.lit(None).cast("double")).otherwise(F.col("p.processing_memory_peak_mb")),
+        "visualization_time_sec": F.col("v.visualization_time_sec"),
+        "visualization_memory_peak_mb": F.col("v.visualization_memory_peak_mb"),
+        "total_time_sec": F.when(ok, round_scaled(F.col("p.processing_time_sec") + F.col("v.visualization_time_sec"), 6)).otherwise(proc_time),
+        "status": F.when(drawn, F.lit("success")).otherwise(F.lit("error")),
+        "error": F.when(ok, F.col("v.error")).otherwise(F.col("p.error")),
+        **{c: F.when(ok, F.col(f"p.{c}")) for c in PROCESSED_FACTS},
+        **{c: F.when(drawn, F.col(f"v.{c}")) for c in CHART_FACTS},
+    }
+    return joined.select(*[columns[f.name].cast(f.dataType).alias(f.name) for f in RUN_METRICS.fields])

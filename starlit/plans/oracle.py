@@ -383,6 +383,15 @@ SELECT object_id, 'flux' AS series, time_bin AS x, round(flux_norm, 6) AS y FROM
 UNION ALL SELECT object_id, 'trend', time_bin, round(rolling_flux, 6) FROM k
 UNION ALL SELECT object_id, 'anomaly', time_bin, round(flux_norm, 6) FROM k WHERE is_anomaly"""
 
+SQL["chart_metadata"] = f"""WITH {POINT_PIPE},
+top AS (SELECT object_id FROM point_out GROUP BY object_id ORDER BY count(*) DESC, object_id LIMIT 1),
+s AS (SELECT p.*, row_number() OVER (ORDER BY time_bin, quarter) - 1 AS _r, count(*) OVER () AS _n
+      FROM point_out p WHERE object_id IN (SELECT object_id FROM top)),
+k AS (SELECT * FROM s WHERE {even_keep_sql('_r', '_n', '20')})
+SELECT 'obs' AS dataset, 'spark' AS processing_method, 'plotly' AS visualization_method, 'interactive_html' AS visualization_type,
+       any_value(object_id) AS object_id, count(*) AS points_plotted, count(*) FILTER (is_anomaly) AS anomaly_points_plotted,
+       NULL::BIGINT AS rows_before_downsample, 'chart.html' AS visualization_file, NULL::VARCHAR AS visualization_metadata_file FROM k"""
+
 SQL["chart_series_ranked"] = SQL["chart_series"]
 
 SQL["dashboard_summary"] = f"""WITH {EX}
@@ -535,20 +544,26 @@ p AS (
          max(l_linenumber) <> 6 AS input_exists, round(sum(l_extendedprice) / 1.0e7, 6) AS processing_time_sec,
          max(l_quantity) AS processing_memory_peak_mb,
          CASE WHEN max(l_linenumber) = 7 THEN 'error' ELSE 'success' END AS status,
-         CASE WHEN max(l_linenumber) = 7 THEN 'processing failed' END AS error
-  FROM lineitem GROUP BY ALL),
+         CASE WHEN max(l_linenumber) = 7 THEN 'processing failed' END AS error,
+         'in.parquet' AS input_file, 'out.parquet' AS output_file, count(*) AS rows_input, count(*) FILTER (l_tax < 0.07) AS rows_after_cleaning,
+         count(*) FILTER (l_tax < 0.05) AS rows_output, count(DISTINCT l_suppkey) AS objects,
+         count(DISTINCT quarter(l_shipdate)) AS quarters, count(*) FILTER (l_discount > 0.09) AS anomaly_rows
+  FROM lineitem GROUP BY 1, 2),
 v AS (
   SELECT l_returnflag AS dataset, 'm' || l_linenumber::VARCHAR AS processing_method,
          (['matplotlib', 'plotly', 'dash'])[(l_suppkey % 3)::INT + 1] AS visualization_method,
          round(avg(l_discount), 6) AS visualization_time_sec, max(l_tax) AS visualization_memory_peak_mb,
          CASE WHEN min(l_quantity) <= 1.0 THEN 'error' ELSE 'success' END AS status,
-         CASE WHEN min(l_quantity) <= 1.0 THEN 'visualization failed' END AS error
-  FROM lineitem GROUP BY ALL),
+         CASE WHEN min(l_quantity) <= 1.0 THEN 'visualization failed' END AS error,
+         count(*) FILTER (l_quantity > 10) AS points_plotted, count(*) FILTER (l_quantity > 45) AS anomaly_points_plotted, count(*) AS n
+  FROM lineitem GROUP BY 1, 2, 3),
 j AS (
   SELECT p.dataset, p.processing_method, p.input_exists AND p.status = 'success' AS ok, NOT p.input_exists AS missing,
          p.processing_time_sec AS pt, p.processing_memory_peak_mb AS pm, p.error AS perr,
          v.visualization_method AS vm, v.visualization_time_sec, v.visualization_memory_peak_mb,
-         v.status AS vstatus, v.error AS verr
+         v.status AS vstatus, v.error AS verr, p.input_file, p.output_file, p.rows_input, p.rows_after_cleaning, p.rows_output,
+         p.objects, p.quarters, p.anomaly_rows, v.points_plotted, v.anomaly_points_plotted, v.n,
+         v.status = 'success' AND (p.dataset <> 'N' OR vm <> 'matplotlib') AS drawn
   FROM p LEFT JOIN v ON p.dataset = v.dataset AND p.processing_method = v.processing_method
                       AND p.input_exists AND p.status = 'success'),
 k AS (SELECT *, CASE WHEN ok AND vm IS NOT NULL THEN vm ELSE '' END AS viz FROM j)
@@ -561,7 +576,16 @@ SELECT dataset, processing_method, viz AS visualization_method,
        round(CASE WHEN ok THEN round(pt + visualization_time_sec, 6) WHEN missing THEN NULL ELSE pt END, 6)
          AS total_time_sec,
        CASE WHEN ok AND vstatus = 'success' THEN 'success' ELSE 'error' END AS status,
-       CASE WHEN ok THEN verr ELSE perr END AS error
+       CASE WHEN ok THEN verr ELSE perr END AS error,
+       CASE WHEN ok THEN input_file END AS input_file, CASE WHEN ok THEN output_file END AS output_file,
+       CASE WHEN ok THEN rows_input END AS rows_input, CASE WHEN ok THEN rows_after_cleaning END AS rows_after_cleaning,
+       CASE WHEN ok THEN rows_output END AS rows_output, CASE WHEN ok THEN objects END AS objects,
+       CASE WHEN ok THEN quarters END AS quarters, CASE WHEN ok THEN anomaly_rows END AS anomaly_rows,
+       CASE WHEN drawn THEN viz || '.out' END AS visualization_file,
+       CASE WHEN drawn AND viz = 'dash' THEN 'meta.json' END AS visualization_metadata_file,
+       CASE WHEN drawn THEN CASE WHEN viz = 'dash' THEN 'interactive_web_dashboard' ELSE 'chart' END END AS visualization_type,
+       CASE WHEN drawn THEN points_plotted END AS points_plotted, CASE WHEN drawn THEN anomaly_points_plotted END AS anomaly_points_plotted,
+       CASE WHEN drawn AND viz = 'dash' THEN n END AS rows_before_downsample
 FROM k"""
 
 SQL["scan_run_metrics"] = f"WITH {RUN_METRICS}\nSELECT * FROM run_metrics"

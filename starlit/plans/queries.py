@@ -445,6 +445,10 @@ def clean_log(spark, sf_dir):
     return runlog.clean_run_log(metrics(spark, sf_dir))
 
 
+def partials(spark, sf_dir):
+    return analysis.run_partials(clean_log(spark, sf_dir))
+
+
 @register("split_pair")
 def q_split_pair(spark, sf_dir):
     m = metrics(spark, sf_dir)
@@ -529,12 +533,12 @@ def q_chart_labels(spark, sf_dir):
 
 @register("report_lines")
 def q_report_lines(spark, sf_dir):
-    return round_floats(analysis.report_lines(clean_log(spark, sf_dir)))
+    return round_floats(analysis.report_lines(partials(spark, sf_dir)))
 
 
 @register("format_metrics")
 def q_format_metrics(spark, sf_dir):
-    return analysis.format_report(analysis.report_lines(clean_log(spark, sf_dir)))
+    return analysis.format_report(analysis.report_lines(partials(spark, sf_dir)))
 
 
 @register("mode_method")
@@ -566,6 +570,10 @@ def processing_runs(spark, sf_dir):
         F.max("l_quantity").alias("processing_memory_peak_mb"),
         F.when(F.max("l_linenumber") == 7, F.lit("error")).otherwise(F.lit("success")).alias("status"),
         F.when(F.max("l_linenumber") == 7, F.lit("processing failed")).alias("error"),
+        F.lit("in.parquet").alias("input_file"), F.lit("out.parquet").alias("output_file"),
+        F.count(F.lit(1)).alias("rows_input"), F.count_if(F.col("l_tax") < 0.07).alias("rows_after_cleaning"),
+        F.count_if(F.col("l_tax") < 0.05).alias("rows_output"), F.count_distinct("l_suppkey").alias("objects"),
+        F.count_distinct(F.quarter("l_shipdate")).alias("quarters"), F.count_if(F.col("l_discount") > 0.09).alias("anomaly_rows"),
     )
 
 
@@ -583,9 +591,34 @@ def visualization_runs(spark, sf_dir):
     )
 
 
+def chart_runs(spark, sf_dir):
+    """What each visualisation plotted; there is no metadata of the static charts of return flag N."""
+    li = adapters.table(spark, sf_dir, "lineitem")
+    vizs = F.array(F.lit("matplotlib"), F.lit("plotly"), F.lit("dash"))
+    runs = li.groupBy(F.col("l_returnflag").alias("dataset"),
+                      F.concat(F.lit("m"), F.col("l_linenumber").cast("string")).alias("processing_method"),
+                      F.element_at(vizs, (F.col("l_suppkey") % 3).cast("int") + 1).alias("visualization_method")).agg(
+        F.count_if(F.col("l_quantity") > 10).alias("points_plotted"),
+        F.count_if(F.col("l_quantity") > 45).alias("anomaly_points_plotted"), F.count(F.lit(1)).alias("rows"))
+    dash = F.col("visualization_method") == "dash"
+    return runs.filter((F.col("dataset") != "N") | (F.col("visualization_method") != "matplotlib")).select(
+        "dataset", "processing_method", "visualization_method", "points_plotted", "anomaly_points_plotted",
+        F.concat(F.col("visualization_method"), F.lit(".out")).alias("visualization_file"),
+        F.when(dash, F.lit("meta.json")).alias("visualization_metadata_file"),
+        F.when(dash, F.lit("interactive_web_dashboard")).otherwise(F.lit("chart")).alias("visualization_type"),
+        F.when(dash, F.col("rows")).alias("rows_before_downsample"))
+
+
 @register("assemble_run_log")
 def q_assemble_run_log(spark, sf_dir):
-    return round_floats(runlog.assemble_run_log(processing_runs(spark, sf_dir), visualization_runs(spark, sf_dir)))
+    return round_floats(runlog.assemble_run_log(processing_runs(spark, sf_dir), visualization_runs(spark, sf_dir), chart_runs(spark, sf_dir)))
+
+
+@register("chart_metadata")
+def q_chart_metadata(spark, sf_dir):
+    """Chart metadata of the chart of the most observed object (limit 20 points)."""
+    points = extract.chart_points(processed(spark, sf_dir), 20)
+    return extract.chart_metadata(points, DATASET, "spark", "plotly", "interactive_html", "chart.html")
 
 
 @register("scan_run_metrics")

@@ -1,6 +1,8 @@
 """Every registered query against its DuckDB twin on the smallest tables."""
 
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -16,9 +18,9 @@ def canon(df):
     for rec in df.itertuples(index=False, name=None):
         row = []
         for v in rec:
-            if v is None or (isinstance(v, float) and v != v):
+            if v is None or v is pd.NA or v != v:
                 row.append(None)
-            elif isinstance(v, float):
+            elif isinstance(v, (int, float, np.number)) and not isinstance(v, bool):
                 row.append(float(f"{v:.12g}"))
             else:
                 row.append(v)

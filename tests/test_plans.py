@@ -44,3 +44,11 @@ def test_pipeline_reads_only_needed_columns(spark):
     for line in plan_text(df).splitlines():
         if "ReadSchema" in line:
             assert "props" not in line
+
+
+def test_report_lines_scan_the_log_once(spark):
+    df = QUERIES["report_lines"](spark, SF_SMALL)
+    assert plan_text(df).count("FileScan") == 1
+    for key in ("pair_ranking", "fastest_method", "best_pair_by_dataset", "processing_summary"):
+        text = plan_text(QUERIES[key](spark, SF_SMALL))
+        assert text.count("FileScan") == 1
