@@ -38,7 +38,8 @@ from starlit.llm.common import add_missing, stash, table
 from starlit.llm.near_dedup import _chunks, _mix, _texts, word_hashes
 
 BITS = 8          # per insertion
-PROBES = 4
+PROBES = 4        # nine bits each of one hash
+BLOCK_BYTES = 64
 MAX_BITS = 1 << 31
 PART_TOKENS = 1_000_000
 FLUSH_TOKENS = 3_000_000
@@ -121,49 +122,78 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class FrequencyFilter:
-    """Log-frequency Bloom filter in parts; a hash belongs to part ``hash % parts``."""
+    """Log-frequency Bloom filter in parts; a hash belongs to part ``hash % parts``. The probes of a hash at one level
+    lie in one block of 64 bytes, so a level costs one look into memory and one hash."""
 
     def __init__(self, parts: int, filled: dict[int, bytes]):
         self.parts = parts
-        sizes = np.array([len(filled.get(k, b"")) for k in range(parts)], dtype=np.int64)
-        self.starts = np.concatenate([[0], np.cumsum(sizes)])[:-1].astype(np.uint64) * _U(8)
-        self.sizes = sizes.astype(np.uint64) * _U(8)
-        self.bits = np.frombuffer(b"".join(filled.get(k, b"") for k in range(parts)), dtype=np.uint8)
+        sizes = np.array([len(filled.get(k, b"")) // BLOCK_BYTES for k in range(parts)], dtype=np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(sizes)])[:-1].astype(np.uint64)
+        self.sizes = sizes.astype(np.uint64)
+        self.words = np.frombuffer(b"".join(filled.get(k, b"") for k in range(parts)), dtype="<u8")
 
     @staticmethod
-    def places(hashes: np.ndarray, level: int, probe: int, sizes: np.ndarray) -> np.ndarray:
-        salt = _U((level * int(_LEFT) + probe * int(_RIGHT)) & 0xFFFF_FFFF_FFFF_FFFF)
-        return _mix(hashes + salt) % sizes
+    def places(hashes: np.ndarray, level: int, blocks: np.ndarray | np.uint64) -> tuple[np.ndarray, np.ndarray]:
+        """Block of each hash at a level, and four bit numbers of nine bits each inside it."""
+        x = _mix(hashes + _U(level * int(_LEFT) & 0xFFFF_FFFF_FFFF_FFFF))
+        return ((x >> _U(32)) * blocks) >> _U(32), (x * _RIGHT) >> _U(64 - 9 * PROBES)
 
     @classmethod
-    def build_part(cls, hashes: np.ndarray, counts: np.ndarray, least: int = 1) -> bytes:
-        hashes, counts = hashes[counts >= least], counts[counts >= least]
+    def build_part(cls, hashes: np.ndarray, counts: np.ndarray) -> bytes:
         deep = np.where(hashes & _U(1) == 1, levels(counts, PAIR), levels(counts, SINGLE))
-        size = max(8, -(-int(deep.sum()) * BITS // 8))
-        flags = np.zeros(size * 8, dtype=np.uint8)
+        blocks = max(1, -(-int(deep.sum()) * BITS // (8 * BLOCK_BYTES)))
+        flags = np.zeros(blocks * 8 * BLOCK_BYTES, dtype=np.uint8)
         for level in range(1, int(deep.max(initial=0)) + 1):
-            here = hashes[deep >= level]
+            block, bits = cls.places(hashes[deep >= level], level, _U(blocks))
             for probe in range(PROBES):
-                flags[cls.places(here, level, probe, _U(size * 8))] = 1
+                flags[(block << _U(9)) | ((bits >> _U(9 * probe)) & _U(511))] = 1
         return np.packbits(flags, bitorder="little").tobytes()
 
     def levels(self, hashes: np.ndarray) -> np.ndarray:
         """Levels found by probing one after the other until a miss; 0 if the first is missing."""
         out = np.zeros(len(hashes), dtype=np.int64)
-        part = (hashes % _U(self.parts)).astype(np.int64)
-        alive, level = np.flatnonzero(self.sizes[part] > 0), 1
+        part = (hashes % _U(self.parts)).astype(np.int64) if self.parts > 1 else np.zeros(len(hashes), dtype=np.int64)
+        starts, sizes = self.starts[part], self.sizes[part]
+        alive, level = np.flatnonzero(sizes > 0), 1
         while len(alive):
+            block, bits = self.places(hashes[alive], level, sizes[alive])
+            word = (starts[alive] + block) << _U(3)
             for probe in range(PROBES):
-                p = part[alive]
-                at = self.starts[p] + self.places(hashes[alive], level, probe, self.sizes[p])
-                alive = alive[(self.bits[(at >> _U(3)).astype(np.int64)] >> (at & _U(7)).astype(np.uint8)) & 1 == 1]
-                if not len(alive):
-                    break
+                at = bits & _U(511)
+                hit = (self.words[(word | (at >> _U(6))).astype(np.int64)] >> (at & _U(63))) & _U(1) == 1
+                alive, word, bits = alive[hit], word[hit], bits[hit] >> _U(9)
             out[alive] = level
             level += 1
         return out
 
 
+class NearWords:
+    """Exact counts of the frequent words by binary search (``words`` sorted), and their levels in the filter as far as
+    they were probed: a frequent word is probed once per worker. Both are as long as the broadcast list of words."""
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray):
+        self.words, self.counts = words, counts
+        self.known = np.full(len(words), -1, dtype=np.int16)
+
+    def _places(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.words):
+            return np.zeros(len(asked), dtype=np.int64), np.zeros(len(asked), dtype=bool)
+        at = np.minimum(np.searchsorted(self.words, asked), len(self.words) - 1)
+        return at, self.words[at] == asked
+
+    def look_up(self, asked: np.ndarray, grams: FrequencyFilter | FoundLevels) -> tuple[np.ndarray, np.ndarray]:
+        """(count, level) of distinct words; count 0 for those not held."""
+        at, held = self._places(asked)
+        if not len(self.words):
+            return np.zeros(len(asked), dtype=np.int64), grams.levels(singles(asked))
+        level = np.where(held, self.known[at], -1).astype(np.int64)
+        new = np.flatnonzero(level < 0)
+        level[new] = grams.levels(singles(asked[new]))
+        kept = new[held[new]]
+        self.known[at[kept]] = level[kept]
+        return np.where(held, self.counts[at], 0), level
+
+
 class FoundLevels:
     """Levels of a chunk's distinct hashes, already probed; ``hashes`` sorted."""
 
@@ -193,16 +223,6 @@ def _fill(parts: int):
     return run
 
 
-def least_count(tokens: int, max_bits: int = MAX_BITS) -> int:
-    """Smallest count from which on tokens and pairs fit in ``max_bits`` at most: at most tokens / c of either have
-    count c or more, and levels per count fall as counts rise. An estimate only: the model leaves no count out."""
-    least = 1
-    # 1.3: the levels of single tokens over all counts from `least` on, at most, beside those of `least` itself
-    while tokens * BITS * (int(levels(np.array([least]), PAIR)[0]) + 1.3 * (least > 1) * int(levels(np.array([least]), SINGLE)[0])) > max_bits * least:
-        least *= 2
-    return least
-
-
 class Scorer:
     """Scores texts given the counts of frequent words. Holds what a worker needs beside them.
     n, v: training tokens, all and distinct; n_soft: sum of the quantised counts in the filter."""
@@ -210,7 +230,7 @@ class Scorer:
     def __init__(self, n: int, v: int, n_soft: float, n_docs: int, grams: FrequencyFilter | FoundLevels | None):
         self.n, self.v, self.n_soft, self.n_docs, self.grams = n, v, n_soft, n_docs, grams
 
-    def score(self, texts: list[bytes], count_of: Callable[[np.ndarray], np.ndarray], complete: bool):
+    def score(self, texts: list[bytes], near: NearWords, complete: bool):
         """(n_tokens, n_known, base_score, score) of each text and its words whose count isn't at hand, as
         arrays of (text number, word, times); with ``complete`` counts there are none: unknown is 0."""
         n_tokens, n_known = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
@@ -220,8 +240,7 @@ class Scorer:
         for first, tokens, owner, before in token_runs(texts):
             m = int(owner[-1]) + 1
             distinct, back = np.unique(tokens, return_inverse=True)
-            c = count_of(distinct)
-            level = self.grams.levels(singles(distinct))
+            c, level = near.look_up(distinct, self.grams)
             low = np.where(level > 0, 2.0 ** ((level - 1) / SINGLE), 0.0)
             p1 = ((low * 2 ** (0.5 / SINGLE) + 0.5) / soft_room)[back]
             high = np.where(level > 0, 2.0 ** (level / SINGLE), 0.0)[back]
@@ -245,22 +264,12 @@ class Scorer:
         return (n_tokens, n_known, base, score), np.concatenate(rare)
 
 
-def _lookup(words: np.ndarray, counts: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
-    """Counts of words by binary search; ``words`` sorted."""
-    def count_of(asked: np.ndarray) -> np.ndarray:
-        if not len(words):
-            return np.zeros(len(asked), dtype=np.int64)
-        at = np.minimum(np.searchsorted(words, asked), len(words) - 1)
-        return np.where(words[at] == asked, counts[at], 0)
-    return count_of
-
-
 _SCORED = ("doc_id bigint, held_out boolean, row bigint, n_tokens bigint, n_known bigint, base_score double, score double, "
            "rare array<bigint>, times array<bigint>")
 
 
-def _scored_batch(scorer: Scorer, count_of: Callable, complete: bool, texts: list[bytes], doc_id, held_out, rows) -> pa.RecordBatch:
-    columns, rare = scorer.score(texts, count_of, complete)
+def _scored_batch(scorer: Scorer, near: NearWords, complete: bool, texts: list[bytes], doc_id, held_out, rows) -> pa.RecordBatch:
+    columns, rare = scorer.score(texts, near, complete)
     rare = rare[np.argsort(rare[:, 0], kind="stable")]
     ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(rare[:, 0], minlength=len(texts)))]).astype(np.int32))
     lists = [pa.ListArray.from_arrays(ends, pa.array(rare[:, k].copy())) for k in (1, 2)]
@@ -270,12 +279,11 @@ def _scored_batch(scorer: Scorer, count_of: Callable, complete: bool, texts: lis
 
 def _score_all(shared, complete: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer, words, counts = shared.value
-        count_of, row = _lookup(words, counts), TaskContext.get().partitionId() << 40
+        (scorer, near), row = shared.value, TaskContext.get().partitionId() << 40
         for batch in batches:
             if batch.num_rows:
                 rows = pa.array(np.arange(row, row + batch.num_rows))
-                yield _scored_batch(scorer, count_of, complete, _texts(batch.column("text")), batch.column("doc_id"), batch.column("held_out"), rows)
+                yield _scored_batch(scorer, near, complete, _texts(batch.column("text")), batch.column("doc_id"), batch.column("held_out"), rows)
                 row += batch.num_rows
     return run
 
@@ -316,7 +324,7 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _score_chunk(shared, parts: int, complete: bool):
     def run(chunk: pa.Table, answers: pa.Table) -> pa.Table:
-        scorer, words, counts = shared.value
+        scorer, near = shared.value
         chunk, texts = chunk.combine_chunks(), _texts(chunk.column("text").combine_chunks())
         hashes, _ = _by_part(texts, parts)
         found = np.frombuffer(b"".join(answers.sort_by("part").column("data").to_pylist()), dtype=np.uint8)
@@ -325,7 +333,8 @@ def _score_chunk(shared, parts: int, complete: bool):
         order = np.argsort(hashes)
         own = Scorer(scorer.n, scorer.v, scorer.n_soft, scorer.n_docs, FoundLevels(hashes[order], found[order]))
         columns = (chunk.column(c).combine_chunks() for c in ("doc_id", "held_out", "row"))
-        return pa.Table.from_batches([_scored_batch(own, _lookup(words, counts), complete, texts, *columns)])
+        # levels here come from this chunk's own answers: nothing is remembered across chunks
+        return pa.Table.from_batches([_scored_batch(own, NearWords(near.words, near.counts), complete, texts, *columns)])
     return run
 
 
@@ -387,7 +396,7 @@ def score_documents(docs: DataFrame, max_words: int = MAX_WORDS, max_bits: int =
     near_counts = np.frombuffer(b"".join(r["counts"] for r in blobs), dtype=np.int64)
     order = np.argsort(near_words)
     complete = held_words == v
-    shared = spark.sparkContext.broadcast((scorer, near_words[order], near_counts[order]))
+    shared = spark.sparkContext.broadcast((scorer, NearWords(near_words[order], near_counts[order])))
     scored = docs.mapInArrow(_score_all(shared, complete), _SCORED) if bits <= max_bits else _score_routed(docs, built, parts, shared, complete)
     columns = ("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("bigint").alias("train_tokens"), "base_score", "score")
     if complete:

@@ -445,15 +445,64 @@ def test_lm_scores(spark, odd_rows):
 
 
 def test_filter_counts():
-    from starlit.llm.ngram_lm import MAX_BITS, BITS, FrequencyFilter, least_count, levels
+    from starlit.llm.ngram_lm import FrequencyFilter, levels
     rng = np.random.default_rng(1)
     hashes = rng.integers(0, 1 << 55, 20_000, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     counts = rng.zipf(1.7, 20_000).clip(1, 10 ** 6)
-    f = FrequencyFilter(1, {0: FrequencyFilter.build_part(hashes, counts, 1)})
+    f = FrequencyFilter(1, {0: FrequencyFilter.build_part(hashes, counts)})
     got = f.levels(hashes)
     assert (got >= levels(counts, 1)).all() and (got == levels(counts, 1)).mean() > 0.95
     assert (f.levels(rng.integers(0, 1 << 55, 20_000, dtype=np.uint64) * np.uint64(2) + np.uint64(1)) > 0).mean() < 0.05
-    assert least_count(10 ** 6) == 1 and least_count(10 ** 12) * MAX_BITS >= 10 ** 12 * BITS
+
+
+def test_scores_with_exact_counts_in_place_of_the_filter(spark):
+    """The model's probability by a plain recount: quantised counts of words and pairs, mixed."""
+    from starlit.llm import ngram_lm as lm
+    texts = [r["text"] or "" for r in small(spark).select("text").collect()][:60] + ["", "one", "one one one"]
+    tokens = [re.findall(SPACE_WORD, lower(t)) + ["\0"] for t in texts]
+    train, ones, twos = tokens[::2], Counter(), Counter()
+    for w in train:
+        ones.update(w)
+        twos.update(zip([None, *w[:-1]], w))
+    quantised = lambda c: 2.0 ** (math.floor(4 * math.log2(c) + 1e-9) / 4)
+    n_soft = sum(quantised(c) * 2 ** 0.125 for c in ones.values())
+    room = n_soft + 0.5 * (len(ones) + 1)
+    hashed: dict[int, int] = {}
+    for t in texts[::2]:
+        for _, tok, _, before in lm.token_runs([t.encode()]):
+            for h in np.concatenate([lm.singles(tok), lm.pairs_of(before, tok)]).tolist():
+                hashed[h] = hashed.get(h, 0) + 1
+
+    class Exact:
+        def levels(self, hashes):
+            return np.array([0 if h not in hashed else int(lm.levels(np.array([hashed[h]]), lm.PAIR if h & 1 else lm.SINGLE)[0])
+                             for h in hashes.tolist()], dtype=np.int64)
+    scorer = lm.Scorer(sum(ones.values()), len(ones), n_soft, len(train), Exact())
+    near = lm.NearWords(np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
+    (n_tokens, _, _, score), _ = scorer.score([t.encode() for t in texts], near, True)
+    for k, w in enumerate(tokens):
+        want = 0.0
+        for a, b in zip([None, *w[:-1]], w):
+            p1 = ((quantised(ones[b]) * 2 ** 0.125 if ones[b] else 0) + 0.5) / room
+            history = len(train) if a is None else quantised(ones[a]) * 2 ** 0.25 if ones[a] else 0
+            pair = min(2.0 ** math.floor(math.log2(twos[a, b]) + 1e-9) if twos[a, b] else 0.0, history)
+            want += math.log10(0.6 * p1 + 0.4 * pair / max(history, 1) if history else p1)
+        assert n_tokens[k] == len(w) and score[k] == pytest.approx(want, rel=1e-9)
+
+
+def test_words_held_near_are_probed_once():
+    from starlit.llm.ngram_lm import NearWords, singles
+    asked: list = []
+
+    class Filter:
+        def levels(self, hashes):
+            asked.append(len(hashes))
+            return (hashes % np.uint64(7)).astype(np.int64)
+    words = np.arange(10, 30, dtype=np.uint64)
+    near, seen = NearWords(words[:10], np.arange(1, 11)), np.arange(12, 25, dtype=np.uint64)
+    first, again = near.look_up(seen, Filter()), near.look_up(seen, Filter())
+    assert asked == [13, 5] and all((a == b).all() for a, b in zip(first, again))
+    assert (first[1] == singles(seen) % np.uint64(7)).all() and first[0].tolist() == [*range(3, 11)] + [0] * 5
 
 
 def test_filter_holds_every_gram_at_any_size(spark, odd_rows):
