@@ -11,10 +11,12 @@ similarity 0.75 share none with probability 6e-6.)
 A key may hold very many documents. Its members are first compared with two centres only, the smallest id and
 the member that meets most others; confirmed links are joined into components. Pairs that could still connect
 different components inside a key are then compared block by block: only members outside the key's largest
-component are set against the rest, in blocks of bounded size, and only pairs whose signatures are near enough
-leave a task, each from the first key it shares. No pair of a key is dropped, none inside a component is repeated, and components come out as if
-all pairs had been compared. Links are confirmed on the whole sets of both texts, which only documents in
-candidate pairs are read again for.
+component are set against the rest, in blocks of bounded size. A block notes its pairs whose signatures are near
+enough (each pair in the first key it shares), nearest first, as one row; the whole sets of the members in those pairs
+are brought to the block, which confirms them itself. Pairs never become rows, so rows grow with the members of a
+block, not with their square; a pair whose components have met meanwhile needs no confirmation, and only links that
+join two components leave the task. No pair of a key is dropped, and components come out as if all pairs had been
+compared. Only documents in candidate pairs are read again.
 
 Words: ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; fewer than five words are one shingle.
 
@@ -35,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starlit.llm.common import add_missing, stash, table
+from starlit.llm.common import add_missing, arrow_batches, stash, table
 
 SHINGLE_WORDS = 5
 SIMILARITY = 75  # percent
@@ -49,7 +51,8 @@ FAR, FAR_INDEX = 187, 32
 BLOCK = 512
 BROADCAST_IDS = 1_000_000
 BATCH_ROWS = 200
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19  # bytes hashed at a time; a longer text is cut between words
+BATCH_BYTES = 4 << 20
 NO_ID = 1 << 62  # class numbers from here on stand for classes of null ids only
 
 _U = np.uint64
@@ -72,30 +75,50 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse modulo 2**64, at least n of each."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, CHUNK_BYTES + 1)
+    """Powers of the hash base and of its inverse modulo 2**64, at least n of each; those of a window's size are kept."""
+    size = max(n, 2 * CHUNK_BYTES)
+    if n > 2 * CHUNK_BYTES or not _powers:
         tables = []
         for base in (_BASE, pow(_BASE, -1, 1 << 64)):
             t = np.full(size, base, dtype=np.uint64)
             t[0] = 1
             tables.append(np.cumprod(t, dtype=np.uint64))
+        if n > 2 * CHUNK_BYTES:
+            return tables[0], tables[1]
         _powers[:] = tables
     return _powers[0], _powers[1]
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every word, number of its text), over all texts in order, A-Z lower-cased."""
-    joined = b" " + b" ".join(t.lower() for t in texts) + b" "
-    data = np.frombuffer(joined, dtype=np.uint8)
+def _window_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, first byte) of the words in lower-cased bytes that start and end with a space."""
     space = _SPACE[data]
     starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
     ends = np.flatnonzero(~space[:-1] & space[1:]) + 1
     up, down = _power_tables(len(data))
     sums = np.concatenate([[_U(0)], np.cumsum(_BYTE[data] * up[:len(data)], dtype=np.uint64)])
-    hashes = _mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    return _mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)), starts
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of every word, number of its text), over all texts in order, A-Z lower-cased. Bytes are worked on in
+    windows cut at a space, so memory beyond them follows the words, 16 bytes each (a window holds one word at least)."""
+    joined = b" " + b" ".join(t.lower() for t in texts) + b" "
+    data, hashes, starts, at = np.frombuffer(joined, dtype=np.uint8), [], [], 0
+    while at < len(data) - 1:
+        end = min(at + 2 * CHUNK_BYTES, len(data))
+        if end < len(data):
+            spaces = np.flatnonzero(_SPACE[data[at + 1:end]])
+            step = 4 * CHUNK_BYTES
+            while not len(spaces):  # a word longer than the window
+                end = min(end + step, len(data))
+                spaces = np.flatnonzero(_SPACE[data[at + 1:end]])
+            end = at + 1 + int(spaces[-1]) + 1
+        found, first = _window_hashes(data[at:end])
+        hashes.append(found)
+        starts.append(first + at)
+        at = end - 1  # the space that ends this window starts the next one
     bounds = np.cumsum([len(t) + 1 for t in texts]) + 1
-    return hashes, np.searchsorted(bounds, starts, side="right")
+    return np.concatenate(hashes), np.searchsorted(bounds, np.concatenate(starts), side="right")
 
 
 def _chunks(texts: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
@@ -228,11 +251,7 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
         for a, b in zip(batch.column("sa"), batch.column("sb")):
-            x, y = (np.frombuffer(s.as_buffer(), dtype=np.uint64) for s in (a, b))
-            both = np.concatenate([x, y])
-            both.sort()
-            shared = int((both[1:] == both[:-1]).sum())
-            keep.append(100 * shared >= SIMILARITY * (len(both) - shared))
+            keep.append(_similar(*(np.frombuffer(s.as_buffer(), dtype=np.uint64) for s in (a, b))))
         mask = pa.array(keep, pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
 
@@ -244,45 +263,92 @@ def _distance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
 
 
+_BLOCK = "key bigint, r int, c int"
+
+
 def _across(group: pa.Table) -> pa.Table:
-    """Pairs of one block: a minor member and any other member, of different components, with near signatures.
-    A pair that shares several keys comes out of the first one alone."""
+    """What a block has to confirm, at most one row: the near pairs of a minor member and any other member, of
+    different components, nearest first, as places in the list of the members in them. A pair that shares several
+    keys is noted in the first one alone."""
     minor = np.array(group.column("minor").to_pylist(), dtype=bool)
     node, comp, n = (group.column(c).to_numpy() for c in ("node", "comp", "n"))
     sig, key = _loaded(group.column("sig")), group.column("j")[0].as_py()
     rest = np.flatnonzero(~minor)
-    out_a, out_b = [], []
+    found = [np.zeros((0, 3), dtype=np.int64)]
     for i in np.flatnonzero(minor):
         size = (np.minimum(n[rest], n[i]) * 100 >= SIMILARITY * np.maximum(n[rest], n[i]))
         hit = rest[size & (comp[rest] != comp[i])]
         hit = hit[(sig[hit, :SLOTS] != sig[i, :SLOTS]).sum(1) <= FAR_INDEX]
-        hit = hit[(sig[hit] != sig[i]).sum(1) <= FAR]
+        far = (sig[hit] != sig[i]).sum(1)
+        hit, far = hit[far <= FAR], far[far <= FAR]
         if len(hit):
-            hit = hit[first_shared(sig[hit], np.broadcast_to(sig[i], (len(hit), sig.shape[1]))) == key]
-        out_a.append(np.minimum(node[hit], node[i]))
-        out_b.append(np.maximum(node[hit], node[i]))
-    join = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, dtype=np.int64), pa.int64())
-    return pa.table({"a": join(out_a), "b": join(out_b)})
-
-
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, sifted: bool = False) -> DataFrame:
-    """The pairs (a, b) of class numbers whose whole shingle sets reach the similarity. ``pairs`` may repeat,
-    unless they are ``sifted``: distinct, and near by size and signature."""
-    near = pairs
-    if not sifted:
-        size = classes.select("node", "n", "sig")
-        near = (pairs.distinct()
-                .join(size.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sig").alias("ga")), "a")
-                .join(size.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("gb")), "b")
-                .filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * SIMILARITY)
-                .select("a", "b", "ga", "gb").mapInArrow(_distance, "a bigint, b bigint"))
-    near = stash(near, "near-pairs")
-    wanted = stash(near.select(F.col("a").alias("node")).union(near.select("b")).distinct(), "near-wanted")
+            first = first_shared(sig[hit], np.broadcast_to(sig[i], (len(hit), sig.shape[1]))) == key
+            found.append(np.stack([far[first], hit[first], np.full(first.sum(), i)], 1))
+    pairs = np.concatenate(found)
+    pairs = pairs[np.argsort(pairs[:, 0], kind="stable"), 1:]
+    members, places = np.unique(pairs, return_inverse=True)
+    block = {c: group.column(c).slice(0, len(pairs) and 1) for c in ("key", "r", "c")}
+    lists = {"nodes": [node[members].tolist()], "comps": [comp[members].tolist()], "pairs": [places.astype("<i4").tobytes()]}
+    return pa.table({**block, **{k: pa.array(v if len(pairs) else [], pa.binary() if k == "pairs" else pa.list_(pa.int64())) for k, v in lists.items()}})
+
+
+def _similar(x: np.ndarray, y: np.ndarray) -> bool:
+    both = np.concatenate([x, y])
+    both.sort()
+    shared = int((both[1:] == both[:-1]).sum())
+    return 100 * shared >= SIMILARITY * (len(both) - shared)
+
+
+def _confirm_block(members: pa.Table, noted: pa.Table) -> pa.Table:
+    """Links of a block that join two components, confirmed on whole sets."""
+    sets = {node: np.frombuffer(s.as_buffer(), dtype=np.uint64) for node, s in zip(members.column("node").to_pylist(), members.column("shingles"))}
+    nodes, comps = noted.column("nodes")[0].as_py(), noted.column("comps")[0].as_py()
+    top = {c: c for c in comps}
+
+    def find(c: int) -> int:
+        while top[c] != c:
+            top[c] = c = top[top[c]]
+        return c
+    links = []
+    for x, y in np.frombuffer(noted.column("pairs")[0].as_buffer(), dtype="<i4").reshape(-1, 2).tolist():
+        a, b = find(comps[x]), find(comps[y])
+        if a != b and _similar(sets[nodes[x]], sets[nodes[y]]):
+            top[max(a, b)] = min(a, b)
+            links.append((min(nodes[x], nodes[y]), max(nodes[x], nodes[y])))
+    return pa.table({c: pa.array([link[k] for link in links], pa.int64()) for k, c in enumerate(("a", "b"))})
+
+
+def shingle_sets_of(wanted: DataFrame, classes: DataFrame, docs: DataFrame, name: str) -> DataFrame:
+    """(node, shingles) of the wanted nodes, one row each, from the text of one document of their class."""
     wanted = wanted.join(classes.select("node", "some_id", "some_text"), "node")
     if wanted.count() <= BROADCAST_IDS:  # else texts and ids meet in a shuffle
         wanted = F.broadcast(wanted)
     texts = docs.join(wanted, (F.col("text_key") == F.col("some_text")) & F.col("doc_id").eqNullSafe(F.col("some_id")))
-    sets = stash(texts.select("node", "text").mapInArrow(_sets, "node bigint, shingles binary"), "near-sets")
+    # rows that repeat an id and its text give the same set: one of them is kept
+    return stash(texts.select("node", "text").mapInArrow(_sets, "node bigint, shingles binary").dropDuplicates(["node"]), name)
+
+
+def confirmed_across(open_: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) between different components inside the open keys, enough of them to join what is joined by any."""
+    noted = stash(_blocks(open_, classes).groupBy("key", "r", "c").applyInArrow(
+        _across, f"{_BLOCK}, nodes array<bigint>, comps array<bigint>, pairs binary"), "near-noted")
+    need = noted.select(*[F.col(k).alias(f"own_{k}") for k in ("key", "r", "c")], F.explode("nodes").alias("node"))
+    sets = shingle_sets_of(need.select("node").distinct(), classes, docs, "near-open-sets")
+    # what explode and mapInArrow make has no size estimate that could be trusted: never broadcast
+    held = need.hint("merge").join(sets, "node")
+    return stash(held.groupBy("own_key", "own_r", "own_c").cogroup(noted.groupBy("key", "r", "c")).applyInArrow(_confirm_block, "a bigint, b bigint").distinct(), "near-across")
+
+
+def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of class numbers whose whole shingle sets reach the similarity. ``pairs`` may repeat."""
+    size = classes.select("node", "n", "sig")
+    near = (pairs.distinct()
+            .join(size.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sig").alias("ga")), "a")
+            .join(size.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("gb")), "b")
+            .filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * SIMILARITY)
+            .select("a", "b", "ga", "gb").mapInArrow(_distance, "a bigint, b bigint"))
+    near = stash(near, "near-pairs")
+    sets = shingle_sets_of(near.select(F.col("a").alias("node")).union(near.select("b")).distinct(), classes, docs, "near-sets")
     both = (near.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a")
             .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b"))
     return stash(both.select("a", "b", "sa", "sb").mapInArrow(_confirm, "a bigint, b bigint").distinct(), "near-links")
@@ -314,8 +380,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def _placed(docs: DataFrame) -> DataFrame:
     """``near_duplicates`` with the hash of each row's text."""
-    spark = docs.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    with arrow_batches(docs.sparkSession, BATCH_ROWS, BATCH_BYTES):  # every step that runs Python is written in here
+        return _placed_in_batches(docs)
+
+
+def _placed_in_batches(docs: DataFrame) -> DataFrame:
     docs = add_missing(docs, doc_id="bigint", text="string").select(
         F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
     prints = stash(docs.mapInArrow(
@@ -341,7 +410,7 @@ def _placed(docs: DataFrame) -> DataFrame:
     # what may still connect different components inside a key
     open_ = _open_members(members, comps)
     if not open_.isEmpty():
-        links = links.union(confirmed(_open_pairs(open_, classes), classes, docs, sifted=True))
+        links = links.union(confirmed_across(open_, classes, docs))
         comps = components(links)
 
     named = classes.select("class", "node").join(comps, "node", "left").select(
@@ -359,8 +428,8 @@ def _open_members(members: DataFrame, comps: DataFrame) -> DataFrame:
     return stash(placed.join(split, "key"), "near-open")
 
 
-def _open_pairs(open_: DataFrame, classes: DataFrame) -> DataFrame:
-    """Near pairs (a, b) of different components inside the open keys, found block by block."""
+def _blocks(open_: DataFrame, classes: DataFrame) -> DataFrame:
+    """The members of the open keys dealt into blocks (key, r, c) in which every minor member meets every other one."""
     sizes = open_.groupBy("key", "comp").agg(F.count("*").alias("c"))
     per_key = sizes.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("major"), F.sum("c").alias("total"),
                                        F.max("c").alias("most"))
@@ -374,12 +443,12 @@ def _open_pairs(open_: DataFrame, classes: DataFrame) -> DataFrame:
                     F.explode(F.expr("sequence(0, columns - 1)")).alias("c"))
     minor = m.filter("comp <> major").select("key", "j", "node", "comp", "n", "sig", F.lit(True).alias("minor"),
                                              F.explode(F.expr("sequence(0, rows - 1)")).alias("r"), F.col("c"))
-    return rest.unionByName(minor).groupBy("key", "r", "c").applyInArrow(_across, "a bigint, b bigint")
+    return rest.unionByName(minor)
 
 
-def _named(rows: DataFrame) -> DataFrame:
+def _named(rows: DataFrame, own_id: str, own_text: str) -> DataFrame:
     """Distinct (id, text) of rows, broadcast up to BROADCAST_IDS of them; beyond that they meet documents in a shuffle."""
-    rows = rows.select(F.col("doc_id").alias("_near_id"), F.col("text_key").alias("_near_text")).distinct()
+    rows = rows.select(F.col("doc_id").alias(f"{own_id}_found"), F.col("text_key").alias(f"{own_text}_found")).distinct()
     return F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
 
 
@@ -387,16 +456,18 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """The documents without near duplicates: of each component the smallest id stays; the input's columns."""
     found = stash(_placed(docs), "near-result")
     have = add_missing(docs, doc_id="bigint", text="string")
-    own = have.withColumns({"_own_id": F.col("doc_id").cast("bigint"), "_own_text": F.xxhash64("text")})
-    same = F.col("_own_id").eqNullSafe(F.col("_near_id")) & (F.col("_own_text") == F.col("_near_text"))
-    kept = own.join(_named(found.filter(~F.col("kept"))), same, "left_anti")
+    free = max((len(c) for c in docs.columns), default=0) * "_"  # longer than any name of the caller's
+    own_id, own_text = f"{free}_own_id", f"{free}_own_text"
+    own = have.withColumns({own_id: F.col("doc_id").cast("bigint"), own_text: F.xxhash64("text")})
+    same = F.col(own_id).eqNullSafe(F.col(f"{own_id}_found")) & (F.col(own_text) == F.col(f"{own_text}_found"))
+    kept = own.join(_named(found.filter(~F.col("kept")), own_id, own_text), same, "left_anti")
     # rows with words that repeat the id of their component: one of them stays
     worded = found.filter("kept and n_shingles > 0 and doc_id is not null")
     facts = worded.agg(F.count("doc_id"), F.count_distinct("doc_id")).first()
     if facts[0] != facts[1]:
         twice = worded.groupBy("doc_id").agg(F.count("*").alias("rows")).filter("rows > 1").select("doc_id")
-        again = _named(worded.join(twice, "doc_id"))
-        kept = kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["_own_id"]))
+        again = _named(worded.join(twice, "doc_id"), own_id, own_text)
+        kept = kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates([own_id]))
     return kept.select(*docs.columns)
 
 

@@ -391,7 +391,11 @@ def test_open_pairs_cover_all_components(spark):
     sig = bytes(2 * nd.SLOTS + nd.MORE_SLOTS)
     nodes = spark.createDataFrame([(k, 10, bytearray(sig)) for k in range(n)], "node long, n long, sig binary")
     open_ = nodes.select(F.lit(1).cast("long").alias("key"), F.lit(0).cast("short").alias("j"), "node", F.when(F.col("node") % 13 == 0, 0).otherwise(F.col("node") % 5 + 1).cast("long").alias("comp"))
-    got = {tuple(r) for r in nd._open_pairs(open_, nodes).distinct().collect()}
+    noted = nd._blocks(open_, nodes).groupBy("key", "r", "c").applyInArrow(nd._across, f"{nd._BLOCK}, nodes array<bigint>, comps array<bigint>, pairs binary")
+    got = set()
+    for r in noted.collect():
+        for x, y in np.frombuffer(r["pairs"], dtype="<i4").reshape(-1, 2):
+            got.add(tuple(sorted((r["nodes"][x], r["nodes"][y]))))
     comp = {r["node"]: r["comp"] for r in open_.collect()}
     assert got == {(a, b) for a in range(n) for b in range(a + 1, n) if comp[a] != comp[b]}
 
