@@ -9,11 +9,18 @@ Five stages, each reading the Parquet table its predecessor wrote and keeping wh
 5. tokens: write the mix as ORC token files and return what they hold, one row per document and repeat.
 
 All stages but the last return the columns of ``documents``. An empty table passes through; a table without
-labels or benchmark items passes the stage that needs them unchanged.
+labels or benchmark items passes the stage that needs them unchanged. A null text counts as empty and is judged as
+such; very long texts go through every stage whole; of equal or near texts the smallest id stays, of rows that repeat
+an id and its text one; columns beyond those of ``documents`` pass through, whatever their names.
+
+A stage's result may run lazily, after its function has returned, so what bounds a batch that goes to a Python
+worker (rows are bounded by the operators, bytes here) holds for the session, not for a call.
 """
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from starlit.llm.common import scratch_dir, table
@@ -24,22 +31,39 @@ from starlit.llm.quality import keep_quality, train_quality
 from starlit.llm.token_files import encode_documents
 
 
+BATCH_BYTES = 4 << 20  # of the rows that an executor hands to a Python worker at a time; a longer row goes alone
+
+
+def bounded(stage):
+    """A stage whose Arrow batches are bounded in bytes."""
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+        return stage(spark, docs, sf_dir)
+    return run
+
+
+@bounded
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_quality(docs, train_quality(docs, table(spark, sf_dir, "labels")))
 
 
+@bounded
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_one(docs)
 
 
+@bounded
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+@bounded
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixed_documents(docs)
 
 
+@bounded
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return encode_documents(docs)
 
