@@ -85,10 +85,11 @@ def split_pair(pair) -> tuple[Column, Column]:
 
 
 def fixed(c, digits: int, missing: str = "no data") -> Column:
-    """Fixed-point text ('%.6f' / '%.3f') with a marker for missing values."""
+    """Fixed-point text ('%.6f' / '%.3f') with a marker for missing values. The value is rounded to a whole number of
+    last digits first, so that its text doesn't depend on how a formatter rounds decimal expansions."""
     c = col_of(c)
     # format_string renders NULL as the text 'null', so test for it first
-    return F.when(c.isNull(), F.lit(missing)).otherwise(F.format_string(f"%.{digits}f", c))
+    return F.when(c.isNull(), F.lit(missing)).otherwise(F.format_string(f"%.{digits}f", round_scaled(c, digits)))
 
 
 def thousands(c) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from starlit.functions.expr import as_double, as_quarter
+from starlit.operators.positions import in_order
 from starlit.operators.sample import HOT_ROWS, SERIES_ORDER, downsample_by_object, even_downsample, random_downsample
 from starlit.schema import DASH_MAX_POINTS, DASH_MIN_PER_OBJECT, EXTRACT_COLUMNS, require_columns
 
@@ -107,7 +108,8 @@ def mode_value(col) -> F.Column:
 def series_for(df: DataFrame, object_id, key: str = "object_id") -> DataFrame:
     """One object's series (object id compared as text)."""
     oid = object_id if isinstance(object_id, F.Column) else F.lit(str(object_id))
-    return df.filter(F.col(key).cast("string") == oid)
+    text = F.col(key) if dict(df.dtypes)[key] == "string" else F.col(key).cast("string")  # a bare column is pushed to the scan
+    return df.filter(text == oid)
 
 
 def time_range(df: DataFrame, start, end) -> DataFrame:
@@ -151,9 +153,12 @@ def chart_metadata(points: DataFrame, dataset: str, processing_method: str, visu
 
 
 def dashboard_summary(df: DataFrame, start=None, end=None, max_points: int = 5000,
-                      method_col: str = "processing_method") -> DataFrame:
+                      method_col: str = "processing_method", dataset: DataFrame | None = None) -> DataFrame:
     """Per object: rows in the time range, rows plotted after the random limit, quarters,
-    anomalies plotted, mean and std of flux_norm plotted, processing method."""
+    anomalies plotted, mean and std of flux_norm plotted, and the processing method of the whole
+    ``dataset`` (of ``df`` if not given), whatever the range or objects."""
+    whole = df if dataset is None else dataset
+    method = whole.select(mode_value(F.col(method_col))).scalar()
     ranged = df if start is None else time_range(df, start, end)
     in_range = ranged.groupBy("object_id").agg(F.count(F.lit(1)).alias("rows_in_range"))
     plotted = random_downsample(ranged, max_points)
@@ -163,18 +168,46 @@ def dashboard_summary(df: DataFrame, start=None, end=None, max_points: int = 500
         F.sum(F.col("is_anomaly").cast("long")).alias("anomaly_rows_plotted"),
         F.avg("flux_norm").alias("mean_flux_norm"),
         F.stddev_samp("flux_norm").alias("std_flux_norm"),
-        mode_value(F.col(method_col)).alias("processing_method"),
     )
-    return in_range.join(stats, "object_id")
+    return in_range.join(stats, "object_id").withColumn("processing_method", method)
 
 
-def dashboard_query(df: DataFrame, object_id, start=None, end=None, max_points: int = 5000):
-    """One dashboard refresh: (plotted rows, anomaly rows, summary) for one object and range."""
-    subset = series_for(df, object_id)
+def default_object(df: DataFrame, key: str = "object_id") -> F.Column:
+    """The first object id as text, as a lazy scalar."""
+    return df.select(F.min(F.col(key).cast("string"))).scalar()
+
+
+def dashboard_query(df: DataFrame, object_id=None, start=None, end=None, max_points: int = 5000):
+    """One dashboard refresh: (plotted rows, anomaly rows, summary) for one object (the first one by default) and
+    range, rows in time order. Nothing runs until a result is read; over an extract that ``write_extract`` wrote
+    only the object's row groups are."""
+    subset = series_for(df, default_object(df) if object_id is None else object_id)
     if start is not None:
         subset = time_range(subset, start, end)
     plotted = random_downsample(subset, max_points)
-    return plotted, plotted.filter(F.col("is_anomaly")), dashboard_summary(subset, max_points=max_points)
+    order = ["time_bin", "quarter"]
+    summary = dashboard_summary(subset, max_points=max_points, dataset=df)
+    return plotted.orderBy(*order), plotted.filter(F.col("is_anomaly")).orderBy(*order), summary
+
+
+# Row groups of an extract hold about this many bytes: small enough that one object's reads skip the others'.
+EXTRACT_GROUP_BYTES = 4 << 20
+EXTRACT_PAGE_ROWS = 2_000
+
+
+def write_extract(extract: DataFrame, path: str, group_bytes: int = EXTRACT_GROUP_BYTES, page_rows: int = EXTRACT_PAGE_ROWS,
+                  partitions: int | None = None, mode: str = "overwrite") -> None:
+    """Write an extract clustered by object and time: range partitioned and sorted, so that row groups and pages hold
+    runs of objects and times and their min/max statistics tell them apart, with a Bloom filter on the id."""
+    ordered = in_order(extract, ["object_id", "time_bin", "quarter"], partitions)
+    (ordered.write.mode(mode).option("parquet.block.size", str(group_bytes)).option("parquet.page.row.count.limit", str(page_rows))
+     .option("parquet.block.size.row.check.min", "100").option("parquet.bloom.filter.enabled#object_id", "true").parquet(path))
+
+
+def read_series(spark, path: str, object_id: str, start: float | None = None, end: float | None = None) -> DataFrame:
+    """One object's rows of a written extract, and of a time range if given: both reach the scan as pushed filters."""
+    rows = series_for(spark.read.parquet(path), object_id)
+    return rows if start is None else time_range(rows, start, end)
 
 
 def dashboard_summary_table(summary: DataFrame, dataset_key: str, visualization: str = "dash") -> DataFrame:

@@ -394,13 +394,42 @@ SELECT 'obs' AS dataset, 'spark' AS processing_method, 'plotly' AS visualization
 
 SQL["chart_series_ranked"] = SQL["chart_series"]
 
-SQL["dashboard_summary"] = f"""WITH {EX}
-SELECT object_id, count(*) AS rows_in_range, count(*) AS rows_plotted,
-       COALESCE(array_to_string(list_sort(list_distinct(list(quarter) FILTER (WHERE quarter >= 0))), ', '),
-                'unknown') AS quarters,
-       sum(is_anomaly::BIGINT)::BIGINT AS anomaly_rows_plotted, round(avg(flux_norm), 6) AS mean_flux_norm,
-       round(stddev_samp(flux_norm), 6) AS std_flux_norm, mode(processing_method) AS processing_method
-FROM ex GROUP BY object_id"""
+# the seeded sample: rank of a row in its object by the hash of its identity
+HASHED = """hashed AS (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY md5(concat_ws(':', '42', object_id, quarter::VARCHAR,
+             round(time_bin * 1e6)::BIGINT::VARCHAR)), quarter, time_bin) AS rk, count(*) OVER (PARTITION BY object_id) AS n FROM {0})"""
+
+
+def summary_sql(rows: str, k: int) -> str:
+    return f"""{HASHED.format(rows)},
+summary AS (
+  SELECT object_id, any_value(n) AS rows_in_range, count(*) AS rows_plotted,
+         COALESCE(array_to_string(list_sort(list_distinct(list(quarter) FILTER (WHERE quarter >= 0))), ', '), 'unknown') AS quarters,
+         sum(is_anomaly::BIGINT)::BIGINT AS anomaly_rows_plotted, avg(flux_norm) AS mean_flux_norm,
+         stddev_samp(flux_norm) AS std_flux_norm, (SELECT mode(processing_method) FROM ex) AS processing_method
+  FROM hashed WHERE rk <= {k} GROUP BY object_id)"""
+
+
+SUMMARY_COLS = """object_id, rows_in_range, rows_plotted, quarters, anomaly_rows_plotted, round(mean_flux_norm, 6) AS mean_flux_norm,
+       round(std_flux_norm, 6) AS std_flux_norm, processing_method"""
+REFRESH = EX + """,
+near AS (SELECT * FROM ex WHERE object_id = (SELECT min(object_id) FROM ex) AND time_bin BETWEEN 3.0 AND 27.0)"""
+
+SQL["dashboard_summary"] = f"WITH {EX},\n{summary_sql('ex', 25)}\nSELECT {SUMMARY_COLS} FROM summary"
+SQL["dashboard_refresh_summary"] = f"WITH {REFRESH},\n{summary_sql('near', 25)}\nSELECT {SUMMARY_COLS} FROM summary"
+SQL["dashboard_plotted"] = f"""WITH {REFRESH},
+{HASHED.format('near')}
+SELECT object_id, quarter, time_bin, round(flux_norm, 6) AS flux_norm, is_anomaly FROM hashed WHERE rk <= 25"""
+SQL["dashboard_anomalies"] = f"""WITH {EX},
+most AS (SELECT object_id FROM ex GROUP BY object_id ORDER BY count(*) FILTER (is_anomaly) DESC, object_id DESC LIMIT 1)
+SELECT object_id, quarter, time_bin, round(flux_norm, 6) AS flux_norm FROM ex WHERE is_anomaly AND object_id = (SELECT object_id FROM most)"""
+SQL["dashboard_summary_table"] = f"""WITH {EX},
+{summary_sql('ex', 5000)},
+t AS (SELECT object_id, 'obs' AS "Dataset", object_id AS "Object ID", format('{{:,}}', rows_in_range) AS "Rows in selected range",
+        format('{{:,}}', rows_plotted) AS "Rows plotted", quarters AS "Quarters", format('{{:,}}', anomaly_rows_plotted) AS "Anomaly rows plotted",
+        COALESCE(printf('%.6f', round(mean_flux_norm, 6)), 'nan') AS "Mean normalized flux",
+        COALESCE(printf('%.6f', round(std_flux_norm, 6)), 'nan') AS "Std normalized flux",
+        processing_method AS "Processing method", 'dash' AS "Visualization method" FROM summary)
+SELECT object_id, metric, value FROM (UNPIVOT t ON COLUMNS(* EXCLUDE (object_id)) INTO NAME metric VALUE value)"""
 
 # --- batch: run logs and analytics -------------------------------------------------------------
 SPLIT = """CASE WHEN {p} IS NULL THEN '' WHEN len(string_split({p}, '+')) = 2
@@ -520,6 +549,10 @@ SELECT section, subject, detail, round(seconds, 6) AS seconds, round(memory_mb,
        row_number() OVER (PARTITION BY section ORDER BY _num, _sort) AS ord
 FROM lines"""
 
+SQL["format_metrics"] = SQL["report_lines"].replace("round(seconds, 6) AS seconds, round(memory_mb, 6) AS memory_mb", """
+       round(seconds, 6) AS seconds, round(memory_mb, 6) AS memory_mb, CASE WHEN seconds IS NULL THEN 'no data' ELSE printf('%.6f', round(seconds, 6)) END AS seconds_text,
+       CASE WHEN memory_mb IS NULL THEN 'no data' ELSE printf('%.3f', round(memory_mb, 3)) END AS memory_text""")
+
 SQL["combine_run_logs"] = f"""WITH {RUN_METRICS},
 withm AS (
   SELECT lower(dataset) AS dataset, pair, processing_time_sec, visualization_time_sec, total_time_sec,

@@ -410,17 +410,48 @@ def q_chart_series_ranked(spark, sf_dir):
     return round_floats(extract.chart_series(processed(spark, sf_dir), 20, strategy="ranked"), skip=("x",))
 
 
+def written_extract(spark, sf_dir):
+    """The dashboard's extract as the dashboard reads it: written clustered by object and time."""
+    import uuid
+    from starlit.session import scratch_path
+    path = scratch_path(spark, f"extract/{uuid.uuid4().hex}")
+    extract.write_extract(extract.extract_project(lightcurve.process(obs(spark, sf_dir), DATASET, "point", P)), path)
+    return spark.read.parquet(path)
+
+
+def _refresh(spark, sf_dir):
+    """One dashboard refresh for the default object, days 3 to 27, at most 25 points."""
+    return extract.dashboard_query(written_extract(spark, sf_dir), None, 3.0, 27.0, 25)
+
+
 @register("dashboard_query")
 def q_dashboard_query(spark, sf_dir):
     """One dashboard refresh for the default object over its whole time range (limit 5,000 points)."""
-    ex = extract.extract_project(processed(spark, sf_dir))
-    first = extract.object_list(ex).filter(F.col("is_default")).select("object_id").first()[0]
-    extent = extract.time_extent(extract.series_for(ex, first)).first()
-    plotted, anomalies, summary = extract.dashboard_query(ex, first, extent["min_time"], extent["max_time"], 5000)
+    plotted, _, _ = extract.dashboard_query(written_extract(spark, sf_dir), None, None, None, 5000)
     return round_floats(plotted.select("object_id", "quarter", "time_bin", "flux_norm", "rolling_flux",
                                       "is_anomaly"), skip=("time_bin",))
 
 
+@register("dashboard_plotted")
+def q_dashboard_plotted(spark, sf_dir):
+    return round_floats(_refresh(spark, sf_dir)[0].select("object_id", "quarter", "time_bin", "flux_norm", "is_anomaly"), skip=("time_bin",))
+
+
+@register("dashboard_anomalies")
+def q_dashboard_anomalies(spark, sf_dir):
+    """Anomalies of a refresh, of the object with the most of them (default limit)."""
+    ex = written_extract(spark, sf_dir)
+    per = ex.groupBy("object_id").agg(F.count_if("is_anomaly").alias("n"))
+    most = per.select(F.max_by("object_id", F.struct("n", "object_id"))).scalar()
+    anomalies = extract.dashboard_query(ex, most)[1]
+    return round_floats(anomalies.select("object_id", "quarter", "time_bin", "flux_norm"), skip=("time_bin",))
+
+
+@register("dashboard_refresh_summary")
+def q_dashboard_refresh_summary(spark, sf_dir):
+    return round_floats(_refresh(spark, sf_dir)[2])
+
+
 @register("dashboard_summary_table")
 def q_dashboard_summary_table(spark, sf_dir):
     ex = extract.extract_project(processed(spark, sf_dir))
@@ -429,8 +460,9 @@ def q_dashboard_summary_table(spark, sf_dir):
 
 @register("dashboard_summary")
 def q_dashboard_summary(spark, sf_dir):
+    """Summaries of all objects with a limit of 25 points each, which most of them exceed."""
     ex = extract.extract_project(processed(spark, sf_dir))
-    return round_floats(extract.dashboard_summary(ex, max_points=5000))
+    return round_floats(extract.dashboard_summary(ex, max_points=25))
 
 
 # --- run logs and analytics ------------------------------------------------------------------
@@ -538,7 +570,7 @@ def q_report_lines(spark, sf_dir):
 
 @register("format_metrics")
 def q_format_metrics(spark, sf_dir):
-    return analysis.format_report(analysis.report_lines(partials(spark, sf_dir)))
+    return round_floats(analysis.format_report(analysis.report_lines(partials(spark, sf_dir))))
 
 
 @register("mode_method")
