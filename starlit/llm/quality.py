@@ -3,13 +3,15 @@
 A document's strength is a linear score of text statistics (character classes, word shapes, repetition, the
 worst chunk of each). Weights come from preference pairs, a document labelled 1 preferred over one labelled 0,
 by the logistic loss on their feature differences, in numpy, from at most ``SAMPLE_PER_LABEL`` labelled rows
-of each label (those with the smallest hash of their id). The strength is cut at the quantile that the share
-of label 0 among all training labels names, and squashed to (0, 1) so that the cut is 0.5. Every whole text is
+of each label (those with the smallest hash of their id) and at most ``PAIRS`` pairs of them. The strength is cut at
+the quantile, over all labelled training rows, that their share of label 0 names, and squashed to (0, 1) so that the
+cut is 0.5. Every whole text is
 scored in Arrow batches; only the weight vector travels.
 
 Training rows are those whose crc32(doc_id as text) mod 3 is not 1; nothing but the text enters a score.
 
-Defined results: a null text scores as the empty text; rows are kept with repetitions; without both labels to
+Defined results: a null text scores as the empty text; very long texts are scored whole; rows are kept with
+repetitions and tie freely; a labelled id that repeats, or has both labels, counts once for each of its rows and labels; without both labels to
 learn from, every score is 0.5 and every document is kept; an empty table gives no rows; other columns are
 ignored by ``score_quality`` and kept by ``keep_quality`` (internal names start with ``_quality``).
 """
@@ -17,7 +19,7 @@ ignored by ``score_quality`` and kept by ``keep_quality`` (internal names start
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from operator import eq
 
 import numpy as np
@@ -26,10 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
-from starlit.llm.common import add_missing, table
+from starlit.llm.common import add_missing, stash, table
+from starlit.operators.quantile import exact_quantile_value
 
-SAMPLE_PER_LABEL = 6_000
-PAIRS = 120_000
+SAMPLE_PER_LABEL = 6_000    # labelled rows the weights are fitted on, of each label
+PAIRS = 120_000             # preference pairs drawn among them, at most
+BROADCAST_LABELS = 1_000_000
 STEPS = 400
 BATCH_ROWS = 500
 CHUNK = 400  # bytes
@@ -62,7 +66,8 @@ def features(text: bytes) -> np.ndarray:
     m = max(n_words, 1)
     lengths = np.fromiter(map(len, words), dtype=np.float64, count=n_words) if n_words else np.zeros(1)
     again = np.fromiter(map(eq, words[1:], words), dtype=np.float64, count=n_words - 1) if n_words > 1 else np.zeros(1)
-    run = again[:len(again) // 20 * 20].reshape(-1, 20).mean(1).max() if len(again) >= 20 else again.mean()
+    # worst run of 20 word pairs: whole runs from the start, and the last 20 pairs, so that none is left out
+    run = max(again[:len(again) // 20 * 20].reshape(-1, 20).mean(1).max(), again[-20:].mean()) if len(again) >= 20 else again.mean()
     lines = [x for x in text.split(b"\n") if x]
     letters = share[LOWER] + share[UPPER] + share[5]
     return np.concatenate([share, np.sqrt(share), worst, np.sqrt(worst), [
@@ -137,7 +142,8 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_PER_LABEL) -> PairwiseModel:
-    """Fit on at most ``sample`` labelled training rows of each label. The driver receives their statistics only."""
+    """Weights from at most ``sample`` labelled training rows of each label, of which the driver receives statistics
+    only and draws at most PAIRS preference pairs; the cut from all labelled training rows, a quantile that tasks find."""
     docs, labels = add_missing(docs, doc_id="bigint", text="string"), add_missing(labels, doc_id="bigint", quality="int")
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     known = labels.select("doc_id", F.col("quality").cast("int").alias("label")).filter(
@@ -147,11 +153,30 @@ def train_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_PER_L
     for label in (0, 1):
         part = known.filter(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         chosen = part if chosen is None else chosen.union(part)
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     # at most 2 * sample rows: a fixed bound
-    rows = (docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
-            .select("label", "text").mapInArrow(_featured, "label int, x array<double>").collect())
+    rows = texts.join(F.broadcast(chosen), "doc_id").select("label", "text").mapInArrow(_featured, "label int, x array<double>").collect()
     x = {label: np.array([r["x"] for r in rows if r["label"] == label]) for label in (0, 1)}
-    return fit_pairwise(x[1], x[0], float(share_bad or 0.0))
+    model = fit_pairwise(x[1], x[0], float(share_bad or 0.0))
+
+    # the cut comes from all labelled training rows: as many lie below it as are labelled 0
+    labelled = F.broadcast(known) if known.count() <= BROADCAST_LABELS else known
+    strengths = stash(texts.join(labelled, "doc_id").select("label", "text").mapInArrow(
+        _strengths(model), "label int, strength double"), "quality-strengths")
+    facts = strengths.agg(F.count("*").alias("n"), F.count_if(F.col("label") == 0).alias("bad")).first()
+    if not 0 < facts["bad"] < facts["n"]:
+        return model
+    middle = (facts["bad"] - 0.5) / (facts["n"] - 1)  # between the last row below and the first one above
+    return replace(model, cut=exact_quantile_value(strengths, "strength", middle))
+
+
+def _strengths(model: PairwiseModel):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(model.strength(_batch_features(batch.column("text"))))],
+                                                 names=["label", "strength"])
+    return run
 
 
 def _scored(model: PairwiseModel):

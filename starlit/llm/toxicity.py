@@ -6,24 +6,26 @@ unseen misspellings of a word share most of its n-grams, they share its vectors.
 
 A document is toxic if a passage is, so documents are cut into passages of ``PASSAGE_WORDS`` words and scored
 by their worst one: a few words in a very long text count as much as in a short one. Training starts from the
-document labels on all passages and then goes over to the passages that the model itself finds worst (those of
-clean documents as hard negatives). The final score is the worst passage's logit, shifted so that the cut that
-parts the training documents best is 0.5.
+document labels on at most ``FIRST_PASSAGES`` random passages of each label in the sample, and then goes over to the
+passages that the model itself finds worst (those of clean documents as hard negatives). The final score is the worst
+passage's logit, shifted so that the cut that parts all labelled training documents best, not those of the sample
+only, is 0.5.
 
 Scoring is linear after training: n-gram hash -> one number, averaged, so only a table of ``BUCKETS`` floats
-travels. At most ``SAMPLE_PER_LABEL`` labelled rows of each label are used for training (those with the
+travels. At most ``SAMPLE_PER_LABEL`` labelled rows of each label are used for fitting (those with the
 smallest hash of their id), and all texts are scored whole. Training rows are those whose crc32(doc_id as
 text) mod 5 is not 0; nothing but the text enters a score.
 
-Defined results: null, empty and wordless texts get the score of a passage without evidence; rows are kept
-with repetitions; without both labels to learn from every score is as good as 0; an empty table gives no rows; other
+Defined results: null, empty and wordless texts get the score of a passage without evidence; very long texts are
+scored a window of passages at a time; rows are kept with repetitions and tie freely; a labelled id that repeats, or
+has both labels, counts once for each of its rows and labels; without both labels to learn from every score is as good as 0; an empty table gives no rows; other
 columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -31,14 +33,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.column import Column
 
-from starlit.llm.common import add_missing, table
+from starlit.llm.common import add_missing, stash, table
 
 BUCKETS = 1 << 18
 DIM = 8
 GRAMS = (3, 4, 5)
 PASSAGE_WORDS = 8
 SAMPLE_PER_LABEL = 1_000
+FIRST_PASSAGES = 60_000      # of each label, in the first round of the fit, at most
+BROADCAST_LABELS = 1_000_000
+CUTS = 4096                  # candidate cuts compared at a time
 BATCH_ROWS = 200
+WINDOW = 1 << 18             # bytes whose n-grams are held at a time
 
 # Bytes that are part of words (A-Z lower-cased, all of non-ASCII); the others become a space.
 _WORD_BYTES = bytes(
@@ -75,6 +81,21 @@ def grams(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(ids), np.concatenate(owner)
 
 
+def windows(text: bytes) -> Iterator[bytes]:
+    """A text in parts of some WINDOW bytes that start with a passage, so that n-grams are made of a part at a time."""
+    if len(text) <= WINDOW:
+        yield text
+        return
+    space = np.frombuffer(text.translate(_WORD_BYTES), dtype=np.uint8) == _SPACE
+    first = np.flatnonzero(~space & np.concatenate([[True], space[:-1]]))[::PASSAGE_WORDS]
+    at = 0
+    while at < len(text):
+        k = int(np.searchsorted(first, at + WINDOW))
+        end = int(first[k]) if k < len(first) else len(text)
+        yield text[at:end]
+        at = end
+
+
 @dataclass
 class SubwordModel:
     """``table``: each bucket's embedding times the softmax's direction; ``bias``, and the documents' ``cut``."""
@@ -85,12 +106,13 @@ class SubwordModel:
 
     def worst(self, text: bytes) -> float:
         """Logit of the worst passage."""
-        ids, owner = grams(text)
-        if not len(ids):
-            return self.bias
-        total = np.bincount(owner, weights=self.table[ids])
-        count = np.bincount(owner)
-        return float((total / np.maximum(count, 1)).max() + self.bias)
+        found = []
+        for window in windows(text):
+            ids, owner = grams(window)
+            if len(ids):
+                total = np.bincount(owner, weights=self.table[ids])
+                found.append(float((total / np.maximum(np.bincount(owner), 1)).max()))
+        return max(found) + self.bias if found else self.bias
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         z = np.array([self.worst(t) for t in texts]) - self.cut
@@ -135,8 +157,10 @@ class _Passages:
         return out
 
 
-def fit_subwords(toxic: list[bytes], clean: list[bytes], rounds: int = 5, seed: int = 11) -> SubwordModel:
-    """Joint training of embeddings and softmax; see the module's text."""
+def fit_subwords(toxic: list[bytes], clean: list[bytes], rounds: int = 5, seed: int = 11,
+                 first_passages: int = FIRST_PASSAGES) -> SubwordModel:
+    """Joint training of embeddings and softmax; see the module's text. ``first_passages``: how many passages of each
+    label, drawn at random, the first round fits at most."""
     if not toxic or not clean:
         return SubwordModel(np.zeros(BUCKETS, dtype=np.float32), -500.0, 0.0)
     rng = np.random.default_rng(seed)
@@ -176,7 +200,7 @@ def fit_subwords(toxic: list[bytes], clean: list[bytes], rounds: int = 5, seed:
         if r == 0:  # every passage takes its document's label
             pos = np.arange(len(hot.sizes))
             neg = np.arange(len(cold.sizes))
-            pos, neg = (rng.permutation(x)[:60_000] for x in (pos, neg))
+            pos, neg = (rng.permutation(x)[:first_passages] for x in (pos, neg))
         else:       # the worst passages; of toxic documents also the harmless ones
             t, b = direction()
             zh, zc = hot.logits(t, b), cold.logits(t, b)
@@ -219,11 +243,54 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_PER_
     for label in (0, 1):
         part = known.filter(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         chosen = part if chosen is None else chosen.union(part)
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     # at most 2 * sample rows: a fixed bound
-    rows = (docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
-            .orderBy("doc_id", "text").select("label", "text").collect())
+    rows = texts.join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "text").select("label", "text").collect()
     of = {label: [r["text"].encode() for r in rows if r["label"] == label] for label in (0, 1)}
-    return fit_subwords(of[1], of[0])
+    model = fit_subwords(of[1], of[0])
+
+    # the cut comes from all labelled training rows, scored by tasks
+    labelled = F.broadcast(known) if known.count() <= BROADCAST_LABELS else known
+    worst = stash(texts.join(labelled, "doc_id").select("label", "text").mapInArrow(
+        _worst(docs.sparkSession.sparkContext.broadcast(model)), "label int, z double"), "toxicity-worst")
+    cut = least_errors(worst)
+    return model if cut is None else replace(model, cut=cut)
+
+
+def _worst(broadcast):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            z = [broadcast.value.worst(t.as_buffer().to_pybytes()) for t in batch.column("text").cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(z, pa.float64())], names=["label", "z"])
+    return run
+
+
+def least_errors(rows: DataFrame, rounds: int = 3) -> float | None:
+    """The cut of ``z`` with the fewest errors per label over all rows, in the middle of the widest range of equally
+    good ones; None without rows of both labels. Each round counts the rows between CUTS candidate cuts, an aggregate of
+    at most 2 * CUTS rows, and looks closer around the best."""
+    facts = rows.agg(F.count_if(F.col("label") == 1).alias("hot"), F.count_if(F.col("label") == 0).alias("cold"),
+                     F.min("z").alias("lo"), F.max("z").alias("hi")).first()
+    if not facts["hot"] or not facts["cold"]:
+        return None
+    lo, hi = facts["lo"] - 1.0, facts["hi"] + 1.0
+    for _ in range(rounds):
+        cuts = np.linspace(lo, hi, CUTS)
+        # number of candidate cuts at or below a row's score, found as it is for any row
+        place = F.least(F.lit(CUTS), F.greatest(F.lit(0), F.floor((F.col("z") - F.lit(lo)) / F.lit((hi - lo) / (CUTS - 1))) + 1)).cast("int")
+        counts = np.zeros((2, CUTS + 1))
+        for r in rows.groupBy("label", place.alias("p")).agg(F.count("*").alias("c")).collect():
+            counts[r["label"], r["p"]] += r["c"]
+        below = np.cumsum(counts, axis=1)[:, :CUTS]  # rows under each cut
+        errors = below[1] / facts["hot"] + 1 - below[0] / facts["cold"]
+        good = errors <= errors.min() + 1e-12
+        ends = np.flatnonzero(np.diff(np.concatenate([[0], good.astype(int), [0]])))
+        first, last = max(zip(ends[::2], ends[1::2] - 1), key=lambda e: cuts[e[1]] - cuts[e[0]])
+        best = float(cuts[first] + cuts[last]) / 2
+        if last > first:
+            return best
+        lo, hi = float(cuts[max(first - 1, 0)]), float(cuts[min(last + 1, CUTS - 1)])
+    return best
 
 
 def _scored(broadcast):
