@@ -37,27 +37,35 @@ def dashboard_extract(processed: DataFrame, max_points: int = DASH_MAX_POINTS,
 
 
 def extract_metadata(before: DataFrame, extract: DataFrame, dataset: str, method: str,
-                     source: str = "", output: str = "") -> DataFrame:
-    """One-row metadata of an extract (counts, time extent, sorted object and quarter lists)."""
+                     source: str = "", output: str = "", objects_output: str = "") -> DataFrame:
+    """One-row metadata of an extract, scalars only: counts, time extent, the first five ids and the sorted quarters as
+    text. The ids themselves are a table beside it (``extract_objects``), of which the row names the path."""
     rows_before = before.select(F.count(F.lit(1))).scalar()
+    preview = object_preview(extract).scalar()
     return extract.agg(
         F.count(F.lit(1)).alias("rows_saved_for_dashboard"),
         F.sum(F.col("is_anomaly").cast("long")).alias("anomaly_rows"),
         F.min("time_bin").alias("min_time"),
         F.max("time_bin").alias("max_time"),
-        F.array_sort(F.collect_set("object_id")).alias("objects"),
-        F.array_sort(F.collect_set("quarter")).alias("quarters"),
+        F.count_distinct("object_id").alias("n_objects"),
+        F.array_join(F.transform(F.array_sort(F.collect_set("quarter")), lambda q: q.cast("string")), ",").alias("quarters"),
     ).select(
         F.lit(dataset).alias("dataset"), F.lit(method).alias("processing_method"),
         F.lit("dash").alias("visualization_method"),
         F.lit("interactive_web_dashboard").alias("visualization_type"),
         F.lit(source).alias("source_processed_file"), F.lit(output).alias("output_file"),
+        F.lit(objects_output).alias("objects_file"),
         rows_before.alias("rows_before_downsample"), "rows_saved_for_dashboard",
         F.coalesce("anomaly_rows", F.lit(0)).cast("long").alias("anomaly_rows"),
-        "min_time", "max_time", "objects", "quarters",
+        "min_time", "max_time", "n_objects", preview.alias("object_preview"), "quarters",
     )
 
 
+def extract_objects(extract: DataFrame) -> DataFrame:
+    """The ids of an extract, one row each, sorted over its partitions."""
+    return extract.select(F.col("object_id").cast("string").alias("object_id")).distinct().orderBy("object_id")
+
+
 def object_counts(df: DataFrame, key: str = "object_id") -> DataFrame:
     return df.groupBy(F.col(key).cast("string").alias(key)).agg(F.count(F.lit(1)).alias("rows"))
 

@@ -27,6 +27,9 @@ from starlit.functions.expr import usable_std
 from starlit.schema import Params
 
 
+SLIDING_FROM = 101  # rows of a frame from which sliding costs less than sorting every frame
+
+
 def frame_bounds(window: int) -> tuple[int, int]:
     """Rows before / after the current row of a centered window (pandas convention)."""
     after = (window - 1) // 2
@@ -84,10 +87,14 @@ def framed_medians(keys, v, before: int, after: int, min_periods: int):
 
     ``keys``: boolean array, True where a new object starts (index 0 included); ``v``: the series, NaN where
     missing.  The median over at most before + 1 + after rows of the object, the value itself where fewer than
-    min_periods values are there; of an even count it is 0.5 * a + 0.5 * b, as in Spark's percentile.
+    min_periods values are there; of an even count it is 0.5 * a + 0.5 * b, as in Spark's percentile.  Short frames
+    are sorted side by side; from SLIDING_FROM rows on the frame is kept sorted while it slides.
     """
     import numpy as np
 
+    if before + 1 + after >= SLIDING_FROM:
+        return _sliding_medians(keys, v, before, after, min_periods)
+
     starts = np.flatnonzero(keys)
     n = len(keys)
     ends = np.r_[starts[1:], n]
@@ -111,6 +118,32 @@ def framed_medians(keys, v, before: int, after: int, min_periods: int):
     return rolling
 
 
+def _sliding_medians(keys, v, before: int, after: int, min_periods: int):
+    """``framed_medians`` by one sorted frame per object: a row's step takes one value out and puts one in by binary
+    search, so the cost of a row hardly follows the frame's length."""
+    from bisect import bisect_left, insort
+
+    import numpy as np
+
+    starts = np.flatnonzero(keys)
+    out = v.copy()
+    for first, last in zip(starts.tolist(), [*starts[1:].tolist(), len(keys)]):
+        series, frame = v[first:last].tolist(), []
+        for x in series[:after]:
+            if x == x:
+                insort(frame, x)
+        for i in range(len(series)):
+            if i + after < len(series) and (x := series[i + after]) == x:
+                insort(frame, x)
+            if i > before and (x := series[i - before - 1]) == x:
+                del frame[bisect_left(frame, x)]
+            held = len(frame)
+            if held and held >= min_periods:
+                low, high = frame[(held - 1) // 2], frame[held // 2]
+                out[first + i] = low if low == high else 0.5 * low + 0.5 * high
+    return out
+
+
 def _median_batches(key, value: str, params: Params, out_names: list[str]):
     """mapInArrow body: rows arrive sorted by (key, order); an object cut by a batch boundary is
     carried into the next batch so each object is processed whole.  String columns stay Arrow

@@ -54,13 +54,16 @@ def process_file(spark: SparkSession, input_path: str, output_dir: str, dataset:
 def build_dashboard_extract(spark: SparkSession, processed_path: str, output_dir: str, dataset: str,
                             method: str, max_points: int = DASH_MAX_POINTS,
                             min_per_object: int = DASH_MIN_PER_OBJECT) -> dict:
-    """Write ``<dataset>_<method>_dash_data.parquet`` and its one-row JSON metadata."""
+    """Write ``<dataset>_<method>_dash_data.parquet`` (clustered for pruned reads), the table of its object ids and its
+    one-row JSON metadata, which is returned."""
     processed = require_rows(read_input(spark, processed_path), f"Processed file {processed_path}")
     before = extract.extract_project(processed)
-    ex = extract.dashboard_extract(processed, max_points, min_per_object)
     out = os.path.join(output_dir, f"{dataset}_{method}_dash_data.parquet")
-    tables.write_parquet(ex, out)
-    meta = extract.extract_metadata(before, spark.read.parquet(out), dataset, method, processed_path, out)
+    ids = os.path.join(output_dir, f"{dataset}_{method}_dash_objects.json")
+    extract.write_extract(extract.dashboard_extract(processed, max_points, min_per_object), out)
+    saved = spark.read.parquet(out)
+    tables.write_json(extract.extract_objects(saved), ids)
+    meta = extract.extract_metadata(before, saved, dataset, method, processed_path, out, ids)
     tables.write_json(meta.coalesce(1), os.path.join(output_dir, f"{dataset}_{method}_dash_metadata.json"))
     return meta.first().asDict()
 

@@ -341,6 +341,7 @@ SELECT 'obs' AS dataset, 'spark' AS processing_method, 'dash' AS visualization_m
        'interactive_web_dashboard' AS visualization_type, (SELECT count(*) FROM ex) AS rows_before_downsample,
        count(*) AS rows_saved_for_dashboard, COALESCE(sum(is_anomaly::BIGINT), 0)::BIGINT AS anomaly_rows,
        min(time_bin) AS min_time, max(time_bin) AS max_time, count(DISTINCT object_id) AS n_objects,
+       array_to_string(list_sort(list_distinct(list(object_id)))[1:5], ', ') AS object_preview,
        array_to_string(list_sort(list_distinct(list(quarter))), ',') AS quarters
 FROM ds"""
 

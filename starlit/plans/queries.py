@@ -350,8 +350,7 @@ def q_extract_metadata(spark, sf_dir):
     meta = extract.extract_metadata(before, ex, DATASET, "spark")
     return meta.select("dataset", "processing_method", "visualization_method", "visualization_type",
                        "rows_before_downsample", "rows_saved_for_dashboard", "anomaly_rows",
-                       "min_time", "max_time", F.size("objects").cast("long").alias("n_objects"),
-                       F.array_join(F.transform("quarters", lambda q: q.cast("string")), ",").alias("quarters"))
+                       "min_time", "max_time", "n_objects", "object_preview", "quarters")
 
 
 @register("object_series")

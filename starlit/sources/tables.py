@@ -73,21 +73,33 @@ def discover_extracts(spark: SparkSession, directory: str, suffix: str = "_dash_
     """All ``<key>_dash_data.parquet`` extracts of a folder in one read; key taken from the file name.
 
     Extracts whose footers can't be read are left out and reported: (path, error) is appended to ``skipped``
-    and logged. An extract that turns out broken later fails the job. None when there is no readable extract."""
-    readable = []
-    for path in list_paths(spark, os.path.join(directory, f"*{suffix}")):
-        try:
-            spark.read.parquet(path)  # reads a footer, no data
-            readable.append(path)
-        except (PySparkException, Py4JJavaError) as exc:
-            if "FOOTER" not in str(exc) and "UNABLE_TO_INFER_SCHEMA" not in str(exc):
-                raise  # storage trouble, not a file that is no table
-            log.warning("extract %s skipped: %s", path, exc)
-            if skipped is not None:
-                skipped.append((path, str(exc)))
-    if not readable:
+    and logged. An extract that turns out broken later fails the job. None when there is no readable extract.
+
+    Footers are read by tasks, those of all extracts in one job. Only if that fails are the extracts halved, so a
+    broken one among n costs some log n jobs and none is looked at by itself without cause."""
+    paths = [p for p in list_paths(spark, os.path.join(directory, f"*{suffix}"))]
+    found = _readable(spark, paths, [] if skipped is None else skipped)
+    if not found:
         return None
-    df = spark.read.option("mergeSchema", "true").parquet(*readable)
+    df = spark.read.option("mergeSchema", "true").parquet(*found)
     name = F.col("_metadata.file_path")
     key = F.regexp_extract(name, r"([^/]+)" + suffix.replace(".", r"\.") + r"(/[^/]*)?$", 1)
     return df.withColumn("dataset_key", key).withColumn("object_id", F.col("object_id").cast("string"))
+
+
+def _readable(spark: SparkSession, paths: list[str], skipped: list) -> list[str]:
+    """The paths whose Parquet footers can be read, in order; the others go to ``skipped`` with the reason."""
+    if not paths:
+        return []
+    try:
+        spark.read.option("mergeSchema", "true").parquet(*paths)  # a job over footers, no data
+        return paths
+    except (PySparkException, Py4JJavaError) as exc:
+        if "FOOTER" not in str(exc) and "UNABLE_TO_INFER_SCHEMA" not in str(exc):
+            raise  # storage trouble, not a file that is no table
+        if len(paths) == 1:
+            log.warning("extract %s skipped: %s", paths[0], exc)
+            skipped.append((paths[0], str(exc)))
+            return []
+    half = len(paths) // 2
+    return _readable(spark, paths[:half], skipped) + _readable(spark, paths[half:], skipped)

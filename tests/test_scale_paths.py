@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from starlit.operators import extract, sample
 from starlit.operators.positions import in_order, place, positions
+from starlit.operators import trend
 from starlit.operators.quantile import finite_facts, grouped_quantile
 from starlit.plans import lightcurve
 from starlit.plans.convert import convert
@@ -178,3 +179,54 @@ def test_null_keys_and_empty_tables(spark):
     assert place(df.limit(0), ["k"], ["v"]).positions().count() == 0
     assert extract.chart_series(spark.createDataFrame([], "object_id string, time_bin double, flux_norm double, rolling_flux double, "
                                                           "is_anomaly boolean, quarter int"), 5).count() == 0
+
+
+@pytest.mark.parametrize("window", [101, 102, 301, 2501])
+def test_sliding_medians_equal_sorted_frames(window, monkeypatch):
+    rng = np.random.default_rng(window)
+    v = np.round(rng.normal(size=4000), 2)
+    v[rng.integers(0, 4000, 300)], v[rng.integers(0, 4000, 20)], v[rng.integers(0, 4000, 20)] = np.nan, INF, -INF
+    keys = np.zeros(4000, dtype=bool)
+    keys[[0, 1, 40, 41, 1500, 3999]] = True
+    for least in (1, 3, 200):
+        got = trend.framed_medians(keys, v, *trend.frame_bounds(window), least)
+        monkeypatch.setattr(trend, "SLIDING_FROM", 10 ** 9)
+        want = trend.framed_medians(keys, v, *trend.frame_bounds(window), least)
+        monkeypatch.undo()
+        np.testing.assert_array_equal(got, want)
+
+
+def test_cost_of_long_frames_is_nearly_flat():
+    import time
+    v, keys = np.random.default_rng(1).normal(size=60_000), np.arange(60_000) == 0
+    took = {}
+    for window in (101, 2501):
+        t = time.process_time()
+        trend.framed_medians(keys, v, *trend.frame_bounds(window), 3)
+        took[window] = time.process_time() - t
+    assert took[2501] < 5 * took[101], took
+
+
+def test_long_window_equals_the_window_route(spark):
+    obs = adapters.observations(spark, SF_SMOKE)
+    by = [{tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in lightcurve.process(
+        obs, "obs", "point", Params(bin_width=0.5, window=101, vectorize_rows=n)).collect()} for n in (0, 10 ** 9)]
+    assert by[0] == by[1]
+
+
+def test_discovery_reads_footers_in_tasks(spark, tmp_path):
+    one = spark.createDataFrame([("a", 1.0)], "object_id string, time_bin double").coalesce(1)
+    one.write.parquet(str(tmp_path / "seed"))
+    (part,) = [f for f in os.listdir(tmp_path / "seed") if f.endswith(".parquet")]
+    content = (tmp_path / "seed" / part).read_bytes()
+    for k in range(64):
+        (tmp_path / f"k{k:02d}_dash_data.parquet").write_bytes(content if k not in (7, 40) else b"no table")
+    skipped: list = []
+    found: list = []
+    jobs = jobs_of(spark, "discover", lambda: found.append(tables.discover_extracts(spark, str(tmp_path), skipped=skipped)))
+    assert jobs <= 2 * 2 * 7 + 2, jobs  # two broken ones among 64: halving, not one job for each file
+    assert sorted(os.path.basename(p)[:3] for p, _ in skipped) == ["k07", "k40"]
+    assert found[0].select("dataset_key").distinct().count() == 62
+    for k in (7, 40):
+        (tmp_path / f"k{k:02d}_dash_data.parquet").unlink()
+    assert jobs_of(spark, "discover-clean", lambda: tables.discover_extracts(spark, str(tmp_path))) <= 4  # listing and footers, to check and to read
