@@ -391,7 +391,7 @@ s AS (SELECT p.*, row_number() OVER (ORDER BY time_bin, quarter) - 1 AS _r, coun
 k AS (SELECT * FROM s WHERE {even_keep_sql('_r', '_n', '20')})
 SELECT 'obs' AS dataset, 'spark' AS processing_method, 'plotly' AS visualization_method, 'interactive_html' AS visualization_type,
        any_value(object_id) AS object_id, count(*) AS points_plotted, count(*) FILTER (is_anomaly) AS anomaly_points_plotted,
-       NULL::BIGINT AS rows_before_downsample, 'chart.html' AS visualization_file, NULL::VARCHAR AS visualization_metadata_file FROM k"""
+       'chart.html' AS visualization_file, NULL::VARCHAR AS visualization_metadata_file FROM k"""
 
 SQL["chart_series_ranked"] = SQL["chart_series"]
 
@@ -612,14 +612,14 @@ SELECT dataset, processing_method, viz AS visualization_method,
        CASE WHEN ok AND vstatus = 'success' THEN 'success' ELSE 'error' END AS status,
        CASE WHEN ok THEN verr ELSE perr END AS error,
        CASE WHEN ok THEN input_file END AS input_file, CASE WHEN ok THEN output_file END AS output_file,
-       CASE WHEN ok THEN rows_input END AS rows_input, CASE WHEN ok THEN rows_after_cleaning END AS rows_after_cleaning,
-       CASE WHEN ok THEN rows_output END AS rows_output, CASE WHEN ok THEN objects END AS objects,
-       CASE WHEN ok THEN quarters END AS quarters, CASE WHEN ok THEN anomaly_rows END AS anomaly_rows,
+       CASE WHEN ok THEN rows_input::DOUBLE END AS rows_input, CASE WHEN ok THEN rows_after_cleaning::DOUBLE END AS rows_after_cleaning,
+       CASE WHEN ok THEN rows_output::DOUBLE END AS rows_output, CASE WHEN ok THEN objects::DOUBLE END AS objects,
+       CASE WHEN ok THEN quarters::DOUBLE END AS quarters, CASE WHEN ok THEN anomaly_rows::DOUBLE END AS anomaly_rows,
        CASE WHEN drawn THEN viz || '.out' END AS visualization_file,
        CASE WHEN drawn AND viz = 'dash' THEN 'meta.json' END AS visualization_metadata_file,
        CASE WHEN drawn THEN CASE WHEN viz = 'dash' THEN 'interactive_web_dashboard' ELSE 'chart' END END AS visualization_type,
-       CASE WHEN drawn THEN points_plotted END AS points_plotted, CASE WHEN drawn THEN anomaly_points_plotted END AS anomaly_points_plotted,
-       CASE WHEN drawn AND viz = 'dash' THEN n END AS rows_before_downsample
+       CASE WHEN drawn THEN points_plotted::DOUBLE END AS points_plotted, CASE WHEN drawn THEN anomaly_points_plotted::DOUBLE END AS anomaly_points_plotted,
+       CASE WHEN drawn AND viz = 'dash' THEN n::DOUBLE END AS rows_before_downsample
 FROM k"""
 
 SQL["scan_run_metrics"] = f"WITH {RUN_METRICS}\nSELECT * FROM run_metrics"

@@ -642,14 +642,16 @@ def chart_runs(spark, sf_dir):
 
 @register("assemble_run_log")
 def q_assemble_run_log(spark, sf_dir):
-    return round_floats(runlog.assemble_run_log(processing_runs(spark, sf_dir), visualization_runs(spark, sf_dir), chart_runs(spark, sf_dir)))
+    """All columns; counts as doubles, as a table with missing counts has them when read back from CSV."""
+    log = runlog.assemble_run_log(processing_runs(spark, sf_dir), visualization_runs(spark, sf_dir), chart_runs(spark, sf_dir))
+    return round_floats(log.select(*[F.col(f.name).cast("double") if isinstance(f.dataType, T.LongType) else f.name for f in log.schema.fields]))
 
 
 @register("chart_metadata")
 def q_chart_metadata(spark, sf_dir):
     """Chart metadata of the chart of the most observed object (limit 20 points)."""
     points = extract.chart_points(processed(spark, sf_dir), 20)
-    return extract.chart_metadata(points, DATASET, "spark", "plotly", "interactive_html", "chart.html")
+    return extract.chart_metadata(points, DATASET, "spark", "plotly", "interactive_html", "chart.html").drop("rows_before_downsample")
 
 
 @register("scan_run_metrics")
