@@ -19,6 +19,7 @@ from starlit.operators.quantile import finite_facts, grouped_quantile
 from starlit.operators.trend import add_trend
 from starlit.schema import Params
 
+# The output columns of both modes, in order.
 POINT_COLUMNS = ["object_id", "quarter", "time_bin", "flux_norm", "rolling_flux", "flux_err",
                  "points_count", "anomaly_count", "source_files", "is_anomaly", "dataset",
                  "processing_method"]
