@@ -137,16 +137,24 @@ def assign_shards(docs: DataFrame, shards: int = SHARDS, bits: int = BITS) -> Da
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, bits: int = BITS) -> None:
-    """Write whole documents as Parquet, one folder per shard, each file ordered along the curve so that row
-    groups carry tight min/max statistics. Equal (doc_id, checksum) rows share their shard and slot range."""
+    """Write whole documents as Parquet, one folder ``<shard column>=<n>`` per shard, each file ordered along the curve so
+    that row groups carry tight min/max statistics. Equal (doc_id, checksum) rows share their shard and slot range. All
+    of the caller's columns are kept; the shard column is ``shard``, with as many underscores after it as it takes to
+    be none of them."""
+    free = max((len(c) for c in docs.columns), default=0) * "_"  # longer than any name of the caller's
+    names = {c: f"{free}_{c}" for c in ("id", "crc", "found_id", "found_crc", "position")}
+    shard = "shard"
+    while shard.lower() in {c.lower() for c in docs.columns}:
+        shard += "_"
     plan = assign_shards(docs, shards, bits).groupBy("doc_id", "text_crc32").agg(
-        F.min("shard").alias("shard"), F.min("position").alias("_position"))
-    crc = F.crc32(F.coalesce(F.col("text"), F.lit("")))
-    joined = docs.drop("shard").withColumn("_crc", crc).join(
-        plan.select(F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_c"), "shard", "_position"),
-        F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_crc") == F.col("_c")))
-    (joined.repartitionByRange("_position").sortWithinPartitions("_position").drop("_crc", "_id", "_c", "_position")
-     .write.partitionBy("shard").parquet(path))
+        F.min("shard").alias(shard), F.min("position").alias(names["position"]))
+    plan = plan.select(F.col("doc_id").alias(names["found_id"]), F.col("text_crc32").alias(names["found_crc"]), shard, names["position"])
+    own = add_missing(docs, doc_id="bigint", text="string").select(
+        *docs.columns, F.col("doc_id").cast("bigint").alias(names["id"]), F.crc32(F.coalesce(F.col("text"), F.lit(""))).alias(names["crc"]))
+    joined = own.join(plan, F.col(names["id"]).eqNullSafe(F.col(names["found_id"])) & (F.col(names["crc"]) == F.col(names["found_crc"])))
+    # sorted by shard first, as the writer asks, so that it doesn't sort again and the order along the curve stays
+    ordered = joined.repartitionByRange(shard, names["position"]).sortWithinPartitions(shard, names["position"])
+    ordered.select(*docs.columns, shard).write.partitionBy(shard).parquet(path)
 
 
 def op7_hilbert_shards(spark, sf_dir: str) -> DataFrame:
