@@ -705,24 +705,16 @@ def q_quarter_from_time(spark, sf_dir):
 from starlit.sources import fits, tables  # noqa: E402
 
 
-def _encode_group(pdf):
-    """One observation group (dataset, object, quarter) -> one light-curve file, varied by object."""
-    import numpy as np
-    import pandas as pd
+FILES_BATCH_BYTES = 16 << 20
+
 
+def _encode_file(dataset, object_id, quarter, time, flux, err, qual_int):
+    """One observation group (dataset, object, quarter) -> (path, bytes) of one light-curve file, varied by object."""
     from starlit.plans.light_curve_writer import encode_light_curve
 
-    pdf = pdf.sort_values("time", na_position="last")
-    oid = str(pdf["object_id"].iloc[0])
-    quarter = int(pdf["quarter"].iloc[0])
-    u = int(oid)
+    u, quarter = int(object_id), int(quarter)
     variant = u % 4
     name = f"kplr{u:09d}-q{quarter}_llc.fits"
-    time = pdf["time"].to_numpy(dtype="float64", na_value=np.nan)
-    flux = pdf["flux"].to_numpy(dtype="float64", na_value=np.nan)
-    err = pdf["flux_err"].to_numpy(dtype="float64", na_value=np.nan)
-    qual = pdf["quality"].to_numpy(dtype="float64", na_value=np.nan)
-    qual_int = np.where(np.isnan(qual), -999, qual).astype("int32")
     primary, table = {}, {"TNULL4": -999}
     if variant == 0:
         cols = {"TIME": time, "PDCSAP_FLUX": flux, "PDCSAP_FLUX_ERR": err, "SAP_QUALITY": qual_int}
@@ -741,15 +733,65 @@ def _encode_group(pdf):
     content = encode_light_curve(cols, forms, primary, table)
     if u % 10 == 5 and quarter == 3:
         content = content[:3000]          # truncated file
-    return pd.DataFrame({"path": [f"derived/{pdf['dataset'].iloc[0]}/{name}"], "content": [content],
-                         "dataset": [pdf["dataset"].iloc[0]]})
+    return f"derived/{dataset}/{name}", content
+
+
+def _key_runs(batches):
+    """Rows in key order -> (dataset, object_id, quarter, four arrays) of each run of equal keys, however many batches
+    it spans. Only the run at a batch's end is carried over, in pieces that are joined once."""
+    import numpy as np
+
+    key, pieces = None, []
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        keys = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("dataset", "object_id", "quarter")]
+        values = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("time", "flux", "flux_err")]
+        quality = batch.column("quality").to_numpy(zero_copy_only=False)
+        values.append(np.where(np.isnan(quality), -999, quality).astype("int32"))
+        new = np.zeros(n, dtype=bool)
+        new[0] = True
+        for k in keys:
+            new[1:] |= k[1:] != k[:-1]
+        starts = np.flatnonzero(new)
+        for a, b in zip(starts, [*starts[1:], n]):
+            here, piece = tuple(k[a] for k in keys), [v[a:b] for v in values]
+            if here != key and pieces:
+                yield *key, [np.concatenate(v) for v in zip(*pieces)] if len(pieces) > 1 else pieces[0]
+                pieces = []
+            key = here
+            pieces.append(piece)
+    if pieces:
+        yield *key, [np.concatenate(v) for v in zip(*pieces)] if len(pieces) > 1 else pieces[0]
+
+
+def _encode_files(batches):
+    """Observations in (dataset, object, quarter, time) order -> one light-curve file per group."""
+    import pyarrow as pa
+
+    def batch(files):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*files), (pa.string(), pa.binary(), pa.string()))],
+                                          names=["path", "content", "dataset"])
+
+    files, held = [], 0
+    for dataset, object_id, quarter, values in _key_runs(batches):
+        path, content = _encode_file(dataset, object_id, quarter, *values)
+        files.append((path, content, dataset))
+        held += len(content)
+        if held >= FILES_BATCH_BYTES:
+            yield batch(files)
+            files, held = [], 0
+    if files:
+        yield batch(files)
 
 
 def light_curve_files(spark, sf_dir):
     """One encoded light-curve file per (dataset, object, quarter) of the obs adapter."""
-    o = obs(spark, sf_dir)
-    return o.groupBy("dataset", "object_id", "quarter").applyInPandas(
-        _encode_group, "path string, content binary, dataset string")
+    key = ["dataset", "object_id", "quarter"]
+    o = obs(spark, sf_dir).select(*key, "time", "flux", "flux_err", "quality")
+    return o.repartition(*key).sortWithinPartitions(*key, F.asc_nulls_last("time")).mapInArrow(
+        _encode_files, "path string, content binary, dataset string")
 
 
 def ingested(spark, sf_dir):
