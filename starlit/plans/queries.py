@@ -830,7 +830,8 @@ def q_resolve_columns(spark, sf_dir):
 @register("conversion_summary")
 def q_conversion_summary(spark, sf_dir):
     from starlit.plans.convert import conversion_summary
-    parsed = ingested(spark, sf_dir)
+    from starlit.sources.scratch import written
+    parsed = written(ingested(spark, sf_dir), "ingested")  # read by every step of the summary, decoded once
     files = light_curve_files(spark, sf_dir).drop("content")
     return conversion_summary(spark, parsed, files, ["small", "medium", "large", "empty"]).drop("size_mb", "output_file")
 

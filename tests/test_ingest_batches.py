@@ -61,3 +61,11 @@ def test_no_python_call_per_group(spark, tmp_path):
         assert "InPandas" not in text and text.count("MapInArrow") == 2
     assert q.QUERIES["ingest_light_curves"](spark, d).count() == 8 * 3 - 1
     assert [r.file for r in q.QUERIES["ingest_errors"](spark, d).collect()] == ["kplr000000005-q3_llc.fits"]
+
+
+def test_summary_decodes_once(spark, tmp_path):
+    d = events(spark, tmp_path / "t", users=8, times=2)
+    out = q.QUERIES["conversion_summary"](spark, d)
+    assert plan(out).count("MapIn") == 1  # the file inventory; every other step reads the decoded rows
+    found = {r.dataset: (r.fits_files, r.objects, r.status) for r in out.collect()}
+    assert found == {"small": (9, 3, "success"), "medium": (9, 3, "success"), "large": (6, 2, "success_with_errors"), "empty": (0, 0, "no_files")}
