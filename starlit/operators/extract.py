@@ -160,16 +160,16 @@ def chart_metadata(points: DataFrame, dataset: str, processing_method: str, visu
         F.lit(output_file).alias("visualization_file"), F.lit(metadata_file).cast("string").alias("visualization_metadata_file"))
 
 
-def dashboard_summary(df: DataFrame, start=None, end=None, max_points: int = 5000,
+def dashboard_summary(df: DataFrame, start=None, end=None, max_points: int | None = 5000,
                       method_col: str = "processing_method", dataset: DataFrame | None = None) -> DataFrame:
-    """Per object: rows in the time range, rows plotted after the random limit, quarters,
-    anomalies plotted, mean and std of flux_norm plotted, and the processing method of the whole
+    """Per object: rows in the time range, rows plotted after the random limit (all of them when ``max_points`` is
+    None), quarters, anomalies plotted, mean and std of flux_norm plotted, and the processing method of the whole
     ``dataset`` (of ``df`` if not given), whatever the range or objects."""
     whole = df if dataset is None else dataset
     method = whole.select(mode_value(F.col(method_col))).scalar()
     ranged = df if start is None else time_range(df, start, end)
     in_range = ranged.groupBy("object_id").agg(F.count(F.lit(1)).alias("rows_in_range"))
-    plotted = random_downsample(ranged, max_points)
+    plotted = ranged if max_points is None else random_downsample(ranged, max_points)
     stats = plotted.groupBy("object_id").agg(
         F.count(F.lit(1)).alias("rows_plotted"),
         quarters_text(F.col("quarter")).alias("quarters"),

@@ -459,9 +459,9 @@ def q_dashboard_summary_table(spark, sf_dir):
 
 @register("dashboard_summary")
 def q_dashboard_summary(spark, sf_dir):
-    """Summaries of all objects with a limit of 25 points each, which most of them exceed."""
+    """Summaries of all rows of all objects."""
     ex = extract.extract_project(processed(spark, sf_dir))
-    return round_floats(extract.dashboard_summary(ex, max_points=25))
+    return round_floats(extract.dashboard_summary(ex, max_points=None))
 
 
 # --- run logs and analytics ------------------------------------------------------------------

@@ -5,8 +5,10 @@ import datetime
 import numpy as np
 import pyarrow as pa
 
+from starlit.operators import extract
 from starlit.plans import queries as q
 from starlit.plans.light_curve_writer import encode_light_curve
+from starlit.schema import EXTRACT_COLUMNS
 from starlit.sources import adapters, fits
 
 
@@ -69,3 +71,15 @@ def test_summary_decodes_once(spark, tmp_path):
     assert plan(out).count("MapIn") == 1  # the file inventory; every other step reads the decoded rows
     found = {r.dataset: (r.fits_files, r.objects, r.status) for r in out.collect()}
     assert found == {"small": (9, 3, "success"), "medium": (9, 3, "success"), "large": (6, 2, "success_with_errors"), "empty": (0, 0, "no_files")}
+
+
+def test_dashboard_summary_of_all_rows(spark, tmp_path):
+    d = events(spark, tmp_path / "t", users=1, days=range(30), times=3)
+    got = q.QUERIES["dashboard_summary"](spark, d).first()
+    assert got.rows_plotted == got.rows_in_range > 25
+    rows = [("obs", "7", 1, t / 10, float(t), 0.0, 0.1, 1, 0, t % 10 == 0, "spark") for t in range(6000)]
+    df = spark.createDataFrame(rows, "dataset string, object_id string, quarter int, time_bin double, flux_norm double, rolling_flux double, "
+                               "flux_err double, points_count long, anomaly_count long, is_anomaly boolean, processing_method string")
+    assert set(df.columns) == set(EXTRACT_COLUMNS)
+    whole = extract.dashboard_summary(df, max_points=None).first()
+    assert (whole.rows_plotted, whole.anomaly_rows_plotted, whole.mean_flux_norm) == (6000, 600, 2999.5)
