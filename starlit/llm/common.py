@@ -41,10 +41,9 @@ def stash(df: DataFrame, name: str, fmt: str = "parquet") -> DataFrame:
 
 
 @contextmanager
-def arrow_batches(spark: SparkSession, rows: int, size: int) -> Iterator[None]:
-    """Arrow batches of at most so many rows and about so many bytes for what runs inside; the session's own settings
-    come back after it. Only for plans that run inside, not for lazy ones that are returned."""
-    want = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows), "spark.sql.execution.arrow.maxBytesPerBatch": str(size)}
+def session_conf(spark: SparkSession, want: dict[str, str]) -> Iterator[None]:
+    """Settings for what runs inside; the session's own come back after it. Only for plans that run inside, not for lazy
+    ones that are returned."""
     before = {k: spark.conf.get(k, None) for k in want}
     try:
         for k, v in want.items():
@@ -58,6 +57,12 @@ def arrow_batches(spark: SparkSession, rows: int, size: int) -> Iterator[None]:
                 spark.conf.set(k, v)
 
 
+def arrow_batches(spark: SparkSession, rows: int, size: int):
+    """Arrow batches of at most so many rows and about so many bytes for what runs inside (see ``session_conf``)."""
+    return session_conf(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": str(rows),
+                                "spark.sql.execution.arrow.maxBytesPerBatch": str(size)})
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. Pure-ASCII texts take the fast built-in; others map the 26 letters."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(

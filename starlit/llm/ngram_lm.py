@@ -10,8 +10,10 @@ mixture stays a probability but for the filter's few false positives.
 Counts are summed inside tasks before the shuffle, where a pair is one 64-bit value. The filter is built in
 parts, one per ``PART_TOKENS`` training tokens, each by one task over the hashes that fall to it and sized by its
 insertions; every token and pair enters, at every input size. The parts are a written table. Up to ``MAX_BITS`` of
-them are broadcast whole. Beyond that the texts are dealt into chunks of some ``CHUNK_TEXT`` bytes, the distinct
-hashes of every chunk go to the task that holds their part, and the levels found there come back to the chunk.
+them are broadcast whole. Beyond that the texts are written in chunks of some ``CHUNK_TEXT`` bytes, and the parts are
+dealt into buckets of some ``ROUTE_BYTES``. The distinct hashes of a chunk go to the tasks that hold their buckets, sorted
+and as gaps; many chunks are probed at once there, and the levels found come back to the chunk. What is asked and
+answered follows the n-grams; a chunk makes a row for each bucket, not for each part.
 Both ways score by the same levels.
 
 ``base_score`` uses exact counts: those of the most frequent words (at most ``MAX_WORDS``) are broadcast, the
@@ -27,6 +29,7 @@ all counts are 0; repeated rows count and score each; an empty table gives no ro
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +37,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starlit.llm.common import add_missing, stash, table
-from starlit.llm.near_dedup import _chunks, _mix, _texts, word_hashes
+from starlit.llm.common import add_missing, arrow_batches, session_conf, stash, table
+from starlit.llm.near_dedup import BATCH_BYTES, _chunks, _mix, _texts, word_hashes
 
 BITS = 8          # per insertion
 PROBES = 4        # nine bits each of one hash
@@ -46,7 +49,11 @@ FLUSH_TOKENS = 3_000_000
 MAX_WORDS = 2_000_000
 UNIGRAM_SHARE = 0.6
 BATCH_ROWS = 200
-CHUNK_TEXT = 4 << 20
+PROBE_BLOCK = 1 << 16  # hashes probed together: what they need stays in the cache
+CHUNK_TEXT = 8 << 20
+ROUTE_BYTES = 4 << 20  # of the filter, held at a time where it is probed in buckets
+# files of a shuffle are dropped when the table made from it is written: each is read once
+SHUFFLE_ONCE = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
 _U = np.uint64
 END = _U(0x0123456789ABCDEF)
@@ -152,19 +159,25 @@ class FrequencyFilter:
     def levels(self, hashes: np.ndarray) -> np.ndarray:
         """Levels found by probing one after the other until a miss; 0 if the first is missing."""
         out = np.zeros(len(hashes), dtype=np.int64)
+        for at in range(0, len(hashes), PROBE_BLOCK):
+            self._probe(hashes[at:at + PROBE_BLOCK], out[at:at + PROBE_BLOCK])
+        return out
+
+    def _probe(self, hashes: np.ndarray, out: np.ndarray) -> None:
         part = (hashes % _U(self.parts)).astype(np.int64) if self.parts > 1 else np.zeros(len(hashes), dtype=np.int64)
         starts, sizes = self.starts[part], self.sizes[part]
         alive, level = np.flatnonzero(sizes > 0), 1
+        hashes, starts, sizes = hashes[alive], starts[alive], sizes[alive]
         while len(alive):
-            block, bits = self.places(hashes[alive], level, sizes[alive])
-            word = (starts[alive] + block) << _U(3)
+            block, bits = self.places(hashes, level, sizes)
+            word, hit = (starts + block) << _U(3), _U(1)
             for probe in range(PROBES):
-                at = bits & _U(511)
-                hit = (self.words[(word | (at >> _U(6))).astype(np.int64)] >> (at & _U(63))) & _U(1) == 1
-                alive, word, bits = alive[hit], word[hit], bits[hit] >> _U(9)
+                at = (bits >> _U(9 * probe)) & _U(511)
+                hit = hit & (self.words[(word | (at >> _U(6))).view(np.int64)] >> (at & _U(63)))
+            kept = np.flatnonzero(hit)
+            alive, hashes, starts, sizes = alive[kept], hashes[kept], starts[kept], sizes[kept]
             out[alive] = level
             level += 1
-        return out
 
 
 class NearWords:
@@ -195,13 +208,22 @@ class NearWords:
 
 
 class FoundLevels:
-    """Levels of a chunk's distinct hashes, already probed; ``hashes`` sorted."""
+    """Levels of a chunk's distinct hashes, already probed; ``hashes`` sorted. Only those are asked for again: a hash is
+    looked for from the first one of its upper bits on."""
 
     def __init__(self, hashes: np.ndarray, found: np.ndarray):
         self.hashes, self.found = hashes, found
+        upper = len(hashes).bit_length()
+        self.shift = _U(56 - upper)
+        self.starts = np.searchsorted(hashes, np.arange(1 << upper, dtype=np.uint64) << self.shift)
 
     def levels(self, hashes: np.ndarray) -> np.ndarray:
-        return self.found[np.searchsorted(self.hashes, hashes)].astype(np.int64)
+        at = self.starts[hashes >> self.shift]
+        left = np.flatnonzero(self.hashes[at] != hashes)
+        while len(left):
+            at[left] += 1
+            left = left[self.hashes[at[left]] != hashes[left]]
+        return self.found[at].astype(np.int64)
 
 
 def _fill(parts: int):
@@ -230,14 +252,15 @@ class Scorer:
     def __init__(self, n: int, v: int, n_soft: float, n_docs: int, grams: FrequencyFilter | FoundLevels | None):
         self.n, self.v, self.n_soft, self.n_docs, self.grams = n, v, n_soft, n_docs, grams
 
-    def score(self, texts: list[bytes], near: NearWords, complete: bool):
+    def score(self, texts: list[bytes], near: NearWords, complete: bool, runs: list | None = None):
         """(n_tokens, n_known, base_score, score) of each text and its words whose count isn't at hand, as
-        arrays of (text number, word, times); with ``complete`` counts there are none: unknown is 0."""
+        arrays of (text number, word, times); with ``complete`` counts there are none: unknown is 0.
+        ``runs``: the texts' token runs, if at hand."""
         n_tokens, n_known = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
         base, score = np.zeros(len(texts)), np.zeros(len(texts))
         rare: list[np.ndarray] = [np.zeros((0, 3), dtype=np.int64)]
         room, soft_room = self.n + 0.5 * (self.v + 1), self.n_soft + 0.5 * (self.v + 1)
-        for first, tokens, owner, before in token_runs(texts):
+        for first, tokens, owner, before in token_runs(texts) if runs is None else runs:
             m = int(owner[-1]) + 1
             distinct, back = np.unique(tokens, return_inverse=True)
             c, level = near.look_up(distinct, self.grams)
@@ -268,8 +291,8 @@ _SCORED = ("doc_id bigint, held_out boolean, row bigint, n_tokens bigint, n_know
            "rare array<bigint>, times array<bigint>")
 
 
-def _scored_batch(scorer: Scorer, near: NearWords, complete: bool, texts: list[bytes], doc_id, held_out, rows) -> pa.RecordBatch:
-    columns, rare = scorer.score(texts, near, complete)
+def _scored_batch(scorer: Scorer, near: NearWords, complete: bool, texts: list[bytes], doc_id, held_out, rows, runs=None) -> pa.RecordBatch:
+    columns, rare = scorer.score(texts, near, complete, runs)
     rare = rare[np.argsort(rare[:, 0], kind="stable")]
     ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(rare[:, 0], minlength=len(texts)))]).astype(np.int32))
     lists = [pa.ListArray.from_arrays(ends, pa.array(rare[:, k].copy())) for k in (1, 2)]
@@ -288,66 +311,133 @@ def _score_all(shared, complete: bool):
     return run
 
 
-def _by_part(texts: list[bytes], parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashes of the texts' tokens and pairs and their parts, ordered by part and hash."""
-    hashes = np.unique(np.concatenate([np.concatenate([singles(tokens), pairs_of(before, tokens)])
-                                       for _, tokens, _, before in token_runs(texts)]))
-    part = (hashes % _U(parts)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
-    return hashes[order], part[order]
+def _chunk_rows(size: int):
+    """Documents of a task in chunks of some ``size`` bytes of text, a row each, with their row numbers."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = row = TaskContext.get().partitionId() << 40
+        held, held_bytes = [], 0
 
+        def flush() -> pa.RecordBatch:
+            docs, sink = pa.Table.from_batches(held).combine_chunks(), pa.BufferOutputStream()
+            docs = docs.append_column("row", pa.array(np.arange(row, row + docs.num_rows)))
+            with pa.ipc.new_stream(sink, docs.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(docs)
+            return pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "data"])
 
-def _ask(parts: int):
-    def run(chunk: pa.Table) -> pa.Table:
-        hashes, part = _by_part(_texts(chunk.column("text").combine_chunks()), parts)
-        asked, first = np.unique(part, return_index=True)
-        return pa.table({"chunk": pa.array([chunk.column("chunk")[0].as_py()] * len(asked), pa.int64()), "part": pa.array(asked, pa.int32()),
-                         "data": pa.array([h.tobytes() for h in np.split(hashes, first[1:])], pa.binary())})
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                held_bytes += batch.column("text").nbytes
+            if held_bytes >= size:
+                yield flush()
+                chunk, row, held, held_bytes = chunk + 1, row + sum(b.num_rows for b in held), [], 0
+        if held:
+            yield flush()
     return run
 
 
-def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each part its bits (chunk -1) first, then what the chunks ask of it."""
-    held, grams = None, None
-    for batch in batches:
-        out: list[tuple[int, int, bytes]] = []
-        for chunk, part, data in zip(*(batch.column(c).to_pylist() for c in ("chunk", "part", "data"))):
-            if chunk < 0:
-                held, grams = part, FrequencyFilter(1, {0: data})
-                continue
-            hashes = np.frombuffer(data, dtype=np.uint64)
-            found = grams.levels(hashes) if part == held else np.zeros(len(hashes), dtype=np.int64)
-            out.append((chunk, part, np.minimum(found, 255).astype(np.uint8).tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.binary()))],
-                                         names=["chunk", "part", "data"])
-
-
-def _score_chunk(shared, parts: int, complete: bool):
+def _documents(data: bytes) -> pa.RecordBatch:
+    """The documents of a chunk's row."""
+    return pa.ipc.open_stream(data).read_all().combine_chunks().to_batches()[0]
+
+
+def _distinct(runs: list) -> np.ndarray:
+    """Sorted distinct hashes of the tokens and pairs of token runs."""
+    hashes = np.concatenate([x for _, tokens, _, before in runs for x in (singles(tokens), pairs_of(before, tokens))])
+    hashes.sort()
+    return hashes[np.concatenate([[True], hashes[1:] != hashes[:-1]])]
+
+
+def _by_bucket(hashes: np.ndarray, parts: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of sorted hashes by the bucket of their part (and hash), and the number of those in each bucket."""
+    bucket = (hashes % _U(parts) % _U(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
+    return np.argsort(bucket, kind="stable"), np.bincount(bucket, minlength=buckets)
+
+
+def _gaps(hashes: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """Hashes of buckets of these sizes (over 0), sorted in each: gaps of as many bytes as the largest needs, after that number."""
+    ends = np.cumsum(sizes)
+    gaps = np.diff(hashes, prepend=_U(0))
+    gaps[ends - sizes] = hashes[ends - sizes]
+    width = max(1, -(-int(gaps.max()).bit_length() // 8))
+    data = gaps.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    return [bytes([width]) + data[(b - n) * width:b * width] for b, n in zip(ends.tolist(), sizes.tolist())]
+
+
+def _from_gaps(data: bytes) -> np.ndarray:
+    width = data[0]
+    gaps = np.zeros(((len(data) - 1) // width, 8), dtype=np.uint8)
+    gaps[:, :width] = np.frombuffer(data, np.uint8, offset=1).reshape(-1, width)
+    return np.cumsum(gaps.view("<u8").ravel(), dtype=np.uint64)
+
+
+def _ask(parts: int, buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, data in zip(batch.column("chunk").to_pylist(), batch.column("data")):
+                hashes = _distinct(list(token_runs(_texts(_documents(data.as_buffer()).column("text")))))
+                order, sizes = _by_bucket(hashes, parts, buckets)
+                asked = np.flatnonzero(sizes)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([chunk] * len(asked), pa.int64()), pa.array(asked, pa.int32()), pa.nulls(len(asked), pa.int32()),
+                     pa.array(_gaps(hashes[order], sizes[asked]), pa.binary())], names=["chunk", "bucket", "part", "data"])
+    return run
+
+
+def _answer(parts: int):
+    """Of each bucket its parts' bits (chunk -1) first, then what the chunks ask of it."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, filled, grams = None, {}, None
+        for batch in batches:
+            out: list[tuple[int, int, bytes]] = []
+            rows = zip(*(batch.column(c).to_pylist() for c in ("chunk", "bucket", "part", "data")))
+            for (bucket, bits), group in groupby(rows, lambda r: (r[1], r[0] < 0)):
+                if bucket != held:
+                    held, filled, grams = bucket, {}, None
+                if bits:
+                    filled.update((part, data) for _, _, part, data in group)
+                    continue
+                if grams is None:
+                    grams = FrequencyFilter(parts, filled)
+                chunks, asked = zip(*((chunk, _from_gaps(data)) for chunk, _, _, data in group))
+                found = np.minimum(grams.levels(np.concatenate(asked)), 255).astype(np.uint8)
+                ends = np.cumsum([len(a) for a in asked]).tolist()
+                out += [(chunk, bucket, found[end - len(a):end].tobytes()) for chunk, a, end in zip(chunks, asked, ends)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.binary()))],
+                                             names=["chunk", "bucket", "data"])
+    return run
+
+
+def _score_chunk(shared, parts: int, buckets: int, complete: bool):
     def run(chunk: pa.Table, answers: pa.Table) -> pa.Table:
         scorer, near = shared.value
-        chunk, texts = chunk.combine_chunks(), _texts(chunk.column("text").combine_chunks())
-        hashes, _ = _by_part(texts, parts)
-        found = np.frombuffer(b"".join(answers.sort_by("part").column("data").to_pylist()), dtype=np.uint8)
-        if len(found) != len(hashes):
-            raise ValueError(f"{len(found)} levels for {len(hashes)} hashes")
-        order = np.argsort(hashes)
-        own = Scorer(scorer.n, scorer.v, scorer.n_soft, scorer.n_docs, FoundLevels(hashes[order], found[order]))
-        columns = (chunk.column(c).combine_chunks() for c in ("doc_id", "held_out", "row"))
+        docs = _documents(chunk.column("data")[0].as_buffer())
+        texts = _texts(docs.column("text"))
+        runs = list(token_runs(texts))
+        hashes = _distinct(runs)
+        levels_ = np.frombuffer(b"".join(answers.sort_by("bucket").column("data").to_pylist()), dtype=np.uint8)
+        if len(levels_) != len(hashes):
+            raise ValueError(f"{len(levels_)} levels for {len(hashes)} hashes")
+        found = np.empty_like(levels_)
+        found[_by_bucket(hashes, parts, buckets)[0]] = levels_
+        own = Scorer(scorer.n, scorer.v, scorer.n_soft, scorer.n_docs, FoundLevels(hashes, found))
         # levels here come from this chunk's own answers: nothing is remembered across chunks
-        return pa.Table.from_batches([_scored_batch(own, NearWords(near.words, near.counts), complete, texts, *columns)])
+        near = NearWords(near.words, near.counts)
+        return pa.Table.from_batches([_scored_batch(own, near, complete, texts, *(docs.column(c) for c in ("doc_id", "held_out", "row")), runs)])
     return run
 
 
-def _score_routed(docs: DataFrame, built: DataFrame, parts: int, shared, complete: bool) -> DataFrame:
-    """Scores by parts of the filter that are not broadcast."""
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    row = docs.withColumn("row", F.monotonically_increasing_id())
-    chunks = stash(row.withColumn("chunk", F.pmod(F.xxhash64("row"), F.lit(size // CHUNK_TEXT + 1))), "lm-chunks")
-    asked = chunks.select("chunk", "text").groupBy("chunk").applyInArrow(_ask(parts), "chunk bigint, part int, data binary")
-    filled = built.select(F.lit(-1).cast("bigint").alias("chunk"), "part", F.col("bits").alias("data"))
-    answers = filled.union(asked).repartition(parts, "part").sortWithinPartitions("part", "chunk").mapInArrow(
-        _answer, "chunk bigint, part int, data binary")
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_score_chunk(shared, parts, complete), _SCORED)
+def _score_routed(docs: DataFrame, built: DataFrame, bits: int, parts: int, shared, complete: bool) -> DataFrame:
+    """Scores by parts of the filter that are not broadcast, written."""
+    buckets = min(parts, max(1, -(-bits // (8 * ROUTE_BYTES))))
+    with arrow_batches(docs.sparkSession, BATCH_ROWS, BATCH_BYTES):
+        chunks = stash(docs.mapInArrow(_chunk_rows(CHUNK_TEXT), "chunk bigint, data binary"), "lm-chunks")
+        asked = chunks.mapInArrow(_ask(parts, buckets), "chunk bigint, bucket int, part int, data binary")
+        filled = built.select(F.lit(-1).cast("bigint").alias("chunk"), (F.col("part") % buckets).alias("bucket"), "part", F.col("bits").alias("data"))
+        answers = filled.union(asked).repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "chunk").mapInArrow(
+            _answer(parts), "chunk bigint, bucket int, data binary")
+        return stash(chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
+            _score_chunk(shared, parts, buckets, complete), _SCORED), "lm-scored")
 
 
 def _packed_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -365,7 +455,8 @@ def score_documents(docs: DataFrame, max_words: int = MAX_WORDS, max_bits: int =
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held.alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
     train = docs.filter(~F.col("held_out")).select("text")
 
-    words = stash(train.mapInArrow(_count_words, "word bigint, c bigint").groupBy("word").agg(F.sum("c").alias("c")), "lm-words")
+    with session_conf(spark, SHUFFLE_ONCE):
+        words = stash(train.mapInArrow(_count_words, "word bigint, c bigint").groupBy("word").agg(F.sum("c").alias("c")), "lm-words")
     end = F.lit(int(END.view(np.int64)))
     facts = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v"),
                       F.coalesce(F.sum(F.when(F.col("word") == end, F.col("c"))), F.lit(0)).alias("docs")).first()
@@ -375,9 +466,10 @@ def score_documents(docs: DataFrame, max_words: int = MAX_WORDS, max_bits: int =
 
     parts = max(1, -(-n // PART_TOKENS))
     # the part's number as numpy computes it: 56-bit hashes are never negative
-    built = stash(train.mapInArrow(_count_grams, "packed bigint")
-                  .repartition(parts, F.expr(f"shiftrightunsigned(packed, 8) % {parts}"))
-                  .mapInArrow(_fill(parts), "part int, bits binary"), "lm-filter")
+    with session_conf(spark, SHUFFLE_ONCE):
+        built = stash(train.mapInArrow(_count_grams, "packed bigint")
+                      .repartition(parts, F.expr(f"shiftrightunsigned(packed, 8) % {parts}"))
+                      .mapInArrow(_fill(parts), "part int, bits binary"), "lm-filter")
     bits = 8 * built.agg(F.coalesce(F.sum(F.octet_length("bits")), F.lit(0))).first()[0]
     grams = FrequencyFilter(parts, {r["part"]: bytes(r["bits"]) for r in built.toLocalIterator()}) if bits <= max_bits else None
     scorer = Scorer(n, v, n_soft, facts["docs"], grams)
@@ -397,11 +489,16 @@ def score_documents(docs: DataFrame, max_words: int = MAX_WORDS, max_bits: int =
     order = np.argsort(near_words)
     complete = held_words == v
     shared = spark.sparkContext.broadcast((scorer, NearWords(near_words[order], near_counts[order])))
-    scored = docs.mapInArrow(_score_all(shared, complete), _SCORED) if bits <= max_bits else _score_routed(docs, built, parts, shared, complete)
+    if bits <= max_bits:
+        scored = docs.mapInArrow(_score_all(shared, complete), _SCORED)
+    else:
+        with session_conf(spark, SHUFFLE_ONCE):
+            scored = _score_routed(docs, built, bits, parts, shared, complete)
     columns = ("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("bigint").alias("train_tokens"), "base_score", "score")
     if complete:
         return scored.select(*columns)
-    scored = stash(scored, "lm-scored")
+    if bits <= max_bits:
+        scored = stash(scored, "lm-scored")
     open_words = scored.select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select(
         "row", F.col("w.rare").alias("word"), F.col("w.times").alias("times"))
     # exploded rows have no size estimate that could be trusted: never broadcast
